@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telesift.llm import chat, mixing, packing, topk
+from telesift.llm import chat, mixing, neardup, packing, substrings, topk
 from telesift.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.prefix_targets(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_digest(table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op7_mix": op7_mix, "op10_topk": op10_topk}
+    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
