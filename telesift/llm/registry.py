@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telesift.llm import chat, mixing, neardup, packing, substrings, topk
+from telesift.llm import chat, langid, mixing, neardup, packing, substrings, topk
 from telesift.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.prefix_targets(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -35,7 +39,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op10_topk": op10_topk}
+    return {"op1_pack": op1_pack, "op2_language": op2_language, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
