@@ -113,7 +113,13 @@ def classify(tree: Tree, x: np.ndarray) -> np.ndarray:
 
 @cache
 def fitted(table: str = LABELLED) -> Tree:
+    """The tree of a labelled table, to which every block that names no region is added twice more, as no main
+    text: on a page whose article is elsewhere, and in page furniture."""
     rows = np.array(table.split(), dtype=float).reshape(-1, len(FEATURES) + 1)
+    plain = rows[(rows[:, 6] == 0) & (rows[:, 7] == 0) & (rows[:, 8] == 0)]
+    outside, furniture = plain.copy(), plain.copy()
+    outside[:, [8, 10]], furniture[:, [7, 10]] = (1, 0), (1, 0)
+    rows = np.concatenate([rows, outside, furniture])
     return grow(rows[:, :-1], rows[:, -1])
 
 

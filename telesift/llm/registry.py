@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telesift.llm import chat, langid, mixing, neardup, packing, pages, substrings, topk
+from telesift.llm import chat, embeddings, langid, mixing, neardup, packing, pages, substrings, topk
 from telesift.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_documents(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_language": op2_language, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_pages": op8_pages, "op10_topk": op10_topk}
+    return {"op1_pack": op1_pack, "op2_language": op2_language, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op5_embeddings": op5_embeddings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_pages": op8_pages, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
