@@ -11,6 +11,7 @@ from telesift.llm.common import pick
 
 HITS = "query_id long, vec_id long, score long"
 LIMIT = float(1 << 31)
+QUERY_TILE, CANDIDATE_TILE = 64, 2048
 
 
 def integer_vectors(embeddings: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -33,40 +34,61 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return out
 
 
+def accumulate(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Scores (query, candidate), term after term: postings of a term times the queries' weights, added up.
+
+    values holds one row a term and one column a candidate, weights one row a term and one column a query. A
+    term that most candidates have is added to whole rows of the dense array, a rarer one is scattered
+    to its postings; tiles are small enough to stay in the cache.
+    """
+    n_query, n = weights.shape[1], values.shape[1]
+    reach = float(np.abs(values).max(initial=0)) * float(np.abs(weights).max(initial=0)) * max(1, len(values))
+    kind = np.int32 if reach < 2**31 else np.int64
+    values, weights = values.astype(kind), weights.astype(kind)
+    scores = np.zeros((n_query, n), dtype=kind)
+    for lo in range(0, n, CANDIDATE_TILE):
+        tile = values[:, lo : lo + CANDIDATE_TILE]
+        product = np.empty((n_query, tile.shape[1]), dtype=kind)
+        sums = np.zeros_like(product)
+        for term in range(len(tile)):
+            postings = np.flatnonzero(tile[term])
+            if 2 * len(postings) >= tile.shape[1]:
+                np.multiply(weights[term][:, None], tile[term][None, :], out=product)
+                sums += product
+            elif len(postings):
+                sums[:, postings] += weights[term][:, None] * tile[term, postings][None, :]
+        scores[:, lo : lo + CANDIDATE_TILE] = sums
+    return scores
+
+
 def block_top_k(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of one block for each query of another."""
+    if queries.empty or candidates.empty:
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     candidates = candidates.sort_values("vec_id", ignore_index=True)
-    ids, values = candidates["vec_id"].to_numpy(), _matrix(candidates["vector"])
-    asked, weights = queries["query_id"].to_numpy(), _matrix(queries["vector"])
-    scores = np.zeros((len(ids), len(asked)), dtype=np.int64)
-    for term in range(min(values.shape[1], weights.shape[1])):
-        postings, askers = np.flatnonzero(values[:, term]), np.flatnonzero(weights[:, term])
-        product = np.multiply.outer(values[postings, term], weights[askers, term])
-        if len(postings) == len(ids) and len(askers) == len(asked):
-            scores += product
-        else:
-            scores[np.ix_(postings, askers)] += product
+    ids, values = candidates["vec_id"].to_numpy(), _matrix(candidates["vector"]).T
+    asked, weights = queries["query_id"].to_numpy(), _matrix(queries["vector"]).T
+    terms = min(len(values), len(weights))
+    values, weights = np.ascontiguousarray(values[:terms]), np.ascontiguousarray(weights[:terms])
     out = []
-    for j, query in enumerate(asked):
-        mine = scores[:, j]
-        own = ids == query
-        if own.any():
-            rows = np.flatnonzero(~own)
-            mine = mine[rows]
-        else:
-            rows = np.arange(len(ids))
-        if len(rows) > k:
-            # partition by score; of the rows that tie at the border those with the smallest ids stay
-            border = np.partition(mine, len(mine) - k)[len(mine) - k]
-            above, level = np.flatnonzero(mine > border), np.flatnonzero(mine == border)
-            best = np.concatenate([above, level[: k - len(above)]])
-        else:
+    for lo in range(0, len(asked), QUERY_TILE):
+        names = asked[lo : lo + QUERY_TILE]
+        scores = accumulate(values, weights[:, lo : lo + QUERY_TILE])
+        first, last = np.searchsorted(ids, names, side="left"), np.searchsorted(ids, names, side="right")
+        for j, query in enumerate(names):
+            rows = np.arange(len(ids)) if first[j] == last[j] else np.concatenate([np.arange(first[j]), np.arange(last[j], len(ids))])
+            mine = scores[j] if first[j] == last[j] else scores[j][rows]
             best = np.arange(len(rows))
-        out.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows[best]], "score": mine[best]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            if len(rows) > k:
+                # partition by score; of the rows that tie at the border those with the smallest ids stay
+                border = np.partition(mine, len(mine) - k)[len(mine) - k]
+                above = np.flatnonzero(mine > border)
+                best = np.concatenate([above, np.flatnonzero(mine == border)[: k - len(above)]])
+            out.append((np.full(len(best), query), ids[rows[best]], mine[best].astype(np.int64)))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int = 512, candidate_block: int = 8192) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int = 4096, candidate_block: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products, ties to the smaller vec_id.
 
     queries and vectors have (vec_id, vector array<long>); shorter vectors count as padded with 0. A
