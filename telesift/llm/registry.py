@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telesift.llm import chat, embeddings, langid, mixing, neardup, packing, pages, substrings, topk
+from telesift.llm import chat, embeddings, langid, mixing, neardup, packing, pages, scoring, substrings, topk
 from telesift.llm.common import table
 
 
@@ -42,12 +42,16 @@ def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_digest(table(spark, sf_dir, "pages"))
 
 
+def op9_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scoring_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk_digest(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_language": op2_language, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op5_embeddings": op5_embeddings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_pages": op8_pages, "op10_topk": op10_topk}
+    return {"op1_pack": op1_pack, "op2_language": op2_language, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op5_embeddings": op5_embeddings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_pages": op8_pages, "op9_score": op9_score, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
