@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telesift.llm.common import written
 from telesift.llm.words import text_bytes
@@ -184,7 +185,7 @@ def identify(docs: DataFrame, training: DataFrame, most: int = SAMPLE) -> DataFr
                 columns = [part.column(i) for i in range(len(rest))] + [pa.array(names, pa.string()), pa.array(scores)]
                 yield pa.RecordBatch.from_arrays(columns, [*rest, "lang_pred", "score"])
 
-    return keyed.mapInArrow(score, rows.schema.add("lang_pred", "string").add("score", "double"))
+    return keyed.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 PIECE = 1 << 18

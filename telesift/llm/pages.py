@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGES_AT_ONCE = 64
 
@@ -238,7 +239,7 @@ def extract_main_text(pages: DataFrame, table: str = LABELLED) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*rest, "text"])
 
     rows = pages.select(*[F.col(f"`{c}`") for c in rest])
-    return rows.mapInArrow(extract, rows.schema.add("text", "string"))
+    return rows.mapInArrow(extract, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def page_digest(pages: DataFrame) -> DataFrame:
