@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from telesift.llm import chat, embeddings, langid, mixing, neardup, packing, pages, scoring, substrings, topk
 from telesift.llm.common import table
+from telesift.llm.sql import ORACLE
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
