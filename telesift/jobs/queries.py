@@ -509,10 +509,10 @@ def _(spark, d):
 # --- windows and events
 
 
-@query("w1_local_frames", s(" SELECT rn, round(avg(channel_41) OVER w, 5) AS mean, round(greatest(coalesce(stddev_samp(channel_41) OVER w, 0.000001), 0.000001), 5) AS std FROM t WINDOW w AS (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING)"))
+@query("w1_local_frames", s(" SELECT rn, round(avg(channel_41) OVER w, 9) AS mean, round(greatest(coalesce(stddev_samp(channel_41) OVER w, 0.000001), 0.000001), 7) AS std FROM t WINDOW w AS (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING)"))
 def _(spark, d):
     out = R.over_frames(single(spark, d), 50, 50, lambda f: dict(zip(("mean", "std"), R.local_stats(f, "channel_41", 100, 1, 1e-6), strict=True)), CHUNK)
-    return rounded(out.select("rn", "mean", "std"), "mean", "std", digits=5)
+    return rounded(rounded(out.select("rn", "mean", "std"), "mean", digits=9), "std", digits=7)
 
 
 T3 = CHANNELS[:4]

@@ -107,6 +107,8 @@ def dynamic_thresholds(errors: DataFrame, window: int = WINDOW, hop: int = HOP,
         own = pdf.loc[pdf["own"], "rn"]
         values = pdf["error"].to_numpy(dtype=float)
         out = []
+        if own.empty:  # past the end of the series
+            return pd.DataFrame(out, columns=["series_id", "start_rn", "end_rn", "score"])
         # a window ends where its newest part ends; it belongs to the block that holds that end
         for end in range(int(own.iloc[0]), int(own.iloc[-1]) + 1):
             if (end + 1) % hop or end + 1 < min(window, hop):
