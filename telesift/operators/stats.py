@@ -83,16 +83,3 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int, by: l
     """(by.., bin, n); the last bin holds the upper border."""
     at = F.least(F.floor((F.col(column) - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("long")
     return df.filter(F.col(column).between(lo, hi)).groupBy(*(by or []), at.alias("bin")).agg(F.count("*").alias("n"))
-
-
-def average_ranks(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys.., value, n, rank): rank of each distinct value, ties sharing their mean rank.
-
-    Equal values are counted first, so the running sum goes over distinct values.
-    """
-    from telesift.operators.prep import Window
-
-    keys = keys or []
-    values = df.groupBy(*keys, F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return values.withColumn("rank", before + (F.col("n") + 1) / 2.0)
