@@ -7,13 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telesift.llm.common import components, pick, written
+from telesift.llm.common import Forest, components, pick, written
 from telesift.llm.words import BASE, grams, inside, mix, words_of
 
 WIDTH = 5  # words in a shingle
 SLOTS = 97  # a prime, so that a * k + b runs through all slots
 BANDS, ROWS = 24, 4
 NEED, OF = 75, 100  # similarity as a fraction
+SMALL_BUCKET = 32  # documents of a bucket whose pairs are rows; larger ones are compared block by block
+BLOCK = 256
+MOST_BROADCAST = 4_000_000  # ids that are sent to all executors (some 100 MB in memory), at most
 TEXTS_AT_ONCE = 256
 
 
@@ -114,18 +117,85 @@ def _verify(batches):
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (src, dst) that full sets confirm."""
-    ids = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    needed = written(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    side = lambda c: needed.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
     rows = pairs.join(side("dst"), "dst").join(side("src"), "src").select("src", "dst", "src_text", "dst_text")
     return rows.mapInArrow(_verify, "src long, dst long")
 
 
+def intersections(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one (values, first) with all of another, as products of 0/1 matrices."""
+    shared = np.intersect1d(one[0], two[0])
+    out = np.zeros((len(one[1]) - 1, len(two[1]) - 1))
+
+    def columns(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        ok = shared[at] == values
+        order = np.argsort(at[ok], kind="stable")
+        return at[ok][order], owner[ok][order]
+
+    if len(shared):
+        (col_a, row_a), (col_b, row_b) = columns(*one), columns(*two)
+        for lo in range(0, len(shared), 4096):
+            a, b = np.zeros((out.shape[0], 4096), np.float32), np.zeros((out.shape[1], 4096), np.float32)
+            for matrix, col, row in ((a, col_a, row_a), (b, col_b, row_b)):
+                x, y = np.searchsorted(col, [lo, lo + 4096])
+                matrix[row[x:y], col[x:y] - lo] = 1
+            out += a @ b.T
+    return out
+
+
+def _compare_blocks(key, table):
+    """(src, dst): similar documents of two blocks of a crowded bucket, as few as connect their components."""
+    role = np.array(table.column("role").to_pylist())
+    ids, component = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+    texts = table.column("text").combine_chunks()
+    sides = [np.flatnonzero(role == r) for r in (0, 1)]
+    if not len(sides[1]):
+        sides[1] = sides[0]
+    sets = [shingle_sets(texts.take(pa.array(rows))) for rows in sides]
+    size = [np.diff(first) for _, first in sets]
+    shared = intersections(*sets)
+    a, b = np.nonzero(OF * shared >= NEED * (size[0][:, None] + size[1][None, :] - shared))
+    names, at = np.unique(component, return_inverse=True)
+    forest, src, dst = Forest(len(names)), [], []
+    for i, j in zip(sides[0][a].tolist(), sides[1][b].tolist(), strict=True):
+        if forest.root(at[i]) != forest.root(at[j]):
+            forest.join(at[i], at[j])
+            src.append(ids[i])
+            dst.append(ids[j])
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+
+def _crowded(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of large buckets (band, doc_id, component, major, minors, majors).
+
+    A bucket's documents outside its largest component are compared, by block, with one another and with those
+    inside. Blocks meet in a task that counts all intersections at once and returns links only.
+    """
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    blocks_minor, blocks_major = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("majors") / BLOCK).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    inside = placed.filter("component = major").select("band", "doc_id", "component", F.explode(every(blocks_minor)).alias("i"), part(blocks_major).alias("j"), F.lit(1).alias("role"))
+    outside = placed.filter("component <> major").withColumn("own", part(blocks_minor))
+    to_major = outside.select("band", "doc_id", "component", F.col("own").alias("i"), F.explode(every(blocks_major)).alias("j"), F.lit(0).alias("role"))
+    # the blocks of the minor ones among themselves: the lower number first, -1 - block in place of a major block
+    to_minor = outside.select("band", "doc_id", "component", "own", F.explode(every(blocks_minor)).alias("o"))
+    to_minor = to_minor.select("band", "doc_id", "component", F.least("own", "o").alias("i"), (-1 - F.greatest("own", "o")).alias("j"), (F.col("own") > F.col("o")).cast("int").alias("role"))
+    rows = inside.union(to_major).union(to_minor).join(texts, "doc_id")
+    return rows.groupBy("band", "i", "j").applyInArrow(_compare_blocks, "src long, dst long")
+
+
 def _fits(n: str, m: str):
     """Two sets of these sizes can be similar enough."""
     return F.least(n, m) * OF >= F.greatest(n, m) * NEED
 
 
+def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ids (a written table of distinct keys): by broadcast if those are few, else by shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, key, "left_semi")
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document (doc_id, text).
 
@@ -148,23 +218,28 @@ def link_documents(docs: DataFrame) -> DataFrame:
     entries = folded.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     entries = written(entries.join(buckets, "band"))
-    central = entries.groupBy("doc_id").agg(F.sum("n").alias("met"))
-    entries = written(entries.drop("n").join(central, "doc_id"))
+    central = written(entries.groupBy("doc_id").agg(F.sum("n").alias("met")))
+    # the texts of all documents that share a bucket: all that is compared below
+    texts = written(semi_join(texts, central.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
+    entries = written(entries.join(central, "doc_id"))
     hubs = entries.groupBy("band").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("first"), "n_shingles")).alias("hub"))
     stars = entries.join(hubs, "band").withColumn("hub_id", -F.col("hub.first")).filter(F.col("hub_id") != F.col("doc_id"))
     stars = stars.filter(_fits("n_shingles", "hub.n_shingles"))
-    stars = stars.select(F.least("doc_id", "hub_id").alias("src"), F.greatest("doc_id", "hub_id").alias("dst")).distinct()
+    stars = written(stars.select(F.least("doc_id", "hub_id").alias("src"), F.greatest("doc_id", "hub_id").alias("dst")).distinct())
     links = written(_similar(stars, texts))
     found = written(components(links))
     # every pair of a bucket whose ends are not connected yet
-    placed = entries.select("band", "doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
-    placed = placed.select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
+    placed = entries.select("band", "doc_id", "n_shingles", "n").join(found, F.col("doc_id") == F.col("id"), "left")
+    placed = placed.select("band", "doc_id", "n_shingles", "n", F.coalesce("component", "doc_id").alias("component"))
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("majors"), F.first("n").alias("n"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("majors", "component")).alias("top"), F.count("*").alias("kinds"), F.first("n").alias("size")).filter("kinds > 1")
+    mixed = mixed.select("band", F.col("top.component").alias("major"), F.col("top.majors").alias("majors"), (F.col("size") - F.col("top.majors")).alias("minors"))
     placed = written(placed.join(mixed, "band"))
-    other = placed.select("band", F.col("doc_id").alias("dst"), F.col("n_shingles").alias("m"), F.col("component").alias("c"))
-    rest = placed.join(other, "band").filter("doc_id < dst and component <> c").filter(_fits("n_shingles", "m"))
-    rest = rest.select(F.col("doc_id").alias("src"), "dst").distinct().join(stars, ["src", "dst"], "left_anti")
-    more = _similar(written(rest), texts)
+    few = placed.filter(F.col("n") <= SMALL_BUCKET)
+    other = few.select("band", F.col("doc_id").alias("dst"), F.col("n_shingles").alias("m"), F.col("component").alias("c"))
+    rest = few.join(other, "band").filter("doc_id < dst and component <> c").filter(_fits("n_shingles", "m"))
+    rest = written(rest.select(F.col("doc_id").alias("src"), "dst").distinct().join(stars, ["src", "dst"], "left_anti"))
+    more = written(_similar(rest, texts).union(_crowded(placed.filter(F.col("n") > SMALL_BUCKET), texts)))
     # join the components that the late links connect
     at = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_to"))
     more = more.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
@@ -172,5 +247,5 @@ def link_documents(docs: DataFrame) -> DataFrame:
     final = written(components(found.select(F.col("component").alias("src"), F.col("id").alias("dst")).union(more)))
     heads = folded.join(final, F.col("doc_id") == F.col("id"), "left").select("set1", "set2", F.coalesce("component", "doc_id").alias("component_id"))
     linked = signed.drop("bands").join(heads, ["set1", "set2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
