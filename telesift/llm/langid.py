@@ -21,7 +21,7 @@ MOST_LANGS = 64
 LEAST_COUNT = 4  # a context occurs so often in the sample at least
 UNKNOWN = "und"
 EVIDENCE = 64.0  # the score counts as much evidence as so many bytes hold, at most
-TEXTS_AT_ONCE = 128
+TEXTS_AT_ONCE = 64
 SHARE_STEPS = 1 << 16
 
 
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, training: DataFrame, most: int = SAMPLE) -> DataFr
     return keyed.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-PIECE = 1 << 18
+PIECE = 1 << 16
 
 
 def _in_pieces(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
