@@ -236,7 +236,8 @@ def link_vectors(embeddings: DataFrame, least: float = LINK, shards: int = SHARD
     heads = folded.join(direct, F.col("id") == F.col("src"), "left").drop("src").join(placed, "id", "left")
     heads = heads.select("key1", "key2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = named.join(heads, ["key1", "key2"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    known = F.col("vec_id").isNotNull()
+    out = out.select("vec_id", F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
