@@ -24,10 +24,10 @@ def features(rows: DataFrame, columns: list[str], a: str, b: str, sizes: tuple[i
         return out | {f"corr_ch{i}_ch{i + 1}": pair_correlation(f, columns[i], columns[i + 1]) for i in range(3)}
 
     out = over_frames(rows, max(50, *sizes), 0, build, chunk)
-    return out.withColumns({"iforest_score": F.col(a), "telemanom_score": F.col(b), "detector_agreement": F.abs(F.col(a) - F.col(b))})
+    return out.withColumns({"iforest_score": F.col(a), "forecast_score": F.col(b), "detector_agreement": F.abs(F.col(a) - F.col(b))})
 
 
-FEATURES = ["iforest_score", "telemanom_score", "detector_agreement", *[f"rolling_{k}_{w}" for w in (10, 30, 50) for k in ("mean_dev", "std")], "delta_1", "delta_5", "delta_10", "slope_magnitude", "corr_ch0_ch1", "corr_ch1_ch2", "corr_ch2_ch3"]
+FEATURES = ["iforest_score", "forecast_score", "detector_agreement", *[f"rolling_{k}_{w}" for w in (10, 30, 50) for k in ("mean_dev", "std")], "delta_1", "delta_5", "delta_10", "slope_magnitude", "corr_ch0_ch1", "corr_ch1_ch2", "corr_ch2_ch3"]
 
 
 def pseudo_labels(rows: DataFrame, a: str, b: str, strict: bool = False) -> DataFrame:
