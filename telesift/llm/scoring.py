@@ -16,18 +16,18 @@ from telesift.llm.common import pick, written
 from telesift.llm.packing import encoder
 from telesift.llm.words import LOWER, Words, words_of
 
-SINGLE, SHARED = 71, 23  # classes of one token each; classes that tokens share
-START, END = 94, 95  # classes of their own
-CLASSES = 96
+SINGLE, SHARED = 95, 31  # classes of one token each; classes that tokens share
+START, END = 126, 127  # classes of their own
+CLASSES = 128
 WIDTH = 16  # of the model
-CONTEXT, STRIDE = 32, 24  # a window's positions; those of them that it scores
+CONTEXT, STRIDE = 32, 16  # a window's positions; those of them that it scores
 LEAST_TRAINING = 2_000  # documents that the weights are trained on, at least, and the share of all
 TRAINING_SHARE = 1 / 64
 SHARD_BYTES = 4 << 20
-ROUNDS = 2
+ROUNDS = 3
 CHUNK_BYTES = 12 << 20
 BLOCKS_AT_ONCE = 128  # their arrays stay in the cache
-COUNT_WEIGHT = 0.75  # of the word counts in the mixture
+COUNT_WEIGHT = 0.5  # of the word counts in the mixture
 
 
 class Vocabulary(NamedTuple):
@@ -80,9 +80,9 @@ class Spelling:
 
 def first_weights(counts: np.ndarray) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(20)
-    shapes = {"embed": (CLASSES, WIDTH), "place": (CONTEXT, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "last": (WIDTH, WIDTH), "inner": (WIDTH, WIDTH), "outer": (WIDTH, WIDTH), "read": (WIDTH, CLASSES)}
+    shapes = {"embed": (CLASSES, WIDTH), "place": (CONTEXT, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "last": (WIDTH, WIDTH), "inner": (WIDTH, 2 * WIDTH), "outer": (2 * WIDTH, WIDTH), "read": (WIDTH, CLASSES)}
     weights = {k: (rng.normal(size=s) / np.sqrt(WIDTH)).astype(np.float32) for k, s in shapes.items()}
-    weights["inner_bias"] = np.zeros(WIDTH, np.float32)
+    weights["inner_bias"] = np.zeros(2 * WIDTH, np.float32)
     weights["bias"] = np.log((counts + 1) / (counts + 1).sum()).astype(np.float32)
     return weights
 
