@@ -21,8 +21,6 @@ START, END = 126, 127  # classes of their own
 CLASSES = 128
 WIDTH = 16  # of the model
 CONTEXT, STRIDE = 32, 16  # a window's positions; those of them that it scores
-LEAST_TRAINING = 2_000  # documents that the weights are trained on, at least, and the share of all
-TRAINING_SHARE = 1 / 64
 SHARD_BYTES = 4 << 20
 ROUNDS = 3
 CHUNK_BYTES = 12 << 20
@@ -219,73 +217,128 @@ def _text_sequences(texts: pa.Array) -> list[np.ndarray]:
     return [spelling.tokens(int(a), int(b))[0] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
 
 
-def _trainer(start, turn: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _packed(size: int) -> np.dtype:
+    """The type that ids of a vocabulary are kept in between stages."""
+    return np.min_scalar_type(size)
+
+
+def _sequences(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each) from a column of packed ids."""
+    raw = column.to_pylist()
+    ids = np.frombuffer(b"".join(raw), dtype=_packed(size)).astype(np.int64)
+    return ids, np.array([len(r) for r in raw], dtype=np.int64) // _packed(size).itemsize
+
+
+def _trainer(start, turn: int, size: int):
+    def run(key, table):
         vocabulary, weights = pickle.loads(start.value)
-        pdf = pdf.sort_values(["doc_id", "text"], na_position="first")
-        sequences = _text_sequences(pa.array(pdf["text"].tolist(), pa.string()))
-        classes, at, _ = _with_ends(vocabulary.kind[np.concatenate(sequences)], np.array([len(s) for s in sequences]), END)
+        order = table.select(["doc_id", "ids"]).sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        ids, per_text = _sequences(order.column("ids"), size)
+        classes, at, _ = _with_ends(vocabulary.kind[ids], per_text, END)
         got = train(weights, classes, at, 0.02 / (turn + 1), turn)
-        return pd.DataFrame({"tokens": [len(classes)], "weights": [pickle.dumps(got)]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tokens": pa.array([len(classes)], pa.int64()), "weights": pa.array([pickle.dumps(got)], pa.binary())})
 
     return run
 
 
+def id_counts(spelled_out: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all training documents (ids)."""
+
+    def count(batches):
+        n = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(_sequences(batch.column(0), size)[0], minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["id", "n"])
+
+    got = spelled_out.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, dtype=np.int64)
+    out[got.column("id").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def neighbour_counts(spelled_out: DataFrame, kind: np.ndarray) -> np.ndarray:
+    """(id, 2 * SINGLE): how often each id stands after, and before, each id that is a class of its own, in all training documents."""
+    size, width = len(kind), 2 * SINGLE
+
+    def count(batches):
+        n = np.zeros(size * width, dtype=np.int32)
+        for batch in batches:
+            ids, per_text = _sequences(batch.column(0), size)
+            inner = np.ones(len(ids), dtype=bool)
+            inner[(np.cumsum(per_text) - per_text)[per_text > 0]] = False
+            right = np.flatnonzero(inner)
+            a, b = ids[right - 1], ids[right]
+            for side, own, other in ((0, b, a), (1, a, b)):
+                ok = (kind[own] >= SINGLE) & (kind[other] < SINGLE)
+                cell, times = np.unique(own[ok] * width + kind[other[ok]] + side * SINGLE, return_counts=True)
+                n[cell] += times.astype(np.int32)
+        at = np.flatnonzero(n)
+        for lo in range(0, len(at), 100_000):
+            part = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part].astype(np.int64))], ["cell", "n"])
+
+    got = spelled_out.select("ids").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * width, dtype=np.float32)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(size, width)
+
+
 def fit(training: DataFrame, total: int, size: int) -> tuple[Vocabulary, dict]:
-    """Vocabulary and weights from a hash sample of the `total` training documents (doc_id, text), which grows with them.
+    """Vocabulary and weights from all of the `total` training documents (doc_id, text), whose bytes are `size` at most.
 
-    The sample is dealt to shards of about SHARD_BYTES; each of ROUNDS rounds trains every shard from the
-    common weights in a task of its own, and the mean of what they give is the next round's start.
+    Their ids are spelled once. The documents are dealt to shards of about SHARD_BYTES; each of ROUNDS rounds
+    trains every shard from the common weights in a task of its own, and the mean of what they give is the
+    next round's start.
     """
     spark = training.sparkSession
-    share = max(TRAINING_SHARE, min(1.0, LEAST_TRAINING / max(1, total)))
-    sample = written(training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    n_shard = max(1, int(size * share) // SHARD_BYTES)
+    n_shard = max(1, -(-size // SHARD_BYTES))
     vocabulary_size = encoder().n_vocab
 
-    def count(batches):
+    def spell(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
-                sequences = _text_sequences(batch.column(1).slice(lo, 128))
-                pairs = np.concatenate([np.stack([s[:-1], s[1:]], axis=1) for s in sequences if len(s)] or [np.zeros((0, 2), np.int64)])
-                pair, n = np.unique(pairs[:, 0] * vocabulary_size + pairs[:, 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
-
-    counted = sample.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    # the pairs that name the classes: at most a fixed number of them, the most frequent
-    top = counted.orderBy(F.col("n").desc(), "pair").limit(100_000).collect()
-    left, right = (np.array([row.pair // vocabulary_size for row in top], dtype=np.int64), np.array([row.pair % vocabulary_size for row in top], dtype=np.int64))
-    often = np.array([row.n for row in top], dtype=float)
-    vocabulary = make_vocabulary(left, right, often, vocabulary_size)
-    counts = np.bincount(vocabulary.kind[right], weights=often, minlength=CLASSES)
-    counts[END] = max(1, total * share)
+                part = batch.slice(lo, 128)
+                ids = [s.astype(_packed(vocabulary_size)).tobytes() for s in _text_sequences(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["doc_id", "shard", "ids"])
+
+    dealt = training.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(n_shard)).cast("int").alias("shard"))
+    spelled_out = written(dealt.mapInArrow(spell, "doc_id long, shard int, ids binary"))
+    count = id_counts(spelled_out, vocabulary_size)
+    vocabulary = make_vocabulary(count, neighbour_counts(spelled_out, own_classes(count)))
+    counts = np.bincount(vocabulary.kind, weights=count, minlength=CLASSES)
+    counts[END] = max(1, total)
     counts[START] = 0
     weights = first_weights(counts)
-    shards = written(sample.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(n_shard)).cast("int").alias("shard")))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(pickle.dumps((vocabulary, weights)))
-        parts = shards.groupBy("shard").applyInPandas(_trainer(start, turn), "tokens long, weights binary")
-        got = [(r.tokens, pickle.loads(r.weights)) for r in parts.orderBy(F.md5("weights")).toLocalIterator()]
-        if got:
-            tokens = sum(t for t, _ in got)
-            weights = {k: (sum(t * w[k] for t, w in got) / tokens).astype(np.float32) for k in weights}
+        # written before the sort, whose sampling would train everything once more
+        parts = written(spelled_out.groupBy("shard").applyInArrow(_trainer(start, turn, vocabulary_size), "shard int, tokens long, weights binary"))
+        tokens, mean = 0, {k: np.zeros(w.shape) for k, w in weights.items()}
+        for row in parts.orderBy("shard").toLocalIterator():
+            tokens += row.tokens
+            for k, w in pickle.loads(row.weights).items():
+                mean[k] += row.tokens * w.astype(np.float64)
+        if tokens:
+            weights = {k: (w / tokens).astype(np.float32) for k, w in mean.items()}
     return vocabulary, weights
 
 
-def make_vocabulary(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int) -> Vocabulary:
-    """Frequent ids are classes of their own; the others are grouped by the frequent ids they stand between."""
-    count = np.bincount(right, weights=n, minlength=size) if len(n) else np.zeros(size)
-    ranked = np.lexsort((np.arange(size), -count))
+def own_classes(count: np.ndarray) -> np.ndarray:
+    """The class of every id before the others are grouped: the most frequent ids are classes of their own."""
+    size = len(count)
     kind = SINGLE + np.arange(size) % SHARED
-    kind[ranked[:SINGLE]] = np.arange(SINGLE)
+    kind[np.lexsort((np.arange(size), -count))[:SINGLE]] = np.arange(SINGLE)
+    return kind
+
+
+def make_vocabulary(count: np.ndarray, near: np.ndarray) -> Vocabulary:
+    """Frequent ids are classes of their own; the others are grouped by the frequent ids they stand between (near, a row for each id)."""
+    kind = own_classes(count)
+    ranked = np.lexsort((np.arange(len(count)), -count))
     rest = ranked[SINGLE:][count[ranked[SINGLE:]] > 0]
     if len(rest) > SHARED:
-        row = np.full(size, -1)
-        row[rest] = np.arange(len(rest))
-        near = np.zeros((len(rest), 2 * SINGLE))
-        for side, (own, other) in enumerate(((right, left), (left, right))):
-            ok = (row[own] >= 0) & (kind[other] < SINGLE)
-            np.add.at(near, (row[own[ok]], kind[other[ok]] + side * SINGLE), n[ok])
+        near = near[rest]
         near = np.sqrt(near / np.maximum(1, near.sum(axis=1, keepdims=True)))
         centres = near[:SHARED].copy()
         for _ in range(12):

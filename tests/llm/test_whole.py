@@ -1,6 +1,7 @@
 """Places where an operator once did less than its whole job."""
 
 import numpy as np
+import pyarrow as pa
 
 from telesift.llm import scoring
 
@@ -16,3 +17,18 @@ def test_attention_model_has_its_full_size():
         assert scoring.class_scores(w, changed, at)[p] != before[p]
     assert (scoring.CLASSES, scoring.ROUNDS, scoring.COUNT_WEIGHT) == (128, 3, 0.5)
     assert w["inner"].shape == (scoring.WIDTH, 2 * scoring.WIDTH)
+
+
+def test_scoring_model_learns_from_every_training_document(spark):
+    n = 2600
+    docs = spark.createDataFrame([(i, f"the of and q{i % 7} stone river") for i in range(n)], "doc_id long, text string").repartition(3)
+    want = {}
+    for i in range(n):
+        for t in scoring._text_sequences(pa.array([f"the of and q{i % 7} stone river"]))[0].tolist():
+            want[t] = want.get(t, 0) + 1
+    vocabulary, _ = scoring.fit(docs, n, 40 * n)
+    weight = np.full(len(vocabulary.kind), 0.5)
+    for t, c in want.items():
+        weight[t] += c
+    share = np.log10(weight / np.bincount(vocabulary.kind, weights=weight)[vocabulary.kind])
+    assert np.allclose(vocabulary.share, share)
