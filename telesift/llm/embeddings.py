@@ -19,7 +19,11 @@ FIRST_BEAM = 32
 SHARDS = 8  # at least; the graphs are searched shard by shard
 SHARD_ROWS = 200_000  # at most, so that a graph fits a task
 QUERY_ROWS = 20_000  # vectors that one task looks up in one shard
-AUDITED = 64  # queries of a block that are compared with the whole shard
+WIDEST_BEAM = 256  # what needs a wider one is compared with the whole shard
+AUDITED = 64  # queries of a block that are compared with the whole shard, at least, and the share of all
+AUDITED_SHARE = 1 / 16
+LEAST_LINKED = 20  # audited queries with few links, without which the audit shows nothing
+FEW_LINKS = 2 * DEGREE
 NEED_RECALL = 0.99
 
 
@@ -29,7 +33,8 @@ class Graph:
     Layer 0 holds all points, each higher layer about one in DEGREE of the one below (by a hash of the
     id). A point is linked with the nearest points that the beam search finds among those inserted before
     (batches double, as points of one batch do not see each other in the graph; they are compared
-    directly), and with those that chose it; full rows keep the nearest.
+    directly), and with those that chose it; full rows keep first those that are nearer to the point than to
+    any nearer neighbour kept, so that near copies do not close on themselves, then the nearest.
     """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
@@ -57,7 +62,7 @@ class Graph:
             if done:
                 found, scores = self._descend(self.vectors[new], layer, BUILD_BEAM, done)
                 near, how = np.concatenate([near, found], axis=1), np.concatenate([how, scores], axis=1)
-            rows, near, how = _best(near, how, width)
+            near = np.concatenate([self._diverse(self.vectors[new[lo : lo + 1024]], near[lo : lo + 1024], how[lo : lo + 1024], width) for lo in range(0, len(new), 1024)])
             links[new] = near
             self._link_back(links, new, near)
             done += len(new)
@@ -87,15 +92,38 @@ class Graph:
             return
         order = np.argsort(at, kind="stable")
         count = np.bincount(at)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        given = np.full((len(touched), int(count.max())), -1, dtype=np.int32)
-        given[at[order], place] = source[order]
-        for lo in range(0, len(touched), 1024):
-            rows = touched[lo : lo + 1024]
-            both = np.concatenate([links[rows], given[lo : lo + 1024]], axis=1)
-            how = np.einsum("ij,ikj->ik", self.vectors[rows], self.vectors[both])
+        first = np.cumsum(count) - count
+        sources = source[order]
+        # rows with as many new neighbours together, in blocks of bounded size
+        by, lo = np.argsort(count, kind="stable"), 0
+        while lo < len(by):
+            most = int(count[by[min(lo + 1023, len(by) - 1)]])
+            rows = by[lo : lo + max(1, min(1024, (16 << 20) // ((links.shape[1] + most) * self.vectors.shape[1])))]
+            lo += len(rows)
+            column = np.arange(int(count[rows].max()))[None, :]
+            given = np.where(column < count[rows][:, None], sources[np.minimum(first[rows][:, None] + column, len(sources) - 1)], -1).astype(np.int32)
+            both = np.concatenate([links[touched[rows]], given], axis=1)
+            how = np.einsum("ij,ikj->ik", self.vectors[touched[rows]], self.vectors[both])
             how[both < 0] = -2.0
-            links[rows] = _best(both, how, links.shape[1])[1]
+            links[touched[rows]] = self._diverse(self.vectors[touched[rows]], both, how, links.shape[1])
+
+    def _diverse(self, own: np.ndarray, ids: np.ndarray, scores: np.ndarray, width: int) -> np.ndarray:
+        """`width` different ids of each row: those nearer to the row's vector than to any taken before, from the nearest on; then the nearest."""
+        ids, scores, _ = _merge(ids, scores, np.zeros(ids.shape, bool), max(width, ids.shape[1]))
+        if ids.shape[1] == width:
+            return ids
+        x, rows = self.vectors[ids], np.arange(len(ids))
+        taken, out = np.zeros(ids.shape, bool), ids < 0
+        for _ in range(width):
+            free = np.where(taken | out, np.float32(-3.0), scores)
+            at = free.argmax(axis=1)
+            some = free[rows, at] > -2.5
+            if not some.any():
+                break
+            taken[rows[some], at[some]] = True
+            out |= some[:, None] & ((x @ x[rows, at][:, :, None])[:, :, 0] > scores)
+        rank = np.where(ids < 0, np.float32(-9.0), scores + 4 * taken.astype(np.float32))
+        return np.take_along_axis(ids, np.argpartition(-rank, width - 1, axis=1)[:, :width], axis=1)
 
     def _descend(self, asked: np.ndarray, layer: int, beam: int, known: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam of nearest points on a layer, entered from the layers above; only the first `known` points count."""
@@ -141,44 +169,52 @@ class Graph:
             ids[live], scores[live], opened[live] = _merge(both, both_how, both_open, beam)
         return ids, scores
 
-    def within(self, asked: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) of all pairs found with a cosine of `least` or more.
+    def _compare(self, asked: np.ndarray, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) of all pairs of these rows of asked, from a full comparison."""
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for lo in range(0, len(rows), 256):
+            q, p = np.nonzero(asked[rows[lo : lo + 256]] @ self.vectors.T >= least)
+            pairs.append((rows[lo + q], p))
+        query, point = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        return query, point
+
+    def within(self, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) of all pairs found with a cosine of `least` or more; own: the point that a query is itself, or -1, left out.
 
         A query whose whole beam is that near may have more neighbours, so its beam is doubled until the
-        farthest one is not. Then AUDITED queries are compared with every point; while they
-        show less than NEED_RECALL of the true pairs, all queries are repeated with beams of twice the width, at
-        last as wide as the graph, which is a full comparison.
+        farthest one is not, and beyond WIDEST_BEAM it is compared with every point. Then a share of the queries is
+        compared with every point. Recall is taken for each query and averaged, apart for queries with few and
+        with many links; while either is under NEED_RECALL, all queries are repeated with beams of twice the width, and
+        beyond WIDEST_BEAM compared in full. So they are at once if fewer than LEAST_LINKED audited queries have few links.
         """
         asked = asked.astype(np.float32)
-        n, beam = len(self.vectors), FIRST_BEAM
-        chosen = np.unique(np.linspace(0, len(asked) - 1, min(AUDITED, len(asked))).astype(np.int64))
-        truth = asked[chosen] @ self.vectors.T >= least
-        while True:
-            left, pairs = np.arange(len(asked)), []
-            width = beam
-            while len(left):
-                if width >= n:
-                    for lo in range(0, len(left), 256):
-                        part = left[lo : lo + 256]
-                        q, p = np.nonzero(asked[part] @ self.vectors.T >= least)
-                        pairs.append((part[q], p))
-                    break
+        n, beam, every = len(self.vectors), FIRST_BEAM, np.arange(len(asked))
+        itself = np.full(len(asked), -1) if own is None else own
+
+        def others(query: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            point = self.order[point]
+            keep = point != itself[query]
+            return query[keep], point[keep]
+
+        audited = min(len(asked), max(AUDITED, int(np.ceil(len(asked) * AUDITED_SHARE))))
+        chosen = np.unique(np.linspace(0, len(asked) - 1, audited).astype(np.int64))
+        truth = np.bincount(others(*self._compare(asked, chosen, least))[0], minlength=len(asked))[chosen]
+        few, many = (truth > 0) & (truth <= FEW_LINKS), truth > FEW_LINKS
+        while beam < min(n, WIDEST_BEAM + 1) and few.sum() >= LEAST_LINKED:
+            left, width, pairs = every, beam, []
+            while len(left) and width < min(n, WIDEST_BEAM + 1):
                 ids, scores = self._descend(asked[left], 0, width, n)
                 more = scores.min(axis=1) >= least
                 q, k = np.nonzero((scores >= least) & (ids >= 0) & ~more[:, None])
                 pairs.append((left[q], ids[q, k]))
                 left, width = left[more], 2 * width
-            query, point = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            hits = np.isin(query, chosen).sum()
-            if hits >= NEED_RECALL * truth.sum() or beam >= n:
-                return query, self.order[point]
+            pairs.append(self._compare(asked, left, least))
+            query, point = others(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+            recall = np.bincount(query, minlength=len(asked))[chosen] / np.maximum(1, truth)
+            if all(recall[part].mean() >= NEED_RECALL for part in (few, many) if part.any()):
+                return query, point
             beam *= 2
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, width: int) -> tuple[None, np.ndarray, np.ndarray]:
-    """The `width` best different ids of each row, -1 where there are fewer."""
-    ids, scores, _ = _merge(ids, scores, np.zeros(ids.shape, bool), width)
-    return None, ids, scores
+        return others(*self._compare(asked, every, least))
 
 
 def _merge(ids: np.ndarray, scores: np.ndarray, opened: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,8 +298,8 @@ def _find(vectors: DataFrame, least: float, shards: int, shard_rows: int) -> Dat
             return none
         net, ids, values = pickle.loads(graph["graph"].iloc[0])
         own, mine = asked["id"].to_numpy(), _rows(asked["vector"])
-        query, point = net.within(_unit(mine), least - 1e-5)
-        query, point = query[own[query] != ids[point]], point[own[query] != ids[point]]
+        place = pd.Index(ids).get_indexer(own)
+        query, point = net.within(_unit(mine), least - 1e-5, place)
         keep = np.zeros(len(query), dtype=bool)
         for lo in range(0, len(query), 4096):
             a, b = _unit(mine[query[lo : lo + 4096]]), _unit(values[point[lo : lo + 4096]])

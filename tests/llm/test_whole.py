@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from telesift.llm import scoring
+from telesift.llm import embeddings, scoring
 
 
 def test_attention_model_has_its_full_size():
@@ -32,3 +32,35 @@ def test_scoring_model_learns_from_every_training_document(spark):
         weight[t] += c
     share = np.log10(weight / np.bincount(vocabulary.kind, weights=weight)[vocabulary.kind])
     assert np.allclose(vocabulary.share, share)
+
+
+def test_audit_sees_rare_links_beside_a_hot_group():
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=(1, 24)) + rng.normal(size=(700, 24)) * 0.02
+    pairs = np.repeat(rng.normal(size=(150, 24)), 2, axis=0) + rng.normal(size=(300, 24)) * 0.02
+    x = embeddings._unit(np.concatenate([hot, pairs]))
+    graph = embeddings.Graph(x, np.arange(1000))
+    search = graph._descend
+
+    def blind(asked, *rest):  # a graph in which the pairs' points find only themselves
+        ids, scores = search(asked, *rest)
+        lone = ((ids >= 0) & (scores >= 0.95)).sum(axis=1) <= 2
+        scores[lone] = np.where(scores[lone] < 0.9999999 - 1e-6, -2.0, scores[lone])
+        return ids, scores
+
+    graph._descend = blind
+    query, point = graph.within(x, 0.95)
+    found = set(zip(query.tolist(), point.tolist(), strict=True))
+    assert all((i, i + 1) in found and (i + 1, i) in found for i in range(700, 1000, 2))
+
+
+def test_no_group_of_near_copies_closes_on_itself():
+    rng = np.random.default_rng(8)
+    centres = embeddings._unit(rng.normal(size=(12, 16)))
+    x = embeddings._unit(np.repeat(centres, 200, axis=0) + rng.normal(size=(2400, 16)) * 0.01)
+    graph = embeddings.Graph(x, np.arange(2400))
+    query, point = np.nonzero(graph.layers[0] >= 0)
+    a, b = query, graph.layers[0][query, point]
+    group = graph.order // 200
+    leaving = np.bincount(group[a], weights=group[a] != group[b], minlength=12)
+    assert (leaving > 0).all()
