@@ -27,15 +27,23 @@ CHROME_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert notification popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended trending widget pagination pager copyright legal disclaimer".split()
 )
 MAIN_NAMES = frozenset("article content main post entry story".split())
+# Furniture that holds articles of its own: comments, teasers.
+GUEST_TAGS = frozenset("nav aside footer".split())
+GUEST_NAMES = frozenset("comment comments disqus reply replies respond discussion related recommended trending".split())
+# Words of a compound name: with the first kind it says what an element has, with the second it is a container of its first word's kind.
+MODIFIERS = frozenset("has no with without not is hide show open closed enabled disabled after before above below supports".split())
+HOLDERS = frozenset("list box block area wrap wrapper container inner outer section item items link links text title body bar row form group content widget panel main".split())
+HEADED = frozenset("article post entry story".split())
+FORM_WORDS = 40  # plain words; a form with fewer is furniture
 TRACKED = BREAKS - VOID
 
 # Comments end at -->, hidden elements at their end tag, all of them at the end of the page if that is missing.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>])[^>]*+(?:>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|\Z)|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-z][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])[^>]*?/>|<({HIDDEN})(?=[\s/>])[^>]*+(?:>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|\Z)|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-z][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^a-z]+")
 
 FEATURES = "words link_density words_before link_density_before words_after link_density_after in_main in_chrome page_has_main heading".split()
 
@@ -62,6 +70,7 @@ LABELLED = """
     30 .2 50 0 30 0 0 0 0 0 1  18 0 30 0 25 .1 0 0 0 0 1   7 0 50 0 60 0 0 0 0 0 1      100 0 2 1 5 1 0 0 0 0 1
     1 1 0 0 1 1 0 0 0 0 0      2 1 1 1 2 1 0 0 0 0 0       4 .8 2 1 60 0 0 0 0 0 0      6 0 0 0 2 1 0 0 0 0 0
     5 .5 60 0 0 0 0 0 0 0 0    9 .9 40 0 8 .9 0 0 0 0 0    30 .9 20 1 20 1 0 0 0 0 0    3 0 2 1 2 1 0 0 0 1 0
+    45 0 0 0 0 0 0 0 0 0 1     120 .1 0 0 0 0 0 0 0 0 1    25 0 0 0 0 0 0 0 0 0 1      60 0 0 0 30 0 0 0 0 0 1
     7 0 70 0 0 0 0 0 0 0 0     4 0 1 1 3 1 0 0 0 0 0       2 0 3 0 3 0 0 0 0 0 0        6 .4 5 1 4 .5 0 0 0 0 0
 """
 
@@ -124,19 +133,39 @@ def fitted(table: str = LABELLED) -> Tree:
     return grow(rows[:, :-1], rows[:, -1])
 
 
+def _named(token: str) -> str:
+    """What one name of an element says: a word of CHROME_NAMES or MAIN_NAMES, or nothing."""
+    parts = [p for p in _PARTS.split(token) if p]
+    if not parts or MODIFIERS.intersection(parts):
+        return ""
+    last = parts[-1]
+    if last == "header" and HEADED.intersection(parts):
+        return "article"
+    if last in CHROME_NAMES:
+        return last
+    if parts[0] in CHROME_NAMES and all(p in HOLDERS or p in CHROME_NAMES for p in parts[1:]):
+        return parts[0]
+    return next((p for p in parts if p in MAIN_NAMES), "")
+
+
 def _zone(tag: str, rest: str, parent: int) -> int:
-    """0: neither, 1: main text, 2: page furniture. Inside furniture everything is."""
-    if parent == 2:
-        return 2
+    """0: neither, 1: main text, 2: page furniture, 3: furniture with articles of its own. Inside furniture everything is, until an article or main begins."""
     if tag in ("html", "body", "head"):
         return parent
     names: set[str] = set()
     if "=" in rest:
         for value in _NAMES.findall(rest):
-            names.update(_PARTS.findall(value.lower()))
-    if names & CHROME_NAMES or tag in CHROME_TAGS and not (tag == "header" and parent == 1):
-        return 2
-    return 1 if tag in MAIN_TAGS or names & MAIN_NAMES else parent
+            names.update(map(_named, value.lower().strip("\"'").split()))
+    if parent >= 2 and not (tag == "main" or tag == "article" and parent == 2):
+        return parent
+    if tag in MAIN_TAGS and (names & MAIN_NAMES or not names & CHROME_NAMES):
+        return 1
+    chrome = names & CHROME_NAMES
+    if parent == 1:
+        chrome -= {"header"}
+    if chrome or tag in CHROME_TAGS and tag != "form" and not (tag == "header" and parent == 1):
+        return 3 if tag in GUEST_TAGS or chrome & GUEST_NAMES else 2
+    return 1 if names & MAIN_NAMES else min(parent, 1)
 
 
 def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
@@ -145,15 +174,22 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int]] = [("", 0)]
+    forms: list[tuple[int, int]] = []  # of open forms: height of the stack, number of blocks before
     in_link = heading = False
 
     def close() -> None:
         words = html.unescape("".join(parts)).split() if parts else ()
         if words:
-            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), stack[-1][1], int(heading)))
+            out.append((" ".join(words), len(words), len(html.unescape(" ".join(linked)).split()), min(stack[-1][1], 2), int(heading)))
         parts.clear()
         linked.clear()
 
+    def end_forms() -> None:
+        while forms and forms[-1][0] >= len(stack):
+            first = forms.pop()[1]
+            if sum(b[1] - b[2] for b in out[first:]) < FORM_WORDS:
+                out[first:] = [(*b[:3], 2, b[4]) for b in out[first:]]
+
     def say(text: str) -> None:
         if text:
             parts.append(text)
@@ -179,6 +215,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if found:
                 del stack[found:]
+                end_forms()
         elif not m[4].endswith("/"):
             if stack[-1][0] == "p":
                 stack.pop()
@@ -186,10 +223,17 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("li", "ul", "ol", "menu")), 0)
                 if found and stack[found][0] == "li":
                     del stack[found:]
+                    end_forms()
+            if tag == "form":
+                forms.append((len(stack), len(out)))
+            elif tag in MAIN_TAGS:
+                forms.clear()  # they hold a page
             stack.append((tag, _zone(tag, m[4], stack[-1][1])))
         heading = len(stack[-1][0]) == 2 and stack[-1][0][0] == "h" and stack[-1][0][1].isdigit()
     say(page[end:])
     close()
+    del stack[1:]
+    end_forms()
     return out
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from telesift.llm import embeddings, scoring
+from telesift.llm import embeddings, pages, scoring
 
 
 def test_attention_model_has_its_full_size():
@@ -64,3 +64,19 @@ def test_no_group_of_near_copies_closes_on_itself():
     group = graph.order // 200
     leaving = np.bincount(group[a], weights=group[a] != group[b], minlength=12)
     assert (leaving > 0).all()
+
+
+def test_region_words_do_not_lose_articles():
+    text = "plain words of a long article about a river and its stones that goes on for a while " * 3
+    told = text.strip()
+
+    def main(page):
+        return pages.main_texts([page], pages.fitted())[0]
+
+    for open_, close in (("<div class='layout has-sidebar'>", "</div>"), ("<main class='content no-sidebar'>", "</main>"), ("<div id='page-with-footer'>", "</div>"), ("<form action=x><div>", "</div></form>"), ("<form><article>", "</article></form>"), ("<div class=banner><article>", "</article></div>"), ("<article><svg/><math />", "</article>")):
+        assert main(f"{open_}<p>{text}</p>{close}") == told, open_
+    for open_, close in (("<header class='entry-header'>", "</header>"), ("<div class='article-header'>", "</div>")):
+        assert main(f"<article>{open_}<h1>Head line</h1>{close}<p>{text}</p></article>") == f"Head line {told}"
+    for open_, close in (("<div class='sidebar'>", "</div>"), ("<div id=site-footer>", "</div>"), ("<div class='comment-list'><article>", "</article></div>"), ("<aside><article>", "</article></aside>"), ("<svg><text>", "</text></svg>")):
+        assert main(f"<article><p>{text}</p></article>{open_}<p>other {text}</p>{close}") == told, open_
+    assert main(f"<article><p>{text}</p><form><p>Your name</p><input>Sign up</form></article>") == told
