@@ -876,21 +876,21 @@ def _(spark, d):
 @query("d11_fusion")
 def _(spark, d):
     table = fusion.pseudo_labels(fusion.features(scored(single(spark, d)), T3, "a", "b", chunk=CHUNK), "a", "b")
-    return fusion.boosted(table, table, fusion.FEATURES, "pseudo", trees=10, depth=4)[0].select("id", F.round("fused", 4).alias("fused"), "flag")
+    return fusion.boosted(table, table, fusion.FEATURES, "pseudo")[0].select("id", F.round("fused", 4).alias("fused"), "flag")
 
 
 @query("d12_supervised")
 def _(spark, d):
     table = R.over_frames(scored(single(spark, d)), 51, 0, lambda f: R.score_features(f, "a"), CHUNK)
     train, _ = P.chronological(table, P.cut_position(table.count(), 0.85, "share"))
-    return fusion.boosted(train, table, ["a", "score_mean", "score_std", "score_diff"], "is_anomaly", trees=10, depth=4, rate=0.05)[0].select("id", F.round("fused", 4).alias("fused"), "flag")
+    return fusion.boosted(train, table, ["a", "score_mean", "score_std", "score_diff"], "is_anomaly", trees=300, depth=4, rate=0.05)[0].select("id", F.round("fused", 4).alias("fused"), "flag")
 
 
 @query("d13_evaluator")
 def _(spark, d):
     df = scored(single(spark, d))
     _, held = P.chronological(df, P.cut_position(df.count(), 0.15))
-    best = detectors.calibrated(held.withColumn("score", F.col("a")), steps=21, shortest=1, gap=2)
+    best = detectors.calibrated(held.withColumn("score", F.col("a")), shortest=1, gap=2)
     flagged = S.with_row(held, best).withColumn("hit", (F.col("a") >= F.col("threshold")).cast("int"))
     return rounded(M.strict_eventwise(E.extract(flagged, "hit"), E.extract(held, "is_anomaly")), "precision", "recall", "f_beta")
 
