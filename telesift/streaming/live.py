@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +52,17 @@ def local_z_stream(rows: DataFrame, column: str, size: int = 50) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All rows now available of a stream, as a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All rows now available of a stream, from Parquet in the folder that spark.checkpoint.dir names; mode: append or complete."""
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="telesift-")
+    folder = f"{shared}/stream-{name}-{uuid.uuid4().hex}"
+    path = f"{folder}/rows"
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    # a stream without rows may write nothing
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    if mode == "append":
+        query = writer.format("parquet").option("path", path).start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)

@@ -28,3 +28,10 @@ def test_survey_size(spark, monkeypatch, name, module, function, want):
     with pytest.raises(Seen) as seen:
         queries.QUERIES[name](spark, SF)
     assert seen.value.args[0] == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["r1_scored_stream", "r2_flag_rate", "r3_sessions", "r4_local_z_stream"])
+def test_streams_are_files(spark, name):
+    out = queries.QUERIES[name](spark, SF)
+    assert out.inputFiles() and out.count() > 0
