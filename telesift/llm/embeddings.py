@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings: a navigable small-world graph per shard, beam search, verified cosine, components."""
+"""Near-duplicate embeddings: a navigable small-world graph per shard, audited beam search, verified cosine, components."""
 
 from __future__ import annotations
 
@@ -13,18 +13,20 @@ from telesift.llm.common import components, pick, written
 from telesift.llm.words import mix
 
 LINK = 0.95
-DEGREE = 16  # neighbours of a node, twice as many on the ground layer
-BUILD_BEAM = 48
+DEGREE = 12  # neighbours of a node, twice as many on the ground layer
+BUILD_BEAM = 40
 FIRST_BEAM = 32
-SHARDS = 8  # at least; the graphs are searched shard by shard
-SHARD_ROWS = 200_000  # at most, so that a graph fits a task
+SHARD_VALUES = 1 << 23  # components of a shard's vectors, at most; a graph is built and held by one task
 QUERY_ROWS = 20_000  # vectors that one task looks up in one shard
-WIDEST_BEAM = 256  # what needs a wider one is compared with the whole shard
+WIDEST_BEAM = 256  # a graph that needs a wider one is not relied on: its shard is compared in full
 AUDITED = 64  # queries of a block that are compared with the whole shard, at least, and the share of all
 AUDITED_SHARE = 1 / 16
-LEAST_LINKED = 20  # audited queries with few links, without which the audit shows nothing
+PROBES = 512  # points of a graph that are looked up from a place at the threshold
+PROBE_MARGIN = 0.002  # of the probes' cosine above the threshold
 FEW_LINKS = 2 * DEGREE
 NEED_RECALL = 0.99
+DOUBT = 1e-5  # cosines in single precision that are this near to the threshold are taken again in double precision
+VISITED_BYTES = 24 << 20  # marks of visited points, for all queries in step
 
 
 class Graph:
@@ -134,87 +136,181 @@ class Graph:
 
     def _search(self, asked: np.ndarray, links: np.ndarray, start: np.ndarray, beam: int, known: int) -> tuple[np.ndarray, np.ndarray]:
         out_ids, out_scores = np.full((len(asked), beam), -1, np.int32), np.full((len(asked), beam), -2.0, np.float32)
-        for lo in range(0, len(asked), 1024):
-            out_ids[lo : lo + 1024], out_scores[lo : lo + 1024] = self._beam(asked[lo : lo + 1024], links, start[lo : lo + 1024], beam, known)
+        step = max(64, min(1024, VISITED_BYTES // max(1, known)))
+        for lo in range(0, len(asked), step):
+            out_ids[lo : lo + step], out_scores[lo : lo + step] = self._beam(asked[lo : lo + step], links, start[lo : lo + step], beam, known)
         return out_ids, out_scores
 
     def _beam(self, asked: np.ndarray, links: np.ndarray, start: np.ndarray, beam: int, known: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best-first search of all queries in step: each opens the best points of its beam that are not open yet."""
-        n = len(asked)
+        """Best-first search of all queries in step: each opens the best points of its beam that are not open yet.
+
+        Marks of visited points keep a point from coming twice; the last column takes what is no point.
+        """
+        n, at_once = len(asked), min(4, beam)
         ids = np.full((n, beam), -1, dtype=np.int32)
         scores = np.full((n, beam), -2.0, dtype=np.float32)
         opened = np.zeros((n, beam), dtype=bool)
-        start = np.where(start < known, start, 0)[:, :beam]
-        ids[:, : start.shape[1]] = start
-        scores[:, : start.shape[1]] = np.einsum("ij,ikj->ik", asked, self.vectors[start])
-        ids, scores, opened = _merge(ids, scores, opened, beam)
-        at_once = 4
+        visited = np.zeros((n, known + 1), dtype=bool)
+        visited[:, known] = True
+        rows = np.arange(n)[:, None]
+        for k in range(min(start.shape[1], beam)):
+            first = np.where((start[:, k] >= 0) & (start[:, k] < known), start[:, k], 0)
+            new = ~visited[rows[:, 0], first]
+            visited[rows[:, 0], first] = True
+            ids[:, k] = np.where(new, first, -1)
+            scores[:, k] = np.where(new, np.einsum("ij,ij->i", asked, self.vectors[first]), np.float32(-2.0))
         live = np.arange(n)
-        while len(live):
+        while True:
             waiting = np.where(opened[live] | (ids[live] < 0), np.float32(-3.0), scores[live])
-            pick_ = np.argpartition(-waiting, min(at_once, beam) - 1, axis=1)[:, :at_once]
-            value = np.take_along_axis(waiting, pick_, axis=1)
+            if at_once < beam:
+                best = np.argpartition(waiting, beam - at_once, axis=1)[:, beam - at_once :]
+            else:
+                best = np.broadcast_to(np.arange(beam), waiting.shape)
+            value = np.take_along_axis(waiting, best, axis=1)
             some = value.max(axis=1) > -2.5
-            live, pick_, value = live[some], pick_[some], value[some]
+            live, best, value = live[some], best[some], value[some]
             if not len(live):
-                break
-            chosen = np.where(value > -2.5, ids[live[:, None], pick_], -1)
-            opened[live[:, None], pick_] = True
-            next_ids = np.where((chosen < 0)[:, :, None], -1, links[chosen]).reshape(len(live), -1)
-            next_ids[next_ids >= known] = -1
-            how = np.einsum("ij,ikj->ik", asked[live], self.vectors[next_ids])
-            how[next_ids < 0] = -2.0
-            both, both_how = np.concatenate([ids[live], next_ids], axis=1), np.concatenate([scores[live], how], axis=1)
-            both_open = np.concatenate([opened[live], np.zeros(next_ids.shape, bool)], axis=1)
-            ids[live], scores[live], opened[live] = _merge(both, both_how, both_open, beam)
-        return ids, scores
+                return ids, scores
+            chosen = np.where(value > -2.5, ids[live[:, None], best], -1)
+            opened[live[:, None], best] = True
+            near = np.where((chosen < 0)[:, :, None], known, links[chosen])
+            near[(near < 0) | (near >= known)] = known
+            for k in range(at_once):
+                seen = visited[live[:, None], near[:, k]]
+                visited[live[:, None], near[:, k]] = True
+                near[:, k][seen] = known
+            near = near.reshape(len(live), -1)
+            row, column = np.nonzero(near < known)
+            point = near[row, column]
+            how = np.full(near.shape, -2.0, dtype=np.float32)
+            for lo in range(0, len(row), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                how[row[part], column[part]] = np.einsum("ij,ij->i", asked[live[row[part]]], self.vectors[point[part]])
+            both, both_how = np.concatenate([ids[live], np.where(near < known, near, -1)], axis=1), np.concatenate([scores[live], how], axis=1)
+            both_open = np.concatenate([opened[live], np.zeros(near.shape, bool)], axis=1)
+            top = np.argpartition(both_how, both_how.shape[1] - beam, axis=1)[:, both_how.shape[1] - beam :]
+            ids[live], scores[live], opened[live] = (np.take_along_axis(x, top, axis=1) for x in (both, both_how, both_open))
+
+    def near(self, asked: np.ndarray, rows: np.ndarray, least: float):
+        """(rows, near) in blocks: for these rows of asked, which points have a cosine of `least` or more, in the graph's own order."""
+        for lo in range(0, len(rows), 256):
+            yield rows[lo : lo + 256], asked[rows[lo : lo + 256]] @ self.vectors.T >= least
 
     def _compare(self, asked: np.ndarray, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) of all pairs of these rows of asked, from a full comparison."""
         pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for lo in range(0, len(rows), 256):
-            q, p = np.nonzero(asked[rows[lo : lo + 256]] @ self.vectors.T >= least)
-            pairs.append((rows[lo + q], p))
+        for part, near in self.near(asked, rows, least):
+            q, p = np.nonzero(near)
+            pairs.append((part[q], self.order[p]))
         query, point = (np.concatenate(x) for x in zip(*pairs, strict=True))
         return query, point
 
-    def within(self, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) of all pairs found with a cosine of `least` or more; own: the point that a query is itself, or -1, left out.
+    def probed_beam(self, least: float) -> int:
+        """The first beam, from FIRST_BEAM on and doubled each time, that finds NEED_RECALL of the probes; more than WIDEST_BEAM if none does.
+
+        A probe is a point turned in a random direction until its cosine with the point is just above the
+        threshold: the hardest link, and one known without a comparison, however rare links are in the data.
+        """
+        n, width = self.vectors.shape
+        beam = FIRST_BEAM
+        if n < 2 or width < 2:
+            return beam
+        rng = np.random.default_rng(n)
+        chosen = np.unique(np.linspace(0, n - 1, min(n, PROBES)).astype(np.int64))
+        x = self.vectors[chosen].astype(np.float64)
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        away /= np.maximum(np.sqrt((away * away).sum(axis=1, keepdims=True)), 1e-12)
+        cosine = min(1.0, least + PROBE_MARGIN)
+        asked = (cosine * x + np.sqrt(1 - cosine * cosine) * away).astype(np.float32)
+        while beam <= WIDEST_BEAM:
+            ids, scores = self._descend(asked, 0, beam, n)
+            # a beam full of links stands for a full comparison
+            if (((ids == chosen[:, None]) & (scores >= least)).any(axis=1) | (scores.min(axis=1) >= least)).mean() >= NEED_RECALL:
+                break
+            beam *= 2
+        return beam
+
+    def search(self, asked: np.ndarray, least: float, own: np.ndarray | None = None, beam: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, full): pairs found with a cosine of `least` or more, and the queries to be compared with every point instead.
 
-        A query whose whole beam is that near may have more neighbours, so its beam is doubled until the
-        farthest one is not, and beyond WIDEST_BEAM it is compared with every point. Then a share of the queries is
-        compared with every point. Recall is taken for each query and averaged, apart for queries with few and
-        with many links; while either is under NEED_RECALL, all queries are repeated with beams of twice the width, and
-        beyond WIDEST_BEAM compared in full. So they are at once if fewer than LEAST_LINKED audited queries have few links.
+        own: the point that a query is itself, or -1, left out. The search begins with the beam that the graph's probes
+        need. A query whose whole beam is that near has more links than the beam holds: it is in full. Then a share of the
+        queries is compared with every point. Recall is taken for each query and averaged, apart for queries
+        with few and with many links; while either is under NEED_RECALL, all queries are repeated with beams of twice the
+        width, and beyond WIDEST_BEAM all are in full.
         """
         asked = asked.astype(np.float32)
-        n, beam, every = len(self.vectors), FIRST_BEAM, np.arange(len(asked))
+        n, every = len(self.vectors), np.arange(len(asked))
+        none = np.zeros(0, np.int64)
         itself = np.full(len(asked), -1) if own is None else own
+        beam = self.probed_beam(least) if beam is None else beam
 
         def others(query: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            point = self.order[point]
             keep = point != itself[query]
             return query[keep], point[keep]
 
         audited = min(len(asked), max(AUDITED, int(np.ceil(len(asked) * AUDITED_SHARE))))
-        chosen = np.unique(np.linspace(0, len(asked) - 1, audited).astype(np.int64))
+        chosen = np.unique(np.linspace(0, len(asked) - 1, audited).astype(np.int64)) if len(asked) else none
         truth = np.bincount(others(*self._compare(asked, chosen, least))[0], minlength=len(asked))[chosen]
         few, many = (truth > 0) & (truth <= FEW_LINKS), truth > FEW_LINKS
-        while beam < min(n, WIDEST_BEAM + 1) and few.sum() >= LEAST_LINKED:
-            left, width, pairs = every, beam, []
-            while len(left) and width < min(n, WIDEST_BEAM + 1):
-                ids, scores = self._descend(asked[left], 0, width, n)
-                more = scores.min(axis=1) >= least
-                q, k = np.nonzero((scores >= least) & (ids >= 0) & ~more[:, None])
-                pairs.append((left[q], ids[q, k]))
-                left, width = left[more], 2 * width
-            pairs.append(self._compare(asked, left, least))
-            query, point = others(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
-            recall = np.bincount(query, minlength=len(asked))[chosen] / np.maximum(1, truth)
+        while beam <= WIDEST_BEAM:
+            ids, scores = self._descend(asked, 0, beam, n)
+            crowded = (scores.min(axis=1) >= least) if beam < n else np.zeros(len(asked), bool)
+            q, k = np.nonzero((scores >= least) & (ids >= 0) & ~crowded[:, None])
+            query, point = others(q, self.order[ids[q, k]])
+            recall = np.where(crowded[chosen], 1.0, np.bincount(query, minlength=len(asked))[chosen] / np.maximum(1, truth))
             if all(recall[part].mean() >= NEED_RECALL for part in (few, many) if part.any()):
-                return query, point
+                return query, point, every[crowded]
             beam *= 2
-        return others(*self._compare(asked, every, least))
+        return none, none, every
+
+    def joined(self, asked: np.ndarray, full: np.ndarray, itself: np.ndarray, least: float, sure, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(src, dst, links) for the queries of asked that are in full: links counts the copies of all points near each of them,
+        but not the query itself; (src, dst) are few of these (query, point) pairs, which connect the same components.
+
+        sure(query, point) settles what single precision leaves open.
+        """
+        weight = copies[self.order].astype(np.float64)
+        back = np.argsort(self.order)
+        label = np.arange(len(weight))
+        src, dst, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(full), 256):
+            rows = full[lo : lo + 256]
+            scores = asked[rows] @ self.vectors.T
+            near = scores >= least + DOUBT
+            q, p = np.nonzero((scores >= least - DOUBT) & ~near)
+            near[q, p] = sure(rows[q], self.order[p])
+            known = itself[rows] >= 0
+            near[known, back[itself[rows[known]]]] = False
+            links.append((near @ weight).astype(np.int64))
+            for i, query in enumerate(rows.tolist()):
+                at = np.flatnonzero(near[i])
+                if itself[query] >= 0:
+                    at = np.append(at, back[itself[query]])
+                if not len(at):
+                    continue
+                labels, first = np.unique(label[at], return_index=True)
+                if itself[query] < 0 or len(labels) > 1:
+                    src.append(np.full(len(labels), query))
+                    dst.append(self.order[at[first]])
+                    if len(labels) > 1:
+                        label[np.isin(label, labels)] = labels[0]
+        return np.concatenate(src), np.concatenate(dst), np.concatenate(links)
+
+    @classmethod
+    def restored(cls, vectors: np.ndarray, order: np.ndarray, sizes: list[int], layers: list[np.ndarray]) -> Graph:
+        """The graph built before from the same vectors."""
+        graph = cls.__new__(cls)
+        graph.vectors, graph.order, graph.sizes, graph.layers = vectors.astype(np.float32)[order], order, sizes, layers
+        return graph
+
+    def within(self, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) of all pairs found with a cosine of `least` or more; own: the point that a query is itself, or -1, left out."""
+        query, point, full = self.search(asked, least, own)
+        rest = self._compare(asked.astype(np.float32), full, least)
+        keep = rest[1] != (np.full(len(asked), -1) if own is None else own)[rest[0]]
+        return np.concatenate([query, rest[0][keep]]), np.concatenate([point, rest[1][keep]])
 
 
 def _merge(ids: np.ndarray, scores: np.ndarray, opened: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,13 +339,16 @@ def _unit(values: np.ndarray) -> np.ndarray:
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
-def link_vectors(embeddings: DataFrame, least: float = LINK, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def link_vectors(embeddings: DataFrame, least: float = LINK, shards: int = 1, shard_values: int = SHARD_VALUES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row (vec_id, embedding).
 
-    Equal vectors are folded into one with a count. The others are dealt to shards by hash; each shard
-    becomes a graph, and every vector is looked up in every graph, in blocks. Pairs found are kept if
-    their cosine in double precision is `least` or more. n_links counts the other rows linked directly,
-    equal ones included. The number of shards is fixed until a shard would pass shard_rows.
+    Equal vectors are folded into one with a count. The others are dealt by hash to shards of about shard_values
+    components (`shards` at least); each shard becomes a graph, and every vector is looked up in every graph,
+    in blocks. What is found counts if the cosine in double precision is `least` or more. n_links counts the
+    other rows linked directly, equal ones included.
+
+    A vector with more links in a shard than a beam holds is compared with the whole shard, which gives a number
+    of links and the few pairs that join components: a group of n near copies leaves no n * n rows.
 
     A vector that is null or zero, has no components, or holds null or non-finite ones links with nothing,
     and vectors of different lengths don't link. Rows that repeat a vec_id count as rows of their own but are one
@@ -262,55 +361,93 @@ def link_vectors(embeddings: DataFrame, least: float = LINK, shards: int = SHARD
     rows = rows.withColumn("embedding", F.when(good, F.transform("embedding", lambda x: x + F.lit(0.0))))
     keys = (F.xxhash64("embedding").alias("key1"), F.xxhash64(F.lit(7), F.col("embedding")).alias("key2"))
     named = rows.select("vec_id", F.when(F.col("embedding").isNotNull(), keys[0]).alias("key1"), F.when(F.col("embedding").isNotNull(), keys[1]).alias("key2"))
-    folded = rows.filter("embedding is not null and vec_id is not null").groupBy(*keys).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("vector"))
-    folded = written(folded.withColumn("size", F.size("vector")))
-    pairs = _find(folded.select("id", "vector", "size"), least, shards, shard_rows)
-    both = written(pairs.union(pairs.select("dst", "src")).distinct())
-    copies = folded.select(F.col("id").alias("dst"), "copies")
-    direct = both.join(copies, "dst").groupBy("src").agg(F.sum("copies").alias("near"))
-    placed = components(both.filter("src < dst"))
-    heads = folded.join(direct, F.col("id") == F.col("src"), "left").drop("src").join(placed, "id", "left")
-    heads = heads.select("key1", "key2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = named.join(heads, ["key1", "key2"], "left")
+    folded = rows.filter("embedding is not null and vec_id is not null").groupBy(*keys).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("embedding").alias("vector"))
+    # a number of its own for each vector: two different ones may have the same smallest vec_id
+    folded = written(folded.select("key1", "key2", F.xxhash64("key1", "key2").alias("id"), "vec_id", "copies", F.size("vector").alias("size"), "vector"))
+    values = folded.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = max(shards, -(-values // shard_values))
+    found = _find(folded.select("id", "vec_id", "copies", "vector", "size"), least, shards)
+    counted = found.filter("kind = 2").select("src", "shard", "copies")
+    # a pair that one side did not find counts for both, unless that side was compared with the whole shard
+    pairs = found.filter("kind = 0")
+    pairs = pairs.select("src", "dst", "copies").union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("own").alias("copies")))
+    pairs = pairs.groupBy("src", "dst").agg(F.first("copies").alias("copies")).withColumn("shard", _shard_of("dst", shards)).join(counted.select("src", "shard"), ["src", "shard"], "left_anti")
+    direct = pairs.select("src", "copies").union(counted.select("src", "copies")).groupBy("src").agg(F.sum("copies").alias("near"))
+    heads = folded.select("key1", "key2", "id", "vec_id", "copies").join(direct, F.col("id") == F.col("src"), "left")
+    heads = heads.select("key1", "key2", F.col("vec_id").alias("head"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    linked = written(named.join(heads, ["key1", "key2"], "left").select("vec_id", "head", "n_links"))
+    joined = found.filter("kind < 2").select(F.least("src_vec", "dst_vec").alias("src"), F.greatest("src_vec", "dst_vec").alias("dst")).distinct()
+    copies = linked.filter("head is not null and vec_id is not null").select(F.col("head").alias("src"), F.col("vec_id").alias("dst")).distinct()
+    placed = components(joined.union(copies)).withColumnRenamed("id", "vec_id")
+    out = linked.join(placed, "vec_id", "left")
     known = F.col("vec_id").isNotNull()
-    out = out.select("vec_id", F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
+    out = out.select("vec_id", F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"), F.when(known, F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _find(vectors: DataFrame, least: float, shards: int, shard_rows: int) -> DataFrame:
-    """(src, dst), src < dst, of vectors (id, vector, size) that are near enough, each pair once or twice."""
-    total = vectors.count()
-    shards = max(shards, -(-total // shard_rows))
-    blocks = max(1, -(-total // QUERY_ROWS))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+FOUND = "kind int, src long, dst long, copies long, own long, src_vec long, dst_vec long, shard int"
+
+
+def _shard_of(column: str, shards: int):
+    return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
+
+
+def _find(vectors: DataFrame, least: float, shards: int) -> DataFrame:
+    """What is near enough among vectors (id, vec_id, copies, vector, size), in rows of three kinds.
+
+    0: a pair, with the copies of both; 1: two vectors of one component; 2: number of links that src has in a shard.
+    """
+    blocks = max(1, -(-vectors.count() // QUERY_ROWS))
     block = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(blocks)).cast("int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
         values = _rows(pdf["vector"])
         graph = Graph(_unit(values), pdf["id"].to_numpy())
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "size": [pdf["size"].iloc[0]], "graph": [pickle.dumps((graph, pdf["id"].to_numpy(), values))]})
+        held = (graph.order, graph.sizes, graph.layers, graph.probed_beam(least), pdf["id"].to_numpy(), pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy(), values)
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "size": [pdf["size"].iloc[0]], "graph": [pickle.dumps(held)]})
 
-    graphs = written(vectors.withColumn("shard", shard).groupBy("shard", "size").applyInPandas(build, "shard int, size int, graph binary"))
+    graphs = written(vectors.withColumn("shard", _shard_of("id", shards)).groupBy("shard", "size").applyInPandas(build, "shard int, size int, graph binary"))
 
     def look_up(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"src": [], "dst": []}).astype("int64")
         if graph.empty or asked.empty:
-            return none
-        net, ids, values = pickle.loads(graph["graph"].iloc[0])
-        own, mine = asked["id"].to_numpy(), _rows(asked["vector"])
+            return _found()
+        order, sizes, layers, beam, ids, names, copies, values = pickle.loads(graph["graph"].iloc[0])
+        shard = int(graph["shard"].iloc[0])
+        net = Graph.restored(_unit(values), order, sizes, layers)
+        asked = asked.sort_values("id", ignore_index=True)
+        own, own_names, own_copies, mine = asked["id"].to_numpy(), asked["vec_id"].to_numpy(), asked["copies"].to_numpy(), _rows(asked["vector"])
         place = pd.Index(ids).get_indexer(own)
-        query, point = net.within(_unit(mine), least - 1e-5, place)
-        keep = np.zeros(len(query), dtype=bool)
-        for lo in range(0, len(query), 4096):
-            a, b = _unit(mine[query[lo : lo + 4096]]), _unit(values[point[lo : lo + 4096]])
-            keep[lo : lo + 4096] = (a * b).sum(axis=1) >= least
-        a, b = own[query[keep]], ids[point[keep]]
-        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b)}).drop_duplicates()
-
-    asked = vectors.select("id", "vector", "size", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    copied = graphs.select("shard", "size", "graph", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        unit = _unit(mine).astype(np.float32)
+        sure = lambda q, p: _cosines(mine, values, q, p) >= least
+        query, point, full = net.search(unit, least - DOUBT, place, beam)
+        keep = sure(query, point)
+        query, point = query[keep], point[keep]
+        out = [_found(0, own[query], ids[point], copies[point], own_copies[query], own_names[query], names[point], shard)]
+        src, dst, links = net.joined(unit, full, place, least, sure, copies)
+        out.append(_found(1, own[src], ids[dst], 0, 0, own_names[src], names[dst], shard))
+        out.append(_found(2, own[full], own[full], links, 0, own_names[full], own_names[full], shard))
+        return pd.concat(out, ignore_index=True)
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = vectors.select("id", "vec_id", "copies", "vector", "size", block.alias("block"), every(shards).alias("shard"))
+    copied = graphs.select("shard", "size", "graph", every(blocks).alias("block"))
     key = ("shard", "size", "block")
-    return copied.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(look_up, "src long, dst long")
+    return written(copied.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(look_up, FOUND))
+
+
+def _found(kind: int = 0, src=(), dst=(), copies=0, own=0, src_vec=(), dst_vec=(), shard: int = 0) -> pd.DataFrame:
+    rows = pd.DataFrame({"src": np.asarray(src, np.int64), "dst": np.asarray(dst, np.int64), "src_vec": np.asarray(src_vec, np.int64), "dst_vec": np.asarray(dst_vec, np.int64)})
+    rows["kind"], rows["shard"], rows["copies"], rows["own"] = np.int32(kind), np.int32(shard), copies, own
+    return rows[["kind", "src", "dst", "copies", "own", "src_vec", "dst_vec", "shard"]].astype({"kind": "int32", "copies": "int64", "own": "int64", "shard": "int32"})
+
+
+def _cosines(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows a of one and b of two, in double precision."""
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), 4096):
+        out[lo : lo + 4096] = (_unit(one[a[lo : lo + 4096]]) * _unit(two[b[lo : lo + 4096]])).sum(axis=1)
+    return out
 
 
 def embedding_digest(embeddings: DataFrame) -> DataFrame:
