@@ -11,14 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; an own one only where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir; one of its own only where that is unset and all runs in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="telesift-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -29,9 +34,32 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that `written` has made so far and say how many; only when no result that rests on them is needed any more."""
+    conf, count = spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return count
+
+
+def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns named c0, c1, ... in this order: for functions over batches, which do not take every name."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns with the wanted types, whatever else the table holds."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])

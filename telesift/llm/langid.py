@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telesift.llm.common import written
+from telesift.llm.common import numbered, spare, written
 from telesift.llm.words import text_bytes
 
 ORDER = 4  # bytes of context at most
 SAMPLE = 400  # documents a language that a model is fitted on, at most
 MOST_NODES = 20_000  # contexts in the tree for up to four languages, fewer in proportion for more
-MOST_LANGS = 64
 LEAST_COUNT = 4  # a context occurs so often in the sample at least
 UNKNOWN = "und"
 EVIDENCE = 64.0  # the score counts as much evidence as so many bytes hold, at most
@@ -71,7 +70,7 @@ def labelled_sample(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     rows = docs.filter("lang is not null and text is not null")
     counts = written(rows.groupBy("lang").agg(F.count("*").alias("rows")))
     share = (F.lit(2.0 * most) / F.col("rows") * SHARE_STEPS).cast("long") + 1
-    chosen = rows.join(F.broadcast(counts.orderBy(F.col("rows").desc(), "lang").limit(MOST_LANGS)), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE_STEPS)) < share)
+    chosen = rows.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE_STEPS)) < share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id", F.xxhash64("text"))
     return chosen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).select("lang", F.lower("text").alias("text"))
 
@@ -158,14 +157,15 @@ def identify(docs: DataFrame, training: DataFrame, most: int = SAMPLE) -> DataFr
     null or has no letter or nothing was learned. score is the posterior of lang_pred under equal priors,
     the evidence taken as that of EVIDENCE bytes at most (longer texts would all score 1), 0 for UNKNOWN. Other
     columns stay (lang_pred and score are replaced); an empty table gives no rows. Letter case is
-    not regarded. At most MOST_LANGS languages are learned.
+    not regarded.
     """
     model = fit(training, most)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # at most MOST_NODES contexts
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest])
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    keyed = rows.withColumn("_lower", F.when(lettered, F.lower("text")))
+    lower = spare(rows, "lower")
+    keyed = numbered(rows.withColumn(lower, F.when(lettered, F.lower("text"))), [*rest, lower])
 
     def score(batches):
         model = pickle.loads(shared.value)
@@ -210,7 +210,7 @@ def _in_pieces(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))  # a null doc_id is not held out
     rows = docs.select("doc_id", "text")
     learned = docs.filter(~held).select("doc_id", "lang", "text")
     return identify(rows, learned).select("doc_id", held.alias("held_out"), "lang_pred", "score")

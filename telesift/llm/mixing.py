@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from telesift.llm.common import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
-MOST_STEPS = 60
 
 
 def word_count(text):
@@ -43,19 +42,20 @@ def tilts(cells: DataFrame, targets: DataFrame, most: float, tolerance: float =
     Among all rates between 0 and `most` these are the nearest, in relative entropy, to one half of `most`
     each (one copy each for most = 2) whose token total is the target. The dual is convex with one
     unknown a source; Newton steps from 0 come near the solution from one side only, so they need no
-    line search. Each step is one aggregation of the (source, size) counts. A target at the limit or at
+    line search and no limit. Each step is one aggregation of the (source, size) counts. A target at the limit or at
     0 has its solution at infinity and gets none.
     """
     scale = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("unit"))
     goals = targets.join(scale, targets["source"].eqNullSafe(scale["source"])).select(targets["source"], "source_size", "target", "unit", F.lit(0.0).alias("tilt"))
     goals = written(goals.filter((F.col("target") < most * F.col("source_size") * (1 - 1e-12)) & (F.col("target") > 0)))
-    for _ in range(MOST_STEPS):
+    while True:
         part = F.lit(1.0) / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("unit")))
         mass = most * F.col("size") * F.col("n")
         at = cells.withColumnRenamed("source", "s").join(goals, F.col("s").eqNullSafe(F.col("source")))
         sums = at.groupBy("source").agg(F.sum(mass * part).alias("reached"), F.sum(mass * part * (1 - part) * F.col("size") / F.col("unit")).alias("slope"), F.first("unit").alias("unit"), F.first("tilt").alias("tilt"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
         gap = F.col("target") - F.col("reached")
-        step = F.when(F.abs(gap) > tolerance * F.col("target"), F.try_divide(gap, F.col("slope")))
+        step = F.try_divide(gap, F.col("slope"))
+        step = F.when((F.abs(gap) > tolerance * F.col("target")) & (F.abs(step) > 1e-14 * F.abs(F.col("tilt"))), step)
         goals = written(sums.withColumn("moved", step.isNotNull()).withColumn("tilt", F.col("tilt") + F.coalesce(step, F.lit(0.0))).select("source", "source_size", "target", "unit", "tilt", "moved"))
         if not goals.filter("moved").head(1):
             break
@@ -74,16 +74,19 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tup
 
     docs needs doc_id, text and source; other columns stay (size, source_size, target and copies are
     replaced). Null or empty text has size 0 and gets one copy; null is a source of its own, the last;
-    repeated rows are documents of their own; order is by (size, doc_id), so reruns agree. An empty
+    repeated rows are documents of their own; order is by size, doc_id and text, so reruns agree. An empty
     table gives no rows.
     """
     own = {"size", "source_size", "target", "copies"}
-    rows = docs.select(*[c for c in docs.columns if c not in own]).withColumn("size", word_count(F.col("text")))
-    return place_copies(rows, written(rows.select("doc_id", "source", "size")), share, most, weights, group)
+    # the columns of docs travel as one, so that no name of theirs meets one of the work below
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), whole.alias("whole"))
+    placed = place_copies(rows, written(rows.select("doc_id", "source", "size", "tie")), share, most, weights, group)
+    return placed.select("whole.*", "size", "source_size", "target", "copies")
 
 
 def place_copies(rows: DataFrame, sized: DataFrame, share: float, most: int, weights: tuple, group: int) -> DataFrame:
-    """rows with copies; sized has the same rows, but only doc_id, source and size."""
+    """rows (doc_id, source, size, tie) with copies; sized has the same rows, but only these columns."""
     zero, unit = F.lit(0).cast("decimal(38,0)"), F.lit(float(1 << 40))
     size_class = F.floor(8 * F.log2(F.col("size") + F.lit(1.0)))
     sizes = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -109,7 +112,7 @@ def place_copies(rows: DataFrame, sized: DataFrame, share: float, most: int, wei
     starts = before(sums.groupBy("source", "class").agg(F.sum("sum").alias("sum")), "class").select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("before").alias("begin"))
     starts = before(sums, "class", "_bucket").join(starts, F.col("s").eqNullSafe(F.col("source")) & (F.col("c") == F.col("class")))
     starts = written(starts.select("s", "c", F.col("_bucket").alias("b"), (F.col("begin") + F.col("before")).cast("decimal(38,0)").alias("begin")))
-    ordered = Window.partitionBy("source", "class", "_bucket").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = Window.partitionBy("source", "class", "_bucket").orderBy("size", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rated(rows).withColumn("_end", F.sum("_rate").over(ordered))
     placed = placed.join(starts, F.col("s").eqNullSafe(F.col("source")) & (F.col("c") == F.col("class")) & (F.col("b") == F.col("_bucket")))
     # half a copy ahead: the first document is rounded like any other
@@ -120,6 +123,6 @@ def place_copies(rows: DataFrame, sized: DataFrame, share: float, most: int, wei
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
     mixed = place_copies(sized, sized, 1.5, 2, WEIGHTS, 256)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -7,9 +7,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from telesift.llm.common import pick, written
-from telesift.llm.words import CHUNK, _powers, grams, inside, mix, words_of
+from telesift.llm.common import numbered, pick, spare, written
+from telesift.llm.words import BASE, CHUNK, OTHER, _powers, grams, inside, mix, other_hashes, words_of
 
 WINDOW = 50
 ANCHOR = 16  # words in an anchor
@@ -17,12 +18,12 @@ LONGEST = 128  # windows in a run
 SHARD_WORDS = 100_000
 MOST_CONTEXTS = 1_000
 TEXTS_AT_ONCE = 256
-RUN = "doc_id long, anchor long, passage long, start int, windows int"
+RUN = "doc_id long, key long, anchor long, passage long, other long, start int, windows int"
 
 
-def span_prints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_prints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """Fingerprints of word spans, equal for equal words wherever they stand."""
-    up, down = _powers(CHUNK) if len(hashes) <= CHUNK else _powers.__wrapped__(len(hashes))
+    up, down = _powers(CHUNK, base) if len(hashes) <= CHUNK else _powers.__wrapped__(len(hashes), base)
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
@@ -126,60 +127,69 @@ class Automaton:
 
 
 def _shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """One shard: all its passages as references, in the order of their documents, then each one streamed."""
-    pdf = pdf.sort_values(["owner", "passage"], ignore_index=True)
-    sequences = [np.frombuffer(raw, dtype=np.uint64).tolist() for raw in pdf["words"]]
+    """One shard: all its passages as references, in the order of their documents, then each one streamed.
+
+    The automaton works on the words themselves, numbered as they come; fingerprints only brought them here.
+    """
+    pdf = pdf.sort_values(["owner", "passage", "other"], ignore_index=True)
+    number: dict[bytes, int] = {}
+    sequences = [[number.setdefault(w, len(number)) for w in raw.split()] for raw in pdf["words"]]
     automaton = Automaton()
     for symbols, owner in zip(sequences, pdf["owner"].tolist(), strict=True):
         automaton.add(symbols, owner)
     out = []
-    for symbols, anchor, passage in zip(sequences, pdf["anchor"].tolist(), pdf["passage"].tolist(), strict=True):
+    for symbols, anchor, passage, other in zip(sequences, pdf["anchor"].tolist(), pdf["passage"].tolist(), pdf["other"].tolist(), strict=True):
         owners = automaton.first_owners(symbols, window)
         begin = 0
         for k in range(1, len(owners) + 1):
             if k == len(owners) or owners[k] != owners[begin]:
-                out.append((anchor, passage, begin, k, owners[begin]))
+                out.append((anchor, passage, other, begin, k, owners[begin]))
                 begin = k
-    return pd.DataFrame(out, columns=["anchor", "passage", "lo", "hi", "first_doc"])
+    return pd.DataFrame(out, columns=["anchor", "passage", "other", "lo", "hi", "first_doc"])
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, end): word spans of docs (doc_id, text) that consist of windows found in a smaller doc_id.
+    """(doc_id, key, start, end): word spans of docs (doc_id, text) that consist of windows found in a smaller doc_id.
+
+    key is a hash of the text, which tells apart the texts of a repeated doc_id.
 
     Windows are dealt by their anchor, so that equal windows meet, in runs (about 20 windows that share
     an anchor travel as one passage). Anchors of a single document go. Passages that occur as they are
-    in several documents are folded into one that knows its smallest doc_id. Where different passages
-    share an anchor, those of about SHARD_WORDS words form a reference shard, whose suffix automaton
-    tells for every window of every passage the smallest document that has it. An anchor with more than
+    in several documents, by two independent 64-bit fingerprints, are folded into one that knows its smallest
+    doc_id. Where different passages share an anchor, those of about SHARD_WORDS words form a reference shard, whose
+    suffix automaton over the words tells for every window of every passage the smallest document that has it. An anchor with more than
     MOST_CONTEXTS passages (a common sentence in ever new surroundings) would make a shard without bound:
-    its windows are looked up one by one, by fingerprint, to the same result.
+    its windows are looked up one by one, by both fingerprints, to the same result.
     """
-    texts = pick(docs, {"doc_id": "long", "text": "string"}).filter("doc_id is not null")
+    texts = pick(docs, {"doc_id": "long", "text": "string"}).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
 
     def cut(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(lo, TEXTS_AT_ONCE)
-                words = words_of(part.column(1))
+                words = words_of(part.column(2))
                 anchor, passage, start, count = runs_of(words.hashes, words.first, window)
                 text = np.searchsorted(words.first, start, side="right") - 1
                 ids = part.column(0).to_numpy()[text]
-                columns = [pa.array(ids, pa.int64()), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), pa.array(start - words.first[text], pa.int32()), pa.array(count, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "anchor", "passage", "start", "windows"])
+                keys = part.column(1).to_numpy()[text]
+                other = span_prints(other_hashes(words), start, start + count + window - 1, OTHER)
+                columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(x.view(np.int64)) for x in (anchor, passage, other)), pa.array(start - words.first[text], pa.int32()), pa.array(count, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "anchor", "passage", "other", "start", "windows"])
 
     runs = written(texts.mapInArrow(cut, RUN))
     shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     runs = written(runs.join(shared, "anchor", "left_semi"))
-    passages = runs.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "start", "windows")).alias("x"))
-    passages = written(passages.select("anchor", "passage", F.col("x.doc_id").alias("owner"), "x.start", "x.windows"))
+    same = ("anchor", "passage", "other")
+    passages = runs.groupBy(*same).agg(F.min(F.struct("doc_id", "key", "start", "windows")).alias("x"))
+    passages = written(passages.select(*same, F.col("x.doc_id").alias("owner"), "x.key", "x.start", "x.windows"))
     contexts = passages.groupBy("anchor").agg(F.count("*").alias("contexts"))
     passages = written(passages.join(contexts, "anchor"))
-    alone = passages.filter("contexts = 1").select("anchor", "passage", F.lit(0).alias("lo"), F.col("windows").alias("hi"), F.col("owner").alias("first_doc"))
+    alone = passages.filter("contexts = 1").select(*same, F.lit(0).alias("lo"), F.col("windows").alias("hi"), F.col("owner").alias("first_doc"))
     several = passages.filter("contexts > 1")
     words = several.filter(F.col("contexts") <= MOST_CONTEXTS).agg(F.sum(F.col("windows") + window - 1)).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     several = several.withColumn("shard", F.when(F.col("contexts") <= MOST_CONTEXTS, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(-1).cast("int"))
-    wanted = several.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "passage", "start", "windows", "shard")).alias("passages"))
+    wanted = several.groupBy(F.col("owner").alias("doc_id"), "key").agg(F.collect_list(F.struct(*same, "start", "windows", "shard")).alias("passages"))
 
     def fetch(batches):
         """The words of the wanted passages; a window each for those of crowded anchors (shard -1)."""
@@ -190,30 +200,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 asked = part.column(2)
                 each = asked.flatten()
                 text = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))
-                anchor, passage, start, count, shard = (each.field(k).to_numpy() for k in range(5))
+                anchor, passage, other, start, count, shard = (each.field(k).to_numpy() for k in range(6))
                 begin = start + words.first[text]
                 owner = part.column(0).to_numpy()[text]
                 full = np.flatnonzero(shard >= 0)
-                raw = [words.hashes[begin[i] : begin[i] + count[i] + window - 1].tobytes() for i in full]
+                raw = [words.data[words.starts[begin[i]] : words.ends[begin[i] + count[i] + window - 2]].tobytes() for i in full]
                 crowd = np.repeat(np.flatnonzero(shard < 0), count[shard < 0])
                 place = np.arange(len(crowd)) - np.repeat(np.cumsum(count[shard < 0]) - count[shard < 0], count[shard < 0])
                 at = begin[crowd] + place
                 prints = span_prints(words.hashes, at, at + window).view(np.int64)
+                seconds = span_prints(other_hashes(words), at, at + window, OTHER).view(np.int64) if len(at) else prints
                 rows = np.concatenate([full, crowd])
-                columns = [pa.array(anchor[rows]), pa.array(passage[rows]), pa.array(owner[rows]), pa.array(shard[rows], pa.int32()), pa.array(raw + [None] * len(crowd), pa.binary())]
-                columns += [pa.array(np.concatenate([np.zeros(len(full), np.int32), place.astype(np.int32)])), pa.array(np.concatenate([np.zeros(len(full), np.int64), prints]))]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "passage", "owner", "shard", "words", "place", "print"])
-
-    found = texts.dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("doc_id", "text", "passages")
-    found = written(found.mapInArrow(fetch, "anchor long, passage long, owner long, shard int, words binary, place int, print long"))
-    segments = "anchor long, passage long, lo int, hi int, first_doc long"
-    matched = found.filter("shard >= 0").select("anchor", "passage", "owner", "shard", "words").groupBy("shard").applyInPandas(lambda pdf: _shard(pdf, window), segments)
+                columns = [pa.array(anchor[rows]), pa.array(passage[rows]), pa.array(other[rows]), pa.array(owner[rows]), pa.array(shard[rows], pa.int32()), pa.array(raw + [None] * len(crowd), pa.binary())]
+                nil = np.zeros(len(full), np.int64)
+                columns += [pa.array(np.concatenate([nil.astype(np.int32), place.astype(np.int32)])), *(pa.array(np.concatenate([nil, x])) for x in (prints, seconds))]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "passage", "other", "owner", "shard", "words", "place", "print", "second"])
+
+    found = texts.dropDuplicates(["doc_id", "key"]).join(wanted, ["doc_id", "key"]).select("doc_id", "text", "passages")
+    found = written(found.mapInArrow(fetch, "anchor long, passage long, other long, owner long, shard int, words binary, place int, print long, second long"))
+    segments = "anchor long, passage long, other long, lo int, hi int, first_doc long"
+    matched = found.filter("shard >= 0").select(*same, "owner", "shard", "words").groupBy("shard").applyInPandas(lambda pdf: _shard(pdf, window), segments)
     single = found.filter("shard < 0")
-    firsts = single.groupBy("print").agg(F.min("owner").alias("first_doc"))
-    single = single.join(firsts, "print").select("anchor", "passage", F.col("place").alias("lo"), (F.col("place") + 1).alias("hi"), "first_doc")
+    firsts = single.groupBy("print", "second").agg(F.min("owner").alias("first_doc"))
+    single = single.join(firsts, ["print", "second"]).select(*same, F.col("place").alias("lo"), (F.col("place") + 1).alias("hi"), "first_doc")
     known = alone.union(matched).union(single)
-    spans = runs.join(known, ["anchor", "passage"]).filter(F.col("first_doc") < F.col("doc_id"))
-    return spans.select("doc_id", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + window - 1).alias("end"))
+    spans = runs.join(known, [*same]).filter(F.col("first_doc") < F.col("doc_id"))
+    return spans.select("doc_id", "key", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + window - 1).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -221,12 +233,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     kept_text is what is left, joined by one space. docs needs doc_id and text; other columns stay (n_words, n_removed and
     kept_text are replaced). Null text has no words and gives an empty kept_text, like an empty one.
-    Rows that repeat a doc_id are taken for the same document; a null doc_id is not compared. An empty
-    table gives no rows.
+    Rows that repeat a doc_id are documents of that number each, whatever their texts, so they take nothing from one
+    another; a null doc_id is not compared. An empty table gives no rows.
     """
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    spans = repeated_spans(docs, window).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest]).join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    doc, key, cuts = (spare(docs, name) for name in ("_doc", "_key", "_spans"))
+    spans = repeated_spans(docs, window).groupBy(F.col("doc_id").alias(doc), F.col("key").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest])
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())))])
+    rows = rows.join(spans, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
+    rows = numbered(rows, [*rest, cuts])
     at = rest.index("text")
 
     def remove(batches):
@@ -249,7 +265,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [batch.column(i) for i in range(len(rest))] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*rest, "n_words", "n_removed", "kept_text"])
 
-    schema = rows.drop("_spans").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return rows.mapInArrow(remove, schema)
 
 

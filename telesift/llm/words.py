@@ -18,6 +18,7 @@ PLAIN = np.arange(256, dtype=np.uint8)
 LOWER = PLAIN.copy()
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
+OTHER = 0xC2B2AE3D27D4EB4F  # of fingerprints that do not depend on the first ones
 CHUNK = 1 << 19
 
 
@@ -32,14 +33,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+def _byte_values(base: int = BASE) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(base - BASE & 0xFFFFFFFFFFFFFFFF))
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE, -1, 1 << 64)
-    up, down = np.full(n, BASE, dtype=np.uint64), np.full(n, inverse, dtype=np.uint64)
+def _powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    inverse = pow(base, -1, 1 << 64)
+    up, down = np.full(n, base, dtype=np.uint64), np.full(n, inverse, dtype=np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
@@ -80,16 +81,21 @@ def words_of(column: pa.Array, fold: bool = False) -> Words:
     return Words(data, np.searchsorted(starts, at), starts, ends, _hashes(data, starts, ends, LOWER if fold else PLAIN))
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, change: np.ndarray) -> np.ndarray:
+def other_hashes(words: Words) -> np.ndarray:
+    """A second fingerprint of every word as it stands."""
+    return _hashes(words.data, words.starts, words.ends, PLAIN, OTHER)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, change: np.ndarray, base: int = BASE) -> np.ndarray:
     """Polynomial fingerprints from prefix sums, some thousand words at a time."""
-    values = _byte_values()[change]
+    values = _byte_values(base)[change]
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, side="right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
         n = CHUNK if hi - lo <= CHUNK else hi - lo
-        up, down = _powers(CHUNK) if n == CHUNK else _powers.__wrapped__(n)
+        up, down = _powers(CHUNK, base) if n == CHUNK else _powers.__wrapped__(n, base)
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum(values[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         a, b = starts[i:j] - lo, ends[i:j] - lo

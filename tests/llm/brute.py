@@ -65,3 +65,36 @@ def base_scores(rows):
     n, v = sum(count.values()), len(count)
     of = lambda w: math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1)))
     return {d: (len(words(t)) + 1, sum(count[w] > 0 for w in [*words(t, fold=True), "end"]), n, sum(of(w) for w in [*words(t, fold=True), "end"])) for d, t in rows}
+
+
+def ppm_bits(texts, text, order, least):
+    """Code length of a text for each language: longest context that occurs `least` times in all texts together, method C with exclusion."""
+    counts = {}  # context -> lang -> Counter of following bytes
+    for lang, mine in texts.items():
+        for t in mine:
+            raw = t.encode()
+            for i, b in enumerate(raw):
+                for d in range(min(order, i) + 1):
+                    counts.setdefault(raw[i - d : i], {}).setdefault(lang, Counter())[b] += 1
+    seen = sorted({b for mine in texts.values() for t in mine for b in t.encode()})
+    known = lambda c: c == b"" or sum(sum(x.values()) for x in counts.get(c, {}).values()) >= least
+
+    def prob(lang, context):
+        below = prob(lang, context[1:]) if context else dict.fromkeys([None, *seen], 1 / (len(seen) + 1))
+        n = counts.get(context, {}).get(lang, Counter())
+        total, kinds = sum(n.values()), len(n)
+        if not total:
+            return below
+        rest = max(1 - sum(below[b] for b in n), 1e-12)
+        return {b: n[b] / (total + kinds) if b in n else kinds / (total + kinds) * p / rest for b, p in below.items()}
+
+    out = dict.fromkeys(texts, 0.0)
+    raw = text.encode()
+    for i, b in enumerate(raw):
+        d = 0
+        while d < min(order, i) and known(raw[i - d - 1 : i]):
+            d += 1
+        for lang in texts:
+            p = prob(lang, raw[i - d : i])
+            out[lang] -= math.log2(max(p[b if b in p else None], 1e-12))
+    return out
