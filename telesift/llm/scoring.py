@@ -9,7 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telesift.llm.common import pick, written
@@ -20,19 +20,27 @@ SINGLE, SHARED = 95, 31  # classes of one token each; classes that tokens share
 START, END = 126, 127  # classes of their own
 CLASSES = 128
 WIDTH = 16  # of the model
+PAIRS = 1 << 15  # rows of the table that two consecutive inputs share by hash
 CONTEXT, STRIDE = 32, 16  # a window's positions; those of them that it scores
-SHARD_BYTES = 4 << 20
-ROUNDS = 3
-CHUNK_BYTES = 12 << 20
+SHARD_BYTES = 16 << 20
+ROUNDS = 3  # the training documents are dealt to them: each is learned from once
+RATE, TABLE_RATE = 0.03, 0.15  # of Adam for the small weights, of Adagrad for the tables by id and pair
+PARTIAL_SUMS = 32  # of weights that the driver adds up
+CHUNK_BYTES = 8 << 20
 BLOCKS_AT_ONCE = 128  # their arrays stay in the cache
-COUNT_WEIGHT = 0.5  # of the word counts in the mixture
 
 
 class Vocabulary(NamedTuple):
-    """The class of every subword id and the log10 share of an id in its class."""
+    """The class of every subword id, the log10 share of an id in its class, and its row in the tables by id.
+
+    Rows are ordered by class; members[c]:members[c + 1] are those of class c. Ids that the training documents do not
+    have share the last row, at the end of the last class, and their probability by `share`.
+    """
 
     kind: np.ndarray
     share: np.ndarray
+    row: np.ndarray
+    members: np.ndarray
 
 
 @cache
@@ -76,21 +84,36 @@ class Spelling:
         return self.ids[np.repeat(self.begin[word], count) + place], count
 
 
-def first_weights(counts: np.ndarray) -> dict[str, np.ndarray]:
+def first_weights(counts: np.ndarray, vocabulary: Vocabulary | None = None) -> dict[str, np.ndarray]:
+    """Weights before training. With a vocabulary, inputs are its rows (not classes), pairs of inputs have a table, and ids
+    of a class are told apart by `tell`; without, this is a model of classes alone."""
     rng = np.random.default_rng(20)
-    shapes = {"embed": (CLASSES, WIDTH), "place": (CONTEXT, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "last": (WIDTH, WIDTH), "inner": (WIDTH, 2 * WIDTH), "outer": (2 * WIDTH, WIDTH), "read": (WIDTH, CLASSES)}
+    n_input = CLASSES if vocabulary is None else int(vocabulary.members[-1]) + 1
+    shapes = {"embed": (n_input, WIDTH), "place": (CONTEXT, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "mix": (WIDTH, WIDTH), "last": (WIDTH, WIDTH), "inner": (WIDTH, 2 * WIDTH), "outer": (2 * WIDTH, WIDTH), "read": (WIDTH, CLASSES)}
     weights = {k: (rng.normal(size=s) / np.sqrt(WIDTH)).astype(np.float32) for k, s in shapes.items()}
+    if vocabulary is not None:
+        # small at first: a rare id begins as its class
+        weights["embed"] *= np.float32(0.5)
+        weights["pair"] = np.zeros((PAIRS, WIDTH), np.float32)
+        weights["tell"] = np.zeros((n_input - 1, WIDTH), np.float32)
+        first = np.full(n_input - 1, -3.0, np.float32)
+        first[vocabulary.row] = vocabulary.share * np.log(10)
+        unseen = np.bincount(vocabulary.row, minlength=n_input - 1) > 1
+        first[unseen] += np.log(np.bincount(vocabulary.row, minlength=n_input - 1)[unseen])
+        weights["tell_bias"] = first
     weights["inner_bias"] = np.zeros(2 * WIDTH, np.float32)
     weights["bias"] = np.log((counts + 1) / (counts + 1).sum()).astype(np.float32)
     return weights
 
 
-def blocks_of(classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def blocks_of(classes: np.ndarray, at: np.ndarray, rows: np.ndarray | None = None, start: int = START) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, keep, targets, place): overlapping windows of CONTEXT inputs that score their last STRIDE targets.
 
     Text i is classes[at[i]:at[i + 1]]; the input for a target is what stands before it, START at first. keep is
-    1 for inputs inside the text, place the target's position in classes, -1 for padding.
+    1 for inputs inside the text, place the target's position in classes, -1 for padding. rows, if given, are the inputs
+    in place of the classes, and start is what stands before a text.
     """
+    rows = classes if rows is None else rows
     size = np.diff(at)
     n = -(-size // STRIDE)
     text = np.repeat(np.arange(len(size)), n)
@@ -98,8 +121,8 @@ def blocks_of(classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     position = first[:, None] + np.arange(STRIDE - CONTEXT, STRIDE)[None, :]
     inside = (position >= 0) & (position < size[text][:, None])
     source = at[:-1][text][:, None] + position
-    before = np.where(position > 0, classes[np.clip(source - 1, 0, max(0, len(classes) - 1))], START)
-    inputs = np.where(inside, before, START)
+    before = np.where(position > 0, rows[np.clip(source - 1, 0, max(0, len(classes) - 1))], start)
+    inputs = np.where(inside, before, start)
     place = np.where(inside, source, -1)[:, -STRIDE:]
     return inputs, inside, classes[np.maximum(place, 0)], place
 
@@ -117,10 +140,19 @@ def _bounded(x: np.ndarray) -> np.ndarray:
     return np.minimum(x, 60, out=x) if x.max(initial=0) > 60 else x
 
 
+def pairs_of(inputs: np.ndarray) -> np.ndarray:
+    """The row of the pair table for each input and the one before it (itself, for the first)."""
+    before = np.concatenate([inputs[:, :1], inputs[:, :-1]], axis=1)
+    mixed = (before.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (inputs.astype(np.uint32) * np.uint32(0x85EBCA77))
+    return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE3D) >> np.uint32(17)).astype(np.int64) % PAIRS
+
+
 def forward(w: dict, inputs: np.ndarray, inside: np.ndarray) -> dict:
     """All steps of the model for a batch of windows: masked attention of the last STRIDE positions to all before."""
     x = w["embed"].take(inputs, axis=0)
     x += w["place"]
+    if "pair" in w:
+        x += w["pair"].take(pairs_of(inputs), axis=0)
     own = np.ascontiguousarray(x[:, -STRIDE:])
     q, k, v = _times(own, w["query"] * np.float32(1 / np.sqrt(WIDTH))), _times(x, w["key"]), _times(x, w["value"])
     attention = q @ k.transpose(0, 2, 1)
@@ -141,63 +173,138 @@ def forward(w: dict, inputs: np.ndarray, inside: np.ndarray) -> dict:
     return {"x": x, "own": own, "q": q, "k": k, "v": v, "attention": attention, "seen": seen, "h": h, "m": m, "g": g, "logits": logits}
 
 
-def gradients(w: dict, inputs: np.ndarray, inside: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> dict:
+def told_apart(w: dict, g: np.ndarray, rows: np.ndarray, classes: np.ndarray, members: np.ndarray, weight: np.ndarray | None = None):
+    """(log probability of each row among those of its class, gradients of the weighted loss or None) for states g.
+
+    Positions are taken class by class, so that each class is one product.
+    """
+    out = np.zeros(len(rows), g.dtype)
+    size = np.diff(members)[classes]
+    todo = np.flatnonzero(size > 1)
+    todo = todo[np.argsort(classes[todo], kind="stable")]
+    edge = np.searchsorted(classes[todo], np.arange(CLASSES + 1))
+    grad = None if weight is None else (np.zeros_like(g), np.zeros_like(w["tell"]), np.zeros_like(w["tell_bias"]))
+    for c in np.flatnonzero(np.diff(edge)):
+        at, lo, hi = todo[edge[c] : edge[c + 1]], members[c], members[c + 1]
+        mine, place = g[at], (np.arange(edge[c + 1] - edge[c]), rows[at] - lo)
+        logits = _bounded(mine @ w["tell"][lo:hi].T + w["tell_bias"][lo:hi])
+        chosen = logits[place]
+        np.exp(logits, out=logits)
+        total = logits.sum(axis=1)
+        out[at] = chosen - np.log(total)
+        if grad:
+            logits /= total[:, None]
+            logits[place] -= 1
+            logits *= weight[at][:, None]
+            grad[0][at] = logits @ w["tell"][lo:hi]
+            grad[1][lo:hi], grad[2][lo:hi] = logits.T @ mine, logits.sum(axis=0)
+    return out, grad
+
+
+def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows, sums of the values of each)."""
+    order = np.argsort(rows, kind="stable")
+    sorted_rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+    return sorted_rows[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def gradients(w: dict, inputs: np.ndarray, inside: np.ndarray, targets: np.ndarray, valid: np.ndarray, rows: np.ndarray | None = None, members: np.ndarray | None = None) -> dict:
+    """Gradients of the mean loss; those of tables by id or pair as (rows, values). rows: the target ids' rows, if ids are told apart."""
     s = forward(w, inputs, inside)
     p = np.exp(s["logits"])
     p /= p.sum(axis=2, keepdims=True)
     np.put_along_axis(p, targets[:, :, None], np.take_along_axis(p, targets[:, :, None], 2) - 1, 2)
-    p *= (valid / np.float32(max(1, valid.sum())))[:, :, None]
+    share = (valid / np.float32(max(1, valid.sum()))).astype(p.dtype)
+    p *= share[:, :, None]
     flat = lambda a: a.reshape(-1, a.shape[-1])
     out = {"bias": flat(p).sum(axis=0), "read": flat(s["g"]).T @ flat(p)}
-    dg = p @ w["read"].T
-    dm = (dg @ w["outer"].T) * (s["m"] > 0)
+    dg = (flat(p) @ w["read"].T).reshape(s["g"].shape)
+    if rows is not None:
+        ok = np.flatnonzero(share.ravel())
+        _, (more, out["tell"], out["tell_bias"]) = told_apart(w, flat(s["g"])[ok], rows.ravel()[ok], targets.ravel()[ok], members, share.ravel()[ok])
+        flat(dg)[ok] += more
+    dm = _times(dg, w["outer"].T) * (s["m"] > 0)
     out |= {"outer": flat(s["m"]).T @ flat(dg), "inner": flat(s["h"]).T @ flat(dm), "inner_bias": flat(dm).sum(axis=0)}
-    dh = dg + dm @ w["inner"].T
+    dh = dg + _times(dm, w["inner"].T)
     out |= {"mix": flat(s["seen"]).T @ flat(dh), "last": flat(s["own"]).T @ flat(dh)}
-    dseen = dh @ w["mix"].T
+    dseen = _times(dh, w["mix"].T)
     dv = s["attention"].transpose(0, 2, 1) @ dseen
     da = dseen @ s["v"].transpose(0, 2, 1)
     ds = s["attention"] * (da - (da * s["attention"]).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
     dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ (s["q"] * np.float32(np.sqrt(WIDTH)))
     out |= {"query": flat(s["own"]).T @ flat(dq), "key": flat(s["x"]).T @ flat(dk), "value": flat(s["x"]).T @ flat(dv)}
-    dx = dk @ w["key"].T + dv @ w["value"].T
-    dx[:, -STRIDE:] += dq @ w["query"].T + dh @ w["last"].T
+    dx = _times(dk, w["key"].T) + _times(dv, w["value"].T)
+    dx[:, -STRIDE:] += _times(dq, w["query"].T) + _times(dh, w["last"].T)
     out["place"] = dx.sum(axis=0)
-    out["embed"] = np.zeros_like(w["embed"])
-    np.add.at(out["embed"], inputs.ravel(), flat(dx))
+    if "pair" in w:
+        out["embed"], out["pair"] = _scatter(inputs.ravel(), flat(dx)), _scatter(pairs_of(inputs).ravel(), flat(dx))
+    else:
+        out["embed"] = np.zeros_like(w["embed"])
+        np.add.at(out["embed"], inputs.ravel(), flat(dx))
     return out
 
 
-def train(w: dict, classes: np.ndarray, at: np.ndarray, rate: float, seed: int, batch: int = 48) -> dict:
-    """One pass of Adam over the windows of some texts."""
-    inputs, inside, targets, place = blocks_of(classes, at)
+def train(w: dict, classes: np.ndarray, at: np.ndarray, rate: float, seed: int, batch: int = 128, rows: np.ndarray | None = None, members: np.ndarray | None = None) -> dict:
+    """One pass over the windows of some texts: Adam, and Adagrad for the rows of tables that a batch has.
+
+    rows are the rows by id of the tokens (then ids are told apart), members those of each class.
+    """
+    start = START if rows is None else int(members[-1])
+    inputs, inside, targets, place = blocks_of(classes, at, rows, start)
     order = np.random.default_rng(seed).permutation(len(inputs))
     w = {k: v.copy() for k, v in w.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    tables = {k: np.full(len(w[k]), 1e-6, np.float32) for k in ("embed", "pair") if "pair" in w}
+    one, two = ({k: np.zeros_like(v) for k, v in w.items() if k not in tables} for _ in range(2))
     steps = range(0, len(order), batch)
     for t, lo in enumerate(steps, 1):
-        rows = order[lo : lo + batch]
-        step = rate * min(1.0, t / 20) * (1 - 0.8 * t / len(steps))
-        for k, g in gradients(w, inputs[rows], inside[rows], targets[rows], (place[rows] >= 0).astype(np.float32)).items():
+        at_ = order[lo : lo + batch]
+        slow = min(1.0, t / 20) * (1 - 0.8 * t / len(steps))
+        valid, told = (place[at_] >= 0).astype(np.float32), None
+        if rows is not None:
+            told = rows[np.maximum(place[at_], 0)]
+        for k, g in gradients(w, inputs[at_], inside[at_], targets[at_], valid, told, members).items():
+            if k in tables:
+                which, g = g
+                tables[k][which] += (g * g).mean(axis=1)
+                w[k][which] -= np.float32(TABLE_RATE * slow * rate / RATE) * g / np.sqrt(tables[k][which])[:, None]
+                continue
             one[k] += 0.1 * (g - one[k])
             two[k] += 0.01 * (g * g - two[k])
-            w[k] -= (step * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            w[k] -= (rate * slow * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
     return w
 
 
-def class_scores(w: dict, classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log10 probability of every class given what stands before it."""
+def class_scores(w: dict, classes: np.ndarray, at: np.ndarray, rows: np.ndarray | None = None, members: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of every class given what stands before it; with rows, of the id in it too."""
     out = np.zeros(len(classes))
-    inputs, inside, targets, place = blocks_of(classes, at)
+    start = START if rows is None else int(members[-1])
+    inputs, inside, targets, place = blocks_of(classes, at, rows, start)
+    states, places = [], []
+
+    def tell() -> None:
+        if states:
+            where = np.concatenate(places)
+            out[where] += told_apart(w, np.concatenate(states), rows[where], classes[where], members)[0] / np.log(10)
+            states.clear()
+            places.clear()
+
     for lo in range(0, len(inputs), BLOCKS_AT_ONCE):
         hi = lo + BLOCKS_AT_ONCE
-        logits = forward(w, inputs[lo:hi], inside[lo:hi])["logits"]
+        s = forward(w, inputs[lo:hi], inside[lo:hi])
+        logits = s["logits"]
         chosen = np.take_along_axis(logits, targets[lo:hi, :, None], 2)[:, :, 0]
         np.exp(logits, out=logits)
         total = (logits.reshape(-1, CLASSES) @ np.ones(CLASSES, np.float32)).reshape(chosen.shape)
         score = (chosen - np.log(total)) * np.float32(1 / np.log(10))
         ok = place[lo:hi] >= 0
         out[place[lo:hi][ok]] = score[ok]
+        if rows is not None:
+            states.append(s["g"][ok])
+            places.append(place[lo:hi][ok])
+            if len(states) == 32:
+                tell()
+    tell()
     return out
 
 
@@ -234,13 +341,41 @@ def _trainer(start, turn: int, size: int):
         vocabulary, weights = pickle.loads(start.value)
         order = table.select(["doc_id", "ids"]).sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         ids, per_text = _sequences(order.column("ids"), size)
-        classes, at, _ = _with_ends(vocabulary.kind[ids], per_text, END)
-        got = train(weights, classes, at, 0.02 / (turn + 1), turn)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tokens": pa.array([len(classes)], pa.int64()), "weights": pa.array([pickle.dumps(got)], pa.binary())})
+        classes, rows, at, _ = rows_with_ends(vocabulary, ids, per_text)
+        got = train(weights, classes, at, RATE / (turn + 1), turn, rows=rows, members=vocabulary.members)
+        moved = {k: w - weights[k] for k, w in got.items()}
+        return pa.table({"tokens": pa.array([len(classes)], pa.int64()), "moved": pa.array([pickle.dumps(moved)], pa.binary())})
 
     return run
 
 
+def _summed(batches):
+    """One row of the moves of many shards, each times its tokens, and the tokens behind each; of tables only the shards that moved a row count for it."""
+    total: dict[str, list[np.ndarray]] = {}
+    for batch in batches:
+        for tokens, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for k, m in pickle.loads(raw.as_py()).items():
+                here = (m != 0).any(axis=1, keepdims=True) * float(tokens) if k in ("embed", "pair") else np.full((1,) * m.ndim, float(tokens))
+                sums = total.setdefault(k, [np.zeros(m.shape), np.zeros(here.shape)])
+                sums[0] += m * np.float64(tokens)
+                sums[1] += here
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["sums"])
+
+
+def averaged(weights: dict, parts: DataFrame) -> dict:
+    """The weights moved by the mean of what the shards (tokens, moved) did. Sums are made by Spark; the driver adds PARTIAL_SUMS rows at most."""
+    total: dict[str, list[np.ndarray]] = {}
+    for row in parts.coalesce(PARTIAL_SUMS).mapInArrow(_summed, "sums binary").toLocalIterator():
+        for k, (move, tokens) in pickle.loads(row.sums).items():
+            if k in total:
+                total[k][0] += move
+                total[k][1] += tokens
+            else:
+                total[k] = [move, tokens]
+    return {k: w + (total[k][0] / np.maximum(total[k][1], 1)).astype(np.float32) if k in total else w for k, w in weights.items()}
+
+
 def id_counts(spelled_out: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in all training documents (ids)."""
 
@@ -287,9 +422,9 @@ def neighbour_counts(spelled_out: DataFrame, kind: np.ndarray) -> np.ndarray:
 def fit(training: DataFrame, total: int, size: int) -> tuple[Vocabulary, dict]:
     """Vocabulary and weights from all of the `total` training documents (doc_id, text), whose bytes are `size` at most.
 
-    Their ids are spelled once. The documents are dealt to shards of about SHARD_BYTES; each of ROUNDS rounds
-    trains every shard from the common weights in a task of its own, and the mean of what they give is the
-    next round's start.
+    Their ids are spelled once. The documents are dealt to ROUNDS rounds and, within each, to shards of about SHARD_BYTES
+    / ROUNDS; a round trains every shard of its from the common weights in a task of its own, and the weights moved by
+    the mean of what they did are the next round's start. So each document is learned from once.
     """
     spark = training.sparkSession
     n_shard = max(1, -(-size // SHARD_BYTES))
@@ -300,27 +435,21 @@ def fit(training: DataFrame, total: int, size: int) -> tuple[Vocabulary, dict]:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 ids = [s.astype(_packed(vocabulary_size)).tobytes() for s in _text_sequences(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["doc_id", "shard", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(ids, pa.binary())], ["doc_id", "shard", "turn", "ids"])
 
-    dealt = training.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(n_shard)).cast("int").alias("shard"))
-    spelled_out = written(dealt.mapInArrow(spell, "doc_id long, shard int, ids binary"))
+    dealt = training.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(n_shard)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(ROUNDS)).cast("int").alias("turn"))
+    spelled_out = written(dealt.mapInArrow(spell, "doc_id long, shard int, turn int, ids binary"))
     count = id_counts(spelled_out, vocabulary_size)
     vocabulary = make_vocabulary(count, neighbour_counts(spelled_out, own_classes(count)))
     counts = np.bincount(vocabulary.kind, weights=count, minlength=CLASSES)
     counts[END] = max(1, total)
     counts[START] = 0
-    weights = first_weights(counts)
+    weights = first_weights(counts, vocabulary)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(pickle.dumps((vocabulary, weights)))
-        # written before the sort, whose sampling would train everything once more
-        parts = written(spelled_out.groupBy("shard").applyInArrow(_trainer(start, turn, vocabulary_size), "shard int, tokens long, weights binary"))
-        tokens, mean = 0, {k: np.zeros(w.shape) for k, w in weights.items()}
-        for row in parts.orderBy("shard").toLocalIterator():
-            tokens += row.tokens
-            for k, w in pickle.loads(row.weights).items():
-                mean[k] += row.tokens * w.astype(np.float64)
-        if tokens:
-            weights = {k: (w / tokens).astype(np.float32) for k, w in mean.items()}
+        mine = spelled_out.filter(F.col("turn") == turn).select("doc_id", "shard", "ids")
+        # written, so that a lost executor does not train again what is done
+        weights = averaged(weights, written(mine.groupBy("shard").applyInArrow(_trainer(start, turn, vocabulary_size), "tokens long, moved binary")))
     return vocabulary, weights
 
 
@@ -348,28 +477,43 @@ def make_vocabulary(count: np.ndarray, near: np.ndarray) -> Vocabulary:
                     centres[g] = near[group == g].mean(axis=0)
         kind[rest] = SINGLE + group
     weight = count + 0.5
-    return Vocabulary(kind.astype(np.int16), np.log10(weight / np.bincount(kind, weights=weight)[kind]))
+    seen = np.flatnonzero(count > 0)
+    # ids that were never seen are the last of the last shared class, and START and END have rows that are never told apart
+    kind[count == 0] = SINGLE + SHARED - 1
+    seen = seen[np.argsort(kind[seen], kind="stable")]
+    unseen = int(np.searchsorted(kind[seen], SINGLE + SHARED, side="left"))
+    row = np.full(len(count), unseen, dtype=np.int32)
+    row[seen] = np.arange(len(seen))
+    members = np.searchsorted(kind[seen], np.arange(CLASSES + 1)).astype(np.int64)
+    members[SINGLE + SHARED :] = np.arange(unseen + 1, unseen + 1 + CLASSES - SINGLE - SHARED + 1)
+    return Vocabulary(kind.astype(np.int16), np.log10(weight / np.bincount(kind, weights=weight)[kind]), row, members)
+
+
+def rows_with_ends(vocabulary: Vocabulary, ids: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, rows, begin, ends) of the ids of some texts, with an end after each text."""
+    classes, begin, ends = _with_ends(vocabulary.kind[ids].astype(np.int64), per_text, END)
+    return classes, _with_ends(vocabulary.row[ids].astype(np.int64), per_text, int(vocabulary.members[END]))[0], begin, ends
 
 
 def score_documents(docs: DataFrame, training: str) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, attention_score, score) of every document (doc_id, text).
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document (doc_id, text).
 
     training is a condition on doc_id; documents that meet it are learned from. Tokens are words in lower
     case (A-Z), then one end. base_score is the sum of log10((c + .5) / (N + .5 * (V + 1))) with counts of
-    the training tokens. attention_score is the log10 probability of the text's subword ids, then the
-    end, under the attention model: the probability of an id's class given the window before it,
-    times the id's share in its class. score takes each token with a weighted mean of both probabilities (COUNT_WEIGHT): the counts know frequent
-    words, the attention model spells the rest.
+    the training tokens. score is the log10 probability of the text's subword ids, then the end, under the attention
+    model: the probability of an id's class given the window before it, times that of the id in its class given the
+    same window. Ids that no training document has share one place in the model, in equal parts.
 
-    Counts are made over all training documents and brought to the texts by a shuffle: texts are dealt
-    to chunks of about CHUNK_BYTES, and a chunk sends each of its words once and gets its count back. Null or empty text is just its end; a null doc_id is not learned from; other columns
+    Counts are made over all training documents and brought to the texts by a shuffle: texts are dealt to chunks
+    of about CHUNK_BYTES, a chunk sends each of its words once, counts are summed up by word and joined to the
+    chunks. Null or empty text is just its end; a null doc_id is not learned from; other columns
     are not read; repeated rows count as often as they occur; an empty table gives no rows.
     """
     texts = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("learn", F.coalesce(F.expr(training), F.lit(False)))
     n_docs, size = texts.agg(F.count_if("learn"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     vocabulary, weights = fit(texts.filter("learn").select("doc_id", "text"), n_docs, size)
     chunks = max(1, -(-size // CHUNK_BYTES))
-    texts = texts.withColumn("chunk", F.pmod(F.xxhash64(F.lit(9), F.col("doc_id")), F.lit(chunks)).cast("int"))
+    texts = texts.withColumn("chunk", F.pmod(F.xxhash64(F.lit(9), F.col("doc_id"), F.col("text")), F.lit(chunks)).cast("int"))
 
     def tally(key, table):
         """(chunk, word, n): every word of the chunk and how often its training documents have it."""
@@ -385,17 +529,18 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
         n = np.bincount(at, weights=np.concatenate(learned), minlength=len(word)) if len(word) else np.zeros(0)
         return pa.table({"chunk": pa.array(np.full(len(word), key[0].as_py()), pa.int32()), "word": pa.array(word.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    every = Window.partitionBy("word")
-    tallied = texts.groupBy("chunk").applyInArrow(tally, "chunk int, word long, n long")
-    counted = tallied.select("chunk", "word", F.sum("n").over(every).alias("n"), F.count("*").over(every).alias("chunks"), F.row_number().over(every.orderBy("chunk")).alias("row"))
-    counted = written(counted)
-    in_words, kinds = counted.filter("row = 1 and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tallied = written(texts.groupBy("chunk").applyInArrow(tally, "chunk int, word long, n long"))
+    counts = written(tallied.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")))
+    in_words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counted = tallied.select("chunk", "word").join(counts, "word", "left").select("chunk", "word", F.coalesce("n", F.lit(0)).alias("n"))
     # the end is a token too
     total, kinds = in_words + n_docs, kinds + (n_docs > 0)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocabulary, weights)))
 
     def score(key, table, known):
         vocabulary, weights = pickle.loads(shared.value)
+        nowhere = int(vocabulary.members[SINGLE + SHARED]) - 1
+        n_nowhere = int((vocabulary.row == nowhere).sum())
         names, counts = known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy()
         order = np.argsort(names)
         names, counts = names[order], counts[order]
@@ -412,18 +557,17 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
             here = slice(int(words.first[lo]), int(words.first[lo] + first[-1]))
             ids, per_word = spelling.tokens(here.start, here.stop)
             per_text = np.bincount(np.repeat(np.arange(len(n_words)), n_words), weights=per_word, minlength=len(n_words)).astype(np.int64)
-            classes, begin, ends = _with_ends(vocabulary.kind[ids].astype(np.int64), per_text, END)
-            scores = class_scores(weights, classes, begin)
+            classes, rows, begin, ends = rows_with_ends(vocabulary, ids, per_text)
+            scores = class_scores(weights, classes, begin, rows, vocabulary.members)
             inner = np.ones(len(classes), dtype=bool)
             inner[ends] = False
-            cut = np.concatenate([[0], np.cumsum(scores[inner] + vocabulary.share[ids])])
+            scores[inner] -= np.where(vocabulary.row[ids] == nowhere, np.log10(max(1, n_nowhere)), 0.0)
+            cut = np.concatenate([[0], np.cumsum(scores[inner])])
             edge = np.concatenate([[0], np.cumsum(per_word)])
             model = cut[edge[1:]] - cut[edge[:-1]]
             count = c[spelling.word[here]] if len(c) else np.zeros(0, np.int64)
             base, end_base = base_of(count), float(base_of(n_docs))
-            both = np.logaddexp(model * np.log(10) + np.log(1 - COUNT_WEIGHT), base * np.log(10) + np.log(COUNT_WEIGHT)) / np.log(10)
             per = lambda values, first=first: np.diff(np.concatenate([[0], np.cumsum(values)])[first])
-            end_both = np.log10((1 - COUNT_WEIGHT) * 10.0 ** scores[ends] + COUNT_WEIGHT * 10.0**end_base)
             out.append(
                 pa.table(
                     {
@@ -432,18 +576,17 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
                         "n_known": pa.array((per(count > 0) + (n_docs > 0)).astype(np.int64)),
                         "train_tokens": pa.array(np.full(len(n_words), total)),
                         "base_score": pa.array(per(base) + end_base),
-                        "attention_score": pa.array(per(model) + scores[ends]),
-                        "score": pa.array(per(both) + end_both),
+                        "score": pa.array(per(model) + scores[ends]),
                     }
                 )
             )
-        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "attention_score", "score"), (pa.int64(),) * 4 + (pa.float64(),) * 3, strict=True)})
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (pa.int64(),) * 4 + (pa.float64(),) * 2, strict=True)})
 
-    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, attention_score double, score double"
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("chunk").cogroup(counted.select("chunk", "word", "n").groupBy("chunk")).applyInArrow(score, schema)
 
 
 def scoring_digest(docs: DataFrame) -> DataFrame:
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))  # a null doc_id is not held out, nor learned from
     scored = score_documents(docs, "crc32(cast(doc_id as string)) % 5 <> 1")
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "attention_score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telesift.llm import chat, common, langid, mixing, packing, substrings, topk
+from telesift.llm import chat, common, langid, mixing, packing, scoring, substrings, topk
 from tests.llm import brute
 
 
@@ -26,17 +26,6 @@ def test_ids_are_those_of_the_json_file(spark):
     assert [r.length for r in rows if r.doc_id == 1] == [5] and len(rows) == 4
 
 
-def test_packing_leaves_few_sequences_over(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i, "word " * int(n)) for i, n in enumerate(rng.integers(100, 1500, 600))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
-    pieces = packing.pack_documents(docs)
-    total, used = pieces.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
-    assert used <= 1.04 * -(-total // 2048)
-    ends = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("k"), F.count("*").alias("m"))
-    assert ends.filter("n <> end or n > 2048 or k <> m").count() == 0
-
-
 def test_queries_go_by_row_and_scores_are_exact(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 6)))]
@@ -106,3 +95,71 @@ def test_brute_force_prediction_by_partial_matching(spark):
         data = np.frombuffer(text.encode(), np.uint8)
         got = langid.code_lengths(model, data, np.array([0, len(data)]))[0]
         assert np.allclose(got, [want["de"], want["en"]], rtol=1e-4), text
+
+
+def test_attention_model_beats_counts_on_held_out_text(spark):
+    """The score is the attention model's alone; on documents it did not learn from it is better than the word counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = scoring.scoring_digest(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] / held[2] > held[1] / held[2] + 0.02
+
+
+def test_scores_are_probabilities():
+    """Over all ids that may come next, the probabilities of the model sum up to one."""
+    rng = np.random.default_rng(0)
+    count = np.zeros(300, np.int64)
+    count[:200] = rng.integers(1, 50, 200)
+    vocabulary = scoring.make_vocabulary(count, rng.random((300, 2 * scoring.SINGLE)).astype(np.float32))
+    weights = scoring.first_weights(np.bincount(vocabulary.kind, weights=count, minlength=scoring.CLASSES), vocabulary)
+    weights["tell"] += rng.normal(size=weights["tell"].shape).astype(np.float32)
+    weights["pair"] += rng.normal(size=weights["pair"].shape).astype(np.float32)
+    text = rng.integers(0, 300, 40)
+    nowhere = int(vocabulary.members[scoring.SINGLE + scoring.SHARED]) - 1
+    total = 0.0
+    for last in range(300):
+        ids = np.append(text, last)
+        classes, rows, at, _ = scoring.rows_with_ends(vocabulary, ids, np.array([len(ids)]))
+        share = 1 / (vocabulary.row == nowhere).sum() if vocabulary.row[last] == nowhere else 1.0
+        total += 10.0 ** scoring.class_scores(weights, classes, at, rows, vocabulary.members)[40] * share
+    classes[40] = scoring.END
+    end = 10.0 ** scoring.class_scores(weights, classes[:41], np.array([0, 41]), np.append(rows[:40], vocabulary.members[scoring.END]), vocabulary.members)[40]
+    start = classes[:41].copy()
+    start[40] = scoring.START
+    never = 10.0 ** scoring.class_scores(weights, start, np.array([0, 41]), np.append(rows[:40], vocabulary.members[scoring.START]), vocabulary.members)[40]
+    assert total + end + never == pytest.approx(1, abs=1e-4)
+
+
+def test_gradients_of_the_tables_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    count = rng.integers(1, 50, 200)
+    vocabulary = scoring.make_vocabulary(count, rng.random((200, 2 * scoring.SINGLE)).astype(np.float32))
+    w = {k: v.astype(np.float64) for k, v in scoring.first_weights(np.bincount(vocabulary.kind, weights=count, minlength=scoring.CLASSES), vocabulary).items()}
+    w["pair"] += rng.normal(size=w["pair"].shape) * 0.1
+    w["tell"] += rng.normal(size=w["tell"].shape) * 0.1
+    classes, rows, at, _ = scoring.rows_with_ends(vocabulary, rng.integers(0, 200, 60), np.array([60]))
+    inputs, inside, targets, place = scoring.blocks_of(classes, at, rows, int(vocabulary.members[-1]))
+    valid, told = (place >= 0).astype(float), rows[np.maximum(place, 0)]
+    got = scoring.gradients(w, inputs, inside, targets, valid, told, vocabulary.members)
+
+    def loss(weights):
+        scores = scoring.class_scores(weights, classes, at, rows, vocabulary.members)
+        return -scores.sum() * np.log(10) / valid.sum()
+
+    for name in ("embed", "pair", "tell", "tell_bias", "read", "query"):
+        g = got[name]
+        if isinstance(g, tuple):
+            at_ = np.unravel_index(np.abs(g[1]).argmax(), g[1].shape)
+            want, at_ = g[1][at_], (g[0][at_[0]], at_[1])
+        else:
+            at_ = np.unravel_index(np.abs(g).argmax(), g.shape)
+            want = g[at_]
+        up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
+        up[name][at_] += 1e-5
+        down[name][at_] -= 1e-5
+        assert want == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=1e-3, abs=1e-6), name
+
+
+def test_null_and_repeated_ids_are_scored(spark):
+    docs = spark.createDataFrame([(None, "stone river"), (None, "stone river"), (4, "stone"), (4, "light and river"), (5, None)] + [(i, "stone river light") for i in range(10, 30)], "doc_id long, text string")
+    rows = scoring.scoring_digest(docs).collect()
+    assert len(rows) == 25 and {r.n_tokens for r in rows if r.doc_id == 4} == {2, 4} and all(r.held_out is False for r in rows if r.doc_id is None)
