@@ -38,12 +38,25 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `written` has made and nothing needs any more."""
+    spark = df.sparkSession
+    names = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in [p for p in _written if any(n.endswith(p) for n in names)]:
+        _delete(spark, path)
+        _written.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Delete the tables that `written` has made so far and say how many; only when no result that rests on them is needed any more."""
-    conf, count = spark.sparkContext._jsc.hadoopConfiguration(), len(_written)
+    count = len(_written)
     while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
     return count
 
 

@@ -7,12 +7,12 @@ from functools import cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telesift.llm.common import pick, written
+from telesift.llm.common import discard, pick, written
 from telesift.llm.packing import encoder
 from telesift.llm.words import LOWER, Words, words_of
 
@@ -22,7 +22,7 @@ CLASSES = 128
 WIDTH = 16  # of the model
 PAIRS = 1 << 15  # rows of the table that two consecutive inputs share by hash
 CONTEXT, STRIDE = 32, 16  # a window's positions; those of them that it scores
-SHARD_BYTES = 16 << 20
+SHARD_TOKENS = 6 << 20  # that a task learns from in one go
 ROUNDS = 3  # the training documents are dealt to them: each is learned from once
 RATE, TABLE_RATE = 0.03, 0.15  # of Adam for the small weights, of Adagrad for the tables by id and pair
 PARTIAL_SUMS = 32  # of weights that the driver adds up
@@ -337,14 +337,27 @@ def _sequences(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _trainer(start, turn: int, size: int):
-    def run(key, table):
-        vocabulary, weights = pickle.loads(start.value)
-        order = table.select(["doc_id", "ids"]).sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        ids, per_text = _sequences(order.column("ids"), size)
+    """Training of one shard after the other: what is at hand when SHARD_BYTES / ROUNDS of text have come by."""
+
+    def trained(part: list[pa.RecordBatch], vocabulary: Vocabulary, weights: dict) -> pa.RecordBatch:
+        ids, per_text = _sequences(pa.Table.from_batches(part).column("ids"), size)
         classes, rows, at, _ = rows_with_ends(vocabulary, ids, per_text)
         got = train(weights, classes, at, RATE / (turn + 1), turn, rows=rows, members=vocabulary.members)
         moved = {k: w - weights[k] for k, w in got.items()}
-        return pa.table({"tokens": pa.array([len(classes)], pa.int64()), "moved": pa.array([pickle.dumps(moved)], pa.binary())})
+        return pa.RecordBatch.from_arrays([pa.array([len(classes)], pa.int64()), pa.array([pickle.dumps(moved)], pa.binary())], ["tokens", "moved"])
+
+    def run(batches):
+        vocabulary, weights = pickle.loads(start.value)
+        part, tokens = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part.append(batch.slice(lo, 64))
+                tokens += part[-1].column(0).nbytes // _packed(size).itemsize
+                if tokens > SHARD_TOKENS // ROUNDS:
+                    yield trained(part, vocabulary, weights)
+                    part, tokens = [], 0
+        if part:
+            yield trained(part, vocabulary, weights)
 
     return run
 
@@ -419,15 +432,14 @@ def neighbour_counts(spelled_out: DataFrame, kind: np.ndarray) -> np.ndarray:
     return out.reshape(size, width)
 
 
-def fit(training: DataFrame, total: int, size: int) -> tuple[Vocabulary, dict]:
-    """Vocabulary and weights from all of the `total` training documents (doc_id, text), whose bytes are `size` at most.
+def fit(training: DataFrame, total: int) -> tuple[Vocabulary, dict]:
+    """Vocabulary and weights from all of the `total` training documents (doc_id, text).
 
-    Their ids are spelled once. The documents are dealt to ROUNDS rounds and, within each, to shards of about SHARD_BYTES
-    / ROUNDS; a round trains every shard of its from the common weights in a task of its own, and the weights moved by
-    the mean of what they did are the next round's start. So each document is learned from once.
+    Their ids are spelled once, and the documents are dealt to ROUNDS rounds. In a round each task goes through its part of
+    the table in shards of about SHARD_TOKENS / ROUNDS, nothing is shuffled; every shard starts from the common weights, and
+    the weights moved by the mean of what the shards did are the next round's start. So each document is learned from once.
     """
     spark = training.sparkSession
-    n_shard = max(1, -(-size // SHARD_BYTES))
     vocabulary_size = encoder().n_vocab
 
     def spell(batches):
@@ -435,10 +447,10 @@ def fit(training: DataFrame, total: int, size: int) -> tuple[Vocabulary, dict]:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 ids = [s.astype(_packed(vocabulary_size)).tobytes() for s in _text_sequences(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(ids, pa.binary())], ["doc_id", "shard", "turn", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["turn", "ids"])
 
-    dealt = training.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(n_shard)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(ROUNDS)).cast("int").alias("turn"))
-    spelled_out = written(dealt.mapInArrow(spell, "doc_id long, shard int, turn int, ids binary"))
+    dealt = training.select(F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(ROUNDS)).cast("int").alias("turn"), "text")
+    spelled_out = written(dealt.mapInArrow(spell, "turn int, ids binary"))
     count = id_counts(spelled_out, vocabulary_size)
     vocabulary = make_vocabulary(count, neighbour_counts(spelled_out, own_classes(count)))
     counts = np.bincount(vocabulary.kind, weights=count, minlength=CLASSES)
@@ -447,9 +459,13 @@ def fit(training: DataFrame, total: int, size: int) -> tuple[Vocabulary, dict]:
     weights = first_weights(counts, vocabulary)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(pickle.dumps((vocabulary, weights)))
-        mine = spelled_out.filter(F.col("turn") == turn).select("doc_id", "shard", "ids")
+        mine = spelled_out.filter(F.col("turn") == turn).select("ids")
         # written, so that a lost executor does not train again what is done
-        weights = averaged(weights, written(mine.groupBy("shard").applyInArrow(_trainer(start, turn, vocabulary_size), "tokens long, moved binary")))
+        parts = written(mine.mapInArrow(_trainer(start, turn, vocabulary_size), "tokens long, moved binary"))
+        weights = averaged(weights, parts)
+        discard(parts)
+        start.destroy()
+    discard(spelled_out)
     return vocabulary, weights
 
 
@@ -504,86 +520,92 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
     model: the probability of an id's class given the window before it, times that of the id in its class given the
     same window. Ids that no training document has share one place in the model, in equal parts.
 
-    Counts are made over all training documents and brought to the texts by a shuffle: texts are dealt to chunks
-    of about CHUNK_BYTES, a chunk sends each of its words once, counts are summed up by word and joined to the
-    chunks. Null or empty text is just its end; a null doc_id is not learned from; other columns
-    are not read; repeated rows count as often as they occur; an empty table gives no rows.
+    Texts are scored where they are read, in chunks of about CHUNK_BYTES; a text goes on as its score and its words' numbers in
+    the chunk. Each chunk gives its different words once, with their numbers of training tokens; these are summed up by
+    word over all documents, brought back to the chunks by a join, and added up for each text. Null or empty text is just
+    its end; a null doc_id is not learned from; other columns are not read; repeated rows count as often as they occur; an
+    empty table gives no rows.
     """
     texts = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("learn", F.coalesce(F.expr(training), F.lit(False)))
-    n_docs, size = texts.agg(F.count_if("learn"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    vocabulary, weights = fit(texts.filter("learn").select("doc_id", "text"), n_docs, size)
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    texts = texts.withColumn("chunk", F.pmod(F.xxhash64(F.lit(9), F.col("doc_id"), F.col("text")), F.lit(chunks)).cast("int"))
-
-    def tally(key, table):
-        """(chunk, word, n): every word of the chunk and how often its training documents have it."""
-        seen, learned = [], []
-        for lo in range(0, table.num_rows, 512):
-            part = table.slice(lo, 512)
-            words = words_of(part.column("text"), fold=True)
-            keep = np.repeat(part.column("learn").to_numpy(), np.diff(words.first))
-            word, at = np.unique(words.hashes, return_inverse=True)
-            seen.append(word)
-            learned.append(np.bincount(at, weights=keep, minlength=len(word)))
-        word, at = np.unique(np.concatenate(seen), return_inverse=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        n = np.bincount(at, weights=np.concatenate(learned), minlength=len(word)) if len(word) else np.zeros(0)
-        return pa.table({"chunk": pa.array(np.full(len(word), key[0].as_py()), pa.int32()), "word": pa.array(word.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    tallied = written(texts.groupBy("chunk").applyInArrow(tally, "chunk int, word long, n long"))
-    counts = written(tallied.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")))
+    n_docs = texts.agg(F.count_if("learn")).first()[0]
+    vocabulary, weights = fit(texts.filter("learn").select("doc_id", "text"), n_docs)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocabulary, weights)))
+
+    def score(batches):
+        vocabulary, weights = pickle.loads(shared.value)
+        held: list[pa.RecordBatch] = []
+        size, chunk = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                held.append(batch.slice(lo, 64))
+                size += held[-1].column(1).nbytes
+                if size > CHUNK_BYTES:
+                    yield from _scored_chunk(chunk, pa.Table.from_batches(held), vocabulary, weights)
+                    held, size, chunk = [], 0, chunk + 1
+        if held:
+            yield from _scored_chunk(chunk, pa.Table.from_batches(held), vocabulary, weights)
+
+    parts = written(texts.mapInArrow(score, "chunk long, doc_id long, score double, numbers binary, words array<long>, learned array<long>"))
+    listed = parts.filter("words is not null").select("chunk", F.posexplode(F.arrays_zip("words", "learned")).alias("number", "x")).select("chunk", "number", F.col("x.words").alias("word"), F.col("x.learned").alias("n"))
+    counts = written(listed.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")))
     in_words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    counted = tallied.select("chunk", "word").join(counts, "word", "left").select("chunk", "word", F.coalesce("n", F.lit(0)).alias("n"))
     # the end is a token too
     total, kinds = in_words + n_docs, kinds + (n_docs > 0)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocabulary, weights)))
+    counted = listed.select("chunk", "number", "word").join(counts, "word", "left").select(F.col("chunk").alias("place"), "number", F.coalesce("n", F.lit(0)).alias("n"))
 
-    def score(key, table, known):
-        vocabulary, weights = pickle.loads(shared.value)
-        nowhere = int(vocabulary.members[SINGLE + SHARED]) - 1
-        n_nowhere = int((vocabulary.row == nowhere).sum())
-        names, counts = known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy()
-        order = np.argsort(names)
-        names, counts = names[order], counts[order]
+    def add_up(key, scored, counted):
+        count = np.zeros(counted.num_rows, dtype=np.int64)
+        count[counted.column("number").to_numpy()] = counted.column("n").to_numpy()
         base_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-        words = words_of(table.column("text"), fold=True)
-        spelling = Spelling(words)
-        at = np.searchsorted(names, spelling.hashes)
-        c = counts[np.minimum(at, len(names) - 1)] if len(names) else np.zeros(0, np.int64)
-        out = []
-        for lo in range(0, table.num_rows, 128):
-            part = table.slice(lo, 128)
-            first = words.first[lo : lo + 129]
-            n_words, first = np.diff(first), first - first[0]
-            here = slice(int(words.first[lo]), int(words.first[lo] + first[-1]))
-            ids, per_word = spelling.tokens(here.start, here.stop)
-            per_text = np.bincount(np.repeat(np.arange(len(n_words)), n_words), weights=per_word, minlength=len(n_words)).astype(np.int64)
-            classes, rows, begin, ends = rows_with_ends(vocabulary, ids, per_text)
-            scores = class_scores(weights, classes, begin, rows, vocabulary.members)
-            inner = np.ones(len(classes), dtype=bool)
-            inner[ends] = False
-            scores[inner] -= np.where(vocabulary.row[ids] == nowhere, np.log10(max(1, n_nowhere)), 0.0)
-            cut = np.concatenate([[0], np.cumsum(scores[inner])])
-            edge = np.concatenate([[0], np.cumsum(per_word)])
-            model = cut[edge[1:]] - cut[edge[:-1]]
-            count = c[spelling.word[here]] if len(c) else np.zeros(0, np.int64)
-            base, end_base = base_of(count), float(base_of(n_docs))
-            per = lambda values, first=first: np.diff(np.concatenate([[0], np.cumsum(values)])[first])
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": part.column("doc_id").combine_chunks(),
-                        "n_tokens": pa.array(n_words + 1),
-                        "n_known": pa.array((per(count > 0) + (n_docs > 0)).astype(np.int64)),
-                        "train_tokens": pa.array(np.full(len(n_words), total)),
-                        "base_score": pa.array(per(base) + end_base),
-                        "score": pa.array(per(model) + scores[ends]),
-                    }
-                )
-            )
-        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"), (pa.int64(),) * 4 + (pa.float64(),) * 2, strict=True)})
-
+        raw = scored.column("numbers").to_pylist()
+        number = np.frombuffer(b"".join(raw), dtype=np.int32)
+        n_words = np.array([len(r) // 4 for r in raw], dtype=np.int64)
+        edge = np.concatenate([[0], np.cumsum(n_words)])
+        per = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[edge])
+        return pa.table(
+            {
+                "doc_id": scored.column("doc_id"),
+                "n_tokens": pa.array(n_words + 1),
+                "n_known": pa.array((per(count[number] > 0) + (n_docs > 0)).astype(np.int64)),
+                "train_tokens": pa.array(np.full(len(raw), total)),
+                "base_score": pa.array(per(base_of(count)[number]) + float(base_of(n_docs))),
+                "score": scored.column("score"),
+            }
+        )
+
+    scored = parts.filter("words is null").select("chunk", "doc_id", "score", "numbers")
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(counted.select("chunk", "word", "n").groupBy("chunk")).applyInArrow(score, schema)
+    return scored.groupBy("chunk").cogroup(counted.groupBy("place")).applyInArrow(add_up, schema)
+
+
+def _scored_chunk(chunk: int, table: pa.Table, vocabulary: Vocabulary, weights: dict):
+    """Rows of the texts of a chunk (doc_id, text, learn): score and the numbers of their words; then one of its words."""
+    nowhere = int(vocabulary.members[SINGLE + SHARED]) - 1
+    n_nowhere = int((vocabulary.row == nowhere).sum())
+    names = ["chunk", "doc_id", "score", "numbers", "words", "learned"]
+    words = words_of(table.column("text"), fold=True)
+    spelling = Spelling(words)
+    longs = pa.list_(pa.int64())
+    for lo in range(0, table.num_rows, 128):
+        part = table.slice(lo, 128)
+        first = words.first[lo : lo + 129]
+        here = slice(int(first[0]), int(first[-1]))
+        n_words, n = np.diff(first), len(first) - 1
+        ids, per_word = spelling.tokens(here.start, here.stop)
+        per_text = np.bincount(np.repeat(np.arange(n), n_words), weights=per_word, minlength=n).astype(np.int64)
+        classes, rows, begin, ends = rows_with_ends(vocabulary, ids, per_text)
+        scores = class_scores(weights, classes, begin, rows, vocabulary.members)
+        inner = np.ones(len(classes), dtype=bool)
+        inner[ends] = False
+        scores[inner] -= np.where(vocabulary.row[ids] == nowhere, np.log10(max(1, n_nowhere)), 0.0)
+        number = spelling.word[here].astype(np.int32)
+        raw = [number[a:b].tobytes() for a, b in zip((first[:-1] - first[0]).tolist(), (first[1:] - first[0]).tolist(), strict=True)]
+        columns = [pa.array(np.full(n, chunk)), part.column("doc_id").combine_chunks(), pa.array(np.diff(np.concatenate([[0.0], np.cumsum(scores)])[begin])), pa.array(raw, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, longs), pa.nulls(n, longs)], names)
+    keep = np.repeat(table.column("learn").to_numpy(), np.diff(words.first))
+    learned = np.bincount(spelling.word, weights=keep, minlength=len(spelling.hashes)).astype(np.int64)
+    row = [pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.binary())]
+    yield pa.RecordBatch.from_arrays([*row, pa.array([spelling.hashes.view(np.int64)], longs), pa.array([learned], longs)], names)
 
 
 def scoring_digest(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def test_scoring_model_learns_from_every_training_document(spark):
     for i in range(n):
         for t in scoring._text_sequences(pa.array([f"the of and q{i % 7} stone river"]))[0].tolist():
             want[t] = want.get(t, 0) + 1
-    vocabulary, _ = scoring.fit(docs, n, 40 * n)
+    vocabulary, _ = scoring.fit(docs, n)
     weight = np.full(len(vocabulary.kind), 0.5)
     for t, c in want.items():
         weight[t] += c
