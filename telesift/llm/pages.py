@@ -37,7 +37,6 @@ MODIFIERS = frozenset("has no with without not is hide show open closed enabled
 HOLDERS = frozenset("list box block area wrap wrapper container inner outer section item items link links text title body bar row form group content widget panel main".split())
 HEADED = frozenset("article post entry story".split())
 FORM_WORDS = 40  # plain words; a form with fewer is furniture
-TRACKED = BREAKS - VOID
 
 # Comments end at -->, hidden elements at their end tag, all of them at the end of the page if that is missing.
 _TOKEN = re.compile(
@@ -73,6 +72,9 @@ LABELLED = """
     1 1 0 0 1 1 0 0 0 0 0      2 1 1 1 2 1 0 0 0 0 0       4 .8 2 1 60 0 0 0 0 0 0      6 0 0 0 2 1 0 0 0 0 0
     5 .5 60 0 0 0 0 0 0 0 0    9 .9 40 0 8 .9 0 0 0 0 0    30 .9 20 1 20 1 0 0 0 0 0    3 0 2 1 2 1 0 0 0 1 0
     45 0 0 0 0 0 0 0 0 0 1     120 .1 0 0 0 0 0 0 0 0 1    25 0 0 0 0 0 0 0 0 0 1      60 0 0 0 30 0 0 0 0 0 1
+    2 0 0 0 60 0 0 0 0 1 1      1 0 5 1 80 0 0 0 0 1 1      3 0 70 0 45 0 0 0 0 1 1       2 0 40 0 25 0 0 0 0 1 1
+    14 0 14 0 14 0 0 0 0 0 1    14 0 0 0 14 0 0 0 0 0 1    14 0 14 0 4 .5 0 0 0 0 1    10 0 12 0 12 0 0 0 0 0 1
+    16 0 18 0 3 0 0 0 0 0 1     22 0 20 0 24 0 0 0 0 0 1   12 0 3 1 15 0 0 0 0 0 1     9 0 15 0 20 0 0 0 0 0 1
     7 0 70 0 0 0 0 0 0 0 0     4 0 1 1 3 1 0 0 0 0 0       2 0 3 0 3 0 0 0 0 0 0        6 .4 5 1 4 .5 0 0 0 0 0
 """
 
