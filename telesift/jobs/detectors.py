@@ -9,7 +9,8 @@ from telesift.functions.scores import abs_z, blend, min_max, outside, percentile
 from telesift.operators.events import extract, mark, prune_then_merge
 from telesift.operators.metrics import best_threshold, calibrate, grid
 from telesift.operators.rolling import cumulative, forecast_error, local_z, over_frames
-from telesift.operators.stats import stats_row, with_row
+from telesift.operators.stats import exact_percentiles, stats_row, with_row
+from telesift.sources.durable import written
 
 
 def flag_any(columns: list[str], n: float) -> Column:
@@ -33,7 +34,7 @@ def local_std(rows: DataFrame, columns: list[str], size: int = 100, threshold: f
 def forecast_scores(rows: DataFrame, columns: list[str], size: int = 50, chunk: int = 20_000) -> DataFrame:
     """rows with error, cumulative and score: .7 of the forecast error and .3 of its running sum, each by its maximum, then min-max."""
     out = forecast_error(rows, columns, size, chunk)
-    out = over_frames(out, 10, 0, lambda f: {"cumulative": cumulative(f, "error")}, chunk)
+    out = written(over_frames(out, 10, 0, lambda f: {"cumulative": cumulative(f, "error")}, chunk))
     tops = out.agg(F.max("cumulative").alias("_top"))
     out = with_row(out, tops).withColumn("cumulative", F.coalesce(F.try_divide("cumulative", "_top"), F.lit(0.0))).drop("_top")
     out = out.withColumn("_raw", 0.7 * F.col("error") + 0.3 * F.col("cumulative"))
@@ -49,7 +50,8 @@ def component_scores(rows: DataFrame, fitted_on: DataFrame, columns: list[str],
     each = [z_to_score(abs_z(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_std")), z0[0]) for c in columns]
     out = with_row(out, stats).withColumn("_g", row_percentile(each, 0.95)).drop(*stats.columns)
     out = out.withColumn("_l", row_percentile([z_to_score(F.coalesce(F.col(f"{c}_z"), F.lit(0.0)), z0[1]) for c in columns], 0.90))
-    limits = out.agg(*[F.percentile(x, F.lit(p)).alias(f"{x}{int(p * 100)}") for x in ("_g", "_l") for p in (0.05, 0.95)])
+    out = written(out)  # the frames are computed once, for the limits and the rows
+    limits = exact_percentiles(out, {f"{x}{int(p * 100)}": (x, p) for x in ("_g", "_l") for p in (0.05, 0.95)})
     out = with_row(out, limits)
     scale = lambda x: percentile_scale(F.col(x), F.col(f"{x}5"), F.col(f"{x}95"))
     return out.withColumn("s_global", scale("_g")).withColumn("s_local", scale("_l")).drop("_g", "_l", *limits.columns, *[f"{c}_z" for c in columns])
@@ -80,6 +82,7 @@ def error_stream(rows: DataFrame, columns: list[str], size: int = 51, chunk: int
     """rows with score: the largest channel error, its centred rolling mean, then min-max."""
     out = rows.withColumn("_top", F.greatest(*columns))
     out = over_frames(out, size // 2, size // 2, lambda f: {"_mean": F.avg("_top").over(f.centred(size))}, chunk)
+    out = written(out)
     ends = out.agg(F.min("_mean").alias("_lo"), F.max("_mean").alias("_hi"))
     return with_row(out, ends).withColumn("score", min_max(F.col("_mean"), F.col("_lo"), F.col("_hi"), 1e-12)).drop("_top", "_mean", "_lo", "_hi")
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telesift.operators.stats import exact_percentiles
+
 NODE = "tree int, node int, feature int, border double, left int, right int, size int"
 
 
@@ -86,5 +88,5 @@ def score(df: DataFrame, columns: list[str], forest: DataFrame, max_samples: int
 
 def flag(df: DataFrame, contamination: float, name: str = "s_iforest") -> DataFrame:
     """df with flag: the share `contamination` of the highest scores."""
-    cut = df.agg(F.percentile(name, F.lit(1 - contamination)).alias("_cut"))
+    cut = exact_percentiles(df, {"_cut": (name, 1 - contamination)})
     return df.crossJoin(F.broadcast(cut)).withColumn("flag", (F.col(name) > F.col("_cut")).cast("int")).drop("_cut")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from telesift.functions.scores import pseudo_label_flexible, pseudo_label_strict
 from telesift.operators.rolling import deltas, over_frames, pair_correlation, slope, trailing_features
-from telesift.operators.stats import with_row
+from telesift.operators.stats import exact_percentiles, with_row
 
 
 def features(rows: DataFrame, columns: list[str], a: str, b: str, sizes: tuple[int, ...] = (10, 30, 50), chunk: int | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ FEATURES = ["iforest_score", "forecast_score", "detector_agreement", *[f"rolling
 def pseudo_labels(rows: DataFrame, a: str, b: str, strict: bool = False) -> DataFrame:
     """rows with pseudo: 1, 0 or -1 (undecided), from percentiles of both scores."""
     low, high = (0.4, 0.99) if strict else (0.6, 0.98)
-    limits = rows.agg(*[F.percentile(c, F.lit(p)).alias(f"_{n}{int(100 * p)}") for n, c in (("a", a), ("b", b)) for p in (low, high)])
+    limits = exact_percentiles(rows, {f"_{n}{int(100 * p)}": (c, p) for n, c in (("a", a), ("b", b)) for p in (low, high)})
     h, lo = f"{int(100 * high)}", f"{int(100 * low)}"
     rule = pseudo_label_strict if strict else pseudo_label_flexible
     value = rule(F.col(a), F.col(b), F.col(f"_a{h}"), F.col(f"_b{h}"), F.col(f"_a{lo}"), F.col(f"_b{lo}"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telesift.operators.stats import long_form
+from telesift.operators.prep import before
+from telesift.operators.stats import exact_percentiles, long_form
 
 
 def beta_share(a: float, b: float, x: float) -> float:
@@ -82,7 +83,7 @@ def normality(df: DataFrame, columns: list[str]) -> DataFrame:
 def levene(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (statistic, d1, d2): deviations from the medians of the channels, then analysis of variance."""
     rows = long_form(df.select(*columns), columns, []).filter("value is not null")
-    medians = rows.groupBy("channel").agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    medians = exact_percentiles(rows, {"m": ("value", 0.5)}, ["channel"])
     z = rows.join(F.broadcast(medians), "channel").withColumn("z", F.abs(F.col("value") - F.col("m")))
     groups = z.groupBy("channel").agg(F.count("*").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("var"))
     total = groups.agg(F.sum("n").alias("all"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * F.col("var")).alias("within"))
@@ -93,8 +94,8 @@ def levene(df: DataFrame, columns: list[str]) -> DataFrame:
 def ranked(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with average ranks of a column; equal values are counted once."""
     values = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(values.withColumn(out, before + (F.col("_n") + 1) / 2.0).drop("_n"), df[column] == F.col("_v")).drop("_v")
+    ranks = before(values, "_v", ["_n"])
+    return df.join(ranks.select("_v", (F.col("_n_before") + (F.col("_n") + 1) / 2.0).alias(out)), df[column] == F.col("_v")).drop("_v")
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -112,9 +113,10 @@ def ks_two_sample(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys.., d, n, m) of rows (keys.., side 0/1, value): largest distance of the two distributions."""
     keys = keys or []
     values = rows.groupBy(*keys, "value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    run = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    at = values.select(*keys, F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), F.sum("a").over(every).alias("n"), F.sum("b").over(every).alias("m"))
+    placed = before(values, "value", ["a", "b"], keys)
+    total = F.broadcast(placed.groupBy(*keys).agg(F.sum("a").alias("n"), F.sum("b").alias("m")))
+    placed = placed.join(total, keys) if keys else placed.crossJoin(total)
+    at = placed.select(*keys, (F.col("a_before") + F.col("a")).alias("ca"), (F.col("b_before") + F.col("b")).alias("cb"), "n", "m")
     return at.groupBy(*keys).agg(F.max(F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))).alias("d"), F.first("n").alias("n"), F.first("m").alias("m"))
 
 
@@ -122,8 +124,7 @@ def mann_whitney(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys.., u, z) of rows (keys.., side 0/1, value): U of side 0 and its normal score with tie correction."""
     keys = keys or []
     values = rows.groupBy(*keys, "value").agg(F.count("*").alias("c"), F.count_if(F.col("side") == 0).alias("a"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = values.withColumn("rank", before + (F.col("c") + 1) / 2.0)
+    at = before(values, "value", ["c"], keys).withColumn("rank", F.col("c_before") + (F.col("c") + 1) / 2.0)
     c = F.col("c").cast("double")
     one = at.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("a")).alias("r"), F.sum("a").alias("n"), (F.sum("c") - F.sum("a")).alias("m"), F.sum(c * c * c - c).alias("ties"))
     n, m = F.col("n").cast("double"), F.col("m").cast("double")

@@ -5,7 +5,6 @@ Numbers that depend on the order of summation are rounded on both sides.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +19,7 @@ from telesift.operators import prep as P
 from telesift.operators import rolling as R
 from telesift.operators import stats as S
 from telesift.sources import telemetry as T
+from telesift.sources.durable import place
 from telesift.sources.telemetry import CHANNELS, MULTI_SQL, SINGLE_SQL
 from telesift.streaming import live
 
@@ -89,9 +89,7 @@ def _(spark, d):
 
 
 def _kept(df: DataFrame, kind: str) -> str:
-    """A new path in the shared folder; an own folder only where none is set."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="telesift-")
-    return f"{folder}/{kind}-{uuid.uuid4().hex}"
+    return place(df.sparkSession, kind)
 
 
 @query("io2_typed_csv", s(" SELECT id AS timestamp, round(CAST(channel_41 AS FLOAT), 3) AS channel_41, CAST(channel_42 AS FLOAT) AS channel_42, is_anomaly FROM t"))
@@ -113,14 +111,16 @@ def _(spark, d):
 
 def _flagged(spark, d):
     df = single(spark, d)
-    return detectors.global_std(df, P.nominal(df), CHANNELS[:3], 1.5, "pred")
+    return detectors.global_std(df, P.nominal(df), CHANNELS, 2.5, "pred")
 
 
-FLAGGED = ", " + """f AS (SELECT avg(channel_41) m1, stddev_pop(channel_41) s1, avg(channel_42) m2, stddev_pop(channel_42) s2, avg(channel_43) m3, stddev_pop(channel_43) s3 FROM t WHERE is_anomaly = 0),
-g AS (SELECT t.*, CASE WHEN abs(channel_41 - m1) > {n} * s1 OR abs(channel_42 - m2) > {n} * s2 OR abs(channel_43 - m3) > {n} * s3 THEN 1 ELSE 0 END AS pred FROM t, f)"""
+FLAGGED = (
+    ", f AS (SELECT " + ", ".join(f"avg({c}) AS m{c[-2:]}, stddev_pop({c}) AS s{c[-2:]}" for c in CHANNELS) + " FROM t WHERE is_anomaly = 0), g AS (SELECT t.*, CASE WHEN "
+    + " OR ".join(f"abs({c} - m{c[-2:]}) > {{n}} * s{c[-2:]}" for c in CHANNELS) + " THEN 1 ELSE 0 END AS pred FROM t, f)"
+)
 
 
-@query("io4_binary_result", s(FLAGGED.format(n=1.5) + " SELECT id, pred AS is_anomaly FROM g"))
+@query("io4_binary_result", s(FLAGGED.format(n=2.5) + " SELECT id, pred AS is_anomaly FROM g"))
 def _(spark, d):
     df = _flagged(spark, d).select("id", F.col("pred").alias("is_anomaly"))
     path = _kept(df, "result")
@@ -188,9 +188,9 @@ def _(spark, d):
     return P.to_numbers(df, ["word", "digit"])
 
 
-@query("p3_dense_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders")
+@query("p3_dense_index", "SELECT o_orderkey, o_totalprice, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders")
 def _(spark, d):
-    return P.dense_index(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), "o_orderkey")
+    return P.dense_index(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus"), "o_orderkey")
 
 
 @query("p4_nominal", m(" SELECT series_id, count(*) AS n FROM t WHERE is_anomaly = 0 GROUP BY series_id"))
@@ -346,7 +346,7 @@ def _(spark, d):
     return rounded(S.contamination(single(spark, d)), "contamination")
 
 
-@query("a9_flag_totals", s(FLAGGED.format(n=1.5) + " SELECT CAST(sum(pred) AS BIGINT) AS flags, round(avg(pred), 6) AS rate FROM g"))
+@query("a9_flag_totals", s(FLAGGED.format(n=2.5) + " SELECT CAST(sum(pred) AS BIGINT) AS flags, round(avg(pred), 6) AS rate FROM g"))
 def _(spark, d):
     return _flagged(spark, d).agg(F.sum("pred").alias("flags"), F.round(F.avg("pred"), 6).alias("rate"))
 
@@ -409,19 +409,19 @@ def z_sql(size: int, source: str = "t", channel: str = "channel_41", least: int
     return f"CASE WHEN count({channel}) {w} >= {least} THEN abs({channel} - avg({channel}) {w}) / greatest(coalesce(stddev_samp({channel}) {w}, 0.000001), 0.000001) END"
 
 
-@query("a18_parameter_grid", s(f", z AS (SELECT {z_sql(50)} AS z50, {z_sql(100)} AS z100 FROM t) " + " UNION ALL ".join(f"SELECT {w} AS size, CAST({x} AS DOUBLE) AS threshold, count(*) FILTER (z{w} > {x}) AS flags, round(avg(CASE WHEN z{w} > {x} THEN 1.0 ELSE 0.0 END), 6) AS rate FROM z" for w in (50, 100) for x in (2.0, 2.5, 3.0))))
+@query("a18_parameter_grid", s(f", z AS (SELECT {z_sql(50)} AS z50, {z_sql(100)} AS z100, {z_sql(200)} AS z200 FROM t) " + " UNION ALL ".join(f"SELECT {w} AS size, CAST({x} AS DOUBLE) AS threshold, count(*) FILTER (z{w} > {x}) AS flags, round(avg(CASE WHEN z{w} > {x} THEN 1.0 ELSE 0.0 END), 6) AS rate FROM z" for w in (50, 100, 200) for x in (3.0, 3.5, 4.0, 4.5, 5.0))))
 def _(spark, d):
     df = single(spark, d)
-    out = R.over_frames(df, 50, 50, lambda f: {f"z{w}": F.abs(F.col("channel_41") - R.local_stats(f, "channel_41", w, 1, 1e-6)[0]) / R.local_stats(f, "channel_41", w, 1, 1e-6)[1] for w in (50, 100)}, CHUNK)
-    rows = S.long_form(out.select(F.col("z50").alias("50"), F.col("z100").alias("100")), ["50", "100"], [], "size", "z")
-    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (2.0, 2.5, 3.0)]))).withColumn("hit", (F.col("z") > F.col("threshold")).cast("int"))
+    out = R.over_frames(df, 100, 100, lambda f: {f"z{w}": F.abs(F.col("channel_41") - R.local_stats(f, "channel_41", w, 1, 1e-6)[0]) / R.local_stats(f, "channel_41", w, 1, 1e-6)[1] for w in (50, 100, 200)}, CHUNK)
+    rows = S.long_form(out.select(F.col("z50").alias("50"), F.col("z100").alias("100"), F.col("z200").alias("200")), ["50", "100", "200"], [], "size", "z")
+    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (3.0, 3.5, 4.0, 4.5, 5.0)]))).withColumn("hit", (F.col("z") > F.col("threshold")).cast("int"))
     return rows.groupBy(F.col("size").cast("int").alias("size"), "threshold").agg(F.sum("hit").alias("flags"), F.round(F.avg("hit"), 6).alias("rate"))
 
 
 POINT = " SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(1.25 * (tp / (tp + fp)) * (tp / (tp + fn)) / (0.25 * (tp / (tp + fp)) + tp / (tp + fn)), 6) AS f_beta FROM (SELECT count(*) FILTER (pred = 1 AND is_anomaly = 1) AS tp, count(*) FILTER (pred = 1 AND is_anomaly = 0) AS fp, count(*) FILTER (pred = 0 AND is_anomaly = 1) AS fn FROM g)"
 
 
-@query("a19_pointwise", s(FLAGGED.format(n=1.5) + POINT))
+@query("a19_pointwise", s(FLAGGED.format(n=2.5) + POINT))
 def _(spark, d):
     return rounded(M.pointwise(_flagged(spark, d), "pred", "is_anomaly"), "precision", "recall", "f_beta")
 
@@ -465,7 +465,7 @@ def _(spark, d):
     return rounded(M.roc_auc(scored(single(spark, d)), "a", "is_anomaly"), "auc")
 
 
-@query("a25_confusion", s(FLAGGED.format(n=1.5) + " SELECT is_anomaly AS label, pred AS flag, count(*) AS n FROM g GROUP BY 1, 2"))
+@query("a25_confusion", s(FLAGGED.format(n=2.5) + " SELECT is_anomaly AS label, pred AS flag, count(*) AS n FROM g GROUP BY 1, 2"))
 def _(spark, d):
     return M.confusion(_flagged(spark, d), "pred", "is_anomaly")
 
@@ -553,12 +553,16 @@ def _(spark, d):
     return rounded(out.select("series_id", "rn", "corr"), "corr", digits=5)
 
 
-FORECAST = ", fw AS (SELECT k, exp(-1 + (k - 1) / 49.0) / (SELECT sum(exp(-1 + (i - 1) / 49.0)) FROM range(1, 51) r(i)) AS w FROM range(1, 51) q(k)), fc AS (SELECT a.rn, sum(w * b.channel_41) AS p1, sum(w * b.channel_42) AS p2 FROM t a, fw, t b WHERE b.rn = a.rn - 51 + fw.k AND a.rn >= 50 GROUP BY a.rn), fe AS (SELECT t.rn, coalesce((abs(channel_41 - p1) + abs(channel_42 - p2)) / 2, 0) AS error FROM t LEFT JOIN fc ON t.rn = fc.rn)"
+FORECAST = (
+    ", fw AS (SELECT k, exp(-1 + (k - 1) / 49.0) / (SELECT sum(exp(-1 + (i - 1) / 49.0)) FROM range(1, 51) r(i)) AS w FROM range(1, 51) q(k)), fc AS (SELECT a.rn, "
+    + ", ".join(f"sum(w * b.{c}) AS p{c[-2:]}" for c in CHANNELS) + " FROM t a, fw, t b WHERE b.rn = a.rn - 51 + fw.k AND a.rn >= 50 GROUP BY a.rn), fe AS (SELECT t.rn, coalesce(("
+    + " + ".join(f"abs({c} - p{c[-2:]})" for c in CHANNELS) + ") / 6, 0) AS error FROM t LEFT JOIN fc ON t.rn = fc.rn)"
+)
 
 
 @query("w7_forecast_error", s(FORECAST + " SELECT rn, round(error, 5) AS error FROM fe"))
 def _(spark, d):
-    return rounded(R.forecast_error(single(spark, d), CHANNELS[:2], 50, CHUNK).select("rn", "error"), "error", digits=5)
+    return rounded(R.forecast_error(single(spark, d), CHANNELS, 50, CHUNK).select("rn", "error"), "error", digits=5)
 
 
 @query("w8_cumulative", s(", q AS (SELECT rn, CASE WHEN rn >= 10 THEN sum(channel_41) OVER (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) ELSE 0 END AS c FROM t) SELECT rn, round(c / (SELECT max(c) FROM q), 6) AS cumulative FROM q"))
@@ -639,19 +643,19 @@ def _(spark, d):
     return rounded(R.combine_horizons(rows, "exp"), "y_hat")
 
 
-ERROR_STREAM = ", q AS (SELECT t.*, avg(greatest(channel_41, channel_42, channel_45)) OVER (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS a FROM t), es AS (SELECT q.*, (a - (SELECT min(a) FROM q)) / ((SELECT max(a) FROM q) - (SELECT min(a) FROM q) + 1e-12) AS score FROM q)"
+ERROR_STREAM = f", q AS (SELECT t.*, avg(greatest({", ".join(CHANNELS)})) OVER (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS a FROM t), es AS (SELECT q.*, (a - (SELECT min(a) FROM q)) / ((SELECT max(a) FROM q) - (SELECT min(a) FROM q) + 1e-12) AS score FROM q)"
 
 
 @query("w22_error_stream", s(ERROR_STREAM + " SELECT rn, round(score, 6) AS score FROM es"))
 def _(spark, d):
-    return rounded(detectors.error_stream(single(spark, d), ["channel_41", "channel_42", "channel_45"], 51, CHUNK).select("rn", "score"), "score")
+    return rounded(detectors.error_stream(single(spark, d), CHANNELS, 51, CHUNK).select("rn", "score"), "score")
 
 
 @query("w23_cdf", s(" SELECT channel_42, CAST(count(*) AS BIGINT) AS n, round(max(c), 6) AS share FROM (SELECT channel_42, cume_dist() OVER (ORDER BY channel_42) AS c FROM t) GROUP BY channel_42"))
 def _(spark, d):
     values = single(spark, d).groupBy("channel_42").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return values.select("channel_42", "n", F.round(F.sum("n").over(Window.orderBy("channel_42")) / total, 6).alias("share"))
+    placed = S.with_row(P.before(values, "channel_42", ["n"]), values.agg(F.sum("n").alias("total")))
+    return placed.select("channel_42", "n", F.round((F.col("n_before") + F.col("n")) / F.col("total"), 6).alias("share"))
 
 
 # --- top rows and sets
@@ -686,10 +690,11 @@ def _(spark, d):
     return df.select("rn").join(df.filter("channel_41 > 60").select("rn"), "rn", "left_anti")
 
 
-@query("u4_fragments", m(" SELECT round(avg(channel_41), 6) AS mean, round(stddev_pop(channel_41), 6) AS std FROM t WHERE series_id IN (1, 2, 3)"))
+@query("u4_fragments", m(" SELECT round(avg(channel_41), 6) AS mean, round(stddev_pop(channel_41), 6) AS std FROM t"))
 def _(spark, d):
     df = multi(spark, d)
-    both = df.filter("series_id = 1").unionByName(df.filter("series_id = 2")).unionByName(df.filter("series_id = 3"))
+    # fragments of one table by parity of the series, put together again
+    both = df.filter("series_id % 2 = 0").unionByName(df.filter("series_id % 2 <> 0"))
     return rounded(both.agg(F.avg("channel_41").alias("mean"), F.stddev_pop("channel_41").alias("std")), "mean", "std")
 
 
@@ -772,7 +777,7 @@ def _(spark, d):
 # --- jobs
 
 
-@query("d1_global_std", s(FLAGGED.format(n=1.5) + ", r AS (SELECT series_id, rn, rn - row_number() OVER (ORDER BY rn) AS g FROM g WHERE pred = 1), p AS (SELECT series_id, min(rn) AS start_rn, max(rn) AS end_rn FROM r GROUP BY 1, r.g), r2 AS (SELECT series_id, rn, rn - row_number() OVER (ORDER BY rn) AS g FROM t WHERE is_anomaly = 1), e AS (SELECT series_id, min(rn) AS start_rn, max(rn) AS end_rn FROM r2 GROUP BY 1, r2.g)" + EVENTWISE.format(top="tp")))
+@query("d1_global_std", s(FLAGGED.format(n=2.5) + ", r AS (SELECT series_id, rn, rn - row_number() OVER (ORDER BY rn) AS g FROM g WHERE pred = 1), p AS (SELECT series_id, min(rn) AS start_rn, max(rn) AS end_rn FROM r GROUP BY 1, r.g), r2 AS (SELECT series_id, rn, rn - row_number() OVER (ORDER BY rn) AS g FROM t WHERE is_anomaly = 1), e AS (SELECT series_id, min(rn) AS start_rn, max(rn) AS end_rn FROM r2 GROUP BY 1, r2.g)" + EVENTWISE.format(top="tp")))
 def global_std_job(spark, d):
     flagged = _flagged(spark, d)
     return rounded(M.eventwise(E.extract(flagged, "pred"), E.extract(flagged, "is_anomaly")), "precision", "recall", "f05")
@@ -786,10 +791,14 @@ def _(spark, d):
     return out.select("id", "flag3", "flag5")
 
 
-@query("d3_local_std", s(f", q AS (SELECT rn, {z_sql(100)} AS z1, {z_sql(100, channel='channel_45')} AS z5 FROM t) SELECT rn, CAST(z1 > 2.5 AS INTEGER) AS channel_41_flag, CAST(z5 > 2.5 AS INTEGER) AS channel_45_flag, CAST(z1 > 2.5 OR z5 > 2.5 AS INTEGER) AS flag FROM q"))
+_z3 = ", ".join(f"{z_sql(100, channel=c)} AS z{c[-2:]}" for c in CHANNELS)
+_f3 = ", ".join(f"CAST(z{c[-2:]} > 2.5 AS INTEGER) AS {c}_flag" for c in CHANNELS)
+
+
+@query("d3_local_std", s(f", q AS (SELECT rn, {_z3} FROM t) SELECT rn, {_f3}, CAST({' OR '.join(f'z{c[-2:]} > 2.5' for c in CHANNELS)} AS INTEGER) AS flag FROM q"))
 def _(spark, d):
-    out = detectors.local_std(single(spark, d), ["channel_41", "channel_45"], 100, 2.5, chunk=CHUNK)
-    return out.select("rn", "channel_41_flag", "channel_45_flag", "flag")
+    out = detectors.local_std(single(spark, d), CHANNELS, 100, 2.5, chunk=CHUNK)
+    return out.select("rn", *[f"{c}_flag" for c in CHANNELS], "flag")
 
 
 @query("d4_isolation_forest")
@@ -801,7 +810,7 @@ def _(spark, d):
 
 @query("d5_forecast_detector", s(FORECAST + ", c AS (SELECT rn, error, CASE WHEN rn >= 10 THEN sum(error) OVER (ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) ELSE 0 END AS c FROM fe), w AS (SELECT rn, 0.7 * error + 0.3 * c / (SELECT max(c) FROM c) AS x FROM c) SELECT rn, round((x - (SELECT min(x) FROM w)) / ((SELECT max(x) FROM w) - (SELECT min(x) FROM w)), 5) AS score FROM w"))
 def _(spark, d):
-    return rounded(detectors.forecast_scores(single(spark, d), CHANNELS[:2], 50, CHUNK).select("rn", "score"), "score", digits=5)
+    return rounded(detectors.forecast_scores(single(spark, d), CHANNELS, 50, CHUNK).select("rn", "score"), "score", digits=5)
 
 
 def _components(spark, d):
@@ -834,7 +843,7 @@ def _(spark, d):
     return detectors.predict(_ensemble(spark, d), 0.6).select("id", "is_anomaly")
 
 
-GRID = M.grid(21)
+GRID = M.grid()
 
 
 def sweep_sql(source: str, score: str, op: str, shortest: int, gap: int) -> str:
@@ -855,7 +864,7 @@ def _(spark, d):
     return rounded(M.calibrate(scored(df), "a", E.extract(df, "is_anomaly"), GRID, 2, 3), "threshold", "precision", "recall", "f05")
 
 
-@query("d8_t3_best_threshold")
+@query("d8_t3_best_threshold", "SELECT CASE WHEN f05 > 0 THEN threshold ELSE 0.5 END AS threshold, f05 AS metric FROM (" + m(TRUE + SCORES + sweep_sql("sc", "a", ">=", 2, 3)) + ") ORDER BY f05 DESC, threshold LIMIT 1")
 def _(spark, d):
     df = multi(spark, d)
     return rounded(M.best_threshold(M.calibrate(scored(df), "a", E.extract(df, "is_anomaly"), M.grid(), 2, 3)), "threshold", "metric")
@@ -864,7 +873,7 @@ def _(spark, d):
 @query("d9_error_adapter", s(TRUE + ERROR_STREAM + sweep_sql("es", "score", ">", 3, 2)))
 def _(spark, d):
     df = single(spark, d)
-    stream = detectors.error_stream(df, ["channel_41", "channel_42", "channel_45"], 51, CHUNK)
+    stream = detectors.error_stream(df, CHANNELS, 51, CHUNK)
     return rounded(M.calibrate(stream, "score", E.extract(df, "is_anomaly"), GRID, 3, 2, strict=True), "threshold", "precision", "recall", "f05")
 
 

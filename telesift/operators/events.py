@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telesift.operators.stats import exact_percentiles
+
 EDGE = 100_000  # positions in a block
 
 
@@ -79,7 +81,7 @@ def keep_scores(df: DataFrame, score: str, events: DataFrame) -> DataFrame:
 
 def budget(df: DataFrame, column: str, share: float) -> DataFrame:
     """Only scores at or above the (1 - share) percentile of the positive ones stay; the others become 0."""
-    limit = df.filter(F.col(column) > 0).agg(F.percentile(column, F.lit(1 - share)).alias("_limit"))
+    limit = exact_percentiles(df.filter(F.col(column) > 0), {"_limit": (column, 1 - share)})
     return df.crossJoin(F.broadcast(limit)).withColumn(column, F.when(F.col(column) >= F.col("_limit"), F.col(column)).otherwise(0.0)).drop("_limit")
 
 

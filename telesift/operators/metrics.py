@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from telesift.functions.scores import f_beta
 from telesift.operators.events import merge, overlaps, prune
+from telesift.operators.prep import before
+from telesift.operators.rolling import over_frames
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -103,8 +105,7 @@ def strict_eventwise(predicted: DataFrame, true: DataFrame, beta: float = 0.5, l
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row auc, by average ranks: values are counted first, so ties cost nothing."""
     values = df.groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n"), F.sum(label).alias("ones"))
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("rank", F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    ranked = before(values, "v", ["n"]).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
     one = ranked.agg(F.sum(F.col("rank") * F.col("ones")).alias("r"), F.sum("ones").alias("p"), F.sum(F.col("n") - F.col("ones")).alias("q"))
     return one.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
@@ -118,27 +119,32 @@ def grid(steps: int = 200) -> list[float]:
     return [i * (1.0 / (steps - 1)) for i in range(steps - 1)] + [1.0]
 
 
-def threshold_events(df: DataFrame, score: str, thresholds: list[float], strict: bool = False) -> DataFrame:
+def threshold_events(df: DataFrame, score: str, thresholds: list[float], strict: bool = False, block: int = 20_000) -> DataFrame:
     """(series_id, threshold, start_rn, end_rn): events of score >= t (or > t) for every threshold at once.
 
     A row opens an event for just the thresholds between its neighbour's score and its own, so only those are
     exploded: the rows made are the events' ends, not rows times thresholds. Opens and closes are
-    numbered per threshold and joined.
+    numbered per threshold, block of positions by block, and joined. Positions of a series follow one another.
     """
-    w = Window.partitionBy("series_id").orderBy("rn")
     values = F.array(*[F.lit(float(t)) for t in thresholds])
     s = F.coalesce(F.col(score), F.lit(float("-inf")))
-    rows = df.select("series_id", "rn", s.alias("s"), F.coalesce(F.lag(s).over(w), F.lit(float("-inf"))).alias("before"), F.coalesce(F.lead(s).over(w), F.lit(float("-inf"))).alias("after"))
+    none = F.lit(float("-inf"))
+    rows = over_frames(df.select("series_id", "rn", s.alias("s")), 1, 1, lambda f: {"before": F.coalesce(f.lag("s"), none), "after": F.coalesce(f.lag("s", -1), none)}, block)
 
     def ends(neighbour: str, name: str) -> DataFrame:
         inside = (lambda t: (F.col(neighbour) <= t) & (t < F.col("s"))) if strict else (lambda t: (F.col(neighbour) < t) & (t <= F.col("s")))
         made = rows.filter(F.col(neighbour) < F.col("s")).select("series_id", F.col("rn").alias(name), F.explode(F.filter(values, inside)).alias("threshold"))
-        return made.withColumn("k", F.row_number().over(Window.partitionBy("series_id", "threshold").orderBy(name)))
+        made = made.withColumn("block", F.floor(F.col(name) / block))
+        keys = ["series_id", "threshold"]
+        run = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        begins = made.groupBy(*keys, "block").agg(F.count("*").alias("n")).select(*keys, "block", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("begin"))
+        made = made.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "block").orderBy(name))).join(begins, [*keys, "block"])
+        return made.select(*keys, name, (F.col("begin") + F.col("k")).alias("k"))
 
     return ends("before", "start_rn").join(ends("after", "end_rn"), ["series_id", "threshold", "k"]).drop("k")
 
 
-def calibrate(df: DataFrame, score: str, true: DataFrame, thresholds: list[float], shortest: int = 2, gap: int = 8, strict: bool = False, metric: str = "f05") -> DataFrame:
+def calibrate(df: DataFrame, score: str, true: DataFrame, thresholds: list[float], shortest: int = 2, gap: int = 8, strict: bool = False) -> DataFrame:
     """(threshold, n_pred, n_true, tp, precision, recall, f05) of each threshold after pruning and merging."""
     keys = ["series_id", "threshold"]
     events = merge(prune(threshold_events(df, score, thresholds, strict), shortest), gap, keys)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telesift.sources.durable import written
+
 
 def valid_channels(raw: list[str], known: list[str], sort: bool = False) -> list[str]:
     """Known channels among raw names: trimmed, without byte order mark or repeats; all known if none is left."""
@@ -29,18 +31,27 @@ def to_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(number(c)), number(c)) for c in columns})
 
 
-def dense_index(df: DataFrame, order: str, name: str = "rn") -> DataFrame:
-    """Position 0..n-1 by `order`, without bringing all rows to one task.
+def before(df: DataFrame, order: str, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """df with <column>_before: the sum of a column over all rows of the same keys that come before by `order`, no task seeing them all.
 
-    Rows are range-partitioned and numbered inside; the counts of the partitions, one small row each,
-    give the offsets.
+    Rows are range-partitioned and written with their part, so that borders are drawn once; sums run inside a part,
+    and the sums of the parts, some small rows each, give what lies before it. Rows of equal order are taken one after another.
     """
-    parts = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count("*").alias("n"), F.min(order).alias("lo"))
-    begin = F.coalesce(F.sum("n").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", begin.alias("_begin"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return parts.withColumn("_inner", inner).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_begin") + F.col("_inner")).cast("long")).drop("_part", "_inner", "_begin")
+    keys = keys or []
+    parts = written(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    run = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(c) for c in columns])
+    begins = sums.select(*keys, "_part", *[zero(F.sum(c).over(run)).alias(f"_{c}_begin") for c in columns])
+    inner = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumns({f"_{c}_inner": zero(F.sum(c).over(inner)) for c in columns}).join(F.broadcast(begins), [*keys, "_part"])
+    return rows.select(*df.columns, *[(F.col(f"_{c}_begin") + F.col(f"_{c}_inner")).alias(f"{c}_before") for c in columns])
+
+
+def dense_index(df: DataFrame, order: str, name: str = "rn") -> DataFrame:
+    """Position 0..n-1 by `order`, without bringing all rows to one task."""
+    placed = before(df.withColumn("_one", F.lit(1)), order, ["_one"])
+    return placed.withColumn(name, F.col("_one_before").cast("long")).drop("_one", "_one_before")
 
 
 def chunked(df: DataFrame, before: int, after: int, size: int) -> DataFrame:

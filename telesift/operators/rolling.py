@@ -145,12 +145,19 @@ def ewma(df: DataFrame, column: str, span: int, chunk: int = 20_000, out: str =
     rows = df.withColumn("chunk", F.floor(F.col("rn") / chunk))
     names = df.columns
 
+    size = 128
+    powers = q ** np.arange(size + 1)
+    triangle = np.tril(q ** np.maximum(np.subtract.outer(np.arange(size), np.arange(size)), 0).astype(float))
+
     def recur(x: np.ndarray, start: float) -> np.ndarray:
-        done, value = np.empty(len(x)), start
-        for i, v in enumerate(x.tolist()):
-            value = v + q * value
-            done[i] = value
-        return done
+        """y[i] = x[i] + q * y[i - 1], a block of values at once; only the carry goes from block to block."""
+        blocks = np.zeros((-(-len(x) // size), size))
+        blocks.ravel()[: len(x)] = x
+        done, carry = blocks @ triangle.T, start
+        for row in done:
+            row += powers[1:] * carry
+            carry = row[-1]
+        return done.ravel()[: len(x)]
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("rn")[column].to_numpy(dtype=float)

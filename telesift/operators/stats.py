@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telesift.operators.prep import before
+
 
 def long_form(df: DataFrame, columns: list[str], keys: list[str], name: str = "channel", value: str = "value") -> DataFrame:
     return df.unpivot(keys, columns, name, value)
@@ -52,12 +54,35 @@ def scaling_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.select("channel", F.when(F.col("is_binary"), F.col("lo")).otherwise(F.col("mean")).alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std"))
 
 
+def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], keys: list[str] | None = None) -> DataFrame:
+    """(keys.., a column for each name of wanted = {name: (column, share)}): exact, by linear interpolation.
+
+    Equal values are counted first; counts are summed up over ranges of values, and only the two rows around each
+    wanted rank are looked at, so no task holds all values.
+    """
+    keys = keys or []
+    found = None
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        mine = [(name, share) for name, (c, share) in wanted.items() if c == column]
+        values = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+        placed = before(values, "_v", ["_n"], keys)
+        asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(share).alias("share")) for name, share in mine])).alias("x")
+        ranks = placed.groupBy(*keys).agg(F.sum("_n").alias("_all")).select(*keys, "_all", asked).select(*keys, "x.name", (F.col("x.share") * (F.col("_all") - 1)).alias("_at"))
+        lo, hi, begin, end = F.floor("_at"), F.ceil("_at"), F.col("_n_before"), F.col("_n_before") + F.col("_n")
+        both = placed.join(F.broadcast(ranks), keys) if keys else placed.crossJoin(F.broadcast(ranks))
+        both = both.filter((begin <= hi) & (end > lo)).groupBy(*keys, "name", "_at").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        value = F.when(lo == hi, F.col("_a")).otherwise((hi - F.col("_at")) * F.col("_a") + (F.col("_at") - lo) * F.col("_b"))
+        both = both.select(*keys, "name", value.alias("_v"))
+        found = both if found is None else found.union(both)
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in wanted])
+
+
 def median_mad(df: DataFrame, columns: list[str]) -> DataFrame:
     """(channel, median, mad): exact, in two passes."""
     rows = long_form(df.select(*columns), columns, [])
-    medians = rows.groupBy("channel").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    medians = exact_percentiles(rows, {"median": ("value", 0.5)}, ["channel"])
     apart = rows.join(F.broadcast(medians), "channel").withColumn("apart", F.abs(F.col("value") - F.col("median")))
-    return apart.groupBy("channel").agg(F.first("median").alias("median"), F.percentile("apart", F.lit(0.5)).alias("mad"))
+    return medians.join(exact_percentiles(apart, {"mad": ("apart", 0.5)}, ["channel"]), "channel")
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -69,8 +94,10 @@ def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def percentiles(df: DataFrame, column: str, shares: list[float], exact: bool = True) -> DataFrame:
     """One row p<share in percent>: linear interpolation, or approximate for very many distinct values."""
-    of = (lambda s: F.percentile(column, F.lit(s))) if exact else (lambda s: F.percentile_approx(column, F.lit(s), F.lit(100_000)))
-    return df.agg(*[of(s).alias(f"p{s * 100:g}".replace(".", "_")) for s in shares])
+    names = {s: f"p{s * 100:g}".replace(".", "_") for s in shares}
+    if exact:
+        return exact_percentiles(df, {names[s]: (column, s) for s in shares})
+    return df.agg(*[F.percentile_approx(column, F.lit(s), F.lit(100_000)).alias(names[s]) for s in shares])
 
 
 def contamination(df: DataFrame, label: str = "is_anomaly", default: float = 0.01) -> DataFrame:
