@@ -612,13 +612,21 @@ def _(spark, d):
     return E.dilate(df, "hit", 5)
 
 
-def _errors(spark, d):
-    return residual.residuals(*_forecast(single(spark, d)), chunk=CHUNK)
+def _observed(spark, d):
+    """Smoothed errors of each row beside the value that was observed there."""
+    actual, forecast = _forecast(single(spark, d))
+    return residual.residuals(actual, forecast, chunk=CHUNK).withColumn("rn", F.col("rn") - 1).join(actual.withColumnRenamed("y", "value"), ["series_id", "rn"])
 
 
 @query("w16_w18_d14_dynamic_thresholds")
 def _(spark, d):
-    return residual.dynamic_thresholds(_errors(spark, d))
+    return residual.dynamic_thresholds(_observed(spark, d))
+
+
+@query("d14_channel_flags")
+def _(spark, d):
+    errors = _observed(spark, d)
+    return rounded(residual.channel_flags(errors, residual.dynamic_thresholds(errors)).select("rn", "error", "flag"), "error", digits=5)
 
 
 @query("w19_ewma")
