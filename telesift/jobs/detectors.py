@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telesift.functions.scores import abs_z, blend, min_max, outside, percentile_scale, row_percentile, z_to_score
 from telesift.operators.events import extract, mark, prune_then_merge
-from telesift.operators.metrics import best_threshold, calibrate, grid
+from telesift.operators.metrics import best_threshold, calibrate, grid, strict_sweep
 from telesift.operators.rolling import cumulative, forecast_error, local_z, over_frames
 from telesift.operators.stats import exact_percentiles, stats_row, with_row
 from telesift.sources.durable import written
@@ -73,8 +73,15 @@ def predict(rows: DataFrame, threshold: float, shortest: int = 2, gap: int = 8)
     return mark(flagged.drop("_flag"), prune_then_merge(flagged, "_flag", shortest, gap), "is_anomaly")
 
 
-def calibrated(rows: DataFrame, label: str = "is_anomaly", steps: int = 200, shortest: int = 2, gap: int = 8) -> DataFrame:
-    """(threshold, metric): the best of evenly spaced thresholds by event F0.5 against the label's events."""
+def calibrated(rows: DataFrame, label: str = "is_anomaly", steps: int = 200, shortest: int = 2, gap: int = 8, strict: bool = False, ends: tuple[float, float] = (0.02, 0.2)) -> DataFrame:
+    """(threshold, metric): the best of evenly spaced thresholds by event F0.5 against the label's events.
+
+    strict: thresholds between ends, scores above them, and each true event matched once; the lowest of the best ones, whatever it reaches.
+    """
+    if strict:
+        lo, hi = ends
+        table = strict_sweep(rows, "score", extract(rows, label), [lo + i * (hi - lo) / (steps - 1) for i in range(steps)], shortest, gap)
+        return table.orderBy(F.col("f_beta").desc(), "threshold").limit(1).select("threshold", F.col("f_beta").alias("metric"))
     return best_threshold(calibrate(rows, "score", extract(rows, label), grid(steps), shortest, gap))
 
 

@@ -907,9 +907,17 @@ def _(spark, d):
 def _(spark, d):
     df = scored(single(spark, d))
     _, held = P.chronological(df, P.cut_position(df.count(), 0.15))
-    best = detectors.calibrated(held.withColumn("score", F.col("a")), shortest=1, gap=2)
-    flagged = S.with_row(held, best).withColumn("hit", (F.col("a") >= F.col("threshold")).cast("int"))
-    return rounded(M.strict_eventwise(E.extract(flagged, "hit"), E.extract(held, "is_anomaly")), "precision", "recall", "f_beta")
+    held = held.withColumn("score", F.col("a"))
+    best = detectors.calibrated(held, steps=200, shortest=7, gap=0, strict=True)
+    flagged = S.with_row(held, best).withColumn("hit", (F.col("a") > F.col("threshold")).cast("int"))
+    return rounded(M.strict_eventwise(E.prune_then_merge(flagged, "hit", 7, 0), E.extract(held, "is_anomaly")), "precision", "recall", "f_beta")
+
+
+@query("d8_strict_sweep")
+def _(spark, d):
+    df = multi(spark, d)
+    steps = [0.02 + i * 0.18 / 199 for i in range(200)]
+    return rounded(M.strict_sweep(scored(df), "a", E.extract(df, "is_anomaly"), steps, 2, 3), "threshold", "precision", "recall", "f_beta")
 
 
 @query("d15_training_set", s(FRAGMENTS + ", q AS (SELECT g, rn - min(rn) OVER (PARTITION BY g) AS k, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (ORDER BY rn) - 1 AS idx, count(*) OVER () AS total FROM fr) SELECT CASE WHEN idx < round(0.8 * total) THEN 'train' ELSE 'validation' END AS part, count(*) AS samples FROM q WHERE n > 12 AND k < n - 12 GROUP BY 1"))

@@ -10,6 +10,7 @@ from telesift.functions.scores import f_beta
 from telesift.operators.events import merge, overlaps, prune
 from telesift.operators.prep import before
 from telesift.operators.rolling import over_frames
+from telesift.sources.durable import written
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -67,32 +68,45 @@ def greedy_matches(predicted: DataFrame, true: DataFrame, least: float = 0.2, io
 
     Overlapping events form clusters that cannot influence one another; a cluster is matched in one task.
     """
-    pairs = overlaps(predicted, true)
+    predicted = written(predicted)
+    pairs = written(overlaps(predicted, true))
     spans = pairs.select("series_id", F.least("p_start", "t_start").alias("start_rn"), F.greatest("p_end", "t_end").alias("end_rn"))
-    clusters = merge(spans, -1).select(F.col("series_id").alias("s"), F.col("start_rn").alias("c_start"), F.col("end_rn").alias("c_end"))
+    clusters = written(merge(spans, -1)).select(F.col("series_id").alias("s"), F.col("start_rn").alias("c_start"), F.col("end_rn").alias("c_end"))
     found = overlaps(predicted, clusters.select(F.col("s").alias("series_id"), F.col("c_start").alias("start_rn"), F.col("c_end").alias("end_rn")))
     found = found.select("series_id", "p_start", F.col("t_start").alias("cluster"))
     rows = pairs.join(found, ["series_id", "p_start"])
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for (series, start), mine in pdf.sort_values(["p_start", "t_start"]).groupby(["series_id", "p_start"], sort=True):
-            best, ratio = None, 0.0
-            for r in mine.itertuples():
-                if r.t_start in used:
+    def match(batches):
+        """One predicted event after the other, as its rows come by; of a cluster only its used true events are kept."""
+        event, cluster, best, ratio, used = None, None, None, 0.0, set()
+
+        def taken(out: list) -> None:
+            if best is not None and ratio >= least:
+                used.add(best)
+                out.append((event[0], event[1], best, ratio))
+
+        for pdf in batches:
+            out: list[tuple] = []
+            for series, c, p_start, p_end, t_start, t_end in zip(*(pdf[x].tolist() for x in ("series_id", "cluster", "p_start", "p_end", "t_start", "t_end")), strict=True):
+                if (series, p_start) != event or (series, c) != cluster:
+                    taken(out)
+                    event, best, ratio = (series, p_start), None, 0.0
+                    if (series, c) != cluster:
+                        cluster, used = (series, c), set()
+                if t_start in used:
                     continue
-                shared = min(r.p_end, r.t_end) - max(r.p_start, r.t_start) + 1
-                p, t = r.p_end - r.p_start + 1, r.t_end - r.t_start + 1
+                shared = min(p_end, t_end) - max(p_start, t_start) + 1
+                p, t = p_end - p_start + 1, t_end - t_start + 1
                 now = shared / (p + t - shared if iou else min(p, t))
                 if now > ratio:
-                    best, ratio = r.t_start, now
-            if best is not None and ratio >= least:
-                used.add(best)
-                out.append((series, start, best, ratio))
-        return pd.DataFrame(out, columns=["series_id", "p_start", "t_start", "ratio"])
+                    best, ratio = t_start, now
+            yield pd.DataFrame(out, columns=["series_id", "p_start", "t_start", "ratio"])
+        out = []
+        taken(out)
+        yield pd.DataFrame(out, columns=["series_id", "p_start", "t_start", "ratio"])
 
-    return rows.groupBy("series_id", "cluster").applyInPandas(match, "series_id long, p_start long, t_start long, ratio double")
+    rows = rows.repartition("series_id", "cluster").sortWithinPartitions("series_id", "cluster", "p_start", "t_start")
+    return rows.mapInPandas(match, "series_id long, p_start long, t_start long, ratio double")
 
 
 def strict_eventwise(predicted: DataFrame, true: DataFrame, beta: float = 0.5, least: float = 0.2, iou: bool = False) -> DataFrame:
@@ -158,6 +172,25 @@ def calibrate(df: DataFrame, score: str, true: DataFrame, thresholds: list[float
     return rows.withColumn("f05", F.when(empty, 1.0).otherwise(f_beta(F.col("precision"), F.col("recall"))))
 
 
+def strict_sweep(df: DataFrame, score: str, true: DataFrame, thresholds: list[float], shortest: int = 7, gap: int = 0, beta: float = 0.5, least: float = 0.2) -> DataFrame:
+    """(threshold, n_pred, n_true, tp, precision, recall, f_beta): events of score > t, each true one matched once, for all thresholds at once.
+
+    A threshold and a series are matched by themselves, so they are numbered as series of their own.
+    """
+    spark = df.sparkSession
+    every = F.broadcast(spark.createDataFrame([(float(t), k) for k, t in enumerate(thresholds)], "threshold double, k long"))
+    keyed = lambda rows: rows.withColumn("series_id", F.col("series_id") * len(thresholds) + F.col("k"))
+    made = written(threshold_events(df, score, thresholds, strict=True))
+    events = written(keyed(merge(prune(made, shortest), gap, ["series_id", "threshold"]).join(every, "threshold")))
+    copies = keyed(true.select("series_id", "start_rn", "end_rn").crossJoin(every))
+    hits = greedy_matches(events.select("series_id", "start_rn", "end_rn"), copies.select("series_id", "start_rn", "end_rn"), least)
+    hits = hits.groupBy(F.pmod("series_id", F.lit(len(thresholds))).alias("k")).agg(F.count("*").alias("tp"))
+    found = events.groupBy("k").agg(F.count("*").alias("n_pred"))
+    rows = every.join(found, "k", "left").join(hits, "k", "left").na.fill(0, ["n_pred", "tp"]).crossJoin(true.agg(F.count("*").alias("n_true")))
+    rows = rows.withColumn("precision", _rate(F.col("tp"), F.col("n_pred"))).withColumn("recall", _rate(F.col("tp"), F.col("n_true")))
+    return rows.withColumn("f_beta", f_beta(F.col("precision"), F.col("recall"), beta)).drop("k")
+
+
 def _overlapping(events: DataFrame, true: DataFrame, bucket: int = 1_000) -> DataFrame:
     """The events that overlap a true one, with their columns, perhaps more than once."""
     spread = lambda df: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_rn") / bucket), F.floor(F.col("end_rn") / bucket))))

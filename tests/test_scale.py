@@ -32,3 +32,19 @@ def test_sums_before_and_exact_percentiles(spark):
         assert r.n_before == total
         total += r.n
     assert S.exact_percentiles(df.limit(0), {"x": ("v", 0.5)}).first().x is None
+
+
+def test_strict_sweep_equals_one_threshold_at_a_time(spark):
+    from telesift.operators import events as E
+    from telesift.operators import metrics as M
+
+    rng = np.random.default_rng(9)
+    score = np.clip(np.convolve(rng.random(900), np.ones(6) / 6, "same"), 0, 1)
+    rows = [(i % 3, i // 3, float(score[i]), int((i // 3) % 37 < 6)) for i in range(900)]
+    df = spark.createDataFrame(rows, "series_id long, rn long, s double, y int")
+    true, steps = E.extract(df, "y"), [0.4, 0.5, 0.55, 0.6]
+    got = {round(r.threshold, 6): (r.n_pred, r.tp, round(r.f_beta, 9)) for r in M.strict_sweep(df, "s", true, steps, 2, 1).collect()}
+    for t in steps:
+        flagged = df.withColumn("hit", (F.col("s") > t).cast("int"))
+        one = M.strict_eventwise(E.prune_then_merge(flagged, "hit", 2, 1), true).first()
+        assert got[t] == (one.n_pred, one.tp, round(one.f_beta, 9))
