@@ -389,12 +389,19 @@ def averaged(weights: dict, parts: DataFrame) -> dict:
     return {k: w + (total[k][0] / np.maximum(total[k][1], 1)).astype(np.float32) if k in total else w for k, w in weights.items()}
 
 
+def _slices(batches, rows: int = 64):
+    """Batches of few rows, so that what is made of one stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def id_counts(spelled_out: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs in all training documents (ids)."""
 
     def count(batches):
         n = np.zeros(size, dtype=np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             n += np.bincount(_sequences(batch.column(0), size)[0], minlength=size)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["id", "n"])
@@ -411,7 +418,7 @@ def neighbour_counts(spelled_out: DataFrame, kind: np.ndarray) -> np.ndarray:
 
     def count(batches):
         n = np.zeros(size * width, dtype=np.int32)
-        for batch in batches:
+        for batch in _slices(batches):
             ids, per_text = _sequences(batch.column(0), size)
             inner = np.ones(len(ids), dtype=bool)
             inner[(np.cumsum(per_text) - per_text)[per_text > 0]] = False
@@ -444,8 +451,8 @@ def fit(training: DataFrame, total: int) -> tuple[Vocabulary, dict]:
 
     def spell(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 ids = [s.astype(_packed(vocabulary_size)).tobytes() for s in _text_sequences(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["turn", "ids"])
 
