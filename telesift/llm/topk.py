@@ -13,6 +13,7 @@ from telesift.llm.common import pick, written
 
 HITS = "row long, query_id long, vec_id long, score long, beyond string"
 LONG = 1 << 63
+SCALE = 64
 QUERY_TILE, CANDIDATE_TILE = 64, 2048
 
 
@@ -26,7 +27,7 @@ def usable_vectors(embeddings: DataFrame) -> DataFrame:
     return written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("embedding").alias("vector")))
 
 
-def whole_numbers(vectors: pd.Series, scale: int = 64) -> np.ndarray:
+def whole_numbers(vectors: pd.Series, scale: int) -> np.ndarray:
     """floor(scale * x) of every component, a row each, shorter ones filled up with 0: int64, or Python's integers if some do not fit."""
     width = max((len(v) for v in vectors), default=0)
     out = np.zeros((len(vectors), width))
@@ -74,16 +75,16 @@ def accumulate(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return scores
 
 
-def block_top_k(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best candidates of one block for each query of another; a query is not its own candidate (by row, or by id without row)."""
+def block_top_k(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale: int = 1) -> pd.DataFrame:
+    """The k best candidates of one block for each query of another, by components times scale, rounded down; a query is not its own candidate (by row, or by id without row)."""
     names = ["row", "query_id", "vec_id", "score", "beyond"]
     if queries.empty or candidates.empty:
         return pd.DataFrame(columns=names).astype(dict.fromkeys(names[:4], "int64"))
     candidates = candidates.sort_values("vec_id", ignore_index=True)
-    ids, values = candidates["vec_id"].to_numpy(), whole_numbers(candidates["vector"]).T
+    ids, values = candidates["vec_id"].to_numpy(), whole_numbers(candidates["vector"], scale).T
     rows = candidates.get("row", candidates["vec_id"]).to_numpy()
     by_row = np.argsort(rows, kind="stable")
-    asked, weights = queries["query_id"].to_numpy(), whole_numbers(queries["vector"]).T
+    asked, weights = queries["query_id"].to_numpy(), whole_numbers(queries["vector"], scale).T
     own = queries.get("row", queries["query_id"]).to_numpy()
     terms = min(len(values), len(weights))
     values, weights = np.ascontiguousarray(values[:terms]), np.ascontiguousarray(weights[:terms])
@@ -124,13 +125,14 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int
     n_block = max(1, -(-vectors.count() // candidate_block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    left = queries.select("row", F.col("vec_id").alias("query_id"), "vector", part(n_query).alias("q"), every(n_block).alias("c"))
+    # names of their own, as both sides may come from one table
+    left = queries.select(F.col("row").alias("asking"), F.col("vec_id").alias("query_id"), F.col("vector").alias("weights"), part(n_query).alias("a"), every(n_block).alias("b"))
     right = vectors.select("row", "vec_id", "vector", part(n_block).alias("c"), every(n_query).alias("q"))
 
     def best(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return block_top_k(asked, found, k)
+        return block_top_k(asked.rename(columns={"asking": "row", "weights": "vector"}), found, k, SCALE)
 
-    hits = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(best, HITS)
+    hits = left.groupBy("a", "b").cogroup(right.groupBy("q", "c")).applyInPandas(best, HITS)
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("beyond").desc_nulls_last(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
