@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _written: list[str] = []
 
 
@@ -60,6 +60,14 @@ def drop_written(spark: SparkSession) -> int:
     return count
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, its session bound to Arrow batches of about BATCH_BYTES where no bound is set: 10,000 long texts a batch fill off-heap memory."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT, None) is None:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns named c0, c1, ... in this order: for functions over batches, which do not take every name."""
     return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])

@@ -7,11 +7,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telesift.llm.common import numbered, spare, written
+from telesift.llm.common import bounded_batches, numbered, spare, written
 from telesift.llm.words import text_bytes
 
 ORDER = 4  # bytes of context at most
@@ -59,7 +60,7 @@ def _count(batches):
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for lang in sorted(set(langs)):
-            data, at = text_bytes(batch.column(1).filter(pa.array([x == lang for x in langs])))
+            data, at = text_bytes(pc.utf8_lower(batch.column(1).filter(pa.array([x == lang for x in langs]))))
             for size in range(1, ORDER + 2):
                 keys, n = np.unique(gram_keys(data, at, size), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), size), pa.int32()), pa.array(keys), pa.array(n)], ["lang", "size", "gram", "n"])
@@ -72,7 +73,7 @@ def labelled_sample(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     share = (F.lit(2.0 * most) / F.col("rows") * SHARE_STEPS).cast("long") + 1
     chosen = rows.join(F.broadcast(counts), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE_STEPS)) < share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id", F.xxhash64("text"))
-    return chosen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).select("lang", F.lower("text").alias("text"))
+    return chosen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).select("lang", "text")
 
 
 def build_model(grams: list[tuple[str, int, int, int]]) -> Model:
@@ -142,7 +143,7 @@ def code_lengths(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
     """A model of labelled documents (doc_id, lang, text); bounded by `most` documents a language and MOST_NODES."""
-    counted = labelled_sample(docs, most).mapInArrow(_count, "lang string, size int, gram long, n long")
+    counted = bounded_batches(labelled_sample(docs, most)).mapInArrow(_count, "lang string, size int, gram long, n long")
     counted = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("size", (F.shiftright("gram", 8)).alias("context")).agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST_COUNT)
     kept = counted.withColumn("context", F.shiftright("gram", 8)).join(totals, ["size", "context"], "left_semi")
@@ -163,17 +164,19 @@ def identify(docs: DataFrame, training: DataFrame, most: int = SAMPLE) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # at most MOST_NODES contexts
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest])
-    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    lower = spare(rows, "lower")
-    keyed = numbered(rows.withColumn(lower, F.when(lettered, F.lower("text"))), [*rest, lower])
+    flag = spare(rows, "lettered")
+    keyed = rows.withColumn(flag, F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    keyed = numbered(bounded_batches(keyed), [*rest, flag])
+    at_text = rest.index("text")
 
     def score(batches):
         model = pickle.loads(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(lo, TEXTS_AT_ONCE)
-                data, at = text_bytes(part.column(len(rest)))
-                some = part.column(len(rest)).is_valid().to_numpy(zero_copy_only=False) & bool(model.langs)
+                lettered = part.column(len(rest))
+                data, at = text_bytes(pc.utf8_lower(pc.if_else(lettered, part.column(at_text), "")))
+                some = lettered.to_numpy(zero_copy_only=False) & bool(model.langs)
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
                 if some.any():
                     bits = _in_pieces(model, data, at)

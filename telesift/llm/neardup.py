@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telesift.llm.common import Forest, components, pick, written
+from telesift.llm.common import Forest, bounded_batches, components, pick, written
 from telesift.llm.words import BASE, grams, inside, mix, words_of
 
 WIDTH = 5  # words in a shingle
@@ -210,7 +210,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     and count as one document if their text is the same; other columns are not read; an empty table
     gives no rows; a null doc_id links with nothing and is its own component (null).
     """
-    texts = pick(docs, {"doc_id": "long", "text": "string"})
+    texts = bounded_batches(pick(docs, {"doc_id": "long", "text": "string"}))
     signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"))
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
     folded = sets.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telesift.llm.common import pick
+from telesift.llm.common import bounded_batches, pick
 
 VOCABULARY = "byte_bpe_50k"
 END_ID = 0
@@ -102,7 +102,7 @@ def pack_documents(docs: DataFrame, size: int = 2048, open_bins: int = 1024, voc
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    return pick(docs, {"doc_id": "long", "text": "string"}).mapInArrow(pack, PIECES)
+    return bounded_batches(pick(docs, {"doc_id": "long", "text": "string"})).mapInArrow(pack, PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telesift.llm.common import numbered
+from telesift.llm.common import bounded_batches, numbered
 
 PAGES_AT_ONCE = 64
 
@@ -287,7 +287,7 @@ def extract_main_text(pages: DataFrame, table: str = LABELLED) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*rest, "text"])
 
     rows = pages.select(*[F.col(f"`{c}`") for c in rest])
-    return numbered(rows, rest).mapInArrow(extract, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
+    return numbered(bounded_batches(rows), rest).mapInArrow(extract, T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def page_digest(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telesift.llm.common import numbered, pick, spare, written
+from telesift.llm.common import bounded_batches, numbered, pick, spare, written
 from telesift.llm.words import BASE, CHUNK, OTHER, _powers, grams, inside, mix, other_hashes, words_of
 
 WINDOW = 50
@@ -161,7 +161,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     MOST_CONTEXTS passages (a common sentence in ever new surroundings) would make a shard without bound:
     its windows are looked up one by one, by both fingerprints, to the same result.
     """
-    texts = pick(docs, {"doc_id": "long", "text": "string"}).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    texts = bounded_batches(pick(docs, {"doc_id": "long", "text": "string"})).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
 
     def cut(batches):
         for batch in batches:
