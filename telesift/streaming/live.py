@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from telesift.jobs.detectors import flag_any
 from telesift.operators.stats import with_row
+from telesift.sources.durable import place
 
 
 def score_stream(rows: DataFrame, stats: DataFrame, columns: list[str], n: float = 5.0) -> DataFrame:
@@ -54,8 +53,7 @@ def local_z_stream(rows: DataFrame, column: str, size: int = 50) -> DataFrame:
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All rows now available of a stream, from Parquet in the folder that spark.checkpoint.dir names; mode: append or complete."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="telesift-")
-    folder = f"{shared}/stream-{name}-{uuid.uuid4().hex}"
+    folder = place(spark, f"stream-{name}")
     path = f"{folder}/rows"
     writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     # a stream without rows may write nothing
