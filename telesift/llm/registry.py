@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telesift.llm import chat, embeddings, langid, mixing, neardup, packing, pages, scoring, substrings, topk
+from telesift.llm import align, bpe, chat, embeddings, langid, mixing, neardup, packing, pages, scoring, substrings, topk, whitening
 from telesift.llm.common import table
 from telesift.llm.sql import ORACLE
 
@@ -51,8 +51,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op2_language": op2_language, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op5_embeddings": op5_embeddings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_pages": op8_pages, "op9_score": op9_score, "op10_topk": op10_topk}
+    return {"op1_pack": op1_pack, "op2_language": op2_language, "op3_chat": op3_chat, "op4_substrings": op4_substrings, "op5_embeddings": op5_embeddings, "op6_neardup": op6_neardup, "op7_mix": op7_mix, "op8_pages": op8_pages, "op9_score": op9_score, "op10_topk": op10_topk, "op11_bpe": op11_bpe, "op12_align": op12_align, "op13_whiten": op13_whiten}
 
 
 def oracle_sql() -> dict[str, str]:
