@@ -37,6 +37,7 @@ class Pieces:
             raise ValueError(f"{name} has pieces with a space behind a letter")
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(SPACE, " ").encode() for i, n in enumerate(names)]
         self.sizes = np.array(list(map(len, self.bytes)), np.int64)
+        self.alone = [self.model.piece_to_id(SPACE)]
 
 
 @cache
@@ -96,7 +97,8 @@ class Block:
         a, a_count = self.encoder.encode_segments(whole)
         if len(self.encoder.words) > BLOCK_SEGMENTS:
             self.encoder.forget()
-        told = self.pieces.model.encode(fresh, num_threads=1)
+        # the model puts the space in front of what it gets, but not of an empty string: a space at a text's end
+        told = [ids or self.pieces.alone for ids in self.pieces.model.encode(fresh, num_threads=1)]
         known = self.pieces.bytes
         good = np.array([b"".join([known[i] for i in ids]) == s.encode() for ids, s in zip(told, whole, strict=True)], bool)
         b = np.fromiter((i for ids, fine in zip(told, good, strict=True) if fine for i in ids), np.int64)
