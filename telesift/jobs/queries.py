@@ -21,7 +21,7 @@ from telesift.operators import stats as S
 from telesift.sources import telemetry as T
 from telesift.sources.durable import place
 from telesift.sources.telemetry import CHANNELS, MULTI_SQL, SINGLE_SQL
-from telesift.streaming import live
+from telesift.streaming import late, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -267,7 +267,7 @@ def _(spark, d):
 @query("j2_overlaps", m(TRUE + NIGHT + " SELECT p.series_id, p.start_rn AS p_start, p.end_rn AS p_end, e.start_rn AS t_start, e.end_rn AS t_end FROM p JOIN e ON p.series_id = e.series_id AND p.start_rn <= e.end_rn AND p.end_rn >= e.start_rn"))
 def _(spark, d):
     df = multi(spark, d)
-    return E.overlaps(predicted(df), E.extract(df, "is_anomaly"), bucket=7)
+    return E.overlaps(predicted(df), E.extract(df, "is_anomaly"))
 
 
 @query("j3_hits", m(TRUE + NIGHT + " SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM e WHERE p.series_id = e.series_id AND p.start_rn <= e.end_rn AND p.end_rn >= e.start_rn) THEN 'hit' ELSE 'miss' END AS kind FROM p"))
@@ -1025,6 +1025,61 @@ def _(spark, d):
     return out.withColumn("begin", F.col("begin").cast("timestamp_ntz")).withColumn("finish", F.col("finish").cast("timestamp_ntz"))
 
 
-@query("r4_local_z_stream")
+ARRIVALS, LATEST = 8, 7
+LATE_SQL = f"""WITH a AS (SELECT user_id AS series_id, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS flag, date_trunc('day', ts) AS begin,
+ least({LATEST}, event_id * {ARRIVALS} // (SELECT count(*) FROM events) + CASE WHEN event_id % 7 = 3 THEN 2 WHEN event_id % 11 = 5 THEN 1 ELSE 0 END) AS batch FROM events),
+h AS (SELECT batch, max(ts) AS top FROM a GROUP BY batch),
+k AS (SELECT a.*, (SELECT max(top) FROM h WHERE h.batch <= a.batch - 2) - INTERVAL 1 DAY AS refused FROM a),
+w AS (SELECT series_id, begin, count(*) AS n, CAST(sum(flag) AS BIGINT) AS flags FROM k WHERE refused IS NULL OR begin + INTERVAL 1 DAY > refused GROUP BY 1, 2)
+SELECT * FROM w"""
+
+
+def _arriving(spark, d) -> DataFrame:
+    """The event log as a stream of eight micro-batches, some rows one or two of them late."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    wait = F.when(F.col("event_id") % 7 == 3, 2).when(F.col("event_id") % 11 == 5, 1).otherwise(0)
+    batch = F.least(F.lit(LATEST), F.floor(F.col("event_id") * ARRIVALS / events.count()) + wait)
+    rows = events.select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").cast("int").alias("flag"), batch.alias("batch"))
+    return late.replay(spark, late.arrive(rows, "batch"), rows.drop("batch").schema)
+
+
+# windows that the watermark has closed, of rows that were in time
+@query("r2_closed_windows", LATE_SQL + " WHERE begin + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def _(spark, d):
+    out, _ = late.run_batches(live.flag_rate(_arriving(spark, d), "1 day", late="1 day"))
+    return out.withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+
+
+# every window in its last state
+@query("r2_updated_windows", LATE_SQL)
+def _(spark, d):
+    out, _ = late.run_batches(live.flag_rate(_arriving(spark, d), "1 day", late="1 day"), "update", ["series_id", "begin"])
+    return out.withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+
+
+@query("r3_closed_sessions")
+def _(spark, d):
+    out, _ = late.run_batches(live.sessions(_arriving(spark, d), "6 hours", late="1 day"))
+    return out
+
+
+def z_sql(size: int) -> str:
+    return f"""WITH q AS (SELECT user_id AS series_id, event_id AS rn, value AS v, count(*) OVER w AS n, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING))
+SELECT series_id, rn, round(CASE WHEN n > 1 AND s > 0 THEN abs(v - m) / s ELSE 0 END, 6) AS z FROM q"""
+
+
+@query("r4_local_z_stream", z_sql(20))
+def _(spark, d):
+    out, _ = late.run_batches(late.local_z(_stream(spark, d), "channel_41", 20))
+    return rounded(out, "z")
+
+
+# the same over three micro-batches, state going from one to the next
+@query("r4_local_z_batches", z_sql(50))
 def _(spark, d):
-    return rounded(live.run_once(live.local_z_stream(_stream(spark, d), "channel_41", 20), _name()), "z")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    batch = F.floor(F.col("event_id") * 3 / events.count())
+    rows = events.select(F.col("user_id").alias("series_id"), F.col("event_id").alias("rn"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("channel_41"), batch.alias("batch"))
+    stream = late.replay(spark, late.arrive(rows, "batch"), rows.drop("batch").schema)
+    out, _ = late.run_batches(late.local_z(stream, "channel_41", 50))
+    return rounded(out, "z")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from telesift.operators.stats import exact_percentiles
 
 EDGE = 100_000  # positions in a block
+LEVELS = 46  # cells of up to 2^46 positions
 
 
 def length() -> Column:
@@ -64,14 +65,69 @@ def merge_then_prune(df: DataFrame, score: str, above: float = 0.5, gap: int = 3
     return prune(merge(extract(df.withColumn("_flag", (F.col(score) > above).cast("int")), "_flag"), gap - 1), shortest)
 
 
+def _up(position: Column, level: Column) -> Column:
+    """The first cell of a level that begins at the position or after it."""
+    return F.ceil(position / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _down(position: Column, level: Column) -> Column:
+    """The number of the cell of a level in which the row after a last position lies: cells before it end inside."""
+    return F.floor((position + 1) / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def cover(events: DataFrame, name: str = "cell") -> DataFrame:
+    """events with (level, cell) rows: dyadic cells [cell * 2^level, (cell + 1) * 2^level) that make up [start_rn, end_rn] without overlap.
+
+    An event of n positions gives at most 2 log2(n) rows, two of a level: the cell at its left end if that is odd, the one at its right end
+    if that is even. An event whose end lies before its start has none.
+    """
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(LEVELS)),
+        lambda j: F.filter(
+            F.array(
+                F.struct(j.alias("level"), _up(F.col("start_rn"), j).alias("cell"), ((_up(F.col("start_rn"), j) < _down(F.col("end_rn"), j)) & (_up(F.col("start_rn"), j) % 2 != 0)).alias("in")),
+                F.struct(j.alias("level"), (_down(F.col("end_rn"), j) - 1).alias("cell"), ((_up(F.col("start_rn"), j) < _down(F.col("end_rn"), j)) & (_down(F.col("end_rn"), j) % 2 != 0)).alias("in")),
+            ),
+            lambda x: x["in"],
+        ),
+    )
+    return events.withColumn("_x", F.explode(F.flatten(each))).withColumns({"level": F.col("_x.level"), name: F.col("_x.cell")}).drop("_x")
+
+
+def above(rows: DataFrame, position: str, levels: DataFrame) -> DataFrame:
+    """rows with the (level, cell) that hold a position, one for each level of `levels`, a row with the array `levels` (LEVELS + 1 numbers at most)."""
+    out = rows.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels")
+    return out.withColumn("cell", F.floor(F.col(position) / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+
+
+def stabbed(points: DataFrame, position: str, events: DataFrame) -> DataFrame:
+    """Points joined with every event of their series that holds them: each pair comes up in one cell. events: (_series, start_rn, end_rn, ...)."""
+    cells = cover(events)
+    there = cells.agg(F.collect_set("level").alias("levels"))
+    asked = above(points, position, there)
+    return asked.join(cells, (F.col("series_id") == F.col("_series")) & (asked["level"] == cells["level"]) & (asked["cell"] == cells["cell"])).drop("level", "cell", "_series")
+
+
 def mark(df: DataFrame, events: DataFrame, name: str = "flag", bucket: int = 1_000, end_inclusive: bool = True) -> DataFrame:
-    """df with name = 1 inside an event, else 0: a join on buckets of positions, as events are no points."""
-    spread = events.select("series_id", "start_rn", "end_rn", F.explode(F.sequence(F.floor(F.col("start_rn") / bucket), F.floor(F.col("end_rn") / bucket))).alias("_bucket"))
-    spread = spread.withColumnRenamed("series_id", "_series")
-    last = F.col("rn") <= F.col("end_rn") if end_inclusive else F.col("rn") < F.col("end_rn")
-    on = (F.col("series_id") == F.col("_series")) & (F.floor(F.col("rn") / bucket) == F.col("_bucket")) & (F.col("rn") >= F.col("start_rn")) & last
+    """df with name = 1 inside an event, else 0, one row for each of df's; events may be long, nested or repeated.
+
+    Rows are joined by buckets of positions. A bucket in which an event begins or ends lists its parts there; whole buckets inside an
+    event are found from dyadic cells over the buckets that df has, so a long event is not spread over them.
+    """
+    last = F.col("end_rn") if end_inclusive else F.col("end_rn") - 1
+    events = events.select(F.col("series_id").alias("_series"), F.col("start_rn").alias("_start"), last.alias("_end")).filter("_start <= _end")
+    at = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    ends = events.select("_series", "_start", "_end", F.explode(F.array_distinct(F.array(at("_start"), at("_end")))).alias("_bucket"))
+    ends = ends.groupBy("_series", "_bucket").agg(F.collect_set(F.struct("_start", "_end")).alias("_parts"))
+    inner = events.select("_series", (at("_start") + 1).alias("start_rn"), (at("_end") - 1).alias("end_rn")).filter("start_rn <= end_rn").distinct()
+    there = df.select("series_id", at("rn").alias("_bucket")).distinct()
+    whole = stabbed(there, "_bucket", inner).select(F.col("series_id").alias("_series"), "_bucket").distinct().withColumn("_whole", F.lit(True))
+    spread = ends.join(whole, ["_series", "_bucket"], "full")
     names = df.columns
-    return df.join(spread, on, "left").withColumn(name, F.col("start_rn").isNotNull().cast("int")).select(*names, name)
+    on = (F.col("series_id") == F.col("_series")) & (at("rn") == F.col("_bucket"))
+    within = F.exists(F.col("_parts"), lambda e: (F.col("rn") >= e["_start"]) & (F.col("rn") <= e["_end"]))
+    inside = F.coalesce(F.col("_whole"), F.lit(False)) | F.coalesce(within, F.lit(False))
+    return df.join(spread, on, "left").withColumn(name, inside.cast("int")).select(*names, name)
 
 
 def keep_scores(df: DataFrame, score: str, events: DataFrame) -> DataFrame:
@@ -97,14 +153,16 @@ def length_stats(events: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("events"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.stddev_pop(n).alias("std"), F.percentile(n, F.lit(0.95)).alias("p95"), F.max(n).alias("longest"))
 
 
-def overlaps(predicted: DataFrame, true: DataFrame, bucket: int = 1_000) -> DataFrame:
-    """(series_id, p_start, p_end, t_start, t_end) of every overlapping pair: both sides spread over buckets of positions,
-    an equi-join on the bucket where the overlap begins, so each pair comes up once."""
+def overlaps(predicted: DataFrame, true: DataFrame) -> DataFrame:
+    """(series_id, p_start, p_end, t_start, t_end) of every overlapping pair, once: the later one of the two begins inside the other.
+
+    Begins are looked up in the dyadic cells of the other side's events, so events of any length give few rows.
+    """
+    p, t = predicted.select("series_id", "start_rn", "end_rn").distinct(), true.select("series_id", "start_rn", "end_rn").distinct()
 
-    def spread(df: DataFrame, p: str) -> DataFrame:
-        at = F.explode(F.sequence(F.floor(F.col("start_rn") / bucket), F.floor(F.col("end_rn") / bucket)))
-        return df.select("series_id", F.col("start_rn").alias(f"{p}_start"), F.col("end_rn").alias(f"{p}_end"), at.alias("_bucket"))
+    def found(points: DataFrame, a: str, events: DataFrame, b: str) -> DataFrame:
+        points = points.select("series_id", F.col("start_rn").alias(f"{a}_start"), F.col("end_rn").alias(f"{a}_end"))
+        events = events.select(F.col("series_id").alias("_series"), "start_rn", "end_rn", F.col("start_rn").alias(f"{b}_start"), F.col("end_rn").alias(f"{b}_end"))
+        return stabbed(points, f"{a}_start", events).select("series_id", "p_start", "p_end", "t_start", "t_end")
 
-    both = spread(predicted, "p").join(spread(true, "t"), ["series_id", "_bucket"])
-    begin = F.greatest("p_start", "t_start")
-    return both.filter((begin <= F.least("p_end", "t_end")) & (F.floor(begin / bucket) == F.col("_bucket"))).drop("_bucket")
+    return found(p, "p", t, "t").unionByName(found(t, "t", p, "p").filter("t_start > p_start"))

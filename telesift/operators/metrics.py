@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telesift.functions.scores import f_beta
-from telesift.operators.events import merge, overlaps, prune
+from telesift.operators.events import merge, overlaps, stabbed
+from telesift.operators.levels import event_tree, matching_pairs, threshold_counts
 from telesift.operators.prep import before
 from telesift.operators.rolling import over_frames
 from telesift.sources.durable import written
@@ -68,12 +69,16 @@ def greedy_matches(predicted: DataFrame, true: DataFrame, least: float = 0.2, io
 
     Overlapping events form clusters that cannot influence one another; a cluster is matched in one task.
     """
-    predicted = written(predicted)
-    pairs = written(overlaps(predicted, true))
+    return match_pairs(overlaps(written(predicted), written(true)), least, iou)
+
+
+def match_pairs(pairs: DataFrame, least: float = 0.2, iou: bool = False) -> DataFrame:
+    """greedy_matches of overlapping pairs (series_id, p_start, p_end, t_start, t_end)."""
+    pairs = written(pairs)
     spans = pairs.select("series_id", F.least("p_start", "t_start").alias("start_rn"), F.greatest("p_end", "t_end").alias("end_rn"))
-    clusters = written(merge(spans, -1)).select(F.col("series_id").alias("s"), F.col("start_rn").alias("c_start"), F.col("end_rn").alias("c_end"))
-    found = overlaps(predicted, clusters.select(F.col("s").alias("series_id"), F.col("c_start").alias("start_rn"), F.col("c_end").alias("end_rn")))
-    found = found.select("series_id", "p_start", F.col("t_start").alias("cluster"))
+    # a cluster holds all that touches: its number goes to the pairs by where their predicted events begin
+    clusters = merge(spans, -1).select(F.col("series_id").alias("_series"), "start_rn", "end_rn", F.col("start_rn").alias("cluster"))
+    found = stabbed(pairs.select("series_id", "p_start").distinct(), "p_start", written(clusters)).select("series_id", "p_start", "cluster")
     rows = pairs.join(found, ["series_id", "p_start"])
 
     def match(batches):
@@ -160,13 +165,8 @@ def threshold_events(df: DataFrame, score: str, thresholds: list[float], strict:
 
 def calibrate(df: DataFrame, score: str, true: DataFrame, thresholds: list[float], shortest: int = 2, gap: int = 8, strict: bool = False) -> DataFrame:
     """(threshold, n_pred, n_true, tp, precision, recall, f05) of each threshold after pruning and merging."""
-    keys = ["series_id", "threshold"]
-    events = merge(prune(threshold_events(df, score, thresholds, strict), shortest), gap, keys)
-    hit = _overlapping(events, true).select(*keys, "start_rn").distinct().groupBy("threshold").agg(F.count("*").alias("tp"))
-    found = events.groupBy("threshold").agg(F.count("*").alias("n_pred"))
-    spark = df.sparkSession
-    every = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    rows = every.join(found, "threshold", "left").join(hit, "threshold", "left").na.fill(0, ["n_pred", "tp"]).crossJoin(true.agg(F.count("*").alias("n_true")))
+    rows = threshold_counts(df, score, true, thresholds, shortest, gap, strict).crossJoin(true.agg(F.count("*").alias("n_true")))
+    rows = rows.select("threshold", "n_pred", "n_true", "tp")
     empty = (F.col("n_pred") == 0) & (F.col("n_true") == 0)
     rows = rows.withColumn("precision", F.when(empty, 1.0).otherwise(_rate(F.col("tp"), F.col("n_pred")))).withColumn("recall", F.when(empty, 1.0).otherwise(_rate(F.col("tp"), F.col("n_true"))))
     return rows.withColumn("f05", F.when(empty, 1.0).otherwise(f_beta(F.col("precision"), F.col("recall"))))
@@ -175,29 +175,23 @@ def calibrate(df: DataFrame, score: str, true: DataFrame, thresholds: list[float
 def strict_sweep(df: DataFrame, score: str, true: DataFrame, thresholds: list[float], shortest: int = 7, gap: int = 0, beta: float = 0.5, least: float = 0.2) -> DataFrame:
     """(threshold, n_pred, n_true, tp, precision, recall, f_beta): events of score > t, each true one matched once, for all thresholds at once.
 
-    A threshold and a series are matched by themselves, so they are numbered as series of their own.
+    Different events are looked up once, however many thresholds have them; only pairs that overlap are told apart by threshold
+    and matched, each threshold and series by itself, numbered as a series of its own.
     """
     spark = df.sparkSession
-    every = F.broadcast(spark.createDataFrame([(float(t), k) for k, t in enumerate(thresholds)], "threshold double, k long"))
-    keyed = lambda rows: rows.withColumn("series_id", F.col("series_id") * len(thresholds) + F.col("k"))
-    made = written(threshold_events(df, score, thresholds, strict=True))
-    events = written(keyed(merge(prune(made, shortest), gap, ["series_id", "threshold"]).join(every, "threshold")))
-    copies = keyed(true.select("series_id", "start_rn", "end_rn").crossJoin(every))
-    hits = greedy_matches(events.select("series_id", "start_rn", "end_rn"), copies.select("series_id", "start_rn", "end_rn"), least)
-    hits = hits.groupBy(F.pmod("series_id", F.lit(len(thresholds))).alias("k")).agg(F.count("*").alias("tp"))
-    found = events.groupBy("k").agg(F.count("*").alias("n_pred"))
+    true = written(true.select("series_id", "start_rn", "end_rn"))
+    n = len(thresholds)
+    every = spark.createDataFrame([(t, k) for k, t in enumerate(sorted(float(t) for t in thresholds))], "threshold double, k long")
+    tree = written(event_tree(df, score, thresholds, shortest, gap, strict=True))
+    pairs = matching_pairs(tree, true).withColumn("k", F.explode(F.sequence("lo", "hi")))
+    pairs = pairs.select((F.col("series_id") * n + F.col("k")).alias("series_id"), "p_start", "p_end", "t_start", "t_end")
+    hits = match_pairs(pairs, least).groupBy(F.pmod("series_id", F.lit(n)).cast("long").alias("k")).agg(F.count("*").alias("tp"))
+    found = tree.groupBy("lo", "hi").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence("lo", "hi"))).groupBy(F.col("k").cast("long").alias("k")).agg(F.sum("n").alias("n_pred"))
     rows = every.join(found, "k", "left").join(hits, "k", "left").na.fill(0, ["n_pred", "tp"]).crossJoin(true.agg(F.count("*").alias("n_true")))
     rows = rows.withColumn("precision", _rate(F.col("tp"), F.col("n_pred"))).withColumn("recall", _rate(F.col("tp"), F.col("n_true")))
     return rows.withColumn("f_beta", f_beta(F.col("precision"), F.col("recall"), beta)).drop("k")
 
 
-def _overlapping(events: DataFrame, true: DataFrame, bucket: int = 1_000) -> DataFrame:
-    """The events that overlap a true one, with their columns, perhaps more than once."""
-    spread = lambda df: df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_rn") / bucket), F.floor(F.col("end_rn") / bucket))))
-    t = spread(true.select("series_id", "start_rn", "end_rn")).select(F.col("series_id"), F.col("start_rn").alias("t_start"), F.col("end_rn").alias("t_end"), "_bucket")
-    return spread(events).join(t, ["series_id", "_bucket"]).filter("start_rn <= t_end and end_rn >= t_start")
-
-
 def best_threshold(table: DataFrame, metric: str = "f05", default: float = 0.5) -> DataFrame:
     """The lowest threshold of the highest metric; the default if no metric is above 0."""
     best = table.orderBy(F.col(metric).desc(), "threshold").limit(1)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +28,6 @@ def sessions(rows: DataFrame, gap: str, shortest: int = 1, late: str = "10 minut
     return out.filter(F.col("n") >= shortest).select("series_id", F.col("w.start").alias("begin"), F.col("w.end").alias("finish"), "n")
 
 
-def local_z_stream(rows: DataFrame, column: str, size: int = 50) -> DataFrame:
-    """(series_id, rn, z): distance from the mean of the last `size` values of the series, which are its state."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        for pdf in parts:
-            pdf = pdf.sort_values("rn")
-            out = []
-            for rn, x in zip(pdf["rn"], pdf[column], strict=True):
-                spread = float(np.std(last, ddof=1)) if len(last) > 1 else 0.0
-                out.append((key[0], rn, abs(x - float(np.mean(last))) / spread if spread > 0 else 0.0))
-                last = [*last, float(x)][-size:]
-            yield pd.DataFrame(out, columns=["series_id", "rn", "z"])
-        state.update((last,))
-
-    return rows.groupBy("series_id").applyInPandasWithState(step, "series_id long, rn long, z double", "last array<double>", "append", "NoTimeout")
-
-
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All rows now available of a stream, from Parquet in the folder that spark.checkpoint.dir names; mode: append or complete."""
     spark = stream.sparkSession
