@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telesift.functions.scores import pseudo_label_flexible, pseudo_label_strict
-from telesift.operators.rolling import deltas, over_frames, pair_correlation, slope, trailing_features
+from telesift.operators.events import extract, mark, prune_then_merge
+from telesift.operators.metrics import calibrate, grid
+from telesift.operators.prep import chronological, cut_position
+from telesift.operators.rolling import deltas, over_frames, pair_correlation, score_features, slope, trailing_features
 from telesift.operators.stats import exact_percentiles, with_row
+from telesift.sources.durable import written
 
 
 def features(rows: DataFrame, columns: list[str], a: str, b: str, sizes: tuple[int, ...] = (10, 30, 50), chunk: int | None = None) -> DataFrame:
@@ -46,14 +53,57 @@ def class_weight(rows: DataFrame, label: str) -> float:
     return max(1, one["n0"]) / max(1, one["n1"])
 
 
+@dataclass
+class Boosted:
+    """A fitted pipeline over named features, the probability above which a row is flagged, and the features by importance."""
+
+    pipeline: PipelineModel
+    names: list[str]
+    cut: float
+    ranked: list[tuple[str, float]]
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """rows with fused and flag; null features become 0."""
+        out = self.pipeline.transform(rows.fillna(0.0, subset=self.names)).withColumn("fused", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+        return out.withColumn("flag", (F.col("fused") > self.cut).cast("int"))
+
+    def importances(self, spark: SparkSession) -> DataFrame:
+        """(rank, feature, importance), the most important first, ties by name."""
+        return spark.createDataFrame([(i, n, float(v)) for i, (n, v) in enumerate(self.ranked, 1)], "rank int, feature string, importance double")
+
+
+def fit_boosted(train: DataFrame, names: list[str], label: str, trees: int = 200, depth: int = 6, rate: float = 0.1, cut: float = 0.5) -> Boosted:
+    """Gradient-boosted trees with class weights on rows with label 0 or 1; null features become 0. The training rows are written first:
+    a lost executor reads them again and does not make them anew."""
+    rows = train.filter(F.col(label) >= 0).fillna(0.0, subset=names)
+    data = written(rows.select(*names, F.col(label).cast("double").alias("_y")))
+    data = data.withColumn("_w", F.when(F.col("_y") == 1, class_weight(data, "_y")).otherwise(1.0))
+    model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_x"), model]).fit(data)
+    ranked = sorted(zip(names, pipeline.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return Boosted(pipeline, list(names), cut, ranked)
+
+
 def boosted(train: DataFrame, rows: DataFrame, names: list[str], label: str, trees: int = 200, depth: int = 6, rate: float = 0.1, cut: float = 0.5) -> tuple[DataFrame, list[tuple[str, float]]]:
-    """(rows with fused and flag, ranked importances): gradient-boosted trees with class weights; nulls become 0."""
-    weight = class_weight(train, label)
-    assembler = VectorAssembler(inputCols=names, outputCol="_x")
-    clean = lambda df: assembler.transform(df.fillna(0.0, subset=names))
-    data = clean(train.filter(F.col(label) >= 0)).withColumn("_w", F.when(F.col(label) == 1, weight).otherwise(1.0)).withColumn("_y", F.col(label).cast("double")).select("_x", "_w", "_y").cache()
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42).fit(data)
-    data.unpersist()
-    out = model.transform(clean(rows)).withColumn("fused", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
-    ranked = sorted(zip(names, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
-    return out.withColumn("flag", (F.col("fused") > cut).cast("int")), ranked
+    """(rows with fused and flag, ranked importances): fitted on one table, applied to another."""
+    model = fit_boosted(train, names, label, trees, depth, rate, cut)
+    return model.apply(rows), model.ranked
+
+
+def supervised(rows: DataFrame, score: str, label: str = "is_anomaly", share: float = 0.85, trees: int = 300, depth: int = 4, rate: float = 0.05, steps: int = 200, shortest: int = 3, gap: int = 2, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with fused and is_flagged, one row of threshold and metrics): trees on a score, its trailing mean, deviation and change.
+
+    Fitted on the first `share` of the time; the threshold with the best event F0.5 is looked for on the rest, and events above
+    it are pruned and merged for all rows.
+    """
+    table = over_frames(rows, 51, 0, lambda f: score_features(f, score), chunk)
+    table = written(table)
+    train, rest = chronological(table, cut_position(table.count(), share, "share"))
+    model = fit_boosted(train, [score, "score_mean", "score_std", "score_diff"], label, trees, depth, rate)
+    scored = written(model.apply(table).select("series_id", "rn", "id", "fused", label))
+    held = scored.join(rest.select("series_id", "rn"), ["series_id", "rn"], "left_semi")
+    sweep = written(calibrate(held, "fused", extract(held, label), grid(steps), shortest, gap, strict=True))
+    best = sweep.orderBy(F.col("f05").desc(), "threshold").limit(1)
+    flagged = with_row(scored, best.select(F.col("threshold").alias("_t"))).withColumn("_flag", (F.col("fused") > F.col("_t")).cast("int")).drop("_t")
+    flagged = written(flagged)
+    return mark(flagged.drop("_flag"), prune_then_merge(flagged, "_flag", shortest, gap), "is_flagged"), best

@@ -10,8 +10,6 @@ not one threshold after the other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telesift.operators.events import mark, merge, overlaps
-from telesift.operators.prep import chunked
+from telesift.operators.prep import blocks_of, chunked
 from telesift.sources.durable import written
 
 BLOCK = 50_000
@@ -58,23 +56,6 @@ def _level(scores: np.ndarray, thresholds: np.ndarray, strict: bool) -> np.ndarr
     return np.where(np.isnan(scores), 0, at).astype(np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Rows of one (series_id, chunk) after the other, from batches in that order, if some of them are the block's own."""
-    held = None
-    for batch in batches:
-        rows = batch.to_pandas()
-        held = rows if held is None else pd.concat([held, rows], ignore_index=True)
-        series, chunk = held["series_id"].to_numpy(), held["chunk"].to_numpy()
-        cuts = [0, *(np.flatnonzero((series[1:] != series[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            part = held.iloc[lo:hi]
-            if part["own"].any():
-                yield part
-        held = held.iloc[cuts[-1] :]
-    if held is not None and held["own"].any():
-        yield held
-
-
 def in_blocks(df: DataFrame, reach: int, block: int) -> DataFrame:
     """Rows by (series_id, chunk) with `reach` neighbours on either side, in order of rn; a block is one run of a task's rows."""
     wide = chunked(df, reach, reach, max(block, reach))
@@ -135,7 +116,7 @@ def threshold_counts(df: DataFrame, score: str, true: DataFrame, thresholds: lis
             columns = list(zip(*told, strict=True)) or [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-        for pdf in _blocks(batches):
+        for pdf in blocks_of(batches):
             key = (int(pdf["series_id"].iloc[0]), int(pdf["chunk"].iloc[0]))
             told += [(*key, *t) for t in _count(pdf, values, shortest, gap, strict)]
             if len(told) > 20_000:
@@ -178,7 +159,7 @@ def event_tree(df: DataFrame, score: str, thresholds: list[float], shortest: int
 
     def run(batches):
         out = []
-        for pdf in _blocks(batches):
+        for pdf in blocks_of(batches):
             own = pdf["own"].to_numpy()
             now = settle(_level(pdf["s"].to_numpy(dtype=float), values, strict), shortest, gap)[own]
             rn, n = pdf["rn"].to_numpy()[own], own.sum()

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +71,23 @@ def chunked(df: DataFrame, before: int, after: int, size: int) -> DataFrame:
     return df.withColumn("_to", F.explode(to)).withColumn("chunk", (chunk + F.col("_to")).cast("long")).withColumn("own", F.col("_to") == 0).drop("_to")
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Rows of one (series_id, chunk) after the other, from batches in that order, if some of them are the block's own."""
+    held = None
+    for batch in batches:
+        rows = batch.to_pandas()
+        held = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        series, chunk = held["series_id"].to_numpy(), held["chunk"].to_numpy()
+        cuts = [0, *(np.flatnonzero((series[1:] != series[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            part = held.iloc[lo:hi]
+            if part["own"].any():
+                yield part
+        held = held.iloc[cuts[-1] :]
+    if held is not None and held["own"].any():
+        yield held
+
+
 def nominal(df: DataFrame, label: str = "is_anomaly") -> DataFrame:
     return df.filter(F.col(label) == 0)
 
