@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telesift.llm.common import Forest, bounded_batches, components, pick, written
@@ -81,7 +81,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def _sign(batches):
-    """(doc_id, n_shingles, set1, set2, bands): set1 and set2 identify the set of shingles."""
+    """(doc_id, text_key, n_shingles, set1, set2, bands) of (doc_id, text, text_key): set1 and set2 identify the set of shingles."""
     for batch in batches:
         for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
             part = batch.slice(lo, TEXTS_AT_ONCE)
@@ -92,8 +92,8 @@ def _sign(batches):
             np.cumsum(mix(values + np.uint64(2)), out=sums[1, 1:])
             set1, set2 = (sums[:, first[1:]] - sums[:, first[:-1]]).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            columns = [part.column(0).cast(pa.int64()), pa.array(np.diff(first)), pa.array(set1), pa.array(set2), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set1", "set2", "bands"])
+            columns = [part.column(0).cast(pa.int64()), part.column(2), pa.array(np.diff(first)), pa.array(set1), pa.array(set2), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "set1", "set2", "bands"])
 
 
 def _verify(batches):
@@ -191,13 +191,23 @@ def _fits(n: str, m: str):
     return F.least(n, m) * OF >= F.greatest(n, m) * NEED
 
 
-def semi_join(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ids (a written table of distinct keys): by broadcast if those are few, else by shuffle."""
-    return rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, key, "left_semi")
+def small_or_shuffled(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row for a join: by broadcast if it has few rows, else by shuffle."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
+def text_key() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64("text")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every document (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) for every document (doc_id, text): see linked_rows."""
+    return linked_rows(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept, head) for every document (doc_id, text).
 
     Documents of one shingle set are folded into the one with the smallest doc_id. For the others: all
     slots of the signatures are banded; a bucket's documents are compared with its most central one
@@ -206,21 +216,27 @@ def link_documents(docs: DataFrame) -> DataFrame:
     each, and no pair that could join two components is left out. Two documents at exactly the
     threshold share no bucket with a probability of (1 - .75^4)^24, about 1 in 10,000.
 
-    Null, empty or blank text has no shingles and links with nothing. Repeated doc_ids are kept as rows
-    and count as one document if their text is the same; other columns are not read; an empty table
-    gives no rows; a null doc_id links with nothing and is its own component (null).
+    Every set is a node with a number of its own, so different texts of one doc_id are documents that link by themselves; component_id is the
+    smallest doc_id of all that can be reached. head is true for one (doc_id, text_key) of each component, the smallest of its smallest
+    doc_id, and for all that links with nothing; the same text under the same doc_id counts once.
+
+    Null, empty or blank text has no shingles and links with nothing. Repeated rows are kept as rows; other columns are
+    not read; an empty table gives no rows; a null doc_id links with nothing and is its own component (null).
     """
-    texts = bounded_batches(pick(docs, {"doc_id": "long", "text": "string"}))
-    signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"))
+    texts = bounded_batches(pick(docs, {"doc_id": "long", "text": "string"})).withColumn("text_key", text_key())
+    signed = written(texts.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, set1 long, set2 long, bands array<long>"))
     sets = signed.filter("n_shingles > 0 and doc_id is not null")
-    folded = sets.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
-    folded = written(folded.select("set1", "set2", "x.*"))
-    entries = folded.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    folded = sets.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "bands")).alias("x"))
+    folded = written(folded.select("set1", "set2", "x.*", F.monotonically_increasing_id().alias("node")))
+    # from here on a doc_id is the number of a node
+    entries = folded.select(F.col("node").alias("doc_id"), "n_shingles", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     entries = written(entries.join(buckets, "band"))
     central = written(entries.groupBy("doc_id").agg(F.sum("n").alias("met")))
     # the texts of all documents that share a bucket: all that is compared below
-    texts = written(semi_join(texts, central.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
+    asked = written(folded.join(central.select(F.col("doc_id").alias("node")), "node").select("doc_id", "text_key", "node"))
+    texts = texts.join(small_or_shuffled(asked), ["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
+    texts = written(texts.dropDuplicates(["doc_id"]))
     entries = written(entries.join(central, "doc_id"))
     hubs = entries.groupBy("band").agg(F.max(F.struct("met", (-F.col("doc_id")).alias("first"), "n_shingles")).alias("hub"))
     stars = entries.join(hubs, "band").withColumn("hub_id", -F.col("hub.first")).filter(F.col("hub_id") != F.col("doc_id"))
@@ -245,7 +261,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     more = more.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
     more = more.select(F.coalesce("src_to", "src").alias("src"), F.coalesce("dst_to", "dst").alias("dst"))
     final = written(components(found.select(F.col("component").alias("src"), F.col("id").alias("dst")).union(more)))
-    heads = folded.join(final, F.col("doc_id") == F.col("id"), "left").select("set1", "set2", F.coalesce("component", "doc_id").alias("component_id"))
+    heads = folded.join(final, F.col("node") == F.col("id"), "left").select("set1", "set2", "doc_id", "text_key", "component")
+    lows = heads.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("low"))
+    own = F.struct("doc_id", "text_key")
+    heads = heads.join(lows, "component", "left").select("set1", "set2", F.coalesce("low", own).alias("low"))
     linked = signed.drop("bands").join(heads, ["set1", "set2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    low = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("low", own)).otherwise(own)
+    linked = linked.select("doc_id", "text_key", "n_shingles", low.alias("low"))
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    linked = linked.select("doc_id", "text_key", "n_shingles", F.col("low.doc_id").alias("component_id"), F.col("low.text_key").alias("_key"))
+    return linked.withColumn("kept", same).withColumn("head", same & (F.col("text_key") == F.col("_key"))).drop("_key")
