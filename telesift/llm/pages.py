@@ -36,6 +36,8 @@ GUEST_NAMES = frozenset("comment comments disqus reply replies respond discussio
 MODIFIERS = frozenset("has no with without not is hide show open closed enabled disabled after before above below supports".split())
 HOLDERS = frozenset("list box block area wrap wrapper container inner outer section item items link links text title body bar row form group content widget panel main".split())
 HEADED = frozenset("article post entry story".split())
+# Behind a word for an article these are a kind of article, not a notice of the site.
+TIDINGS, REPORTED = frozenset("alert notice".split()), HEADED | {"news", "breaking"}
 FORM_WORDS = 40  # plain words; a form with fewer is furniture
 
 # Comments end at -->, hidden elements at their end tag, all of them at the end of the page if that is missing.
@@ -45,6 +47,8 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PARTS = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HREF = re.compile(r"\bhref\s*=", re.I)
 
 FEATURES = "words link_density words_before link_density_before words_after link_density_after in_main in_chrome page_has_main heading".split()
 
@@ -145,6 +149,8 @@ def _named(token: str) -> str:
     last = parts[-1]
     if last == "header" and HEADED.intersection(parts):
         return "article"
+    if last in TIDINGS and REPORTED.intersection(parts):
+        return ""
     if last in CHROME_NAMES:
         return last
     if parts[0] in CHROME_NAMES and all(p in HOLDERS or p in CHROME_NAMES for p in parts[1:]):
@@ -159,7 +165,7 @@ def _zone(tag: str, rest: str, parent: int) -> int:
     names: set[str] = set()
     if "=" in rest:
         for value in _NAMES.findall(rest):
-            names.update(map(_named, value.lower().strip("\"'").split()))
+            names.update(map(_named, _CAMEL.sub("-", value).lower().strip("\"'").split()))
     if parent >= 2 and not (tag == "main" or tag == "article" and parent == 2):
         return parent
     if tag in MAIN_TAGS and (names & MAIN_NAMES or not names & CHROME_NAMES):
@@ -179,7 +185,21 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     linked: list[str] = []
     stack: list[tuple[str, int]] = [("", 0)]
     forms: list[tuple[int, int]] = []  # of open forms: height of the stack, number of blocks before
+    places: dict[str, list[int]] = {}  # of open elements by tag: their heights in the stack
     in_link = heading = False
+    link_height = 0
+
+    def leave(height: int) -> None:
+        """Close all elements from this height on; a link ends with the element it began in."""
+        nonlocal in_link
+        for tag, _ in stack[height:]:
+            places[tag].pop()
+        del stack[height:]
+        in_link = in_link and len(stack) >= link_height
+
+    def innermost(*tags: str) -> int:
+        """Height of the last open element of these tags, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close() -> None:
         words = html.unescape("".join(parts)).split() if parts else ()
@@ -209,29 +229,30 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         tag = tag.lower()
         if tag == "a":
-            in_link = not m[2]
+            in_link, link_height = not m[2] and _HREF.search(m[4]) is not None, len(stack)
         if tag not in BREAKS:
             continue
         close()
         if tag in VOID:
             continue
         if m[2]:
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            found = innermost(tag)
             if found:
-                del stack[found:]
+                leave(found)
                 end_forms()
         elif not m[4].endswith("/"):
             if stack[-1][0] == "p":
-                stack.pop()
+                leave(len(stack) - 1)
             if tag == "li":
-                found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("li", "ul", "ol", "menu")), 0)
+                found = innermost("li", "ul", "ol", "menu")
                 if found and stack[found][0] == "li":
-                    del stack[found:]
+                    leave(found)
                     end_forms()
             if tag == "form":
                 forms.append((len(stack), len(out)))
             elif tag in MAIN_TAGS:
                 forms.clear()  # they hold a page
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, _zone(tag, m[4], stack[-1][1])))
         heading = len(stack[-1][0]) == 2 and stack[-1][0][0] == "h" and stack[-1][0][1].isdigit()
     say(page[end:])
