@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from telesift.llm.common import table, written
 from telesift.llm.langid import UNKNOWN, identify
 from telesift.llm.mixing import mix_sources
-from telesift.llm.neardup import link_documents
+from telesift.llm.neardup import linked_rows, text_key
 from telesift.llm.packing import pack_documents
 from telesift.llm.substrings import remove_repeats
 
@@ -31,10 +31,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; a null doc_id has no group."""
-    kept = link_documents(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    unnamed = docs.filter("doc_id is null").select(COLUMNS)
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS).union(unnamed)
+    """One document of each group of near copies, of the smallest doc_id; texts of one doc_id that are not alike all stay, one text of one
+    doc_id stays once, a null doc_id has no group."""
+    kept = linked_rows(docs).filter("head and doc_id is not null").select("doc_id", "text_key").distinct()
+    docs = docs.select(COLUMNS)
+    rows = docs.withColumn("text_key", text_key()).join(kept, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return rows.select(COLUMNS).union(docs.filter("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
