@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,28 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return 1.0 if k <= 0 else beta_share(k, n - k + 1, p)
 
 
+def with_p(df: DataFrame, tail: Callable[..., float], *columns: str) -> DataFrame:
+    """A table of statistics with p, the tail of some of its columns; null where one of them is."""
+
+    @F.pandas_udf("double")
+    def value(*parts: pd.Series) -> pd.Series:
+        rows = zip(*(p.tolist() for p in parts), strict=True)
+        return pd.Series([None if any(pd.isna(x) for x in r) else float(tail(*r)) for r in rows], dtype="float64")
+
+    return df.withColumn("p", value(*[F.col(c).cast("double") for c in columns]))
+
+
+def correlation_tail(r: float, n: float) -> float:
+    """Two-sided, by the t distribution of n - 2 degrees."""
+    if n < 3:
+        return 1.0
+    return 0.0 if abs(r) >= 1 else t_tail(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
+def paired_tail(t: float, n: float) -> float:
+    return t_tail(t, n - 1)
+
+
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """(channel, n, skew, kurtosis): population skewness and excess kurtosis."""
     rows = long_form(df.select(*columns), columns, [])

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -671,6 +672,28 @@ def _(spark, d):
     return rounded(residual.channel_flags(errors, residual.dynamic_thresholds(errors)).select("rn", "error", "flag"), "error", digits=5)
 
 
+def _supplied(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Values of all channels, and for each step and horizon 0 and 1 the value before the step as its forecast."""
+    actual = S.long_form(single(spark, d).select("rn", *CHANNELS), CHANNELS, ["rn"], value="y").select("channel", "rn", "y")
+    last = actual.select("channel", (F.col("rn") + 1).alias("step"), F.col("y").alias("y_hat"))
+    steps = single(spark, d).agg(F.max("rn").alias("_last"))
+    forecasts = last.withColumn("horizon", F.explode(F.array(F.lit(0), F.lit(1))))
+    return actual, S.with_row(forecasts, steps).filter("step + horizon <= _last").drop("_last")
+
+
+# the whole job: all channels, forecasts of two horizons combined
+@query("d14_all_channels")
+def _(spark, d):
+    flags, _ = residual.forecast_job(*_supplied(spark, d), "exp", CHUNK)
+    return rounded(flags, "error", digits=5)
+
+
+# and its one stream over all channels
+@query("d14_any_channel")
+def _(spark, d):
+    return residual.forecast_job(*_supplied(spark, d), "exp", CHUNK)[1]
+
+
 @query("w19_ewma")
 def _(spark, d):
     return rounded(R.ewma(single(spark, d).select("series_id", "rn", "channel_41"), "channel_41", 105, CHUNK), "smooth")
@@ -1080,7 +1103,28 @@ def _(spark, d):
     return hypothesis.mann_whitney(_sides(spark, d), ["channel"]).select("channel", "u")
 
 
-@query("h7_budget", s(" SELECT count(*) AS n, CAST(sum(is_anomaly) AS BIGINT) AS k, true AS above FROM t"))
+# all tests with their p-values, one table: test, channel (or pair), statistic, p
+@query("h_p_values")
+def _(spark, d):
+    df, sides = single(spark, d), written(_sides(spark, d))
+    pairs = scored(df)
+    told = lambda rows, test, name, statistic: rows.select(F.lit(test).alias("test"), name.alias("name"), F.round(F.col(statistic).cast("double"), 6).alias("statistic"), F.round("p", 6).alias("p"))
+    ab, H = F.lit("a, b"), hypothesis
+    both = pairs.select("a", "b").filter("a is not null and b is not null").agg(F.count("*").alias("n"))
+    r = S.with_row(H.correlations(pairs, "a", "b"), both)
+    parts = [
+        told(H.normality(df, CHANNELS), "normality", F.col("channel"), "k2"),
+        told(H.with_p(H.levene(df, CHANNELS), H.f_tail, "statistic", "d1", "d2"), "levene", F.lit("all"), "statistic"),
+        told(H.with_p(r, H.correlation_tail, "pearson", "n"), "pearson", ab, "pearson"),
+        told(H.with_p(r, H.correlation_tail, "spearman", "n"), "spearman", ab, "spearman"),
+        told(H.with_p(H.paired_t(pairs, "a", "b"), H.paired_tail, "t", "n"), "paired t", ab, "t"),
+        told(H.with_p(H.ks_two_sample(sides, ["channel"]), H.ks_tail, "d", "n", "m"), "ks", F.col("channel"), "d"),
+        told(H.with_p(H.mann_whitney(sides, ["channel"]), H.normal_tail, "z"), "mann whitney", F.col("channel"), "u"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("h7_budget",s(" SELECT count(*) AS n, CAST(sum(is_anomaly) AS BIGINT) AS k, true AS above FROM t"))
 def _(spark, d):
     one = single(spark, d).agg(F.count("*").alias("n"), F.sum("is_anomaly").alias("k"))
     got = one.first()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from telesift.operators.events import mark, merge, overlaps
 from telesift.operators.prep import chunked
-from telesift.operators.rolling import ewma, head_smoothed
+from telesift.operators.rolling import combine_horizons, ewma, head_smoothed
 from telesift.sources.durable import written
 
 BATCH, HISTORY = 70, 30  # rows that a window adds, batches that it holds
@@ -198,6 +198,26 @@ def dynamic_thresholds(errors: DataFrame, batch: int = BATCH, history: int = HIS
     return scored.groupBy("series_id", "start_rn", "end_rn").agg(F.max("score").alias("score"))
 
 
+def forecast_job(actual: DataFrame, forecasts: DataFrame, method: str = "first", chunk: int = 20_000, padding: int = 250) -> tuple[DataFrame, DataFrame]:
+    """((channel, rn, error, flag), (rn, flag)) of actual (channel, rn, y) and supplied forecasts (channel, step, horizon, y_hat), all channels at once.
+
+    Forecasts for one row made at several steps are combined (first, mean or exp); residuals are smoothed and judged by dynamic
+    thresholds, channel by channel; the second table is 1 where any channel is. rn counts from a channel's first row that has
+    a forecast, after `padding` rows of zeros. A row with a forecast must follow the one before.
+    """
+    names = sorted(r[0] for r in forecasts.select("channel").distinct().collect())  # a row a channel
+    channels = F.array(*[F.lit(n) for n in names])
+    joined = actual.join(combine_horizons(forecasts, method).withColumnRenamed("target", "rn"), ["channel", "rn"])
+    rows = written(joined.select((F.array_position(channels, F.col("channel")) - 1).cast("long").alias("series_id"), "rn", "y", "y_hat"))
+    first = rows.groupBy("series_id").agg(F.min("rn").alias("_first"))
+    rows = rows.join(F.broadcast(first), "series_id").withColumn("rn", F.col("rn") - F.col("_first")).drop("_first")
+    values = rows.select("series_id", "rn", "y")
+    errors = written(residuals(values, rows.select("series_id", "rn", "y_hat"), chunk=chunk).join(values.withColumnRenamed("y", "value"), ["series_id", "rn"]))
+    flags = channel_flags(errors, written(dynamic_thresholds(errors)), padding)
+    flags = written(flags.select(F.get(channels, F.col("series_id").cast("int")).alias("channel"), "rn", "error", "flag"))
+    return flags, flags.groupBy("rn").agg(F.max("flag").alias("flag"))
+
+
 def channel_flags(errors: DataFrame, sequences: DataFrame, padding: int = 250) -> DataFrame:
     """(series_id, rn, error, flag): a row for each error after `padding` rows of zeros; 1 from the start of a sequence up to,
     but not with, its end."""
