@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telesift.operators.stats import exact_percentiles
+from telesift.sources.durable import written
 
 NODE = "tree int, node int, feature int, border double, left int, right int, size int"
 
@@ -87,6 +88,7 @@ def score(df: DataFrame, columns: list[str], forest: DataFrame, max_samples: int
 
 
 def flag(df: DataFrame, contamination: float, name: str = "s_iforest") -> DataFrame:
-    """df with flag: the share `contamination` of the highest scores."""
+    """df with flag: the share `contamination` of the highest scores. df is written first, so that trees are walked once."""
+    df = written(df)
     cut = exact_percentiles(df, {"_cut": (name, 1 - contamination)})
     return df.crossJoin(F.broadcast(cut)).withColumn("flag", (F.col(name) > F.col("_cut")).cast("int")).drop("_cut")

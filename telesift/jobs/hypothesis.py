@@ -107,7 +107,7 @@ def normality(df: DataFrame, columns: list[str]) -> DataFrame:
 def levene(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (statistic, d1, d2): deviations from the medians of the channels, then analysis of variance."""
     rows = long_form(df.select(*columns), columns, []).filter("value is not null")
-    medians = exact_percentiles(rows, {"m": ("value", 0.5)}, ["channel"])
+    medians = exact_percentiles(df, {c: (c, 0.5) for c in columns}).unpivot([], columns, "channel", "m")
     z = rows.join(F.broadcast(medians), "channel").withColumn("z", F.abs(F.col("value") - F.col("m")))
     groups = z.groupBy("channel").agg(F.count("*").alias("n"), F.avg("z").alias("mean"), F.var_pop("z").alias("var"))
     total = groups.agg(F.sum("n").alias("all"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * F.col("var")).alias("within"))

@@ -34,6 +34,34 @@ def test_sums_before_and_exact_percentiles(spark):
     assert S.exact_percentiles(df.limit(0), {"x": ("v", 0.5)}).first().x is None
 
 
+@pytest.mark.parametrize("direct", [200, 10**6])
+def test_percentiles_by_narrowing(spark, direct):
+    rng = np.random.default_rng(4)
+    heavy = np.concatenate([np.full(4000, 2.5), np.full(3000, -1.0), rng.exponential(3.0, 3000)])
+    both = [("ties", float(v), float(w)) for v, w in zip(heavy, rng.normal(1e9, 1e-3, 10_000), strict=True)]
+    both += [(None, float(v), None) for v in range(7)] + [("one", 4.0, float("inf")), ("none", None, None)]
+    both += [("nan", float("nan") if i < 40 else float(i), float(i)) for i in range(100)]
+    df = spark.createDataFrame(both, "k string, v double, w double").repartition(6)
+    shares = {"a": 0.0, "b": 0.013, "c": 0.3, "d": 0.5, "e": 0.9, "f": 1.0}
+    wanted = {f"{c}_{n}": (c, s) for c in ("v", "w") for n, s in shares.items()}
+    got = {r["k"]: r for r in S.exact_percentiles(df, wanted, ["k"], direct).collect()}
+    assert set(got) == {"ties", None, "one", "none", "nan"}
+    for c, i in (("v", 1), ("w", 2)):
+        for k in ("ties", None, "one", "nan"):
+            values = np.sort([r[i] for r in both if r[0] == k and r[i] is not None])
+            for n, share in shares.items():
+                if not len(values):
+                    assert got[k][f"{c}_{n}"] is None
+                    continue
+                at = share * (len(values) - 1)
+                lo, hi = values[int(np.floor(at))], values[int(np.ceil(at))]
+                want = lo if at == int(at) else (np.ceil(at) - at) * lo + (at - np.floor(at)) * hi
+                assert got[k][f"{c}_{n}"] == pytest.approx(want, rel=1e-15, nan_ok=True), (k, c, n)
+    assert all(got["none"][n] is None for n in wanted)
+    whole = S.exact_percentiles(df.filter("k = 'ties'"), wanted, direct=direct).first()
+    assert whole.asDict() == {n: got["ties"][n] for n in wanted}
+
+
 def test_strict_sweep_equals_one_threshold_at_a_time(spark):
     from telesift.operators import events as E
     from telesift.operators import metrics as M
