@@ -974,14 +974,31 @@ def _(spark, d):
     return rounded(M.calibrate(stream, "score", E.extract(df, "is_anomaly"), GRID, 3, 2, strict=True), "threshold", "precision", "recall", "f05")
 
 
-@query("d10_features")
+def mean6(expr: str) -> str:
+    return "(" + " + ".join(expr.replace("{c}", c) for c in CHANNELS) + f") / {len(CHANNELS)}"
+
+
+def pair_sql(a: str, b: str) -> str:
+    spread = f"stddev_pop({a}) OVER w30 * stddev_pop({b}) OVER w30"
+    return f"CASE WHEN count(*) OVER w30 >= 10 AND {spread} > 1e-12 THEN covar_pop({a}, {b}) OVER w30 / ({spread}) ELSE 0 END"
+
+
+FEATURE_SQL = {"iforest_score": "a", "forecast_score": "b", "detector_agreement": "abs(a - b)"}
+FEATURE_SQL |= {f"rolling_mean_dev_{w}": mean6(f"abs({{c}} - avg({{c}}) OVER w{w})") for w in (10, 30, 50)} | {f"rolling_std_{w}": mean6(f"stddev_samp({{c}}) OVER w{w}") for w in (10, 30, 50)}
+FEATURE_SQL |= {f"delta_{k}": f"coalesce({mean6(f'abs({{c}} - lag({{c}}, {k}) OVER w)')}, 0)" for k in (1, 5, 10)}
+FEATURE_SQL |= {"slope_magnitude": f"CASE WHEN count(*) OVER back < 10 THEN 0 ELSE {mean6('abs(regr_slope({c}, CAST(rn AS DOUBLE)) OVER back)')} END"}
+FEATURE_SQL |= {f"corr_ch{i}_ch{i + 1}": pair_sql(CHANNELS[i], CHANNELS[i + 1]) for i in range(3)}
+FEATURE_FRAMES = " WINDOW w AS (PARTITION BY series_id ORDER BY rn), back AS (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)" + "".join(f", w{n} AS (PARTITION BY series_id ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (10, 30, 50))
+
+
+@query("d10_features", s(SCORES + " SELECT id, " + ", ".join(f"round({x}, 4) AS {n}" for n, x in FEATURE_SQL.items()) + " FROM sc" + FEATURE_FRAMES))
 def _(spark, d):
-    return rounded(fusion.features(scored(single(spark, d)), T3, "a", "b", chunk=CHUNK).select("id", *fusion.FEATURES), *fusion.FEATURES, digits=4)
+    return rounded(fusion.features(scored(single(spark, d)), CHANNELS, "a", "b", chunk=CHUNK).select("id", *fusion.FEATURES), *fusion.FEATURES, digits=4)
 
 
 @query("d11_fusion")
 def _(spark, d):
-    table = fusion.pseudo_labels(fusion.features(scored(single(spark, d)), T3, "a", "b", chunk=CHUNK), "a", "b")
+    table = fusion.pseudo_labels(fusion.features(scored(single(spark, d)), CHANNELS, "a", "b", chunk=CHUNK), "a", "b")
     return fusion.boosted(table, table, fusion.FEATURES, "pseudo")[0].select("id", F.round("fused", 4).alias("fused"), "flag")
 
 
@@ -1064,7 +1081,18 @@ def _(spark, d):
     return rounded(hypothesis.moments(single(spark, d), CHANNELS), "skew", "kurtosis", digits=5)
 
 
-@query("h1_normality")
+NORMALITY = """, q AS (SELECT channel, value - avg(value) OVER (PARTITION BY channel) AS d FROM v),
+mo AS (SELECT channel, count(*) AS n, CAST(count(*) AS DOUBLE) AS c, avg(d * d * d) / pow(avg(d * d), 1.5) AS g1, avg(d * d * d * d) / pow(avg(d * d), 2) AS g2 FROM q GROUP BY channel),
+sk AS (SELECT *, g1 * sqrt((c + 1) * (c + 3) / (6 * (c - 2))) AS y, sqrt(2 * (3 * (c * c + 27 * c - 70) * (c + 1) * (c + 3) / ((c - 2) * (c + 5) * (c + 7) * (c + 9)) - 1)) - 1 AS w2 FROM mo),
+zs AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1 FROM sk),
+ku AS (SELECT *, (g2 - 3 * (c - 1) / (c + 1)) / sqrt(24 * c * (c - 2) * (c - 3) / ((c + 1) * (c + 1) * (c + 3) * (c + 5))) AS x, 6 * (c * c - 5 * c + 2) / ((c + 7) * (c + 9)) * sqrt(6 * (c + 3) * (c + 5) / (c * (c - 2) * (c - 3))) AS root FROM zs),
+ka AS (SELECT *, 6 + 8 / root * (2 / root + sqrt(1 + 4 / (root * root))) AS a FROM ku),
+ki AS (SELECT *, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS inner_part FROM ka),
+k2 AS (SELECT channel, n, z1 * z1 + pow((1 - 2 / (9 * a) - sign(inner_part) * pow(abs(inner_part), 1 / 3.0)) / sqrt(2 / (9 * a)), 2) AS k2 FROM ki)
+SELECT channel, n, round(k2, 4) AS k2, round(exp(-k2 / 2), 4) AS p FROM k2"""
+
+
+@query("h1_normality", s(LONG + NORMALITY))
 def _(spark, d):
     return rounded(hypothesis.normality(single(spark, d), CHANNELS), "k2", "p", digits=4)
 

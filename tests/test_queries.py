@@ -7,7 +7,7 @@ from telesift.jobs import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["a1_channel_stats", "a20_eventwise", "w1_local_frames", "w11_merged", "w13_merge_then_prune", "d1_global_std", "d8_calibration", "r3_sessions", "h6_mann_whitney"]
+SAMPLE = ["a1_channel_stats", "a20_eventwise", "w1_local_frames", "w11_merged", "w13_merge_then_prune", "d1_global_std", "d8_calibration", "r3_sessions", "h6_mann_whitney", "h1_normality", "d10_features", "a6_median_mad"]
 
 
 def plain(v):
