@@ -558,16 +558,13 @@ def _(spark, d):
     return rounded(rounded(out.select("rn", "mean", "std"), "mean", digits=9), "std", digits=7)
 
 
-T3 = CHANNELS[:4]
-
-
-def mean4(expr: str) -> str:
-    return "(" + " + ".join(expr.replace("{c}", c) for c in T3) + ") / 4"
+def mean6(expr: str) -> str:
+    return "(" + " + ".join(expr.replace("{c}", c) for c in CHANNELS) + f") / {len(CHANNELS)}"
 
 
-@query("w2_trailing_features", m(f" SELECT series_id, rn, round({mean4('abs({c} - avg({c}) OVER w)')}, 6) AS rolling_mean_dev_10, round({mean4('stddev_samp({c}) OVER w')}, 6) AS rolling_std_10 FROM t WINDOW w AS (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
+@query("w2_trailing_features", m(f" SELECT series_id, rn, round({mean6('abs({c} - avg({c}) OVER w)')}, 6) AS rolling_mean_dev_10, round({mean6('stddev_samp({c}) OVER w')}, 6) AS rolling_std_10 FROM t WINDOW w AS (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
 def _(spark, d):
-    out = R.over_frames(multi(spark, d), 10, 0, lambda f: R.trailing_features(f, T3, [10]))
+    out = R.over_frames(multi(spark, d), 10, 0, lambda f: R.trailing_features(f, CHANNELS, [10]))
     return rounded(out.select("series_id", "rn", "rolling_mean_dev_10", "rolling_std_10"), "rolling_mean_dev_10", "rolling_std_10")
 
 
@@ -577,15 +574,15 @@ def _(spark, d):
     return rounded(out.select("rn", "score_mean", "score_std", "score_diff"), "score_mean", "score_std", "score_diff")
 
 
-@query("w4_deltas", m(" SELECT series_id, rn, " + ", ".join(f"round(coalesce({mean4('abs({c} - lag({c}, ' + str(k) + ') OVER w)')}, 0), 6) AS delta_{k}" for k in (1, 5, 10)) + " FROM t WINDOW w AS (PARTITION BY series_id ORDER BY rn)"))
+@query("w4_deltas", m(" SELECT series_id, rn, " + ", ".join(f"round(coalesce({mean6('abs({c} - lag({c}, ' + str(k) + ') OVER w)')}, 0), 6) AS delta_{k}" for k in (1, 5, 10)) + " FROM t WINDOW w AS (PARTITION BY series_id ORDER BY rn)"))
 def _(spark, d):
-    out = R.over_frames(multi(spark, d), 10, 0, lambda f: R.deltas(f, T3, [1, 5, 10]))
+    out = R.over_frames(multi(spark, d), 10, 0, lambda f: R.deltas(f, CHANNELS, [1, 5, 10]))
     return rounded(out.select("series_id", "rn", "delta_1", "delta_5", "delta_10"), "delta_1", "delta_5", "delta_10")
 
 
-@query("w5_slope", m(f" SELECT series_id, rn, CASE WHEN rn < 10 THEN 0.0 ELSE round({mean4('abs(regr_slope({c}, CAST(rn AS DOUBLE)) OVER w)')}, 5) END AS slope_magnitude FROM t WINDOW w AS (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"))
+@query("w5_slope", m(f" SELECT series_id, rn, CASE WHEN rn < 10 THEN 0.0 ELSE round({mean6('abs(regr_slope({c}, CAST(rn AS DOUBLE)) OVER w)')}, 5) END AS slope_magnitude FROM t WINDOW w AS (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"))
 def _(spark, d):
-    out = R.over_frames(multi(spark, d), 10, 0, lambda f: R.slope(f, T3))
+    out = R.over_frames(multi(spark, d), 10, 0, lambda f: R.slope(f, CHANNELS))
     return rounded(out.select("series_id", "rn", "slope_magnitude"), "slope_magnitude", digits=5)
 
 
@@ -974,10 +971,6 @@ def _(spark, d):
     return rounded(M.calibrate(stream, "score", E.extract(df, "is_anomaly"), GRID, 3, 2, strict=True), "threshold", "precision", "recall", "f05")
 
 
-def mean6(expr: str) -> str:
-    return "(" + " + ".join(expr.replace("{c}", c) for c in CHANNELS) + f") / {len(CHANNELS)}"
-
-
 def pair_sql(a: str, b: str) -> str:
     spread = f"stddev_pop({a}) OVER w30 * stddev_pop({b}) OVER w30"
     return f"CASE WHEN count(*) OVER w30 >= 10 AND {spread} > 1e-12 THEN covar_pop({a}, {b}) OVER w30 / ({spread}) ELSE 0 END"
