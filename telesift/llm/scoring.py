@@ -336,57 +336,83 @@ def _sequences(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.array([len(r) for r in raw], dtype=np.int64) // _packed(size).itemsize
 
 
-def _trainer(start, turn: int, size: int):
-    """Training of one shard after the other: what is at hand when SHARD_BYTES / ROUNDS of text have come by."""
+TABLES = ("embed", "pair")  # of which a shard moves the rows of the ids and pairs that it has
+
+
+def add_moves(total: dict, moves: dict, tokens: float) -> None:
+    """Add what one shard did to the sums of many: of a table the rows that it moved, of other weights all."""
+    for k, m in moves.items():
+        sums, behind = total.setdefault(k, (np.zeros(m.shape), np.zeros(len(m) if k in TABLES else 1)))
+        at = np.flatnonzero((m != 0).any(axis=1)) if k in TABLES else slice(None)
+        sums[at] += m[at] * np.float64(tokens)
+        behind[at] += tokens
+
+
+def told_moves(total: dict) -> bytes:
+    """Sums of moves as bytes: of tables only the rows that some shard moved, with their numbers."""
+    out = {}
+    for k, (sums, behind) in total.items():
+        at = np.flatnonzero(behind).astype(np.int32) if k in TABLES else None
+        out[k] = (len(sums), at, sums.astype(np.float32) if at is None else sums[at].astype(np.float32), behind if at is None else behind[at])
+    return pickle.dumps(out)
+
 
-    def trained(part: list[pa.RecordBatch], vocabulary: Vocabulary, weights: dict) -> pa.RecordBatch:
-        ids, per_text = _sequences(pa.Table.from_batches(part).column("ids"), size)
-        classes, rows, at, _ = rows_with_ends(vocabulary, ids, per_text)
-        got = train(weights, classes, at, RATE / (turn + 1), turn, rows=rows, members=vocabulary.members)
-        moved = {k: w - weights[k] for k, w in got.items()}
-        return pa.RecordBatch.from_arrays([pa.array([len(classes)], pa.int64()), pa.array([pickle.dumps(moved)], pa.binary())], ["tokens", "moved"])
+def add_told(total: dict, raw: bytes) -> None:
+    """Add sums that told_moves has made to others."""
+    for k, (size, at, part, tokens) in pickle.loads(raw).items():
+        sums, behind = total.setdefault(k, (np.zeros((size, *part.shape[1:])), np.zeros(size if at is not None else 1)))
+        where = slice(None) if at is None else at
+        sums[where] += part
+        behind[where] += tokens
+
+
+def _trainer(start, turn: int, size: int):
+    """Training of one shard after the other: what is at hand when SHARD_TOKENS / ROUNDS have come by. A task adds up what its shards
+    did and tells it once, so what is written grows with tasks, not with shards."""
 
     def run(batches):
         vocabulary, weights = pickle.loads(start.value)
-        part, tokens = [], 0
+        total, part, tokens = {}, [], 0
+
+        def learn() -> None:
+            ids, per_text = _sequences(pa.Table.from_batches(part).column("ids"), size)
+            classes, rows, at, _ = rows_with_ends(vocabulary, ids, per_text)
+            got = train(weights, classes, at, RATE / (turn + 1), turn, rows=rows, members=vocabulary.members)
+            add_moves(total, {k: w - weights[k] for k, w in got.items()}, len(classes))
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part.append(batch.slice(lo, 64))
                 tokens += part[-1].column(0).nbytes // _packed(size).itemsize
                 if tokens > SHARD_TOKENS // ROUNDS:
-                    yield trained(part, vocabulary, weights)
+                    learn()
                     part, tokens = [], 0
         if part:
-            yield trained(part, vocabulary, weights)
+            learn()
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([told_moves(total)], pa.binary())], ["sums"])
 
     return run
 
 
 def _summed(batches):
-    """One row of the moves of many shards, each times its tokens, and the tokens behind each; of tables only the shards that moved a row count for it."""
-    total: dict[str, list[np.ndarray]] = {}
+    """One row of the sums of many tasks."""
+    total: dict = {}
     for batch in batches:
-        for tokens, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for k, m in pickle.loads(raw.as_py()).items():
-                here = (m != 0).any(axis=1, keepdims=True) * float(tokens) if k in ("embed", "pair") else np.full((1,) * m.ndim, float(tokens))
-                sums = total.setdefault(k, [np.zeros(m.shape), np.zeros(here.shape)])
-                sums[0] += m * np.float64(tokens)
-                sums[1] += here
+        for raw in batch.column(0):
+            add_told(total, raw.as_py())
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([told_moves(total)], pa.binary())], ["sums"])
 
 
 def averaged(weights: dict, parts: DataFrame) -> dict:
-    """The weights moved by the mean of what the shards (tokens, moved) did. Sums are made by Spark; the driver adds PARTIAL_SUMS rows at most."""
-    total: dict[str, list[np.ndarray]] = {}
+    """The weights moved by the mean of what the shards did, each counted by its tokens, of tables only the shards that moved a row. The
+    sums of tasks (sums) are added up by Spark; the driver adds PARTIAL_SUMS rows at most."""
+    total: dict = {}
     for row in parts.coalesce(PARTIAL_SUMS).mapInArrow(_summed, "sums binary").toLocalIterator():
-        for k, (move, tokens) in pickle.loads(row.sums).items():
-            if k in total:
-                total[k][0] += move
-                total[k][1] += tokens
-            else:
-                total[k] = [move, tokens]
-    return {k: w + (total[k][0] / np.maximum(total[k][1], 1)).astype(np.float32) if k in total else w for k, w in weights.items()}
+        add_told(total, bytes(row.sums))
+    mean = {k: (sums.T / np.maximum(behind, 1)).T.astype(np.float32) for k, (sums, behind) in total.items()}
+    return {k: w + mean[k] if k in mean else w for k, w in weights.items()}
 
 
 def _slices(batches, rows: int = 64):
@@ -445,6 +471,7 @@ def fit(training: DataFrame, total: int) -> tuple[Vocabulary, dict]:
     Their ids are spelled once, and the documents are dealt to ROUNDS rounds. In a round each task goes through its part of
     the table in shards of about SHARD_TOKENS / ROUNDS, nothing is shuffled; every shard starts from the common weights, and
     the weights moved by the mean of what the shards did are the next round's start. So each document is learned from once.
+    A task writes one row for all its shards, of the tables only the rows that they moved.
     """
     spark = training.sparkSession
     vocabulary_size = encoder().n_vocab
@@ -468,7 +495,7 @@ def fit(training: DataFrame, total: int) -> tuple[Vocabulary, dict]:
         start = spark.sparkContext.broadcast(pickle.dumps((vocabulary, weights)))
         mine = spelled_out.filter(F.col("turn") == turn).select("ids")
         # written, so that a lost executor does not train again what is done
-        parts = written(mine.mapInArrow(_trainer(start, turn, vocabulary_size), "tokens long, moved binary"))
+        parts = written(mine.mapInArrow(_trainer(start, turn, vocabulary_size), "sums binary"))
         weights = averaged(weights, parts)
         discard(parts)
         start.destroy()

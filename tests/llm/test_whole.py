@@ -34,6 +34,46 @@ def test_scoring_model_learns_from_every_training_document(spark):
     assert np.allclose(vocabulary.share, share)
 
 
+def test_moves_of_shards_are_summed_by_row():
+    rng = np.random.default_rng(11)
+    shapes = {"embed": (9, 4), "pair": (7, 4), "read": (4, 3), "bias": (3,)}
+    shards = []
+    for tokens in (100, 7, 31, 250):
+        moves = {k: rng.normal(size=s).astype(np.float32) for k, s in shapes.items()}
+        for k in scoring.TABLES:
+            moves[k][rng.random(len(moves[k])) < 0.6] = 0
+            moves[k][0] = 0  # a row that no shard moves
+        shards.append((tokens, moves))
+    tasks = [{}, {}]
+    for i, (tokens, moves) in enumerate(shards):
+        scoring.add_moves(tasks[i // 3], moves, tokens)
+    total = {}
+    for t in tasks:
+        scoring.add_told(total, scoring.told_moves(t))
+    for k in shapes:
+        sums, behind = total[k]
+        for r in range(shapes[k][0]):
+            n = sum(tokens for tokens, m in shards if k not in scoring.TABLES or m[k][r].any())
+            assert behind[r if k in scoring.TABLES else 0] == n
+            assert np.allclose(sums[r], sum(tokens * m[k][r].astype(float) for tokens, m in shards), rtol=1e-5, atol=1e-3)
+
+
+def test_a_task_of_training_tells_its_moves_once_and_only_moved_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the of and q{i % 5} stone river") for i in range(900)], "doc_id long, text string").repartition(3)
+    told, average = [], scoring.averaged
+
+    def watched(weights, parts):
+        told.append(parts.count())
+        new = average(weights, parts)
+        moved = (new["pair"] != weights["pair"]).any(axis=1)
+        assert 0 < moved.sum() < 200 and all(np.isfinite(w).all() for w in new.values())
+        return new
+
+    monkeypatch.setattr(scoring, "averaged", watched)
+    scoring.fit(docs, 900)
+    assert told == [3] * scoring.ROUNDS
+
+
 def test_audit_sees_rare_links_beside_a_hot_group():
     rng = np.random.default_rng(5)
     hot = rng.normal(size=(1, 24)) + rng.normal(size=(700, 24)) * 0.02
