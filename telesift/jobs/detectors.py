@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telesift.functions.scores import abs_z, blend, min_max, outside, percentile_scale, row_percentile, z_to_score
 from telesift.operators.events import extract, mark, prune_then_merge
-from telesift.operators.metrics import best_threshold, calibrate, grid, strict_sweep
+from telesift.operators.metrics import best_threshold, calibrate, grid, strict_sweep, strict_sweeps
 from telesift.operators.rolling import cumulative, forecast_error, local_z, over_frames
 from telesift.operators.stats import exact_percentiles, stats_row, with_row
 from telesift.sources.durable import written
@@ -85,6 +85,18 @@ def calibrated(rows: DataFrame, label: str = "is_anomaly", steps: int = 200, sho
     return best_threshold(calibrate(rows, "score", extract(rows, label), grid(steps), shortest, gap))
 
 
+def compare_models(rows: DataFrame, scores: list[str], label: str = "is_anomaly", steps: int = 200, shortest: int = 7, gap: int = 0, ends: tuple[float, float] = (0.02, 0.2)) -> DataFrame:
+    """A row for each score column: model, threshold, precision, recall, f_beta, n_true, n_pred, median_length, longest.
+
+    Each is taken at its own threshold, the lowest of those with the best event F0.5, found in one sweep for all of them.
+    """
+    lo, hi = ends
+    table = strict_sweeps(rows, scores, extract(rows, label), [lo + i * (hi - lo) / (steps - 1) for i in range(steps)], shortest, gap)
+    rank = F.row_number().over(Window.partitionBy("model").orderBy(F.col("f_beta").desc(), "threshold"))  # `steps` rows a model
+    best = table.withColumn("_rank", rank).filter("_rank = 1")
+    return best.select("model", "threshold", "precision", "recall", "f_beta", "n_true", "n_pred", "median_length", "longest")
+
+
 def error_stream(rows: DataFrame, columns: list[str], size: int = 51, chunk: int | None = None) -> DataFrame:
     """rows with score: the largest channel error, its centred rolling mean, then min-max."""
     out = rows.withColumn("_top", F.greatest(*columns))

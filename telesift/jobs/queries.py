@@ -1019,6 +1019,14 @@ def _(spark, d):
     return rounded(M.strict_eventwise(E.prune_then_merge(flagged, "hit", 7, 0), E.extract(held, "is_anomaly")), "precision", "recall", "f_beta")
 
 
+# the table of models: two detectors and the error stream, each at its own best threshold on the last 15 % of the time
+@query("d13_models")
+def _(spark, d):
+    df = written(detectors.error_stream(scored(single(spark, d)), CHANNELS, 51, CHUNK).withColumnRenamed("score", "error"))
+    _, held = P.chronological(df, P.cut_position(df.count(), 0.15))
+    return rounded(detectors.compare_models(held, ["a", "b", "error"]), "threshold", "precision", "recall", "f_beta")
+
+
 @query("d8_strict_sweep")
 def _(spark, d):
     df = multi(spark, d)

@@ -178,18 +178,37 @@ def strict_sweep(df: DataFrame, score: str, true: DataFrame, thresholds: list[fl
     Different events are looked up once, however many thresholds have them; only pairs that overlap are told apart by threshold
     and matched, each threshold and series by itself, numbered as a series of its own.
     """
+    return strict_sweeps(df, [score], true, thresholds, shortest, gap, beta, least).drop("model", "median_length", "longest")
+
+
+def strict_sweeps(df: DataFrame, scores: list[str], true: DataFrame, thresholds: list[float], shortest: int = 7, gap: int = 0, beta: float = 0.5, least: float = 0.2) -> DataFrame:
+    """strict_sweep of several score columns at once, with model (the column's name) and the median and greatest length of the events, 0 without any.
+
+    Each score of a series is a series of its own, so there is one tree of events and one round of matching for all
+    models. A null score is in no event; an empty table gives a row a threshold and model.
+    """
     spark = df.sparkSession
     true = written(true.select("series_id", "start_rn", "end_rn"))
-    n = len(thresholds)
-    every = spark.createDataFrame([(t, k) for k, t in enumerate(sorted(float(t) for t in thresholds))], "threshold double, k long")
-    tree = written(event_tree(df, score, thresholds, shortest, gap, strict=True))
-    pairs = matching_pairs(tree, true).withColumn("k", F.explode(F.sequence("lo", "hi")))
+    n, m = len(thresholds), len(scores)
+    # a series of its own for each model, then for each threshold
+    by_model = lambda events: events.withColumn("series_id", F.explode(F.array(*[F.col("series_id") * m + i for i in range(m)])))
+    levels = [(t, k) for k, t in enumerate(sorted(float(t) for t in thresholds))]
+    every = spark.createDataFrame([(name, i, t, k) for i, name in enumerate(scores) for t, k in levels], "model string, m long, threshold double, k long")
+    stacked = df.select("series_id", "rn", F.posexplode(F.array(*[F.col(c).cast("double") for c in scores])).alias("m", "s"))
+    stacked = stacked.select((F.col("series_id") * m + F.col("m")).alias("series_id"), "rn", "s")
+    tree = written(event_tree(stacked, "s", thresholds, shortest, gap, strict=True))
+    pairs = matching_pairs(tree, by_model(true)).withColumn("k", F.explode(F.sequence("lo", "hi")))
     pairs = pairs.select((F.col("series_id") * n + F.col("k")).alias("series_id"), "p_start", "p_end", "t_start", "t_end")
-    hits = match_pairs(pairs, least).groupBy(F.pmod("series_id", F.lit(n)).cast("long").alias("k")).agg(F.count("*").alias("tp"))
-    found = tree.groupBy("lo", "hi").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence("lo", "hi"))).groupBy(F.col("k").cast("long").alias("k")).agg(F.sum("n").alias("n_pred"))
-    rows = every.join(found, "k", "left").join(hits, "k", "left").na.fill(0, ["n_pred", "tp"]).crossJoin(true.agg(F.count("*").alias("n_true")))
+    hits = match_pairs(pairs, least).groupBy(F.pmod("series_id", F.lit(m * n)).cast("long").alias("at")).agg(F.count("*").alias("tp"))
+    hits = hits.select(F.expr(f"at div {n}").alias("m"), F.expr(f"at % {n}").alias("k"), "tp")
+    # by length first: a model's different lengths at a threshold are few, as their sum is under the number of rows
+    length = (F.col("end_rn") - F.col("start_rn") + 1).alias("length")
+    found = tree.groupBy(F.pmod("series_id", F.lit(m)).cast("long").alias("m"), "lo", "hi", length).agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))))
+    found = found.groupBy("m", "k").agg(F.sum("n").alias("n_pred"), F.percentile("length", F.lit(0.5), F.col("n")).alias("median_length"), F.max("length").alias("longest"))
+    rows = every.join(found, ["m", "k"], "left").join(hits, ["m", "k"], "left").na.fill(0, ["n_pred", "median_length", "longest", "tp"]).crossJoin(true.agg(F.count("*").alias("n_true")))
     rows = rows.withColumn("precision", _rate(F.col("tp"), F.col("n_pred"))).withColumn("recall", _rate(F.col("tp"), F.col("n_true")))
-    return rows.withColumn("f_beta", f_beta(F.col("precision"), F.col("recall"), beta)).drop("k")
+    rows = rows.withColumn("f_beta", f_beta(F.col("precision"), F.col("recall"), beta))
+    return rows.select("model", "threshold", "n_pred", "n_true", "tp", "precision", "recall", "f_beta", "median_length", "longest")
 
 
 def best_threshold(table: DataFrame, metric: str = "f05", default: float = 0.5) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from telesift.jobs import detectors
 from telesift.operators import events as E
 from telesift.operators import levels as L
 from telesift.operators import metrics as M
@@ -118,6 +119,61 @@ def test_strict_sweep_against_loops(table):
     assert sorted((round(r.threshold, 9), r.n_pred, r.n_true, r.tp) for r in got) == expected(rows, thresholds, 3, 2, True, greedy=0.2)
 
 
+def of_model(rows, values, t, shortest, gap, least):
+    """(n_pred, n_true, tp, median and greatest length) of one model at one threshold, series by series."""
+    n_true = tp = 0
+    lengths = []
+    for series in sorted({r[0] for r in rows}):
+        mine = [i for i, r in enumerate(rows) if r[0] == series]
+        true = plain_events([rows[i][3] for i in mine], 1, 0)
+        found = plain_events([values[i] is not None and values[i] > t for i in mine], shortest, gap)
+        n_true, tp, lengths = n_true + len(true), tp + plain_greedy(found, true, least), lengths + [b - a + 1 for a, b in found]
+    return len(lengths), n_true, tp, float(np.median(lengths)) if lengths else 0.0, max(lengths, default=0)
+
+
+def of_models(rows):
+    """Three models of the table's rows: its score, the score turned round, and one that is never above a threshold."""
+    return {"s": [r[2] for r in rows], "turned": [None if r[2] is None else 1 - r[2] for r in rows], "low": [-1.0 for _ in rows]}
+
+
+def test_sweep_of_models_against_loops(table):
+    rows, df = table
+    thresholds = [0.1, 0.3, 0.5, 0.7, 0.9]
+    wide = df.withColumn("turned", 1 - F.col("s")).withColumn("low", F.lit(-1.0))
+    got = {(r.model, round(r.threshold, 9)): (r.n_pred, r.n_true, r.tp, r.median_length, r.longest) for r in M.strict_sweeps(wide, ["s", "turned", "low"], E.extract(df, "label"), thresholds, 3, 2).collect()}
+    values = of_models(rows)
+    assert got == {(m, t): of_model(rows, values[m], t, 3, 2, 0.2) for m in values for t in thresholds}
+
+
+def test_sweep_of_models_in_series_below_zero(table):
+    rows, df = table
+    far = df.withColumn("series_id", F.col("series_id") - 7)
+    got = {(r.threshold, r.n_pred, r.n_true, r.tp) for r in M.strict_sweeps(far, ["s", "s"], E.extract(far, "label"), [0.3, 0.6], 3, 2).collect()}
+    assert got == {(t, *of_model(rows, of_models(rows)["s"], t, 3, 2, 0.2)[:3]) for t in (0.3, 0.6)}
+
+
+def test_table_of_models_takes_each_at_its_best_threshold(table):
+    rows, df = table
+    wide = df.withColumn("turned", 1 - F.col("s")).withColumn("low", F.lit(-1.0))
+    steps = [0.02 + i * 0.6 / 24 for i in range(25)]
+    want = {}
+    for name, values in of_models(rows).items():
+        best = None
+        for t in steps:
+            n_pred, n_true, tp, median, longest = of_model(rows, values, t, 2, 1, 0.2)
+            p, r = tp / max(1, n_pred), tp / max(1, n_true)
+            f = 1.25 * p * r / (0.25 * p + r) if p + r else 0.0
+            if best is None or f > best[3] + 1e-12:
+                best = (t, p, r, f, n_true, n_pred, median, longest)
+        want[name] = best
+    got = {r.model: r for r in detectors.compare_models(wide, list(want), "label", 25, 2, 1, (0.02, 0.62)).collect()}
+    assert got.keys() == want.keys()
+    for name, row in got.items():
+        assert list(row)[1:] == pytest.approx(list(want[name]))
+    none = detectors.compare_models(wide.filter("false"), ["s", "low"], "label", 5).collect()
+    assert sorted((r.model, r.threshold, r.n_pred, r.n_true, r.f_beta) for r in none) == [("low", 0.02, 0, 0, 0.0), ("s", 0.02, 0, 0, 0.0)]
+
+
 def test_sweep_of_nothing(spark, table):
     _, df = table
     none = df.filter("false")
