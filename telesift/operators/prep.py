@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -46,10 +48,13 @@ def before(df: DataFrame, order: str, columns: list[str], keys: list[str] | None
     zero = lambda x: F.coalesce(x, F.lit(0))
     run = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(c) for c in columns])
-    begins = sums.select(*keys, "_part", *[zero(F.sum(c).over(run)).alias(f"_{c}_begin") for c in columns])
+    begins = sums.select("_part", *keys, F.count("*").over(run).alias("_earlier"), *[zero(F.sum(c).over(run)).alias(f"_{c}_begin") for c in columns])
+    # only the least keys of a part can have rows in an earlier one: a row a part at most, however many keys there are
+    begins = begins.filter("_earlier > 0").select(F.col("_part").alias("_at"), *[F.col(k).alias(f"_{k}_at") for k in keys], *[f"_{c}_begin" for c in columns])
     inner = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = parts.withColumns({f"_{c}_inner": zero(F.sum(c).over(inner)) for c in columns}).join(F.broadcast(begins), [*keys, "_part"])
-    return rows.select(*df.columns, *[(F.col(f"_{c}_begin") + F.col(f"_{c}_inner")).alias(f"{c}_before") for c in columns])
+    same = [F.col("_part") == F.col("_at"), *[F.col(k).eqNullSafe(F.col(f"_{k}_at")) for k in keys]]
+    rows = parts.withColumns({f"_{c}_inner": zero(F.sum(c).over(inner)) for c in columns}).join(F.broadcast(begins), reduce(and_, same), "left")
+    return rows.select(*df.columns, *[(zero(F.col(f"_{c}_begin")) + F.col(f"_{c}_inner")).alias(f"{c}_before") for c in columns])
 
 
 def dense_index(df: DataFrame, order: str, name: str = "rn") -> DataFrame:

@@ -1,5 +1,7 @@
 """Positions, ranks and percentiles that no single task holds."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +78,24 @@ def test_strict_sweep_equals_one_threshold_at_a_time(spark):
         flagged = df.withColumn("hit", (F.col("s") > t).cast("int"))
         one = M.strict_eventwise(E.prune_then_merge(flagged, "hit", 2, 1), true).first()
         assert got[t] == (one.n_pred, one.tp, round(one.f_beta, 9))
+
+
+def test_sums_before_with_many_keys_a_hot_one_and_no_key(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 400}", i, rng.randint(0, 9)) for i in range(6000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, at long, n long").repartition(7)
+    got = {(r.k, r.at): r.n_before for r in P.before(df, "at", ["n"], ["k"]).collect()}
+    want, sums = {}, {}
+    for k, at, n in sorted(rows, key=lambda r: r[1]):
+        want[k, at] = sums.get(k, 0)
+        sums[k] = sums.get(k, 0) + n
+    assert got == want
+
+
+def test_what_is_broadcast_for_sums_before_does_not_grow_with_keys(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id % 2500 as k", "id as at", "1L as n").repartition(4)
+    sent = []
+    monkeypatch.setattr(P.F, "broadcast", lambda x: sent.append(x) or x)
+    assert P.before(df, "at", ["n"], ["k"]).agg(F.sum("n_before")).first()[0] == 2500
+    assert sent[0].count() <= 4
