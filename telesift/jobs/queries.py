@@ -514,6 +514,21 @@ def _(spark, d):
     return M.confusion(_flagged(spark, d), "pred", "is_anomaly")
 
 
+REPORT = (
+    ", cnt AS (SELECT is_anomaly, pred, count(*) AS n FROM g GROUP BY 1, 2), cls AS (SELECT is_anomaly AS c FROM cnt UNION SELECT pred FROM cnt),"
+    " seen AS (SELECT c, coalesce(sum(n) FILTER (is_anomaly = c), 0) AS support, coalesce(sum(n) FILTER (pred = c), 0) AS found, coalesce(sum(n) FILTER (pred = c AND is_anomaly = c), 0) AS hit FROM cls, cnt GROUP BY c),"
+    " pr AS (SELECT *, CASE WHEN found > 0 THEN hit / found ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS q FROM seen), rated AS (SELECT *, CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END AS f1 FROM pr),"
+    " report AS (SELECT CAST(c AS VARCHAR) AS name, p, q, f1, support FROM rated UNION ALL SELECT 'accuracy', sum(hit) / sum(support), sum(hit) / sum(support), sum(hit) / sum(support), sum(support) FROM rated"
+    " UNION ALL SELECT 'macro avg', avg(p), avg(q), avg(f1), sum(support) FROM rated UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(q * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM rated)"
+    " SELECT name, round(p, 6) AS precision, round(q, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM report"
+)
+
+
+@query("a25_class_report", s(FLAGGED.format(n=2.5) + REPORT))
+def _(spark, d):
+    return rounded(M.class_report(_flagged(spark, d), "pred", "is_anomaly"), "precision", "recall", "f1")
+
+
 def _forecast(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Actual values and a forecast from them (the value before), as the reference takes forecasts from elsewhere."""
     rows = R.over_frames(df.select("series_id", "rn", F.col("channel_41").alias("y")), 1, 0, lambda f: {"y_hat": f.lag("y")}, CHUNK)

@@ -133,6 +133,30 @@ def confusion(df: DataFrame, flag: str, label: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("label"), F.col(flag).alias("flag")).agg(F.count("*").alias("n"))
 
 
+def class_report(df: DataFrame, flag: str, label: str) -> DataFrame:
+    """(name, precision, recall, f1, support): a row for each class, then accuracy (in all three), macro avg and weighted avg.
+
+    Rates without a denominator are 0; rows without label or flag are left out; without any row there are no classes and the last
+    three are 0. Everything follows from the counts by label and flag.
+    """
+    counts = written(confusion(df.filter(F.col(flag).isNotNull() & F.col(label).isNotNull()), flag, label))
+    none = F.lit(0).cast("long")
+    true = counts.select(F.col("label").cast("string").alias("name"), F.col("n").alias("support"), none.alias("found"), F.when(F.col("label") == F.col("flag"), F.col("n")).otherwise(none).alias("hit"))
+    found = counts.select(F.col("flag").cast("string").alias("name"), none.alias("support"), F.col("n").alias("found"), none.alias("hit"))
+    classes = true.unionByName(found).groupBy("name").agg(*[F.sum(c).alias(c) for c in ("support", "found", "hit")])
+    classes = classes.withColumn("precision", _rate(F.col("hit"), F.col("found"))).withColumn("recall", _rate(F.col("hit"), F.col("support")))
+    rates = ["precision", "recall", "f1"]
+    classes = classes.withColumn("f1", f_beta(F.col("precision"), F.col("recall"), 1.0))
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    every = F.coalesce(F.sum("support"), none).alias("support")
+    accuracy = some(F.try_divide(F.sum("hit"), F.sum("support")))
+    totals = {"accuracy": [accuracy] * 3, "macro avg": [some(F.avg(r)) for r in rates], "weighted avg": [some(F.try_divide(F.sum(F.col(r) * F.col("support")), F.sum("support"))) for r in rates]}
+    out = classes.select("name", *rates, "support")
+    for name, values in totals.items():
+        out = out.unionByName(classes.agg(*[v.alias(r) for v, r in zip(values, rates, strict=True)], every).withColumn("name", F.lit(name)))
+    return out
+
+
 def grid(steps: int = 200) -> list[float]:
     """Evenly spaced thresholds 0..1, the last one exactly 1."""
     return [i * (1.0 / (steps - 1)) for i in range(steps - 1)] + [1.0]

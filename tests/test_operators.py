@@ -156,6 +156,25 @@ def test_window_samples_leave_out_short_fragments(spark):
     assert all(len(r.inputs) == 4 and len(r.targets) == 2 for r in got)
 
 
+def test_class_report_by_hand(spark):
+    pairs = [(0, 0)] * 50 + [(0, 1)] * 5 + [(1, 0)] * 3 + [(1, 1)] * 7 + [(2, 0)] * 2 + [(None, 1), (1, None)]
+    df = spark.createDataFrame(pairs, "label int, flag int")
+    got = {r.name: tuple(r)[1:] for r in M.class_report(df, "flag", "label").collect()}
+    p = {"0": 50 / 55, "1": 7 / 12, "2": 0.0}
+    q = {"0": 50 / 55, "1": 7 / 10, "2": 0.0}
+    f = {"0": 50 / 55, "1": 14 / 22, "2": 0.0}
+    n = {"0": 55, "1": 10, "2": 2}
+    want = {c: (p[c], q[c], f[c], n[c]) for c in n}
+    want["accuracy"] = (57 / 67, 57 / 67, 57 / 67, 67)
+    want["macro avg"] = (*[sum(x.values()) / 3 for x in (p, q, f)], 67)
+    want["weighted avg"] = (*[sum(x[c] * n[c] for c in n) / 67 for x in (p, q, f)], 67)
+    assert got.keys() == want.keys()
+    for name, row in want.items():
+        assert got[name] == pytest.approx(row)
+    none = {r.name: tuple(r)[1:] for r in M.class_report(df.filter("false"), "flag", "label").collect()}
+    assert none == {name: (0.0, 0.0, 0.0, 0) for name in ("accuracy", "macro avg", "weighted avg")}
+
+
 def test_dense_index_and_splits(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1009).alias("id")).repartition(5)
     got = P.dense_index(df, "id").orderBy("rn").collect()
