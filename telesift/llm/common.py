@@ -68,6 +68,24 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+PARTS = 1_000  # a key with over a PARTS-th of all rows is dealt to several tasks
+
+
+def dealt_join(many: DataFrame, few: DataFrame, counts: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with few on keys; a key that holds more than a PARTS-th of many's rows is dealt by a hash of the columns `by`.
+
+    counts (keys.., n) are the rows of many by key, a written table. Fewer than PARTS keys are that frequent, so they are
+    broadcast, and few's rows of such a key are copied to each of its parts, under 2 * PARTS parts in all. No part then has much more
+    than a PARTS-th of the rows. how is inner or left_semi; null keys match nothing.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.filter(F.col("n") * PARTS > total).select(*keys, F.ceil(F.col("n") * PARTS / max(1, total)).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    right = few.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
 def numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns named c0, c1, ... in this order: for functions over batches, which do not take every name."""
     return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])

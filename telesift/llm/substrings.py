@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telesift.llm.common import bounded_batches, numbered, pick, spare, written
+from telesift.llm.common import bounded_batches, dealt_join, numbered, pick, spare, written
 from telesift.llm.words import BASE, CHUNK, OTHER, _powers, grams, inside, mix, other_hashes, words_of
 
 WINDOW = 50
@@ -159,7 +159,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id. Where different passages share an anchor, those of about SHARD_WORDS words form a reference shard, whose
     suffix automaton over the words tells for every window of every passage the smallest document that has it. An anchor with more than
     MOST_CONTEXTS passages (a common sentence in ever new surroundings) would make a shard without bound:
-    its windows are looked up one by one, by both fingerprints, to the same result.
+    its windows are looked up one by one, by both fingerprints, to the same result. Runs of an anchor or a passage that many
+    documents share are dealt to several tasks (dealt_join).
     """
     texts = bounded_batches(pick(docs, {"doc_id": "long", "text": "string"})).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("key"), "text")
 
@@ -177,11 +178,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "anchor", "passage", "other", "start", "windows"])
 
     runs = written(texts.mapInArrow(cut, RUN))
-    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    runs = written(runs.join(shared, "anchor", "left_semi"))
+    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    shared = written(shared.select("anchor", "n"))
+    row = ["doc_id", "key", "start"]
+    runs = written(dealt_join(runs, shared.select("anchor"), shared, ["anchor"], row, "left_semi"))
     same = ("anchor", "passage", "other")
-    passages = runs.groupBy(*same).agg(F.min(F.struct("doc_id", "key", "start", "windows")).alias("x"))
-    passages = written(passages.select(*same, F.col("x.doc_id").alias("owner"), "x.key", "x.start", "x.windows"))
+    passages = runs.groupBy(*same).agg(F.min(F.struct("doc_id", "key", "start", "windows")).alias("x"), F.count("*").alias("n"))
+    passages = written(passages.select(*same, "n", F.col("x.doc_id").alias("owner"), "x.key", "x.start", "x.windows"))
+    counts = passages
     contexts = passages.groupBy("anchor").agg(F.count("*").alias("contexts"))
     passages = written(passages.join(contexts, "anchor"))
     alone = passages.filter("contexts = 1").select(*same, F.lit(0).alias("lo"), F.col("windows").alias("hi"), F.col("owner").alias("first_doc"))
@@ -224,7 +228,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     firsts = single.groupBy("print", "second").agg(F.min("owner").alias("first_doc"))
     single = single.join(firsts, ["print", "second"]).select(*same, F.col("place").alias("lo"), (F.col("place") + 1).alias("hi"), "first_doc")
     known = alone.union(matched).union(single)
-    spans = runs.join(known, [*same]).filter(F.col("first_doc") < F.col("doc_id"))
+    spans = dealt_join(runs, known, counts, [*same], row).filter(F.col("first_doc") < F.col("doc_id"))
     return spans.select("doc_id", "key", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi") + window - 1).alias("end"))
 
 

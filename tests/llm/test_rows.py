@@ -6,8 +6,9 @@ import time
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from telesift.llm import neardup, pages
+from telesift.llm import common, neardup, pages
 
 RNG = random.Random(11)
 WORDS = [f"w{i}" for i in range(500)]
@@ -106,3 +107,34 @@ def test_unclosed_elements_take_no_square_time():
         begin = time.time()
         pages.text_blocks(page + "end")
         assert time.time() - begin < 15
+
+
+def test_dealt_join_is_a_join_and_spreads_hot_keys(spark):
+    rows = [("hot" if i % 3 else None if i % 30 == 0 else f"k{i % 200}", i % 2, i) for i in range(6000)]
+    many = spark.createDataFrame(rows, "a string, b long, at long").repartition(5)
+    few = spark.createDataFrame([("hot", 0, "x"), ("hot", 0, "y"), ("hot", 1, "z"), ("k3", 1, "u"), ("k9", 1, "v"), ("none", 0, "w"), (None, 0, "n")], "a string, b long, what string")
+    keys = ["a", "b"]
+    counts = common.written(many.groupBy(*keys).agg(F.count("*").alias("n")))
+    for how in ("inner", "left_semi"):
+        got = common.dealt_join(many, few, counts, keys, ["at"], how)
+        want = many.join(few, keys, how)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    total = sum(r.n for r in counts.collect())
+    hot = counts.filter(F.col("n") * common.PARTS > total)
+    assert hot.count() < common.PARTS
+    none = common.dealt_join(many.limit(0), few, counts.limit(0), keys, ["at"])
+    assert none.count() == 0
+
+
+def test_no_part_of_a_dealt_join_holds_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "PARTS", 20)
+    many = spark.range(9000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) as a", "id as at")
+    few = spark.createDataFrame([("hot",)], "a string").select("a", F.monotonically_increasing_id().alias("place"))
+    counts = common.written(many.groupBy("a").agg(F.count("*").alias("n")))
+    seen = []
+    drop = type(many).drop
+    monkeypatch.setattr(type(many), "drop", lambda self, *c: (seen.append(self) if c == ("_part",) else None) or drop(self, *c))
+    assert common.dealt_join(many, few, counts, ["a"], ["at"]).count() == 3000
+    parts = [r["count"] for r in seen[-1].groupBy("a", "_part").count().collect()]
+    assert len(parts) == 7 and max(parts) < 2 * 9000 / 20
