@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from telesift.operators.stats import exact_percentiles
 
 EDGE = 100_000  # positions in a block
-LEVELS = 46  # cells of up to 2^46 positions
 
 
 def length() -> Column:
@@ -65,39 +64,32 @@ def merge_then_prune(df: DataFrame, score: str, above: float = 0.5, gap: int = 3
     return prune(merge(extract(df.withColumn("_flag", (F.col(score) > above).cast("int")), "_flag"), gap - 1), shortest)
 
 
-def _up(position: Column, level: Column) -> Column:
-    """The first cell of a level that begins at the position or after it."""
-    return F.ceil(position / F.pow(F.lit(2.0), level)).cast("long")
-
-
-def _down(position: Column, level: Column) -> Column:
-    """The number of the cell of a level in which the row after a last position lies: cells before it end inside."""
-    return F.floor((position + 1) / F.pow(F.lit(2.0), level)).cast("long")
+def _halved(position: Column, level: str) -> Column:
+    """The number of the cell of a level that holds a position, for negative ones too."""
+    return F.call_function("shiftright", position.cast("long"), F.col(level))
 
 
 def cover(events: DataFrame, name: str = "cell") -> DataFrame:
     """events with (level, cell) rows: dyadic cells [cell * 2^level, (cell + 1) * 2^level) that make up [start_rn, end_rn] without overlap.
 
     An event of n positions gives at most 2 log2(n) rows, two of a level: the cell at its left end if that is odd, the one at its right end
-    if that is even. An event whose end lies before its start has none.
+    if that is even. Only levels whose cells are no longer than the event are looked at, so a short event costs little. An event whose
+    end lies before its start has none.
     """
-    each = F.transform(
-        F.sequence(F.lit(0), F.lit(LEVELS)),
-        lambda j: F.filter(
-            F.array(
-                F.struct(j.alias("level"), _up(F.col("start_rn"), j).alias("cell"), ((_up(F.col("start_rn"), j) < _down(F.col("end_rn"), j)) & (_up(F.col("start_rn"), j) % 2 != 0)).alias("in")),
-                F.struct(j.alias("level"), (_down(F.col("end_rn"), j) - 1).alias("cell"), ((_up(F.col("start_rn"), j) < _down(F.col("end_rn"), j)) & (_down(F.col("end_rn"), j) % 2 != 0)).alias("in")),
-            ),
-            lambda x: x["in"],
-        ),
-    )
-    return events.withColumn("_x", F.explode(F.flatten(each))).withColumns({"level": F.col("_x.level"), name: F.col("_x.cell")}).drop("_x")
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    # one level more than needed: a logarithm may be rounded down
+    rows = events.filter("start_rn <= end_rn").withColumn("level", F.explode(F.sequence(F.lit(0), (F.floor(F.log2(length())) + 1).cast("int"))))
+    # the first cell that begins at the start or after it, and the one that holds the row after the end: cells before it end inside
+    rows = rows.withColumns({"_up": _halved(F.col("start_rn") + size - 1, "level"), "_down": _halved(F.col("end_rn") + 1, "level")}).filter("_up < _down")
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    ends = F.array(F.when(odd("_up"), F.col("_up")), F.when(odd("_down"), F.col("_down") - 1))
+    return rows.withColumn(name, F.explode(ends)).filter(F.col(name).isNotNull()).drop("_up", "_down")
 
 
 def above(rows: DataFrame, position: str, levels: DataFrame) -> DataFrame:
-    """rows with the (level, cell) that hold a position, one for each level of `levels`, a row with the array `levels` (LEVELS + 1 numbers at most)."""
+    """rows with the (level, cell) that hold a position, one for each level of `levels`, a row with the array `levels` (64 numbers at most)."""
     out = rows.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels")
-    return out.withColumn("cell", F.floor(F.col(position) / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
+    return out.withColumn("cell", _halved(F.col(position), "level"))
 
 
 def stabbed(points: DataFrame, position: str, events: DataFrame) -> DataFrame:

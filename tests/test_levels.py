@@ -214,3 +214,15 @@ def test_overlaps_and_marks_of_nested_events(spark):
             want = {(i % 2, i): int(any(s == i % 2 and a <= i < b + inclusive for s, a, b in events)) for i in range(0, 7_000, 3)}
             assert got == want
     assert E.mark(rows, df(p)).count() == rows.count()
+
+
+def test_a_cover_looks_at_no_level_longer_than_its_event(spark, monkeypatch):
+    seen = []
+    explode = E.F.explode
+    monkeypatch.setattr(E.F, "explode", lambda c: seen.append(c) or explode(c))
+    events = spark.range(64).selectExpr("0L as series_id", "id * 7 - 100 as start_rn", "id * 7 - 100 + id as end_rn")
+    rows = E.cover(events).collect()
+    assert events.select(F.max(F.size(seen[0]))).first()[0] <= 8  # 64 positions at most; 47 levels were looked at before
+    for r in events.collect():
+        mine = [x for x in rows if x.start_rn == r.start_rn]
+        assert sorted(p for x in mine for p in range(x.cell << x.level, (x.cell + 1) << x.level)) == list(range(r.start_rn, r.end_rn + 1))
