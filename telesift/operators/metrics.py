@@ -205,11 +205,23 @@ def strict_sweep(df: DataFrame, score: str, true: DataFrame, thresholds: list[fl
     return strict_sweeps(df, [score], true, thresholds, shortest, gap, beta, least).drop("model", "median_length", "longest")
 
 
+def _apart(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """matching_pairs as (free, rest): pairs of events whose true events meet no other event at any of their thresholds, and all the others.
+
+    Two events meet at a true event if the thresholds that have them do. What a free event takes, none else could, so it takes its best.
+    """
+    before = Window.partitionBy("series_id", "t_start").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    met = pairs.withColumn("_to", F.max("hi").over(before)).filter("_to >= lo").select("series_id", "t_start").distinct()
+    node = ["series_id", "p_start", "p_end"]
+    mixed = written(pairs.join(met, ["series_id", "t_start"], "left_semi").select(*node).distinct())
+    return pairs.join(mixed, node, "left_anti"), pairs.join(mixed, node, "left_semi")
+
+
 def strict_sweeps(df: DataFrame, scores: list[str], true: DataFrame, thresholds: list[float], shortest: int = 7, gap: int = 0, beta: float = 0.5, least: float = 0.2) -> DataFrame:
     """strict_sweep of several score columns at once, with model (the column's name) and the median and greatest length of the events, 0 without any.
 
     Each score of a series is a series of its own, so there is one tree of events and one round of matching for all
-    models. A null score is in no event; an empty table gives a row a threshold and model.
+    models. An event that shares none of its true events with another of the same threshold is judged once for all its thresholds. A null score is in no event; an empty table gives a row a threshold and model.
     """
     spark = df.sparkSession
     true = written(true.select("series_id", "start_rn", "end_rn"))
@@ -221,13 +233,19 @@ def strict_sweeps(df: DataFrame, scores: list[str], true: DataFrame, thresholds:
     stacked = df.select("series_id", "rn", F.posexplode(F.array(*[F.col(c).cast("double") for c in scores])).alias("m", "s"))
     stacked = stacked.select((F.col("series_id") * m + F.col("m")).alias("series_id"), "rn", "s")
     tree = written(event_tree(stacked, "s", thresholds, shortest, gap, strict=True))
-    pairs = matching_pairs(tree, by_model(true)).withColumn("k", F.explode(F.sequence("lo", "hi")))
-    pairs = pairs.select((F.col("series_id") * n + F.col("k")).alias("series_id"), "p_start", "p_end", "t_start", "t_end")
-    hits = match_pairs(pairs, least).groupBy(F.pmod("series_id", F.lit(m * n)).cast("long").alias("at")).agg(F.count("*").alias("tp"))
+    free, rest = _apart(written(matching_pairs(tree, by_model(true))))
+    length = lambda a, b: F.col(b) - F.col(a) + 1
+    shared = F.least("p_end", "t_end") - F.greatest("p_start", "t_start") + 1
+    alone = free.groupBy("series_id", "p_start", "p_end", "lo", "hi").agg(F.max(shared / F.least(length("p_start", "p_end"), length("t_start", "t_end"))).alias("ratio")).filter(F.col("ratio") >= least)
+    alone = alone.groupBy(F.pmod("series_id", F.lit(m)).cast("long").alias("m"), "lo", "hi").agg(F.count("*").alias("tp"))
+    alone = alone.select("m", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))).alias("k"), "tp")
+    rest = rest.withColumn("k", F.explode(F.sequence("lo", "hi")))
+    rest = rest.select((F.col("series_id") * n + F.col("k")).alias("series_id"), "p_start", "p_end", "t_start", "t_end")
+    hits = match_pairs(rest, least).groupBy(F.pmod("series_id", F.lit(m * n)).cast("long").alias("at")).agg(F.count("*").alias("tp"))
     hits = hits.select(F.expr(f"at div {n}").alias("m"), F.expr(f"at % {n}").alias("k"), "tp")
+    hits = hits.unionByName(alone).groupBy("m", "k").agg(F.sum("tp").alias("tp"))
     # by length first: a model's different lengths at a threshold are few, as their sum is under the number of rows
-    length = (F.col("end_rn") - F.col("start_rn") + 1).alias("length")
-    found = tree.groupBy(F.pmod("series_id", F.lit(m)).cast("long").alias("m"), "lo", "hi", length).agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))))
+    found = tree.groupBy(F.pmod("series_id", F.lit(m)).cast("long").alias("m"), "lo", "hi", length("start_rn", "end_rn").alias("length")).agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))))
     found = found.groupBy("m", "k").agg(F.sum("n").alias("n_pred"), F.percentile("length", F.lit(0.5), F.col("n")).alias("median_length"), F.max("length").alias("longest"))
     rows = every.join(found, ["m", "k"], "left").join(hits, ["m", "k"], "left").na.fill(0, ["n_pred", "median_length", "longest", "tp"]).crossJoin(true.agg(F.count("*").alias("n_true")))
     rows = rows.withColumn("precision", _rate(F.col("tp"), F.col("n_pred"))).withColumn("recall", _rate(F.col("tp"), F.col("n_true")))

@@ -226,3 +226,25 @@ def test_a_cover_looks_at_no_level_longer_than_its_event(spark, monkeypatch):
     for r in events.collect():
         mine = [x for x in rows if x.start_rn == r.start_rn]
         assert sorted(p for x in mine for p in range(x.cell << x.level, (x.cell + 1) << x.level)) == list(range(r.start_rn, r.end_rn + 1))
+
+
+def test_only_events_that_share_a_true_one_are_matched_by_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    score = np.convolve(rng.random(1200), np.ones(4) / 4, "same")
+    rows = [(i % 2, i // 2, float(score[i]), int((i // 2) % 23 < (9, 1)[i % 2])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "series_id long, rn long, s double, y int")
+    true, steps = E.extract(df, "y"), [0.3 + i / 100 for i in range(30)]
+    matched = []
+    match = M.match_pairs
+    monkeypatch.setattr(M, "match_pairs", lambda pairs, *more: matched.append(pairs.count()) or match(pairs, *more))
+    got = {round(r.threshold, 6): (r.n_pred, r.tp) for r in M.strict_sweep(df, "s", true, steps, 1, 0).collect()}
+    every = 0
+    for t in steps:
+        tp = pred = 0
+        for s in (0, 1):
+            found = plain_events([r[2] > t for r in rows if r[0] == s], 1, 0)
+            real = plain_events([r[3] for r in rows if r[0] == s], 1, 0)
+            pred, tp = pred + len(found), tp + plain_greedy(found, real, 0.2)
+            every += sum(a <= e and b >= c for a, b in found for c, e in real)
+        assert got[round(t, 6)] == (pred, tp)
+    assert 0 < matched[0] < every
