@@ -21,6 +21,7 @@ from telesift.operators.prep import blocks_of, chunked
 from telesift.sources.durable import written
 
 BLOCK = 50_000
+SLAB = 1_000_000  # rows times levels looked at together
 EVENT, HIT, EDGE = 0, 1, 2
 
 
@@ -97,6 +98,17 @@ def _count(pdf: pd.DataFrame, thresholds: np.ndarray, shortest: int, gap: int, s
     return [*out, edge]
 
 
+def _heads(edges: DataFrame) -> DataFrame:
+    """First true rows of blocks as HIT rows: the least level since the true row before, over the blocks between; 0 before a series' first."""
+    true = F.col("hi") >= 0
+    before = Window.partitionBy("series_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tail = F.last(F.when(true, F.col("tail")), ignorenulls=True).over(before)
+    rows = edges.withColumns({"_tail": F.coalesce(tail, F.lit(0)), "_run": F.coalesce(F.count_if(true).over(before), F.lit(0))})
+    rows = rows.withColumn("_between", F.min(F.when(~true, F.col("lo"))).over(Window.partitionBy("series_id", "_run")))
+    heads = rows.filter(true).select(F.lit(HIT).alias("kind"), F.least("_tail", "_between", "hi").alias("lo"), F.col("top").alias("hi"), F.lit(1).cast("long").alias("n"))
+    return heads.filter("lo < hi")
+
+
 def threshold_counts(df: DataFrame, score: str, true: DataFrame, thresholds: list[float], shortest: int, gap: int, strict: bool = False, block: int = BLOCK) -> DataFrame:
     """(threshold, n_pred, tp): events of score >= t (or > t), pruned and merged, and how many of them overlap a true event.
 
@@ -124,21 +136,8 @@ def threshold_counts(df: DataFrame, score: str, true: DataFrame, thresholds: lis
                 told.clear()
         yield batch()
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        """First true rows of blocks: the least level since the true row before, over the blocks between."""
-        pdf, since, out = pdf.sort_values("chunk"), 0, []
-        for least, head, top, tail in zip(pdf["lo"], pdf["hi"], pdf["top"], pdf["tail"], strict=True):
-            if head < 0:
-                since = min(since, least)
-                continue
-            lo = min(since, head)
-            if lo < top:
-                out.append((HIT, lo, top, 1))
-            since = tail
-        return pd.DataFrame(out, columns=["kind", "lo", "hi", "n"])
-
     told = written(rows.mapInArrow(run, COUNTS))
-    heads = told.filter(F.col("kind") == EDGE).groupBy("series_id").applyInPandas(follow, "kind int, lo int, hi int, n long")
+    heads = _heads(told.filter(F.col("kind") == EDGE))
     pairs = told.filter(F.col("kind") != EDGE).select("kind", "lo", "hi", "n").union(heads)
     steps = pairs.select("kind", F.explode(F.array(F.struct((F.col("lo") + 1).alias("k"), F.col("n").alias("d")), F.struct((F.col("hi") + 1).alias("k"), (-F.col("n")).alias("d")))).alias("x"))
     steps = steps.groupBy(F.col("x.k").alias("k")).agg(*[F.sum(F.when(F.col("kind") == kind, F.col("x.d")).otherwise(0)).alias(name) for kind, name in ((EVENT, "n_pred"), (HIT, "tp"))])
@@ -157,17 +156,27 @@ def event_tree(df: DataFrame, score: str, thresholds: list[float], shortest: int
     values = np.array(sorted(float(t) for t in thresholds))
     rows = settled(df.select("series_id", "rn", score).withColumn("in_true", F.lit(0)), score, shortest, gap, block)
 
+    names, types = ["series_id", "start_rn", "end_rn", "lo", "hi", "border"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+
     def run(batches):
-        out = []
+        out, held = [], 0
+
+        def batch():
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
         for pdf in blocks_of(batches):
             own = pdf["own"].to_numpy()
             now = settle(_level(pdf["s"].to_numpy(dtype=float), values, strict), shortest, gap)[own]
-            rn, n = pdf["rn"].to_numpy()[own], own.sum()
+            rn, n, top = pdf["rn"].to_numpy()[own], int(own.sum()), int(now.max())
             found = []
-            for k in range(1, int(now.max()) + 1):
-                inside = np.concatenate([[False], now >= k, [False]])
-                turns = np.flatnonzero(inside[1:] != inside[:-1])
-                found.append((turns[::2], turns[1::2] - 1, np.full(len(turns) // 2, k - 1)))
+            step = max(1, SLAB // n)
+            for first in range(1, top + 1, step):  # many levels of a short block at once
+                k = np.arange(first, min(first + step, top + 1))
+                inside = np.zeros((len(k), n + 2), dtype=bool)
+                inside[:, 1:-1] = now >= k[:, None]
+                level, turns = np.nonzero(inside[:, 1:] != inside[:, :-1])
+                found.append((turns[::2], turns[1::2] - 1, level[::2] + first - 1))
             if not found:
                 continue
             begin, end, k = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -176,12 +185,13 @@ def event_tree(df: DataFrame, score: str, thresholds: list[float], shortest: int
             begin, end, k, border = begin[order], end[order], k[order], border[order]
             new = np.concatenate([[True], (begin[1:] != begin[:-1]) | (end[1:] != end[:-1]) | border[1:]])
             last = np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)
-            out.append(pd.DataFrame({"series_id": int(pdf["series_id"].iloc[0]), "start_rn": rn[begin[new]], "end_rn": rn[end[new]], "lo": k[new].astype("int32"), "hi": k[last].astype("int32"), "border": border[new]}))
-            if len(out) == 100:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-                out.clear()
+            out.append((np.full(int(new.sum()), int(pdf["series_id"].iloc[0])), rn[begin[new]], rn[end[new]], k[new], k[last], border[new]))
+            held += len(last)
+            if held > 20_000:
+                yield batch()
+                out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
+            yield batch()
 
     found = written(rows.mapInArrow(run, "series_id long, start_rn long, end_rn long, lo int, hi int, border boolean"))
     along = merge(found.filter("border").withColumnRenamed("lo", "k"), 0, ["series_id", "k"], block * 1_000_000)

@@ -248,3 +248,33 @@ def test_only_events_that_share_a_true_one_are_matched_by_threshold(spark, monke
             every += sum(a <= e and b >= c for a, b in found for c, e in real)
         assert got[round(t, 6)] == (pred, tp)
     assert 0 < matched[0] < every
+
+
+def test_true_rows_are_followed_over_blocks_without_any(spark):
+    rng = np.random.default_rng(33)
+    rows = [(s, i, float(v), int(rng.random() < 0.03)) for s in range(40) for i, v in enumerate(np.convolve(rng.random(160), np.ones(9) / 9, "same"))]
+    df = spark.createDataFrame(rows, "series_id long, rn long, s double, y int")
+    true, steps = E.extract(df, "y"), [0.3, 0.42, 0.5, 0.55]
+    counted = L.threshold_counts(df, "s", true, steps, 2, 1, block=8)
+    assert "FlatMapGroups" not in counted._jdf.queryExecution().toString()  # a call of Python a series took most of the time
+    got = {round(r.threshold, 6): (r.n_pred, r.tp) for r in counted.collect()}
+    for t in steps:
+        pred = tp = 0
+        for s in range(40):
+            found = plain_events([r[2] >= t for r in rows if r[0] == s], 2, 1)
+            real = plain_events([r[3] for r in rows if r[0] == s], 1, 0)
+            pred, tp = pred + len(found), tp + sum(any(a <= e and b >= c for c, e in real) for a, b in found)
+        assert got[t] == (pred, tp)
+
+
+def test_event_tree_of_a_block_in_slabs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(s, i, float(v)) for s in range(3) for i, v in enumerate(np.convolve(rng.random(120), np.ones(5) / 5, "same"))]
+    df = spark.createDataFrame(rows, "series_id long, rn long, s double")
+    steps = [0.2 + i / 40 for i in range(25)]
+    asked = lambda: sorted(tuple(r) for r in L.event_tree(df, "s", steps, 2, 1, block=50).select("series_id", "start_rn", "end_rn", "lo", "hi").collect())
+    whole = asked()
+    monkeypatch.setattr(L, "SLAB", 100)
+    assert asked() == whole
+    want = {(s, a, b, k) for k, t in enumerate(steps) for s in range(3) for a, b in plain_events([r[2] >= t for r in rows if r[0] == s], 2, 1)}
+    assert {(s, a, b, k) for s, a, b, lo, hi in whole for k in range(lo, hi + 1)} == want
