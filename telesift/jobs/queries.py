@@ -442,14 +442,10 @@ GRID_WINDOWS, GRID_LIMITS = (50, 100, 200), (3.0, 3.5, 4.0, 4.5, 5.0)
 def grid_cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """(size, threshold, flags, rate): rows of which any channel lies farther from its centred mean, for every window and threshold, in one aggregation."""
 
-    def build(f):
-        out = {}
-        for w in GRID_WINDOWS:
-            each = [F.abs(F.col(c) - mean) / std for c in columns for mean, std in [R.local_stats(f, c, w, 1, 1e-6)]]
-            out[f"z{w}"] = F.greatest(*each) if len(each) > 1 else each[0]
-        return out
-
-    wide = R.over_frames(df, 100, 100, build, CHUNK)
+    def farthest(b):
+        return [R.largest([R.block_z(b, c, w, 1, 1e-6) for c in columns]) for w in GRID_WINDOWS]
+
+    wide = R.by_blocks(df.select("series_id", "rn", *columns), 100, 100, [f"z{w}" for w in GRID_WINDOWS], farthest, CHUNK)
     one = wide.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"z{w}") > t).alias(f"{w}_{i}") for w in GRID_WINDOWS for i, t in enumerate(GRID_LIMITS)])
     cells = [F.struct(F.lit(w).alias("size"), F.lit(t).alias("threshold"), F.col(f"{w}_{i}").alias("flags"), (F.col(f"{w}_{i}") / F.col("n")).alias("rate")) for w in GRID_WINDOWS for i, t in enumerate(GRID_LIMITS)]
     return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,128 @@ def over_frames(df: DataFrame, before: int, after: int, build: Callable[[Frames]
     return wide.withColumns(build(Frames(["series_id", "chunk"]))).filter("own").drop("own", "chunk")
 
 
+SPREAD = 65_536  # values of frames laid out at once
+
+
+class Block:
+    """Numeric columns of the rows of a chunk and its halo, in order of rn, with moments over frames of rows i + lo .. i + hi of row i.
+
+    Nulls are left out, NaN is not. Values are taken from the row's own first, so frames of equal values have no spread.
+    """
+
+    def __init__(self, table: pa.Table):
+        self.table, self.seen = table, {}
+
+    def column(self, c: str) -> tuple[np.ndarray, np.ndarray]:
+        """(values, 0 for null; which are not null)."""
+        if c not in self.seen:
+            x = self.table.column(c).combine_chunks().cast(pa.float64())
+            self.seen[c] = x.fill_null(0.0).to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False)
+        return self.seen[c]
+
+    def lag(self, c: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        x, ok = self.column(c)
+        none = min(k, len(x))
+        return np.concatenate([np.zeros(none), x[: len(x) - none]]), np.concatenate([np.zeros(none, dtype=bool), ok[: len(x) - none]])
+
+    def moments(self, a: str, b: str, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """(values in the frame, their mean less the row's value, sum of products of distances from the means), of a and b where both are there, the mean of a."""
+        if (a, b, lo, hi) not in self.seen:
+            (x, some), (y, other) = self.column(a), self.column(b)
+            ok, size = some & other, hi - lo + 1
+            left, right = max(0, -lo), max(0, hi)
+            view = lambda v: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(left, v.dtype), v, np.zeros(right, v.dtype)]), size)[left + lo :][: len(v)]
+            at = np.arange(len(x))
+            upto = np.concatenate([[0], np.cumsum(ok)])
+            n = (upto[np.clip(at + hi + 1, 0, len(x))] - upto[np.clip(at + lo, 0, len(x))]).astype(np.float64)
+            mean, both = np.zeros(len(x)), np.zeros(len(x))
+            step, ones = max(1, SPREAD // size), np.ones(size)
+            vx, vy, vok, full = view(x), view(y), view(ok), n == size
+
+            def apart(v, own, rows, exact=False):
+                """Distances from the row's own value, or from the mean."""
+                d = v[rows] - own[rows, None]
+                missing = None if full[rows].all() else ~vok[rows]
+                if missing is not None:
+                    d[missing] = 0.0
+                off = d @ ones / n[rows]
+                if exact:
+                    d -= off[:, None]
+                    if missing is not None:
+                        d[missing] = 0.0
+                return d, off
+
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                for rows in (at[i : i + step] for i in range(0, len(x), step)):
+                    rows = slice(rows[0], rows[-1] + 1)
+                    d, mean[rows] = apart(vx, x, rows)
+                    e, off = (d, mean[rows]) if a == b else apart(vy, y, rows)
+                    found, less = np.einsum("ij,ij->i", d, e), n[rows] * mean[rows] * off
+                    both[rows] = found - less
+                    # where little is left of a difference, distances from the means are taken
+                    lost = np.flatnonzero(np.abs(found - less) < 1e-4 * np.abs(less)) + rows.start
+                    if len(lost):
+                        d = apart(vx, x, lost, True)[0]
+                        both[lost] = np.einsum("ij,ij->i", d, d if a == b else apart(vy, y, lost, True)[0])
+            self.seen[a, b, lo, hi] = n, mean, both
+        return self.seen[a, b, lo, hi]
+
+    def deviation(self, c: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sample deviation of a frame, and where there is one (two values and more)."""
+        n, _, both = self.moments(c, c, lo, hi)
+        return np.sqrt(both / np.maximum(n - 1, 1)), n > 1
+
+
+def tables_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one (series_id, chunk) after the other, from batches in that order, if some of them are the block's own."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+        series, chunk = held.column("series_id").to_numpy(), held.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero((series[1:] != series[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield held.slice(lo, hi - lo)
+        held = held.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def by_blocks(df: DataFrame, before: int, after: int, names: list[str], compute: Callable[[Block], list[tuple[np.ndarray, np.ndarray]]], chunk: int) -> DataFrame:
+    """df with double columns `names`: (values, which are not null) that `compute` tells for each row of a chunk with its halo.
+
+    The frames of Spark go through all their rows anew for each row and statistic; here a chunk's frames are laid out as one matrix, bit by bit.
+    """
+    columns = df.columns
+    wide = chunked(df, before, after, max(chunk, before, after)).repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "rn")
+
+    def run(batches):
+        for table in tables_of(batches):
+            own = table.column("own")
+            if not pa.compute.any(own).as_py():
+                continue
+            out = table.select(columns)
+            for name, (values, some) in zip(names, compute(Block(table)), strict=True):
+                out = out.append_column(name, pa.array(values, pa.float64(), mask=~some, from_pandas=False))
+            yield from out.filter(own).to_batches()
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return wide.select(*columns, "chunk", "own").mapInArrow(run, schema)
+
+
+def block_z(b: Block, c: str, size: int, least: int, min_std: float) -> tuple[np.ndarray, np.ndarray]:
+    """local_z of a channel of a block."""
+    lo, hi = -(size // 2), (size - 1) // 2
+    n, mean, _ = b.moments(c, c, lo, hi)
+    std, two = b.deviation(c, lo, hi)
+    return np.abs(mean / np.maximum(np.where(two, std, min_std), min_std)), b.column(c)[1] & (n >= least)
+
+
+def largest(each: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest of several columns row by row, nulls left out, NaN above all."""
+    return np.max([np.where(some, v, -np.inf) for v, some in each], axis=0), np.any([some for _, some in each], axis=0)
+
+
 def local_stats(f: Frames, c: str, size: int, least: int, min_std: float) -> tuple[Column, Column]:
     """Centred mean and sample deviation (floored at min_std), null with fewer than `least` values."""
     w = f.centred(size)
@@ -66,6 +190,8 @@ def local_z(df: DataFrame, columns: list[str], size: int, least: int = 1, min_st
             out[f"{c}_z"] = F.abs((F.col(c) - mean) / std)
         return out
 
+    if chunk is not None:
+        return by_blocks(df, size // 2, size // 2, [f"{c}_z" for c in columns], lambda b: [block_z(b, c, size, least, min_std) for c in columns], chunk)
     return over_frames(df, size // 2, size // 2, build, chunk)
 
 
