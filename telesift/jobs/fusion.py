@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,22 +16,49 @@ from telesift.functions.scores import pseudo_label_flexible, pseudo_label_strict
 from telesift.operators.events import extract, mark, prune_then_merge
 from telesift.operators.metrics import calibrate, grid
 from telesift.operators.prep import chronological, cut_position
-from telesift.operators.rolling import deltas, over_frames, pair_correlation, score_features, slope, trailing_features
+from telesift.operators.rolling import Block, by_blocks, deltas, over_frames, pair_correlation, score_features, slope, trailing_features
 from telesift.operators.stats import exact_percentiles, with_row
 from telesift.sources.durable import written
 
 
+def block_features(f: Block, columns: list[str], sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The frames of `features` over a block: trailing deviations by size, deltas, slope, correlations."""
+    out = []
+    every = lambda each: (sum(v for v, _ in each) / len(each), np.all([some for _, some in each], axis=0))
+    some_or_zero = lambda v, some: (np.where(some, v, 0.0), np.ones(len(v), dtype=bool))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for size in sizes:
+            apart = {c: f.moments(c, c, 1 - size, 0) for c in columns}
+            out.append(every([(np.abs(apart[c][1]), f.column(c)[1]) for c in columns]))
+            out.append(every([f.deviation(c, 1 - size, 0) for c in columns]))
+        for k in (1, 5, 10):
+            out.append(some_or_zero(*every([(np.abs(f.column(c)[0] - f.lag(c, k)[0]), f.column(c)[1] & f.lag(c, k)[1]) for c in columns])))
+        size, middle = 10, 4.5
+        norm = sum((k - middle) ** 2 for k in range(size))
+        lean = lambda c: np.abs(sum(((k - middle) * f.lag(c, size - k)[0] for k in range(1, size)), (0 - middle) * f.lag(c, size)[0]) / norm)
+        out.append(some_or_zero(*every([(lean(c), np.all([f.lag(c, k)[1] for k in range(1, size + 1)], axis=0)) for c in columns])))
+        for a, b in zip(columns[:3], columns[1:4], strict=True):
+            (na, _, aa), (nb, _, bb), (n, _, ab) = (f.moments(x, y, -29, 0) for x, y in ((a, a), (b, b), (a, b)))
+            spread = np.sqrt(aa / na) * np.sqrt(bb / nb)
+            out.append(some_or_zero(ab / n / spread, (na >= 10) & (nb > 0) & (n > 0) & ~(spread <= 1e-12)))
+    return out
+
+
 def features(rows: DataFrame, columns: list[str], a: str, b: str, sizes: tuple[int, ...] = (10, 30, 50), chunk: int | None = None) -> DataFrame:
     """rows with the 16 features: two scores and their distance, rolling deviations, deltas, slope and correlations.
 
-    All frames share one partitioning and order, so there is a single shuffle.
+    All frames share one partitioning and order, so there is a single shuffle. With a chunk size they are laid out by numpy.
     """
 
     def build(f):
         out = trailing_features(f, columns, list(sizes)) | deltas(f, columns, [1, 5, 10]) | slope(f, columns)
         return out | {f"corr_ch{i}_ch{i + 1}": pair_correlation(f, columns[i], columns[i + 1]) for i in range(3)}
 
-    out = over_frames(rows, max(50, *sizes), 0, build, chunk)
+    if chunk is None:
+        out = over_frames(rows, max(50, *sizes), 0, build)
+    else:
+        names = [*[f"rolling_{k}_{w}" for w in sizes for k in ("mean_dev", "std")], "delta_1", "delta_5", "delta_10", "slope_magnitude", *[f"corr_ch{i}_ch{i + 1}" for i in range(3)]]
+        out = by_blocks(rows, max(50, *sizes), 0, names, lambda f: block_features(f, columns, sizes), chunk)
     return out.withColumns({"iforest_score": F.col(a), "forecast_score": F.col(b), "detector_agreement": F.abs(F.col(a) - F.col(b))})
 
 
