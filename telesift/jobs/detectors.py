@@ -69,7 +69,8 @@ VOTES = {"s_global": 0.35, "s_local": 0.30, "s_iforest": 0.40}
 
 def predict(rows: DataFrame, threshold: float, shortest: int = 2, gap: int = 8) -> DataFrame:
     """rows with is_anomaly: score >= threshold, short events dropped, near ones merged."""
-    flagged = rows.withColumn("_flag", F.coalesce((F.col("score") >= threshold).cast("int"), F.lit(0)))
+    # scores are made once, for the events and for the rows
+    flagged = written(rows.withColumn("_flag", F.coalesce((F.col("score") >= threshold).cast("int"), F.lit(0))))
     return mark(flagged.drop("_flag"), prune_then_merge(flagged, "_flag", shortest, gap), "is_anomaly")
 
 

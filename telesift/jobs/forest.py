@@ -61,28 +61,38 @@ def fit(df: DataFrame, columns: list[str], trees: int = 100, max_samples: int =
     return picked.groupBy("tree").applyInPandas(grow, NODE)
 
 
+def _laid_out(tree: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, feature, border, children in pairs, path length) of the nodes of a tree, in order of their numbers. A leaf is its own child, so all rows take the same steps."""
+    feature, children = tree[:, 1].astype(np.int64), tree[:, 3:5].astype(np.int64)
+    leaf = feature < 0
+    at = np.arange(len(tree))
+    depth = np.zeros(len(tree))
+    for i in np.flatnonzero(~leaf):  # a node comes before its children
+        depth[children[i]] = depth[i] + 1
+    children[leaf] = at[leaf, None]
+    return int(depth.max()), np.maximum(feature, 0), tree[:, 2].astype(float), children.ravel(), depth + average_path(tree[:, 5])
+
+
 def score(df: DataFrame, columns: list[str], forest: DataFrame, max_samples: int = 256, name: str = "s_iforest") -> DataFrame:
     """df with the anomaly score 2^(-mean path / expected path) in (0, 1]; null channels count as 0."""
     nodes = forest.toPandas().sort_values(["tree", "node"])  # trees * 2 * max_samples rows at most
-    trees = [t.drop(columns=["tree"]).to_numpy() for _, t in nodes.groupby("tree")]
+    trees = [_laid_out(t.drop(columns=["tree"]).to_numpy()) for _, t in nodes.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(trees)
+    scale = max(1, len(trees)) * max(1e-9, float(average_path(np.array([max_samples]))[0]))
 
     @F.pandas_udf("double")
     def value(*parts: pd.Series) -> pd.Series:
         x = np.nan_to_num(np.column_stack([p.to_numpy(dtype=float) for p in parts]))
         total = np.zeros(len(x))
-        for tree in shared.value:
-            feature, border, left, right, size = tree[:, 1].astype(int), tree[:, 2], tree[:, 3].astype(int), tree[:, 4].astype(int), tree[:, 5]
-            node, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
-            while True:
-                live = np.flatnonzero(feature[node] >= 0)
-                if not len(live):
-                    break
-                here = node[live]
-                node[live] = np.where(x[live, feature[here]] < border[here], left[here], right[here])
-                depth[live] += 1
-            total += depth + average_path(size[node])
-        return pd.Series(2.0 ** (-total / max(1, len(shared.value)) / max(1e-9, float(average_path(np.array([max_samples]))[0]))))
+        begin = np.arange(len(x)) * x.shape[1]
+        flat = x.ravel()
+        for deepest, feature, border, child, path in shared.value:
+            node = np.zeros(len(x), dtype=np.int64)
+            for _ in range(deepest):
+                right = flat.take(begin + feature.take(node)) >= border.take(node)
+                node = child.take(2 * node + right)
+            total += path.take(node)
+        return pd.Series(2.0 ** (-total / scale))
 
     return df.withColumn(name, value(*columns))
 

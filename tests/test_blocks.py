@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telesift.jobs import fusion
+from telesift.jobs import detectors, forest, fusion
 from telesift.jobs import queries as Q
 from telesift.operators import rolling as R
 
@@ -74,3 +74,22 @@ def test_features_by_blocks_equal_frames(spark):
     got = fusion.features(rows, columns, "a", "b", chunk=90)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     agree(got, fusion.features(rows, columns, "a", "b"), names)
+
+
+def test_forest_scores_are_mean_paths_and_made_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, i, i, float(rng.normal()), None if i % 9 == 0 else float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "series_id long, rn long, id long, v double, w double")
+    trees = forest.written(forest.fit(df, ["v", "w"], trees=12, max_samples=64))
+    nodes = {(r.tree, r.node): r for r in trees.collect()}
+    scored = forest.score(df, ["v", "w"], trees, 64)
+    for r in scored.collect():
+        x, total = (r.v, r.w or 0.0), 0.0
+        for t in range(12):
+            n, depth = nodes[t, 0], 0
+            while n.feature >= 0:
+                n, depth = nodes[t, n.left if x[n.feature] < n.border else n.right], depth + 1
+            total += depth + float(forest.average_path(np.array([n.size]))[0])
+        assert r.s_iforest == pytest.approx(2 ** (-total / 12 / float(forest.average_path(np.array([64]))[0])), rel=1e-12)
+    out = detectors.predict(scored.withColumn("score", F.col("s_iforest")), 0.5)
+    assert "PythonUDF" not in out._jdf.queryExecution().toString() and "ArrowEval" not in out._jdf.queryExecution().toString()  # read from what was written
