@@ -1002,13 +1002,14 @@ def _(spark, d):
 
 @query("d11_fusion")
 def _(spark, d):
-    table = fusion.pseudo_labels(fusion.features(scored(single(spark, d)), CHANNELS, "a", "b", chunk=CHUNK), "a", "b")
+    rows = fusion.pseudo_labels(scored(single(spark, d)), "a", "b")
+    table = written(fusion.features(rows, CHANNELS, "a", "b", chunk=CHUNK).select("id", "pseudo", *fusion.FEATURES))
     return fusion.boosted(table, table, fusion.FEATURES, "pseudo")[0].select("id", F.round("fused", 4).alias("fused"), "flag")
 
 
 @query("d12_supervised")
 def _(spark, d):
-    table = R.over_frames(scored(single(spark, d)), 51, 0, lambda f: R.score_features(f, "a"), CHUNK)
+    table = written(R.over_frames(scored(single(spark, d)), 51, 0, lambda f: R.score_features(f, "a"), CHUNK))
     train, _ = P.chronological(table, P.cut_position(table.count(), 0.85, "share"))
     return fusion.boosted(train, table, ["a", "score_mean", "score_std", "score_diff"], "is_anomaly", trees=300, depth=4, rate=0.05)[0].select("id", F.round("fused", 4).alias("fused"), "flag")
 
