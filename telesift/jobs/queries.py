@@ -1219,7 +1219,7 @@ def _arriving(spark, d) -> DataFrame:
     wait = F.when(F.col("event_id") % 7 == 3, 2).when(F.col("event_id") % 11 == 5, 1).otherwise(0)
     batch = F.least(F.lit(LATEST), F.floor(F.col("event_id") * ARRIVALS / events.count()) + wait)
     rows = events.select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").cast("int").alias("flag"), batch.alias("batch"))
-    return late.replay(spark, late.arrive(rows, "batch"), rows.drop("batch").schema)
+    return late.replayed(rows, "batch")
 
 
 # windows that the watermark has closed, of rows that were in time
@@ -1259,6 +1259,5 @@ def _(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
     batch = F.floor(F.col("event_id") * 3 / events.count())
     rows = events.select(F.col("user_id").alias("series_id"), F.col("event_id").alias("rn"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("channel_41"), batch.alias("batch"))
-    stream = late.replay(spark, late.arrive(rows, "batch"), rows.drop("batch").schema)
-    out, _ = late.run_batches(late.local_z(stream, "channel_41", 50))
+    out, _ = late.run_batches(late.local_z(late.replayed(rows, "batch"), "channel_41", 50))
     return rounded(out, "z")
