@@ -23,8 +23,13 @@ Z_FIRST, Z_LAST, Z_STEP = 2.5, 12.0, 0.5
 
 def residuals(actual: DataFrame, forecast: DataFrame, span: int = 105, chunk: int = 20_000) -> DataFrame:
     """(series_id, rn, error): absolute residuals, smoothed by an exponential mean, the head evened out."""
-    rows = actual.join(forecast, ["series_id", "rn"]).select("series_id", "rn", F.abs(F.col("y") - F.col("y_hat")).alias("raw"))
-    return head_smoothed(ewma(rows, "raw", span, chunk, "error"), "error").select("series_id", "rn", "error")
+    return smoothed(actual.join(forecast, ["series_id", "rn"]).select("series_id", "rn", "y", "y_hat"), span, chunk).select("series_id", "rn", "error")
+
+
+def smoothed(rows: DataFrame, span: int = 105, chunk: int = 20_000, few: bool = False) -> DataFrame:
+    """(series_id, rn, error, value) of rows (series_id, rn, y, y_hat): residuals beside the value observed there. few: series are few, what each has is broadcast."""
+    raw = rows.select("series_id", "rn", F.col("y").alias("value"), F.abs(F.col("y") - F.col("y_hat")).alias("raw"))
+    return head_smoothed(ewma(raw, "raw", span, chunk, "error"), "error", few=few).select("series_id", "rn", "error", "value")
 
 
 def normalized_error(actual: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -137,7 +142,7 @@ def ignored(n: int, size: int = 250) -> int:
     return 2 * size if n >= 2_500 else size if n >= 1_800 else 0
 
 
-def dynamic_thresholds(errors: DataFrame, batch: int = BATCH, history: int = HISTORY, buffer: int = BUFFER, p: float = 0.13, least: float = LEAST_ERROR, block: int = 21_000) -> DataFrame:
+def dynamic_thresholds(errors: DataFrame, batch: int = BATCH, history: int = HISTORY, buffer: int = BUFFER, p: float = 0.13, least: float = LEAST_ERROR, block: int = 21_000, few: bool = False) -> DataFrame:
     """(series_id, start_rn, end_rn, score) from errors (series_id, rn, error, value); value is what was observed (error, if there is none).
 
     Windows of batch * history rows start every `batch` rows. The first one judges all its rows but the earliest, the others
@@ -147,10 +152,11 @@ def dynamic_thresholds(errors: DataFrame, batch: int = BATCH, history: int = HIS
     Thresholds are found block by block: a block and its halo hold some hundred windows. Only pruning looks at what
     earlier windows have found, as far as a window reaches; so the few windows with candidates are put in clusters
     that cannot see one another, and each cluster is gone through in order in one task. Positions run from 0 without gaps.
+    few: series are few (channels), so that their lengths are broadcast and rows need not meet by series.
     """
     value = F.col("value") if "value" in errors.columns else F.col("error")
     lengths = errors.groupBy("series_id").agg(F.count("*").alias("rows"))
-    rows = errors.select("series_id", "rn", "error", value.alias("value")).join(lengths, "series_id")
+    rows = errors.select("series_id", "rn", "error", value.alias("value")).join(F.broadcast(lengths) if few else lengths, "series_id")
     reach = batch * (history + 2)
     made = "series_id long, k long, begin long, errors array<double>, epsilon array<double>, up array<int>, down array<int>"
     names = [c.split()[0] for c in made.split(", ")]
@@ -211,9 +217,8 @@ def forecast_job(actual: DataFrame, forecasts: DataFrame, method: str = "first",
     rows = written(joined.select((F.array_position(channels, F.col("channel")) - 1).cast("long").alias("series_id"), "rn", "y", "y_hat"))
     first = rows.groupBy("series_id").agg(F.min("rn").alias("_first"))
     rows = rows.join(F.broadcast(first), "series_id").withColumn("rn", F.col("rn") - F.col("_first")).drop("_first")
-    values = rows.select("series_id", "rn", "y")
-    errors = written(residuals(values, rows.select("series_id", "rn", "y_hat"), chunk=chunk).join(values.withColumnRenamed("y", "value"), ["series_id", "rn"]))
-    flags = channel_flags(errors, written(dynamic_thresholds(errors)), padding)
+    errors = written(smoothed(rows, chunk=chunk, few=True))
+    flags = channel_flags(errors, written(dynamic_thresholds(errors, few=True)), padding)
     flags = written(flags.select(F.get(channels, F.col("series_id").cast("int")).alias("channel"), "rn", "error", "flag"))
     return flags, flags.groupBy("rn").agg(F.max("flag").alias("flag"))
 

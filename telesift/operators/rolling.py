@@ -310,10 +310,10 @@ def ewma(df: DataFrame, column: str, span: int, chunk: int = 20_000, out: str =
     return rows.join(table, ["series_id", "chunk"]).groupBy("series_id", "chunk").applyInPandas(smooth, added(df, out))
 
 
-def head_smoothed(df: DataFrame, column: str, head: int = 250, base: int = 500) -> DataFrame:
-    """The first `head` values of a series become the mean of its first `base`."""
+def head_smoothed(df: DataFrame, column: str, head: int = 250, base: int = 500, few: bool = False) -> DataFrame:
+    """The first `head` values of a series become the mean of its first `base`. few: series are few, their means are broadcast."""
     means = df.filter(F.col("rn") < base).groupBy("series_id").agg(F.avg(column).alias("_mean"))
-    return df.join(means, "series_id").withColumn(column, F.when(F.col("rn") < head, F.col("_mean")).otherwise(F.col(column))).drop("_mean")
+    return df.join(F.broadcast(means) if few else means, "series_id").withColumn(column, F.when(F.col("rn") < head, F.col("_mean")).otherwise(F.col(column))).drop("_mean")
 
 
 def window_samples(df: DataFrame, columns: list[str], size: int = 250, horizon: int = 10, predict: bool = False) -> DataFrame:
