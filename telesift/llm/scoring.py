@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ RATE, TABLE_RATE = 0.03, 0.15  # of Adam for the small weights, of Adagrad for t
 PARTIAL_SUMS = 32  # of weights that the driver adds up
 CHUNK_BYTES = 8 << 20
 BLOCKS_AT_ONCE = 128  # their arrays stay in the cache
+BATCHES_TOLD = 8  # of so many blocks ids are told apart at once
 
 
 class Vocabulary(NamedTuple):
@@ -142,106 +145,171 @@ def _bounded(x: np.ndarray) -> np.ndarray:
 
 def pairs_of(inputs: np.ndarray) -> np.ndarray:
     """The row of the pair table for each input and the one before it (itself, for the first)."""
-    before = np.concatenate([inputs[:, :1], inputs[:, :-1]], axis=1)
-    mixed = (before.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (inputs.astype(np.uint32) * np.uint32(0x85EBCA77))
-    return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE3D) >> np.uint32(17)).astype(np.int64) % PAIRS
+    own = inputs.astype(np.uint32)
+    before = np.concatenate([own[:, :1], own[:, :-1]], axis=1)
+    mixed = (before * np.uint32(0x9E3779B1)) ^ (own * np.uint32(0x85EBCA77))
+    return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE3D) >> np.uint32(17)).astype(np.int64)
 
 
-def forward(w: dict, inputs: np.ndarray, inside: np.ndarray) -> dict:
-    """All steps of the model for a batch of windows: masked attention of the last STRIDE positions to all before."""
+def _flat(x: np.ndarray) -> np.ndarray:
+    return x.reshape(-1, x.shape[-1])
+
+
+def _beside_one(x: np.ndarray) -> np.ndarray:
+    """The rows of x with a last entry of 1, to which a bias is a weight like others."""
+    out = np.empty((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1] = x
+    out[:, -1] = 1
+    return out
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product."""
+    return (_flat(x) @ np.ones(x.shape[-1], x.dtype)).reshape(x.shape[:-1])
+
+
+def forward(w: dict, inputs: np.ndarray, inside: np.ndarray, pairs: np.ndarray | None = None) -> dict:
+    """All steps of the model for a batch of windows: masked attention of the last STRIDE positions to all before. pairs: pairs_of(inputs), if at hand."""
     x = w["embed"].take(inputs, axis=0)
     x += w["place"]
     if "pair" in w:
-        x += w["pair"].take(pairs_of(inputs), axis=0)
+        x += w["pair"].take(pairs_of(inputs) if pairs is None else pairs, axis=0)
     own = np.ascontiguousarray(x[:, -STRIDE:])
-    q, k, v = _times(own, w["query"] * np.float32(1 / np.sqrt(WIDTH))), _times(x, w["key"]), _times(x, w["value"])
+    # weights of the same input lie beside each other: one product for both
+    kv = _times(x, np.concatenate([w["key"], w["value"]], axis=1))
+    q_last = _times(own, np.concatenate([w["query"] * np.float32(1 / np.sqrt(WIDTH)), w["last"]], axis=1))
+    k, v, q = kv[:, :, :WIDTH], kv[:, :, WIDTH:], q_last[:, :, :WIDTH]
     attention = q @ k.transpose(0, 2, 1)
     # what must not be seen gets weight 0
     np.exp(_bounded(attention), out=attention)
     attention *= _ORDER[None]
-    if not inside.all():
-        attention *= inside[:, None, :]
-    attention /= np.maximum(attention.sum(axis=2, keepdims=True), np.float32(1e-30))
+    cut = np.flatnonzero(~inside.all(axis=1))
+    if len(cut):
+        attention[cut] *= inside[cut][:, None, :]
+    attention *= 1 / np.maximum(_row_sums(attention), np.float32(1e-30))[:, :, None]
     seen = attention @ v
-    h = _times(own, w["last"]) + _times(seen, w["mix"])
-    m = _times(h, w["inner"]) + w["inner_bias"]
+    h = _times(seen, w["mix"])
+    h += q_last[:, :, WIDTH:]
+    m = _times(h, w["inner"])
+    m += w["inner_bias"]
     np.maximum(m, 0, out=m)
-    g = h + _times(m, w["outer"])
+    g = _times(m, w["outer"])
+    g += h
     # the bias as the weight of a constant input
-    logits = _times(np.concatenate([g, np.ones((*g.shape[:2], 1), g.dtype)], axis=2), np.concatenate([w["read"], w["bias"][None, :]]))
-    logits = _bounded(logits)
-    return {"x": x, "own": own, "q": q, "k": k, "v": v, "attention": attention, "seen": seen, "h": h, "m": m, "g": g, "logits": logits}
+    ready = _beside_one(_flat(g))
+    logits = _bounded(ready @ np.concatenate([w["read"], w["bias"][None, :]])).reshape(*g.shape[:2], -1)
+    return {"x": x, "own": own, "q": q, "k": k, "v": v, "attention": attention, "seen": seen, "h": h, "m": m, "g": g, "ready": ready, "logits": logits}
 
 
 def told_apart(w: dict, g: np.ndarray, rows: np.ndarray, classes: np.ndarray, members: np.ndarray, weight: np.ndarray | None = None):
     """(log probability of each row among those of its class, gradients of the weighted loss or None) for states g.
 
-    Positions are taken class by class, so that each class is one product.
+    Positions are taken class by class, so that each class is one product; what the products give lies in one array, position
+    after position, so all else is done once for all classes.
     """
     out = np.zeros(len(rows), g.dtype)
-    size = np.diff(members)[classes]
-    todo = np.flatnonzero(size > 1)
-    todo = todo[np.argsort(classes[todo], kind="stable")]
-    edge = np.searchsorted(classes[todo], np.arange(CLASSES + 1))
+    size = np.diff(members)
+    todo = np.flatnonzero(size[classes] > 1)
     grad = None if weight is None else (np.zeros_like(g), np.zeros_like(w["tell"]), np.zeros_like(w["tell_bias"]))
-    for c in np.flatnonzero(np.diff(edge)):
-        at, lo, hi = todo[edge[c] : edge[c + 1]], members[c], members[c + 1]
-        mine, place = g[at], (np.arange(edge[c + 1] - edge[c]), rows[at] - lo)
-        logits = _bounded(mine @ w["tell"][lo:hi].T + w["tell_bias"][lo:hi])
-        chosen = logits[place]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        out[at] = chosen - np.log(total)
-        if grad:
-            logits /= total[:, None]
-            logits[place] -= 1
-            logits *= weight[at][:, None]
-            grad[0][at] = logits @ w["tell"][lo:hi]
-            grad[1][lo:hi], grad[2][lo:hi] = logits.T @ mine, logits.sum(axis=0)
+    if not len(todo):
+        return out, grad
+    kind = classes[todo].astype(np.uint8)
+    order = np.argsort(kind, kind="stable")
+    todo, kind = todo[order], kind[order]
+    edge = np.searchsorted(kind, np.arange(CLASSES + 1))
+    mine, width = _beside_one(g.take(todo, axis=0)), size[kind]
+    begin = np.cumsum(width) - width
+    logits = np.empty(int(width.sum()), g.dtype)
+    tell = np.concatenate([w["tell"], w["tell_bias"][:, None]], axis=1)
+    parts = []
+    for c in np.flatnonzero(np.diff(edge)).tolist():
+        (a, b), (lo, hi) = edge[c : c + 2].tolist(), members[c : c + 2].tolist()
+        at = int(begin[a])
+        parts.append((a, b, lo, hi, logits[at : at + (b - a) * (hi - lo)].reshape(b - a, hi - lo)))
+        np.matmul(mine[a:b], tell[lo:hi].T, out=parts[-1][4])
+    _bounded(logits)
+    place = begin + rows[todo] - members[kind]
+    chosen = logits[place]
+    np.exp(logits, out=logits)
+    total = np.add.reduceat(logits, begin)
+    out[todo] = chosen - np.log(total)
+    if grad:
+        logits[place] -= total
+        scale = (weight[todo] / total)[:, None]
+        scaled, back, moved = mine * scale, np.empty((len(todo), g.shape[1]), g.dtype), np.zeros_like(tell)
+        for a, b, lo, hi, part in parts:
+            np.matmul(part, w["tell"][lo:hi], out=back[a:b])
+            np.matmul(part.T, scaled[a:b], out=moved[lo:hi])
+        grad[0][todo] = back * scale
+        grad = grad[0], moved[:, :-1], moved[:, -1]
     return out, grad
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different rows, sums of the values of each)."""
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    return sorted_rows[first], np.add.reduceat(values[order], first, axis=0)
+def _scatter(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows of a table of this size, sums of the values of each)."""
+    there = np.zeros(size, dtype=bool)
+    there[rows] = True
+    which = np.flatnonzero(there)
+    number, width = np.empty(size, dtype=np.int64), values.shape[1]
+    number[which] = np.arange(len(which)) * width
+    cell = number.take(rows)[:, None] + np.arange(width)
+    return which, np.bincount(cell.ravel(), values.ravel(), len(which) * width).reshape(-1, width)
 
 
 def gradients(w: dict, inputs: np.ndarray, inside: np.ndarray, targets: np.ndarray, valid: np.ndarray, rows: np.ndarray | None = None, members: np.ndarray | None = None) -> dict:
     """Gradients of the mean loss; those of tables by id or pair as (rows, values). rows: the target ids' rows, if ids are told apart."""
-    s = forward(w, inputs, inside)
-    p = np.exp(s["logits"])
-    p /= p.sum(axis=2, keepdims=True)
-    np.put_along_axis(p, targets[:, :, None], np.take_along_axis(p, targets[:, :, None], 2) - 1, 2)
-    share = (valid / np.float32(max(1, valid.sum()))).astype(p.dtype)
-    p *= share[:, :, None]
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    out = {"bias": flat(p).sum(axis=0), "read": flat(s["g"]).T @ flat(p)}
-    dg = (flat(p) @ w["read"].T).reshape(s["g"].shape)
+    pairs = pairs_of(inputs) if "pair" in w else None
+    s = forward(w, inputs, inside, pairs)
+    p = _flat(s["logits"])
+    np.exp(p, out=p)
+    share = (valid / np.float32(max(1, valid.sum()))).astype(p.dtype).ravel()
+    p *= (share / _row_sums(p))[:, None]
+    p[np.arange(len(p)), targets.ravel()] -= share
+    # by some hundred positions, which stay in the cache
+    step = math.gcd(len(p), 256)
+    read = (p.reshape(-1, step, CLASSES).transpose(0, 2, 1) @ s["ready"].reshape(-1, step, WIDTH + 1)).sum(axis=0).T
+    out = {"bias": read[-1], "read": read[:-1]}
+    dg = p @ w["read"].T
     if rows is not None:
-        ok = np.flatnonzero(share.ravel())
-        _, (more, out["tell"], out["tell_bias"]) = told_apart(w, flat(s["g"])[ok], rows.ravel()[ok], targets.ravel()[ok], members, share.ravel()[ok])
-        flat(dg)[ok] += more
-    dm = _times(dg, w["outer"].T) * (s["m"] > 0)
-    out |= {"outer": flat(s["m"]).T @ flat(dg), "inner": flat(s["h"]).T @ flat(dm), "inner_bias": flat(dm).sum(axis=0)}
-    dh = dg + _times(dm, w["inner"].T)
-    out |= {"mix": flat(s["seen"]).T @ flat(dh), "last": flat(s["own"]).T @ flat(dh)}
-    dseen = _times(dh, w["mix"].T)
-    dv = s["attention"].transpose(0, 2, 1) @ dseen
-    da = dseen @ s["v"].transpose(0, 2, 1)
-    ds = s["attention"] * (da - (da * s["attention"]).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-    dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ (s["q"] * np.float32(np.sqrt(WIDTH)))
-    out |= {"query": flat(s["own"]).T @ flat(dq), "key": flat(s["x"]).T @ flat(dk), "value": flat(s["x"]).T @ flat(dv)}
-    dx = _times(dk, w["key"].T) + _times(dv, w["value"].T)
-    dx[:, -STRIDE:] += _times(dq, w["query"].T) + _times(dh, w["last"].T)
+        ok = np.flatnonzero(share)
+        g = _flat(s["g"])
+        if len(ok) == len(share):
+            ok = slice(None)
+        _, (more, out["tell"], out["tell_bias"]) = told_apart(w, g[ok], rows.ravel()[ok], targets.ravel()[ok], members, share[ok])
+        dg[ok] += more
+    m, h, seen, own, x = (_flat(s[k]) for k in ("m", "h", "seen", "own", "x"))
+    dm = dg @ w["outer"].T
+    dm *= m > 0
+    out |= {"outer": m.T @ dg, "inner": h.T @ dm, "inner_bias": np.ones(len(dm), dm.dtype) @ dm}
+    dq_dh = np.empty((len(dg), 2 * WIDTH), dg.dtype)
+    dh = dm @ w["inner"].T
+    dh += dg
+    out["mix"] = seen.T @ dh
+    dseen = dh @ w["mix"].T
+    # what attention spreads over a row is the product of the row's result and its gradient
+    mean = _row_sums(dseen * seen).reshape(s["q"].shape[:2])
+    dseen = dseen.reshape(s["seen"].shape)
+    ds = dseen @ s["v"].transpose(0, 2, 1)
+    ds -= mean[:, :, None]
+    ds *= s["attention"]
+    dkv = np.empty((*inputs.shape, 2 * WIDTH), dg.dtype)
+    # q holds the factor 1 / sqrt(WIDTH) already
+    dkv[:, :, :WIDTH] = ds.transpose(0, 2, 1) @ s["q"]
+    dkv[:, :, WIDTH:] = s["attention"].transpose(0, 2, 1) @ dseen
+    dq_dh[:, :WIDTH] = _flat(ds @ s["k"])
+    dq_dh[:, :WIDTH] *= np.float32(1 / np.sqrt(WIDTH))
+    dq_dh[:, WIDTH:] = dh
+    of_own, of_all = own.T @ dq_dh, x.T @ _flat(dkv)
+    out |= {"query": of_own[:, :WIDTH], "last": of_own[:, WIDTH:], "key": of_all[:, :WIDTH], "value": of_all[:, WIDTH:]}
+    dx = _times(dkv, np.concatenate([w["key"].T, w["value"].T]))
+    dx[:, -STRIDE:] += (dq_dh @ np.concatenate([w["query"].T, w["last"].T])).reshape(s["own"].shape)
     out["place"] = dx.sum(axis=0)
-    if "pair" in w:
-        out["embed"], out["pair"] = _scatter(inputs.ravel(), flat(dx)), _scatter(pairs_of(inputs).ravel(), flat(dx))
+    if pairs is not None:
+        sums = _flat(dx).astype(np.float64)
+        out["embed"], out["pair"] = _scatter(inputs.ravel(), sums, len(w["embed"])), _scatter(pairs.ravel(), sums, PAIRS)
     else:
         out["embed"] = np.zeros_like(w["embed"])
-        np.add.at(out["embed"], inputs.ravel(), flat(dx))
+        np.add.at(out["embed"], inputs.ravel(), _flat(dx))
     return out
 
 
@@ -253,26 +321,44 @@ def train(w: dict, classes: np.ndarray, at: np.ndarray, rate: float, seed: int,
     start = START if rows is None else int(members[-1])
     inputs, inside, targets, place = blocks_of(classes, at, rows, start)
     order = np.random.default_rng(seed).permutation(len(inputs))
-    w = {k: v.copy() for k, v in w.items()}
     tables = {k: np.full(len(w[k]), 1e-6, np.float32) for k in ("embed", "pair") if "pair" in w}
-    one, two = ({k: np.zeros_like(v) for k, v in w.items() if k not in tables} for _ in range(2))
-    steps = range(0, len(order), batch)
+    # all other weights lie in one array, which a step moves at once
+    names = [k for k in w if k not in tables]
+    moved = np.concatenate([w[k].ravel() for k in names])
+    edge = np.cumsum([0, *(w[k].size for k in names)]).tolist()
+    w = {k: w[k].copy() for k in tables} | {k: moved[a:b].reshape(w[k].shape) for k, a, b in zip(names, edge, edge[1:], strict=False)}
+    one, two, grad, step = (np.zeros_like(moved) for _ in range(4))
+    steps, whole = range(0, len(order), batch), np.dtype((np.void, 4 * WIDTH))
     for t, lo in enumerate(steps, 1):
         at_ = order[lo : lo + batch]
         slow = min(1.0, t / 20) * (1 - 0.8 * t / len(steps))
-        valid, told = (place[at_] >= 0).astype(np.float32), None
-        if rows is not None:
-            told = rows[np.maximum(place[at_], 0)]
-        for k, g in gradients(w, inputs[at_], inside[at_], targets[at_], valid, told, members).items():
-            if k in tables:
-                which, g = g
-                tables[k][which] += (g * g).mean(axis=1)
-                w[k][which] -= np.float32(TABLE_RATE * slow * rate / RATE) * g / np.sqrt(tables[k][which])[:, None]
-                continue
-            one[k] += 0.1 * (g - one[k])
-            two[k] += 0.01 * (g * g - two[k])
-            w[k] -= (rate * slow * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return w
+        here = place[at_]
+        told = None if rows is None else rows[np.maximum(here, 0)]
+        got = gradients(w, inputs[at_], inside[at_], targets[at_], (here >= 0).astype(np.float32), told, members)
+        for k in tables:
+            which, g = got[k]
+            g = g.astype(np.float32)
+            squares = tables[k].take(which) + _row_sums(g * g) / WIDTH
+            tables[k][which] = squares
+            g *= (np.float32(TABLE_RATE * slow * rate / RATE) / np.sqrt(squares))[:, None]
+            np.subtract(w[k].take(which, axis=0), g, out=g)
+            # a row is one item of so many bytes: set at once
+            w[k].view(whole)[which] = g.view(whole)
+        np.concatenate([got[k].ravel() for k in names], out=grad)
+        np.subtract(grad, one, out=step)
+        step *= 0.1
+        one += step
+        grad *= grad
+        grad -= two
+        grad *= 0.01
+        two += grad
+        np.multiply(two, 1 / (1 - 0.99**t), out=step)
+        np.sqrt(step, out=step)
+        step += 1e-8
+        np.divide(one, step, out=step)
+        step *= rate * slow / (1 - 0.9**t)
+        moved -= step
+    return {k: v.copy() for k, v in w.items()}
 
 
 def class_scores(w: dict, classes: np.ndarray, at: np.ndarray, rows: np.ndarray | None = None, members: np.ndarray | None = None) -> np.ndarray:
@@ -292,17 +378,17 @@ def class_scores(w: dict, classes: np.ndarray, at: np.ndarray, rows: np.ndarray
     for lo in range(0, len(inputs), BLOCKS_AT_ONCE):
         hi = lo + BLOCKS_AT_ONCE
         s = forward(w, inputs[lo:hi], inside[lo:hi])
-        logits = s["logits"]
-        chosen = np.take_along_axis(logits, targets[lo:hi, :, None], 2)[:, :, 0]
+        logits = _flat(s["logits"])
+        chosen = logits[np.arange(len(logits)), targets[lo:hi].ravel()]
         np.exp(logits, out=logits)
-        total = (logits.reshape(-1, CLASSES) @ np.ones(CLASSES, np.float32)).reshape(chosen.shape)
-        score = (chosen - np.log(total)) * np.float32(1 / np.log(10))
-        ok = place[lo:hi] >= 0
-        out[place[lo:hi][ok]] = score[ok]
+        score = (chosen - np.log(_row_sums(logits))) * np.float32(1 / np.log(10))
+        here = place[lo:hi].ravel()
+        ok = np.flatnonzero(here >= 0)
+        out[here[ok]] = score[ok]
         if rows is not None:
-            states.append(s["g"][ok])
-            places.append(place[lo:hi][ok])
-            if len(states) == 32:
+            states.append(_flat(s["g"])[ok])
+            places.append(here[ok])
+            if len(states) == BATCHES_TOLD:
                 tell()
     tell()
     return out
@@ -336,6 +422,7 @@ def _sequences(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.array([len(r) for r in raw], dtype=np.int64) // _packed(size).itemsize
 
 
+SPELLED = "chunk long, doc_id long, turn int, ids binary, numbers binary, words array<long>, learned array<long>"
 TABLES = ("embed", "pair")  # of which a shard moves the rows of the ids and pairs that it has
 
 
@@ -473,18 +560,66 @@ def fit(training: DataFrame, total: int) -> tuple[Vocabulary, dict]:
     the weights moved by the mean of what the shards did are the next round's start. So each document is learned from once.
     A task writes one row for all its shards, of the tables only the rows that they moved.
     """
-    spark = training.sparkSession
-    vocabulary_size = encoder().n_vocab
+    texts = training.select("doc_id", "text", F.lit(True).alias("learn"))
+    spelled_out = written(spelled_texts(texts))
+    fitted = fit_spelled(spelled_out, total)
+    discard(spelled_out)
+    return fitted
+
+
+def spelled_texts(texts: DataFrame) -> DataFrame:
+    """The texts (doc_id, text, learn) as ids, spelled where they are read, in chunks of about CHUNK_BYTES; all else rests on this table.
+
+    A row for each text: chunk, doc_id, turn (the round it is dealt to, null if it is not learned from), ids and the numbers of its
+    words in the chunk, both packed. Then one row a chunk: its different words and the numbers of their training tokens.
+    """
+    size = encoder().n_vocab
 
     def spell(batches):
+        held: list[pa.RecordBatch] = []
+        n_bytes, chunk = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                ids = [s.astype(_packed(vocabulary_size)).tobytes() for s in _text_sequences(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["turn", "ids"])
+            for part in _slices([batch]):
+                held.append(part)
+                n_bytes += part.column(1).nbytes
+                if n_bytes > CHUNK_BYTES:
+                    yield from _spelled_chunk(chunk, pa.Table.from_batches(held), size)
+                    held, n_bytes, chunk = [], 0, chunk + 1
+        if held:
+            yield from _spelled_chunk(chunk, pa.Table.from_batches(held), size)
 
-    dealt = training.select(F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(ROUNDS)).cast("int").alias("turn"), "text")
-    spelled_out = written(dealt.mapInArrow(spell, "turn int, ids binary"))
+    turn = F.when(F.col("learn"), F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(ROUNDS)).cast("int"))
+    return texts.select("doc_id", "text", "learn", turn.alias("turn")).mapInArrow(spell, SPELLED)
+
+
+def _spelled_chunk(chunk: int, table: pa.Table, size: int):
+    """Rows of the texts of a chunk (doc_id, text, learn, turn), then one of its words."""
+    names = ["chunk", "doc_id", "turn", "ids", "numbers", "words", "learned"]
+    words = words_of(table.column("text"), fold=True)
+    spelling = Spelling(words)
+    longs = pa.list_(pa.int64())
+    for lo in range(0, table.num_rows, 128):
+        part = table.slice(lo, 128)
+        first = words.first[lo : lo + 129]
+        here = slice(int(first[0]), int(first[-1]))
+        n = len(first) - 1
+        ids, per_word = spelling.tokens(here.start, here.stop)
+        edge = np.concatenate([[0], np.cumsum(per_word)])
+        columns = [pa.array(np.full(n, chunk)), part.column("doc_id").combine_chunks(), part.column("turn").combine_chunks()]
+        for values, at in ((ids.astype(_packed(size)), edge[first - first[0]]), (spelling.word[here].astype(np.int32), first - first[0])):
+            columns.append(pa.array([values[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()))
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, longs), pa.nulls(n, longs)], names)
+    keep = np.repeat(table.column("learn").to_numpy(), np.diff(words.first))
+    learned = np.bincount(spelling.word, weights=keep, minlength=len(spelling.hashes)).astype(np.int64)
+    row = [pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())]
+    yield pa.RecordBatch.from_arrays([*row, pa.array([spelling.hashes.view(np.int64)], longs), pa.array([learned], longs)], names)
+
+
+def fit_spelled(spelled_out: DataFrame, total: int) -> tuple[Vocabulary, dict]:
+    """What fit does, from the written table of spelled_texts: only texts that are dealt to a round are learned from."""
+    spark = spelled_out.sparkSession
+    vocabulary_size = encoder().n_vocab
+    spelled_out = spelled_out.filter("turn is not null").select("turn", "ids")
     count = id_counts(spelled_out, vocabulary_size)
     vocabulary = make_vocabulary(count, neighbour_counts(spelled_out, own_classes(count)))
     counts = np.bincount(vocabulary.kind, weights=count, minlength=CLASSES)
@@ -499,7 +634,6 @@ def fit(training: DataFrame, total: int) -> tuple[Vocabulary, dict]:
         weights = averaged(weights, parts)
         discard(parts)
         start.destroy()
-    discard(spelled_out)
     return vocabulary, weights
 
 
@@ -554,32 +688,29 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
     model: the probability of an id's class given the window before it, times that of the id in its class given the
     same window. Ids that no training document has share one place in the model, in equal parts.
 
-    Texts are scored where they are read, in chunks of about CHUNK_BYTES; a text goes on as its score and its words' numbers in
-    the chunk. Each chunk gives its different words once, with their numbers of training tokens; these are summed up by
+    Texts are read and spelled once, in chunks of about CHUNK_BYTES (spelled_texts); learning and scoring go on from their ids, and a
+    text from its words' numbers in the chunk. Each chunk gives its different words once, with their numbers of training tokens; these are summed up by
     word over all documents, brought back to the chunks by a join, and added up for each text. Null or empty text is just
     its end; a null doc_id is not learned from; other columns are not read; repeated rows count as often as they occur; an
     empty table gives no rows.
     """
     texts = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("learn", F.coalesce(F.expr(training), F.lit(False)))
     n_docs = texts.agg(F.count_if("learn")).first()[0]
-    vocabulary, weights = fit(texts.filter("learn").select("doc_id", "text"), n_docs)
+    spelled_out = written(spelled_texts(texts))
+    vocabulary, weights = fit_spelled(spelled_out, n_docs)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocabulary, weights)))
 
     def score(batches):
         vocabulary, weights = pickle.loads(shared.value)
-        held: list[pa.RecordBatch] = []
-        size, chunk = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                held.append(batch.slice(lo, 64))
-                size += held[-1].column(1).nbytes
-                if size > CHUNK_BYTES:
-                    yield from _scored_chunk(chunk, pa.Table.from_batches(held), vocabulary, weights)
-                    held, size, chunk = [], 0, chunk + 1
-        if held:
-            yield from _scored_chunk(chunk, pa.Table.from_batches(held), vocabulary, weights)
+            whole = batch.column("words").is_valid()
+            lists, texts = batch.filter(whole), batch.filter(pc.invert(whole))
+            yield _with_scores(lists, pa.nulls(lists.num_rows, pa.float64()))
+            for part in _slices([texts], 128):
+                yield _with_scores(part, pa.array(_text_scores(part.column("ids"), vocabulary, weights)))
 
-    parts = written(texts.mapInArrow(score, "chunk long, doc_id long, score double, numbers binary, words array<long>, learned array<long>"))
+    parts = written(spelled_out.mapInArrow(score, "chunk long, doc_id long, score double, numbers binary, words array<long>, learned array<long>"))
+    discard(spelled_out)
     listed = parts.filter("words is not null").select("chunk", F.posexplode(F.arrays_zip("words", "learned")).alias("number", "x")).select("chunk", "number", F.col("x.words").alias("word"), F.col("x.learned").alias("n"))
     counts = written(listed.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")))
     in_words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -612,34 +743,22 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
     return scored.groupBy("chunk").cogroup(counted.groupBy("place")).applyInArrow(add_up, schema)
 
 
-def _scored_chunk(chunk: int, table: pa.Table, vocabulary: Vocabulary, weights: dict):
-    """Rows of the texts of a chunk (doc_id, text, learn): score and the numbers of their words; then one of its words."""
+def _with_scores(batch: pa.RecordBatch, scores: pa.Array) -> pa.RecordBatch:
+    names = ["chunk", "doc_id", "score", "numbers", "words", "learned"]
+    return pa.RecordBatch.from_arrays([scores if k == "score" else batch.column(k) for k in names], names)
+
+
+def _text_scores(ids: pa.Array, vocabulary: Vocabulary, weights: dict) -> np.ndarray:
+    """The log10 probabilities of some spelled texts."""
     nowhere = int(vocabulary.members[SINGLE + SHARED]) - 1
     n_nowhere = int((vocabulary.row == nowhere).sum())
-    names = ["chunk", "doc_id", "score", "numbers", "words", "learned"]
-    words = words_of(table.column("text"), fold=True)
-    spelling = Spelling(words)
-    longs = pa.list_(pa.int64())
-    for lo in range(0, table.num_rows, 128):
-        part = table.slice(lo, 128)
-        first = words.first[lo : lo + 129]
-        here = slice(int(first[0]), int(first[-1]))
-        n_words, n = np.diff(first), len(first) - 1
-        ids, per_word = spelling.tokens(here.start, here.stop)
-        per_text = np.bincount(np.repeat(np.arange(n), n_words), weights=per_word, minlength=n).astype(np.int64)
-        classes, rows, begin, ends = rows_with_ends(vocabulary, ids, per_text)
-        scores = class_scores(weights, classes, begin, rows, vocabulary.members)
-        inner = np.ones(len(classes), dtype=bool)
-        inner[ends] = False
-        scores[inner] -= np.where(vocabulary.row[ids] == nowhere, np.log10(max(1, n_nowhere)), 0.0)
-        number = spelling.word[here].astype(np.int32)
-        raw = [number[a:b].tobytes() for a, b in zip((first[:-1] - first[0]).tolist(), (first[1:] - first[0]).tolist(), strict=True)]
-        columns = [pa.array(np.full(n, chunk)), part.column("doc_id").combine_chunks(), pa.array(np.diff(np.concatenate([[0.0], np.cumsum(scores)])[begin])), pa.array(raw, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, longs), pa.nulls(n, longs)], names)
-    keep = np.repeat(table.column("learn").to_numpy(), np.diff(words.first))
-    learned = np.bincount(spelling.word, weights=keep, minlength=len(spelling.hashes)).astype(np.int64)
-    row = [pa.array([chunk]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.binary())]
-    yield pa.RecordBatch.from_arrays([*row, pa.array([spelling.hashes.view(np.int64)], longs), pa.array([learned], longs)], names)
+    ids, per_text = _sequences(ids, len(vocabulary.kind))
+    classes, rows, begin, ends = rows_with_ends(vocabulary, ids, per_text)
+    scores = class_scores(weights, classes, begin, rows, vocabulary.members)
+    inner = np.ones(len(classes), dtype=bool)
+    inner[ends] = False
+    scores[inner] -= np.where(vocabulary.row[ids] == nowhere, np.log10(max(1, n_nowhere)), 0.0)
+    return np.diff(np.concatenate([[0.0], np.cumsum(scores)])[begin])
 
 
 def scoring_digest(docs: DataFrame) -> DataFrame:
