@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telesift.llm.common import discard, pick, written
+from telesift.llm.common import bounded_batches, discard, pick, written
 from telesift.llm.packing import encoder
 from telesift.llm.words import LOWER, Words, words_of
 
@@ -589,7 +589,7 @@ def spelled_texts(texts: DataFrame) -> DataFrame:
             yield from _spelled_chunk(chunk, pa.Table.from_batches(held), size)
 
     turn = F.when(F.col("learn"), F.pmod(F.xxhash64(F.lit(6), F.col("doc_id")), F.lit(ROUNDS)).cast("int"))
-    return texts.select("doc_id", "text", "learn", turn.alias("turn")).mapInArrow(spell, SPELLED)
+    return bounded_batches(texts).select("doc_id", "text", "learn", turn.alias("turn")).mapInArrow(spell, SPELLED)
 
 
 def _spelled_chunk(chunk: int, table: pa.Table, size: int):
