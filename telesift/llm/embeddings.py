@@ -1,23 +1,32 @@
-"""Near-duplicate embeddings: a navigable small-world graph per shard, audited beam search, verified cosine, components."""
+"""Near-duplicate embeddings: cells of near vectors, a navigable small-world graph per shard, audited beam search, verified cosine, components."""
 
 from __future__ import annotations
 
 import pickle
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telesift.llm.common import components, pick, written
+from telesift.llm.common import bounded_batches, components, pick, written
 from telesift.llm.words import mix
 
 LINK = 0.95
 DEGREE = 12  # neighbours of a node, twice as many on the ground layer
 BUILD_BEAM = 40
 FIRST_BEAM = 32
-SHARD_VALUES = 1 << 23  # components of a shard's vectors, at most; a graph is built and held by one task
-QUERY_ROWS = 20_000  # vectors that one task looks up in one shard
+SHARD_VALUES = 1 << 20  # components of a shard's vectors, about; a graph is built, held and asked by one task
+QUERY_VALUES = 1 << 20  # components of the vectors that are looked up at once
+SAMPLE_VALUES = 1 << 22  # components of the vectors that cells are laid out from, at most
+SAMPLED = 32  # of these vectors for each cell
+TURNED = 4096  # points of the sample that are turned to the threshold, each two ways
+ROUTE_RECALL = 0.998  # of them, and of the links of a sample of vectors, that lie within the cells that are asked
+MEASURED = 1024  # vectors that are compared with all others, to see how far links reach
+WIDER = (1.0, 1.3, 1.7, 2.2, 3.0)  # times the margin that turned points need; beyond, all cells are asked
+SCORES = 1 << 22  # cosines held at once
+MOST_TASKS = 10_000
 WIDEST_BEAM = 256  # a graph that needs a wider one is not relied on: its shard is compared in full
 AUDITED = 64  # queries of a block that are compared with the whole shard, at least, and the share of all
 AUDITED_SHARE = 1 / 16
@@ -265,15 +274,15 @@ class Graph:
             beam *= 2
         return none, none, every
 
-    def joined(self, asked: np.ndarray, full: np.ndarray, itself: np.ndarray, least: float, sure, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def joined(self, asked: np.ndarray, full: np.ndarray, itself: np.ndarray, least: float, sure, copies: np.ndarray, label: np.ndarray, told=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(src, dst, links) for the queries of asked that are in full: links counts the copies of all points near each of them,
         but not the query itself; (src, dst) are few of these (query, point) pairs, which connect the same components.
 
-        sure(query, point) settles what single precision leaves open.
+        sure(query, point) settles what single precision leaves open. label has a number for each component of the points
+        that is known to be joined, in the graph's order, and is changed. told(queries, near) gets who is near whom, in that order.
         """
         weight = copies[self.order].astype(np.float64)
         back = np.argsort(self.order)
-        label = np.arange(len(weight))
         src, dst, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(full), 256):
             rows = full[lo : lo + 256]
@@ -284,6 +293,8 @@ class Graph:
             known = itself[rows] >= 0
             near[known, back[itself[rows[known]]]] = False
             links.append((near @ weight).astype(np.int64))
+            if told is not None:
+                told(rows, near)
             for i, query in enumerate(rows.tolist()):
                 at = np.flatnonzero(near[i])
                 if itself[query] >= 0:
@@ -298,13 +309,6 @@ class Graph:
                         label[np.isin(label, labels)] = labels[0]
         return np.concatenate(src), np.concatenate(dst), np.concatenate(links)
 
-    @classmethod
-    def restored(cls, vectors: np.ndarray, order: np.ndarray, sizes: list[int], layers: list[np.ndarray]) -> Graph:
-        """The graph built before from the same vectors."""
-        graph = cls.__new__(cls)
-        graph.vectors, graph.order, graph.sizes, graph.layers = vectors.astype(np.float32)[order], order, sizes, layers
-        return graph
-
     def within(self, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) of all pairs found with a cosine of `least` or more; own: the point that a query is itself, or -1, left out."""
         query, point, full = self.search(asked, least, own)
@@ -329,10 +333,6 @@ def _merge(ids: np.ndarray, scores: np.ndarray, opened: np.ndarray, width: int)
     return ids, scores, opened & (ids >= 0)
 
 
-def _rows(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
-
-
 def _unit(values: np.ndarray) -> np.ndarray:
     """Rows of length 1; scaled first, so that no square overflows or vanishes."""
     values = values / np.abs(values).max(axis=1, keepdims=True)
@@ -342,10 +342,11 @@ def _unit(values: np.ndarray) -> np.ndarray:
 def link_vectors(embeddings: DataFrame, least: float = LINK, shards: int = 1, shard_values: int = SHARD_VALUES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row (vec_id, embedding).
 
-    Equal vectors are folded into one with a count. The others are dealt by hash to shards of about shard_values
-    components (`shards` at least); each shard becomes a graph, and every vector is looked up in every graph,
-    in blocks. What is found counts if the cosine in double precision is `least` or more. n_links counts the
-    other rows linked directly, equal ones included.
+    Equal vectors are folded into one with a count. Where the others of a length have more than shard_values components, they are dealt to
+    the nearest of that many centres (`shards` at least, for the most frequent length), and cells that are crowded to several shards by hash. A shard becomes a graph, and a
+    vector is looked up in the shards of all cells that are nearly as near to it as its own (`_cells`, `_margins` say how nearly). A task
+    builds a graph and asks it what comes along, so no graph is written or sent. What is found counts if the
+    cosine in double precision is `least` or more. n_links counts the other rows linked directly, equal ones included.
 
     A vector with more links in a shard than a beam holds is compared with the whole shard, which gives a number
     of links and the few pairs that join components: a group of n near copies leaves no n * n rows.
@@ -364,15 +365,13 @@ def link_vectors(embeddings: DataFrame, least: float = LINK, shards: int = 1, sh
     folded = rows.filter("embedding is not null and vec_id is not null").groupBy(*keys).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("embedding").alias("vector"))
     # a number of its own for each vector: two different ones may have the same smallest vec_id
     folded = written(folded.select("key1", "key2", F.xxhash64("key1", "key2").alias("id"), "vec_id", "copies", F.size("vector").alias("size"), "vector"))
-    values = folded.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shards = max(shards, -(-values // shard_values))
-    found = _find(folded.select("id", "vec_id", "copies", "vector", "size"), least, shards)
+    found = _find(folded.select("id", "vec_id", "copies", "vector", "size"), least, shards, shard_values)
     counted = found.filter("kind = 2").select("src", "shard", "copies")
     # a pair that one side did not find counts for both, unless that side was compared with the whole shard
     pairs = found.filter("kind = 0")
-    pairs = pairs.select("src", "dst", "copies").union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("own").alias("copies")))
-    pairs = pairs.groupBy("src", "dst").agg(F.first("copies").alias("copies")).withColumn("shard", _shard_of("dst", shards)).join(counted.select("src", "shard"), ["src", "shard"], "left_anti")
-    direct = pairs.select("src", "copies").union(counted.select("src", "copies")).groupBy("src").agg(F.sum("copies").alias("near"))
+    pairs = pairs.select("src", "dst", "copies", "shard").union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("own").alias("copies"), F.col("home").alias("shard")))
+    pairs = pairs.groupBy("src", "dst").agg(F.first("copies").alias("copies"), F.first("shard").alias("shard")).join(counted.select("src", "shard"), ["src", "shard"], "left_anti")
+    direct = pairs.select("src", "copies").union(found.filter("kind in (2, 3)").select("src", "copies")).groupBy("src").agg(F.sum("copies").alias("near"))
     heads = folded.select("key1", "key2", "id", "vec_id", "copies").join(direct, F.col("id") == F.col("src"), "left")
     heads = heads.select("key1", "key2", F.col("vec_id").alias("head"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
     linked = written(named.join(heads, ["key1", "key2"], "left").select("vec_id", "head", "n_links"))
@@ -385,61 +384,346 @@ def link_vectors(embeddings: DataFrame, least: float = LINK, shards: int = 1, sh
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-FOUND = "kind int, src long, dst long, copies long, own long, src_vec long, dst_vec long, shard int"
+FOUND = "kind int, src long, dst long, copies long, own long, src_vec long, dst_vec long, shard int, home int"
+ASKED = "size int, shard int, point boolean, id long, vec_id long, copies long, home int, visits binary, vector binary"
+
+
+class Cells(NamedTuple):
+    """The cells of the vectors of one length: their centres, the first shard of each and its number of shards, and how much
+    further than the nearest centre, by cosine, a vector asks."""
+
+    centres: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+    margin: float
+
+    def home(self, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The shard of each vector, by its cosines with the centres."""
+        cell = scores.argmax(axis=1)
+        return (self.first[cell] + mix(ids.astype(np.uint64)) % self.parts[cell].astype(np.uint64)).astype(np.int32)
+
+    def asked(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, shard) of all shards that each vector asks, its own among them."""
+        row, cell = np.nonzero(scores >= scores.max(axis=1, keepdims=True) - self.margin)
+        parts = self.parts[cell]
+        within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        return np.repeat(row, parts), (np.repeat(self.first[cell], parts) + within).astype(np.int32)
+
+
+def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Unit centres of some sampled unit vectors: a few steps of spherical k-means."""
+    centres = sample[np.linspace(0, len(sample) - 1, cells).astype(np.int64)].copy()
+    for _ in range(6):
+        step = max(1, SCORES // cells)
+        near = np.concatenate([(sample[lo : lo + step] @ centres.T).argmax(axis=1) for lo in range(0, len(sample), step)])
+        order = np.argsort(near, kind="stable")
+        there, first = np.unique(near[order], return_index=True)
+        sums = np.add.reduceat(sample[order], first, axis=0)
+        size = np.sqrt((sums * sums).sum(axis=1))
+        centres[there[size > 1e-6]] = sums[size > 1e-6] / size[size > 1e-6, None]
+    return centres
+
+
+def _reach(centres: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How much further than its nearest centre one of each two vectors must ask at least, to ask the other's cell."""
+    a, b, rows = one @ centres.T, two @ centres.T, np.arange(len(one))
+    return np.minimum(a.max(axis=1) - a[rows, b.argmax(axis=1)], b.max(axis=1) - b[rows, a.argmax(axis=1)])
+
+
+def _turned(sample: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Some of these unit vectors, and beside each a vector whose cosine with it is just above the threshold: the hardest link,
+    known without a comparison. One half is turned towards other vectors, one half at random with the sample's covariance."""
+    rng = np.random.default_rng(len(sample))
+    x = sample[rng.integers(0, len(sample), TURNED)].astype(np.float64)
+    many = sample[rng.integers(0, len(sample), min(len(sample), TURNED))]
+    mixed = rng.normal(size=(len(x), len(many))).astype(np.float32) @ many
+    x, away = np.concatenate([x, x]), np.concatenate([sample[rng.integers(0, len(sample), len(x))], mixed]).astype(np.float64)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((away * away).sum(axis=1, keepdims=True))
+    cosine = min(1.0, least + PROBE_MARGIN)
+    turned = cosine * x + np.sqrt(1 - cosine * cosine) * away / np.maximum(size, 1e-12)
+    some = size[:, 0] > 1e-6
+    return x[some].astype(np.float32), turned[some].astype(np.float32)
+
+
+def _cells(vectors: DataFrame, least: float, shards: int, shard_values: int) -> dict[int, Cells]:
+    """Cells by length, for the lengths whose vectors (id, vector, size) are too many for one shard.
+
+    Centres come from a sample by hash, of SAMPLE_VALUES components at most; all vectors are dealt to them and asked for. A link is
+    found if one of its vectors asks the other's cell. The margin is what ROUTE_RECALL of vectors turned to the threshold need, and
+    wider if a sample of vectors, compared with all others, finds fewer of its links so.
+    """
+    sizes = vectors.groupBy("size").count()
+    wanted = {r["size"]: -(-r["count"] * r["size"] // shard_values) for r in sizes.filter(F.col("count") * F.col("size") > shard_values).toLocalIterator()}
+    counts = {}
+    if shards > 1 and (most := sizes.orderBy(F.desc("count"), "size").first()):
+        wanted[most["size"]] = max(shards, wanted.get(most["size"], 1))
+    if not wanted:
+        return {}
+    counts = {r["size"]: r["count"] for r in sizes.filter(F.col("size").isin([*wanted])).toLocalIterator()}
+    plans = {}
+    for size, cells in wanted.items():
+        # of all lengths together SAMPLE_VALUES at most
+        most = max(64, SAMPLE_VALUES // len(wanted) // size)
+        share = max(1, counts[size] // min(most, max(2048, SAMPLED * cells)))
+        rows = vectors.filter((F.col("size") == size) & (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(share)) == 0)).select("id", "vector").orderBy("id").limit(2 * most).toArrow()
+        if rows.num_rows < 2:
+            continue
+        sample = _unit(_matrix(rows.column("vector").combine_chunks(), size)).astype(np.float32)
+        centres = _centres(sample, max(1, min(cells, len(sample) // 2)))
+        need = _reach(centres, *_turned(sample, least))
+        chosen = np.unique(np.linspace(0, len(sample) - 1, min(len(sample), MEASURED)).astype(np.int64))
+        margin = float(np.quantile(need, ROUTE_RECALL)) if len(need) else 0.0
+        plans[size] = (centres, max(margin, 1e-6), sample[chosen], rows.column("id").to_numpy()[chosen])
+    return _margins(vectors.filter(F.col("size").isin([*plans])), plans, least, shard_values)
+
+
+def _margins(vectors: DataFrame, plans: dict[int, tuple], least: float, shard_values: int) -> dict[int, Cells]:
+    """Cells from plans (centres, margin, measured vectors, their ids) by length: one pass over all vectors counts those of each cell, and
+    for the measured ones how many of their links lie within which of the WIDER margins."""
+    shared = vectors.sparkSession.sparkContext.broadcast(plans)
+
+    def measure(batches):
+        counts, steps = {}, {}
+        for size, part in _by_size(batches):
+            centres, margin, measured, names = shared.value[size]
+            own = measured @ centres.T
+            far, cell = own.max(axis=1, keepdims=True) - own, own.argmax(axis=1)
+            ids, every = part.column("id").to_numpy(), _unit(_matrix(part.column("vector"), size)).astype(np.float32)
+            step = max(1, SCORES // max(len(centres), len(measured)))
+            for lo in range(0, len(ids), step):
+                unit = every[lo : lo + step]
+                scores = unit @ centres.T
+                home, top = scores.argmax(axis=1), scores.max(axis=1)
+                counts[size] = counts.get(size, 0) + np.bincount(home, minlength=len(centres))
+                v, a = np.nonzero(unit @ measured.T >= least)
+                v, a = v[ids[lo + v] != names[a]], a[ids[lo + v] != names[a]]
+                need = np.minimum(far[a, home[v]], top[v] - scores[v, cell[a]])
+                at = a * (len(WIDER) + 1) + np.searchsorted(margin * np.array(WIDER), need)
+                steps[size] = steps.get(size, 0) + np.bincount(at, minlength=len(measured) * (len(WIDER) + 1))
+        for kind, found in ((0, counts), (1, steps)):
+            for size, n in found.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x), t) for x, t in ((kind, pa.int32()), (size, pa.int32()))] + [pa.array(at), pa.array(n[at].astype(np.int64))], ["kind", "size", "key", "n"])
+
+    got = bounded_batches(vectors).select("id", "size", "vector").mapInArrow(measure, "kind int, size int, key long, n long").groupBy("kind", "size", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, size, key, n = (got.column(c).to_numpy() for c in ("kind", "size", "key", "n"))
+    shared.destroy()
+    out = {}
+    for length, (centres, margin, measured, _) in plans.items():
+        here = lambda k: (kind == k) & (size == length)  # noqa: B023, E731
+        count, steps = np.zeros(len(centres), np.int64), np.zeros(len(measured) * (len(WIDER) + 1), np.int64)
+        count[key[here(0)]], steps[key[here(1)]] = n[here(0)], n[here(1)]
+        within = np.cumsum(steps.reshape(len(measured), -1), axis=1)
+        links = within[:, -1]
+        recall = within / np.maximum(1, links)[:, None]
+        enough = np.ones(recall.shape[1], bool)
+        for part in ((links > 0) & (links <= FEW_LINKS), links > FEW_LINKS):
+            if part.any():
+                enough &= recall[part].mean(axis=0) >= ROUTE_RECALL
+        at = int(np.flatnonzero(enough)[0])
+        parts = np.where(count * length > 2 * shard_values, -(-count * length // shard_values), 1)
+        out[length] = Cells(centres, np.cumsum(parts) - parts, parts, margin * WIDER[at] if at < len(WIDER) else 4.0)
+    return out
 
 
-def _shard_of(column: str, shards: int):
-    return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    """Lists of doubles of one length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def _find(vectors: DataFrame, least: float, shards: int) -> DataFrame:
-    """What is near enough among vectors (id, vec_id, copies, vector, size), in rows of three kinds.
+def _by_size(batches):
+    """(size, batch) of the rows of each length."""
+    for batch in batches:
+        sizes = batch.column("size").to_numpy()
+        for size in np.unique(sizes).tolist():
+            yield size, batch.take(pa.array(np.flatnonzero(sizes == size)))
 
-    0: a pair, with the copies of both; 1: two vectors of one component; 2: number of links that src has in a shard.
-    """
-    blocks = max(1, -(-vectors.count() // QUERY_ROWS))
-    block = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(blocks)).cast("int")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        values = _rows(pdf["vector"])
-        graph = Graph(_unit(values), pdf["id"].to_numpy())
-        held = (graph.order, graph.sizes, graph.layers, graph.probed_beam(least), pdf["id"].to_numpy(), pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy(), values)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "size": [pdf["size"].iloc[0]], "graph": [pickle.dumps(held)]})
-
-    graphs = written(vectors.withColumn("shard", _shard_of("id", shards)).groupBy("shard", "size").applyInPandas(build, "shard int, size int, graph binary"))
-
-    def look_up(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if graph.empty or asked.empty:
-            return _found()
-        order, sizes, layers, beam, ids, names, copies, values = pickle.loads(graph["graph"].iloc[0])
-        shard = int(graph["shard"].iloc[0])
-        net = Graph.restored(_unit(values), order, sizes, layers)
-        asked = asked.sort_values("id", ignore_index=True)
-        own, own_names, own_copies, mine = asked["id"].to_numpy(), asked["vec_id"].to_numpy(), asked["copies"].to_numpy(), _rows(asked["vector"])
-        place = pd.Index(ids).get_indexer(own)
+
+def _packed(values: np.ndarray) -> pa.Array:
+    """Rows as bytes: of floats if these are the same numbers, else of doubles."""
+    short = values.astype(np.float32)
+    values = short if (short == values).all() else values
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(values[0].nbytes), len(values), [None, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """The rows of doubles that _packed has made, some of floats."""
+    out, at = np.empty((len(column), size)), 0
+    for chunk in column.chunks:
+        edge = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data, wide = np.frombuffer(chunk.buffers()[2], np.uint8), np.diff(edge) == 8 * size
+        turn = np.flatnonzero(np.diff(wide)) + 1
+        for lo, hi in zip([0, *turn], [*turn, len(chunk)], strict=True):
+            if hi > lo:
+                out[at + lo : at + hi] = data[edge[lo] : edge[hi]].view(np.float64 if wide[lo] else np.float32).reshape(hi - lo, size)
+        at += len(chunk)
+    return out
+
+
+def _routed(part: pa.RecordBatch, size: int, cells: Cells | None):
+    """Rows of the vectors of one length: each as a point of its shard, then as a query of the others that it asks."""
+    n = part.num_rows
+    values = _matrix(part.column("vector"), size)
+    home, row, shard = np.zeros(n, np.int32), np.arange(n), np.zeros(n, np.int32)
+    if cells is not None:
+        unit, step, pairs = _unit(values).astype(np.float32), max(1, SCORES // len(cells.centres)), []
+        for lo in range(0, n, step):
+            scores = unit[lo : lo + step] @ cells.centres.T
+            home[lo : lo + step] = cells.home(scores, part.column("id").to_numpy()[lo : lo + step])
+            pairs.append(cells.asked(scores))
+            pairs[-1] = (pairs[-1][0] + lo, pairs[-1][1])
+        row, shard = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    edge = np.searchsorted(row, np.arange(n + 1))
+    visits = pa.array([shard[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())
+    away = shard != home[row]
+    vectors = _packed(values)
+    names = [x.split()[0] for x in ASKED.split(", ")]
+    step = max(1, QUERY_VALUES // size)
+    for at, to, point in ((np.arange(n), home, True), (row[away], shard[away], False)):
+        for lo in range(0, len(at), step):
+            here = slice(lo, lo + step)
+            some = pa.array(at[here])
+            fixed = [pa.array(np.full(len(some), size, np.int32)), pa.array(to[here], pa.int32()), pa.array(np.full(len(some), point))]
+            known = [part.column(c).take(some) for c in ("id", "vec_id", "copies")]
+            seen = visits.take(some) if point else pa.array([b""] * len(some), pa.binary())
+            yield pa.RecordBatch.from_arrays([*fixed, *known, pa.array(home[at[here]]), seen, vectors.take(some)], names)
+
+
+class _Shard:
+    """The graph of one shard, built when its points are there, and what is asked of it, piece by piece."""
+
+    def __init__(self, size: int, shard: int, least: float):
+        self.size, self.shard, self.least = size, shard, least
+        self.parts: list[pa.RecordBatch] = []
+        self.rows, self.graph = 0, None
+
+    def add(self, part: pa.RecordBatch, point: bool):
+        """Take points, or what is asked after all points; give what is found meanwhile."""
+        if not point and self.graph is None:
+            if not self.parts:
+                return  # no vector is at home here
+            yield from self._build()
+        self.parts.append(part)
+        self.rows += part.num_rows
+        if self.graph is not None and self.rows * self.size >= QUERY_VALUES:
+            yield self._ask()
+
+    def end(self):
+        if self.graph is None:
+            if not self.parts:
+                return
+            yield from self._build()
+        if self.rows:
+            yield self._ask()
+        at = np.flatnonzero(self.more)
+        yield _found(3, self.ids[at], self.ids[at], self.more[at], 0, self.names[at], self.names[at], self.shard, self.shard)
+
+    def _taken(self) -> pa.Table:
+        table, self.parts, self.rows = pa.Table.from_batches(self.parts), [], 0
+        return table
+
+    def _build(self):
+        points = self._taken()
+        self.ids, self.names, self.copies, _ = _columns(points)
+        order = np.argsort(self.ids, kind="stable")
+        points = points.take(pa.array(order)).combine_chunks()
+        self.ids, self.names, self.copies, home = _columns(points)
+        self.values = _unpacked(points.column("vector"), self.size)
+        self.graph = Graph(_unit(self.values), self.ids)
+        self.beam = self.graph.probed_beam(self.least)
+        self.label, self.more = np.arange(len(self.ids)), np.zeros(len(self.ids), np.int64)
+        raw = points.column("visits").to_pylist()
+        self.visits, self.visitor = np.frombuffer(b"".join(raw), np.int32), np.repeat(np.arange(len(raw)), [len(r) // 4 for r in raw])
+        self.apart: dict[int, np.ndarray] = {}
+        # the points ask first
+        step = max(1, QUERY_VALUES // self.size)
+        for lo in range(0, len(self.ids), step):
+            here = slice(lo, lo + step)
+            yield self._look_up(self.ids[here], self.names[here], self.copies[here], home[here], self.values[here], np.arange(len(self.ids))[here])
+
+    def _ask(self) -> pa.RecordBatch:
+        asked = self._taken()
+        ids, names, copies, home = _columns(asked)
+        return self._look_up(ids, names, copies, home, _unpacked(asked.column("vector"), self.size), np.full(len(ids), -1))
+
+    def _look_up(self, own, own_names, own_copies, home, mine, place) -> pa.RecordBatch:
+        graph, shard = self.graph, self.shard
         unit = _unit(mine).astype(np.float32)
-        sure = lambda q, p: _cosines(mine, values, q, p) >= least
-        query, point, full = net.search(unit, least - DOUBT, place, beam)
+        sure = lambda q, p: _cosines(mine, self.values, q, p) >= self.least
+        query, point, full = graph.search(unit, self.least - DOUBT, place, self.beam)
         keep = sure(query, point)
         query, point = query[keep], point[keep]
-        out = [_found(0, own[query], ids[point], copies[point], own_copies[query], own_names[query], names[point], shard)]
-        src, dst, links = net.joined(unit, full, place, least, sure, copies)
-        out.append(_found(1, own[src], ids[dst], 0, 0, own_names[src], names[dst], shard))
-        out.append(_found(2, own[full], own[full], links, 0, own_names[full], own_names[full], shard))
-        return pd.concat(out, ignore_index=True)
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = vectors.select("id", "vec_id", "copies", "vector", "size", block.alias("block"), every(shards).alias("shard"))
-    copied = graphs.select("shard", "size", "graph", every(blocks).alias("block"))
-    key = ("shard", "size", "block")
-    return written(copied.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(look_up, FOUND))
-
-
-def _found(kind: int = 0, src=(), dst=(), copies=0, own=0, src_vec=(), dst_vec=(), shard: int = 0) -> pd.DataFrame:
-    rows = pd.DataFrame({"src": np.asarray(src, np.int64), "dst": np.asarray(dst, np.int64), "src_vec": np.asarray(src_vec, np.int64), "dst_vec": np.asarray(dst_vec, np.int64)})
-    rows["kind"], rows["shard"], rows["copies"], rows["own"] = np.int32(kind), np.int32(shard), copies, own
-    return rows[["kind", "src", "dst", "copies", "own", "src_vec", "dst_vec", "shard"]].astype({"kind": "int32", "copies": "int64", "own": "int64", "shard": "int32"})
+
+        def told(rows: np.ndarray, near: np.ndarray) -> None:
+            """Points that do not ask the shard of what is near them have no other way to count it."""
+            for h in np.unique(home[rows]).tolist():
+                if h != shard:
+                    if h not in self.apart:
+                        self.apart[h] = np.ones(len(self.ids), bool)
+                        self.apart[h][self.visitor[self.visits == h]] = False
+                    these = home[rows] == h
+                    gained = (own_copies[rows[these]].astype(np.float64) @ near[these]).astype(np.int64)
+                    self.more[graph.order] += np.where(self.apart[h][graph.order], gained, 0)
+
+        # queries of the same shard beside each other
+        full = full[np.argsort(home[full], kind="stable")]
+        src, dst, links = graph.joined(unit, full, place, self.least, sure, self.copies, self.label, told)
+        out = [_found(0, own[query], self.ids[point], self.copies[point], own_copies[query], own_names[query], self.names[point], shard, home[query])]
+        out.append(_found(1, own[src], self.ids[dst], 0, 0, own_names[src], self.names[dst], shard, shard))
+        out.append(_found(2, own[full], own[full], links, 0, own_names[full], own_names[full], shard, shard))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
+
+
+def _columns(rows: pa.Table) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy() for c in ("id", "vec_id", "copies", "home")]
+
+
+def _searched(batches, least: float):
+    """What is found in rows sorted by size, shard and points first."""
+    shard, at = None, None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "shard", "point")])
+        turn = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
+        for lo, hi in zip([0, *turn], [*turn, batch.num_rows], strict=True):
+            if hi == lo:
+                continue
+            size, number, point = key[:, lo].tolist()
+            if at != (size, number):
+                if shard is not None:
+                    yield from shard.end()
+                shard, at = _Shard(size, number, least), (size, number)
+            yield from shard.add(batch.slice(lo, hi - lo), bool(point))
+    if shard is not None:
+        yield from shard.end()
+
+
+def _find(vectors: DataFrame, least: float, shards: int, shard_values: int = SHARD_VALUES) -> DataFrame:
+    """What is near enough among vectors (id, vec_id, copies, vector, size), in rows of four kinds.
+
+    0: a pair, with the copies of both; 1: two vectors of one component; 2: number of links that src has in a shard; 3: number of its
+    links with vectors compared in full, whose shards it did not ask.
+    """
+    spark = vectors.sparkSession
+    cells = _cells(vectors, least, shards, shard_values)
+    shared = spark.sparkContext.broadcast(pickle.dumps(cells))
+
+    def route(batches):
+        cells = pickle.loads(shared.value)
+        for size, part in _by_size(batches):
+            yield from _routed(part, size, cells.get(size))
+
+    n_shards = sum(int(c.parts.sum()) for c in cells.values())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * n_shards, MOST_TASKS))
+    asked = bounded_batches(vectors).mapInArrow(route, ASKED)
+    asked = asked.repartition(tasks, "size", "shard").sortWithinPartitions("size", "shard", F.desc("point"))
+    return written(asked.mapInArrow(lambda batches: _searched(batches, least), FOUND))
+
+
+def _found(kind: int, src, dst, copies, own, src_vec, dst_vec, shard: int, home) -> pa.RecordBatch:
+    every = lambda x, t: np.broadcast_to(np.asarray(x, t), len(src))
+    columns = [(kind, np.int32), (src, np.int64), (dst, np.int64), (copies, np.int64), (own, np.int64), (src_vec, np.int64), (dst_vec, np.int64), (shard, np.int32), (home, np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(every(x, t)) for x, t in columns], [x.split()[0] for x in FOUND.split(", ")])
 
 
 def _cosines(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
