@@ -201,18 +201,19 @@ def forward(w: dict, inputs: np.ndarray, inside: np.ndarray, pairs: np.ndarray |
     return {"x": x, "own": own, "q": q, "k": k, "v": v, "attention": attention, "seen": seen, "h": h, "m": m, "g": g, "ready": ready, "logits": logits}
 
 
-def told_apart(w: dict, g: np.ndarray, rows: np.ndarray, classes: np.ndarray, members: np.ndarray, weight: np.ndarray | None = None):
+def told_apart(w: dict, g: np.ndarray, rows: np.ndarray, classes: np.ndarray, members: np.ndarray, weight: np.ndarray | None = None, into: np.ndarray | None = None):
     """(log probability of each row among those of its class, gradients of the weighted loss or None) for states g.
 
     Positions are taken class by class, so that each class is one product; what the products give lies in one array, position
-    after position, so all else is done once for all classes.
+    after position, so all else is done once for all classes. into: gradients of the states, to which theirs are added; then positions
+    of no weight are passed over.
     """
     out = np.zeros(len(rows), g.dtype)
     size = np.diff(members)
-    todo = np.flatnonzero(size[classes] > 1)
-    grad = None if weight is None else (np.zeros_like(g), np.zeros_like(w["tell"]), np.zeros_like(w["tell_bias"]))
+    some = size[classes] > 1
+    todo = np.flatnonzero(some if into is None else some & (weight != 0))
     if not len(todo):
-        return out, grad
+        return out, None if weight is None else (np.zeros_like(g) if into is None else into, np.zeros_like(w["tell"]), np.zeros_like(w["tell_bias"]))
     kind = classes[todo].astype(np.uint8)
     order = np.argsort(kind, kind="stable")
     todo, kind = todo[order], kind[order]
@@ -222,9 +223,8 @@ def told_apart(w: dict, g: np.ndarray, rows: np.ndarray, classes: np.ndarray, me
     logits = np.empty(int(width.sum()), g.dtype)
     tell = np.concatenate([w["tell"], w["tell_bias"][:, None]], axis=1)
     parts = []
-    for c in np.flatnonzero(np.diff(edge)).tolist():
-        (a, b), (lo, hi) = edge[c : c + 2].tolist(), members[c : c + 2].tolist()
-        at = int(begin[a])
+    there = np.flatnonzero(np.diff(edge))
+    for a, b, lo, hi, at in zip(*(x.tolist() for x in (edge[there], edge[there + 1], members[there], members[there + 1], begin[edge[there]])), strict=True):
         parts.append((a, b, lo, hi, logits[at : at + (b - a) * (hi - lo)].reshape(b - a, hi - lo)))
         np.matmul(mine[a:b], tell[lo:hi].T, out=parts[-1][4])
     _bounded(logits)
@@ -233,15 +233,18 @@ def told_apart(w: dict, g: np.ndarray, rows: np.ndarray, classes: np.ndarray, me
     np.exp(logits, out=logits)
     total = np.add.reduceat(logits, begin)
     out[todo] = chosen - np.log(total)
-    if grad:
+    grad = None
+    if weight is not None:
         logits[place] -= total
         scale = (weight[todo] / total)[:, None]
         scaled, back, moved = mine * scale, np.empty((len(todo), g.shape[1]), g.dtype), np.zeros_like(tell)
         for a, b, lo, hi, part in parts:
             np.matmul(part, w["tell"][lo:hi], out=back[a:b])
             np.matmul(part.T, scaled[a:b], out=moved[lo:hi])
-        grad[0][todo] = back * scale
-        grad = grad[0], moved[:, :-1], moved[:, -1]
+        back *= scale
+        into = np.zeros_like(g) if into is None else into
+        into[todo] += back
+        grad = into, moved[:, :-1], moved[:, -1]
     return out, grad
 
 
@@ -250,10 +253,18 @@ def _scatter(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarra
     there = np.zeros(size, dtype=bool)
     there[rows] = True
     which = np.flatnonzero(there)
-    number, width = np.empty(size, dtype=np.int64), values.shape[1]
-    number[which] = np.arange(len(which)) * width
-    cell = number.take(rows)[:, None] + np.arange(width)
-    return which, np.bincount(cell.ravel(), values.ravel(), len(which) * width).reshape(-1, width)
+    number, out = np.empty(size, dtype=np.int64), np.empty((values.shape[1], len(which)))
+    number[which] = np.arange(len(which))
+    at = number.take(rows)
+    for j, column in enumerate(np.ascontiguousarray(values.T, dtype=np.float64)):
+        out[j] = np.bincount(at, column, len(which))
+    return which, out.T
+
+
+def _summed_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y, by some hundred rows, which stay in the cache."""
+    step = math.gcd(len(x), 256)
+    return (x.reshape(-1, step, x.shape[1]).transpose(0, 2, 1) @ y.reshape(-1, step, y.shape[1])).sum(axis=0)
 
 
 def gradients(w: dict, inputs: np.ndarray, inside: np.ndarray, targets: np.ndarray, valid: np.ndarray, rows: np.ndarray | None = None, members: np.ndarray | None = None) -> dict:
@@ -263,28 +274,24 @@ def gradients(w: dict, inputs: np.ndarray, inside: np.ndarray, targets: np.ndarr
     p = _flat(s["logits"])
     np.exp(p, out=p)
     share = (valid / np.float32(max(1, valid.sum()))).astype(p.dtype).ravel()
-    p *= (share / _row_sums(p))[:, None]
-    p[np.arange(len(p)), targets.ravel()] -= share
-    # by some hundred positions, which stay in the cache
-    step = math.gcd(len(p), 256)
-    read = (p.reshape(-1, step, CLASSES).transpose(0, 2, 1) @ s["ready"].reshape(-1, step, WIDTH + 1)).sum(axis=0).T
+    # each row times its sum; the narrow arrays are scaled in its place
+    total = _row_sums(p)
+    p[np.arange(len(p)), targets.ravel()] -= total
+    scale = (share / total)[:, None]
+    read = _summed_products(p, s["ready"] * scale).T
     out = {"bias": read[-1], "read": read[:-1]}
     dg = p @ w["read"].T
+    dg *= scale
     if rows is not None:
-        ok = np.flatnonzero(share)
-        g = _flat(s["g"])
-        if len(ok) == len(share):
-            ok = slice(None)
-        _, (more, out["tell"], out["tell_bias"]) = told_apart(w, g[ok], rows.ravel()[ok], targets.ravel()[ok], members, share[ok])
-        dg[ok] += more
+        _, (dg, out["tell"], out["tell_bias"]) = told_apart(w, _flat(s["g"]), rows.ravel(), targets.ravel(), members, share, dg)
     m, h, seen, own, x = (_flat(s[k]) for k in ("m", "h", "seen", "own", "x"))
     dm = dg @ w["outer"].T
     dm *= m > 0
-    out |= {"outer": m.T @ dg, "inner": h.T @ dm, "inner_bias": np.ones(len(dm), dm.dtype) @ dm}
+    out |= {"outer": _summed_products(m, dg), "inner": _summed_products(h, dm), "inner_bias": np.ones(len(dm), dm.dtype) @ dm}
     dq_dh = np.empty((len(dg), 2 * WIDTH), dg.dtype)
     dh = dm @ w["inner"].T
     dh += dg
-    out["mix"] = seen.T @ dh
+    out["mix"] = _summed_products(seen, dh)
     dseen = dh @ w["mix"].T
     # what attention spreads over a row is the product of the row's result and its gradient
     mean = _row_sums(dseen * seen).reshape(s["q"].shape[:2])
@@ -299,13 +306,13 @@ def gradients(w: dict, inputs: np.ndarray, inside: np.ndarray, targets: np.ndarr
     dq_dh[:, :WIDTH] = _flat(ds @ s["k"])
     dq_dh[:, :WIDTH] *= np.float32(1 / np.sqrt(WIDTH))
     dq_dh[:, WIDTH:] = dh
-    of_own, of_all = own.T @ dq_dh, x.T @ _flat(dkv)
+    of_own, of_all = _summed_products(own, dq_dh), _summed_products(x, _flat(dkv))
     out |= {"query": of_own[:, :WIDTH], "last": of_own[:, WIDTH:], "key": of_all[:, :WIDTH], "value": of_all[:, WIDTH:]}
     dx = _times(dkv, np.concatenate([w["key"].T, w["value"].T]))
     dx[:, -STRIDE:] += (dq_dh @ np.concatenate([w["query"].T, w["last"].T])).reshape(s["own"].shape)
     out["place"] = dx.sum(axis=0)
     if pairs is not None:
-        sums = _flat(dx).astype(np.float64)
+        sums = np.ascontiguousarray(_flat(dx).T, dtype=np.float64).T
         out["embed"], out["pair"] = _scatter(inputs.ravel(), sums, len(w["embed"])), _scatter(pairs.ravel(), sums, PAIRS)
     else:
         out["embed"] = np.zeros_like(w["embed"])
@@ -337,7 +344,7 @@ def train(w: dict, classes: np.ndarray, at: np.ndarray, rate: float, seed: int,
         got = gradients(w, inputs[at_], inside[at_], targets[at_], (here >= 0).astype(np.float32), told, members)
         for k in tables:
             which, g = got[k]
-            g = g.astype(np.float32)
+            g = np.ascontiguousarray(g, dtype=np.float32)
             squares = tables[k].take(which) + _row_sums(g * g) / WIDTH
             tables[k][which] = squares
             g *= (np.float32(TABLE_RATE * slow * rate / RATE) / np.sqrt(squares))[:, None]
@@ -386,7 +393,7 @@ def class_scores(w: dict, classes: np.ndarray, at: np.ndarray, rows: np.ndarray
         ok = np.flatnonzero(here >= 0)
         out[here[ok]] = score[ok]
         if rows is not None:
-            states.append(_flat(s["g"])[ok])
+            states.append(_flat(s["g"]).take(ok, axis=0))
             places.append(here[ok])
             if len(states) == BATCHES_TOLD:
                 tell()

@@ -86,3 +86,22 @@ def test_steps_are_those_of_adam_and_adagrad(batch):
                 want[k] -= 0.02 * slow * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.99**t)) + 1e-8)
     for k in w:
         assert np.abs(got[k] - want[k]).mean() < 1e-3 * np.abs(want[k] - w[k]).mean() + 1e-7, k
+
+
+def test_a_step_takes_sums_by_blocks_and_adds_what_tells_ids_apart(monkeypatch):
+    rng, vocabulary, w = small_model()
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    x, y = rng.normal(size=(528, 5)), rng.normal(size=(528, 3))
+    assert np.allclose(scoring._summed_products(x, y), x.T @ y)
+    ids, g, weight = rng.integers(0, 200, 300), rng.normal(size=(300, scoring.WIDTH)), rng.random(300) * (rng.random(300) < 0.7)
+    classes, rows, into = vocabulary.kind[ids].astype(np.int64), vocabulary.row[ids], rng.normal(size=(300, scoring.WIDTH))
+    _, want = scoring.told_apart(w, g, rows, classes, vocabulary.members, weight)
+    before = into.copy()
+    _, got = scoring.told_apart(w, g, rows, classes, vocabulary.members, weight, into)
+    assert got[0] is into and np.allclose(into - before, want[0])
+    assert all(np.allclose(a, b) for a, b in zip(got[1:], want[1:], strict=True)) and want[1].any()
+    # nothing as wide as a class or as long as a table times its width is built for a sum by row
+    sizes, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda a, *more: sizes.append(len(a)) or bincount(a, *more))
+    which, sums = scoring._scatter(rng.integers(0, 90, 400), rng.normal(size=(400, 6)), 90)
+    assert sizes == [400] * 6 and sums.shape == (len(which), 6)
